@@ -62,7 +62,7 @@ def advance_position(lat, lon, heading_deg, speed_kn, seconds) -> Column:
 
 def compass_point(bearing) -> Column:
     slot = F.floor(F.pmod(F.pmod(_col(bearing), F.lit(360.0)) + F.lit(11.25), F.lit(360.0)) / F.lit(22.5))
-    return F.element_at(F.array(*[F.lit(p) for p in COMPASS_POINTS]), slot.cast("int") + 1)
+    return F.when(_col(bearing).isNotNull(), F.get(F.array(*[F.lit(p) for p in COMPASS_POINTS]), slot.cast("int")))
 
 
 def current_toward(u, v) -> Column:

@@ -18,7 +18,7 @@ def douglas_band(height_m) -> Column:
 
 
 def douglas_descriptor(band) -> Column:
-    return F.element_at(F.array(*[F.lit(r[1]) for r in dims.DOUGLAS]), _col(band) + 1)
+    return F.when(_col(band).isNotNull(), F.get(F.array(*[F.lit(r[1]) for r in dims.DOUGLAS]), _col(band)))
 
 
 def wave_steepness(height_m, period_s) -> Column:
@@ -82,7 +82,7 @@ def alert_rank(inside, distance_nm, warn_nm, critical_nm) -> Column:
 
 
 def level_name(rank, levels=dims.ALERT_LEVELS) -> Column:
-    return F.element_at(F.array(*[F.lit(name) for name, _ in levels]), _col(rank) + 1)
+    return F.when(_col(rank).isNotNull(), F.get(F.array(*[F.lit(name) for name, _ in levels]), _col(rank)))
 
 
 def shallow_penalty(depth_m, min_depth_m) -> Column:
@@ -116,7 +116,7 @@ def adverse_current(speed_kn, toward_deg, bearing) -> Column:
 
 
 def fill_message(copy, name, distance_nm, eta) -> Column:
-    distance = F.coalesce(F.format_string("%.1f", _col(distance_nm)), F.lit("?"))
+    distance = F.when(_col(distance_nm).isNull(), F.lit("?")).otherwise(F.format_string("%.1f", _col(distance_nm)))
     text = F.replace(_col(copy), F.lit("{name}"), F.coalesce(_col(name), F.lit("")))
     text = F.replace(text, F.lit("{distance}"), distance)
     return F.replace(text, F.lit("{eta}"), _col(eta))

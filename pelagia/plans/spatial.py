@@ -45,7 +45,7 @@ def _cell(value, size: float) -> Column:
     return F.floor(geo._col(value) / F.lit(size)).cast("int")
 
 
-def _with_bounds(cand: DataFrame, size: float) -> DataFrame:
+def _with_bounds(cand: DataFrame, size: float, planar: bool) -> DataFrame:
     """Planar and great-circle bounds between each cell and its segment."""
     half, side = F.lit((2.0 ** 0.5) * size / 2 + 1e-9), F.lit(size / 2)
     cx, cy = F.col("_cx"), F.col("_cy")
@@ -63,8 +63,8 @@ def _with_bounds(cand: DataFrame, size: float) -> DataFrame:
                        (F.col("_centre") + half).alias("_high"))
     # A great circle is never longer than the straight path in degree space, and never
     # shorter than that path shrunk by cos(latitude) and by sin(x) >= 2x/pi.
-    shrink = F.cos(F.radians(F.least(F.lit(90.0), F.col("_top")))) \
-        * F.when(F.col("_high") < 10, F.lit(0.998)).otherwise(F.lit(2 / pi))
+    shrink = F.lit(1.0) if planar else (F.cos(F.radians(F.least(F.lit(90.0), F.col("_top"))))
+                                        * F.when(F.col("_high") < 10, F.lit(0.998)).otherwise(F.lit(2 / pi)))
     return rows.select(
         *cand.columns, "_low", "_high", "_over", (F.col("_high") * F.lit(geo.NM_PER_DEGREE * 1.000001)).alias("_high_nm"),
         F.when(F.col("_over"), F.lit(0.0)).otherwise(
@@ -73,9 +73,9 @@ def _with_bounds(cand: DataFrame, size: float) -> DataFrame:
          & (F.greatest("x1", "x2") >= cx - side)).alias("_ray"))
 
 
-def _prune(cand: DataFrame, size: float, k: int, max_nm: float | None) -> DataFrame:
+def _prune(cand: DataFrame, size: float, k: int, max_nm: float | None, planar: bool) -> DataFrame:
     """Keep per cell the segments that may matter to some point of the cell."""
-    rows = _with_bounds(cand, size)
+    rows = _with_bounds(cand, size, planar)
     features = rows.groupBy("ix", "iy", "layer", "fkey").agg(
         F.min("_high").alias("_fhigh"), F.min("_high_nm").alias("_fhigh_nm"),
         F.min("_low_nm").alias("_flow_nm"),
@@ -98,7 +98,7 @@ def _prune(cand: DataFrame, size: float, k: int, max_nm: float | None) -> DataFr
 
 
 def candidate_index(points: DataFrame, segments: DataFrame, k: int = 1, max_nm: float | None = None,
-                    lat: str = "lat", lon: str = "lon") -> tuple[DataFrame, float, int]:
+                    lat: str = "lat", lon: str = "lon", planar: bool = False) -> tuple[DataFrame, float, int]:
     """(ix, iy, segment columns) candidates per occupied leaf cell, cell size, row count."""
     boxes = segments.where("is_polygon").groupBy("layer", "fkey").agg(
         F.min(F.least("x1", "x2")).alias("bx1"), F.min(F.least("y1", "y2")).alias("by1"),
@@ -130,7 +130,7 @@ def candidate_index(points: DataFrame, segments: DataFrame, k: int = 1, max_nm:
             children = cand.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step)) \
                 .withColumn("ix", F.col("ix") * 8 + F.col("_dx")).withColumn("iy", F.col("iy") * 8 + F.col("_dy")) \
                 .drop("_dx", "_dy")
-        cand = cut_lineage(_prune(children.join(occupied, ["ix", "iy"], "left_semi"), size, k, max_nm))
+        cand = cut_lineage(_prune(children.join(occupied, ["ix", "iy"], "left_semi"), size, k, max_nm, planar))
         if depth >= 2:
             worst, rows = cand.groupBy("ix", "iy", "layer").count().agg(F.max("count"), F.sum("count")).first()
             if (worst or 0) <= LEAF_CANDIDATES:
@@ -151,29 +151,31 @@ def _start_level(segments: DataFrame, box: tuple[int, int, int, int]):
 
 def nearest_features(points: DataFrame, segments: DataFrame, k: int = 1, max_nm: float | None = None,
                      lat: str = "lat", lon: str = "lon", point_key: tuple[str, ...] = (),
-                     broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                     broadcast_rows: int = BROADCAST_ROWS, planar: bool = False) -> DataFrame:
     """The ``k`` nearest features of every layer for every point.
 
     Adds ``layer, fkey, rank, distance_nm, bearing_deg, inside, closest_lat, closest_lon``
     to the point columns. The closest point of a feature is found in degree space and the
     distance to it is great-circle; a point inside a polygon is at distance 0 with no
     bearing. Equal distances are ordered by feature key. ``max_nm`` drops farther features.
-    ``point_key`` names a unique key of the points; it is needed only when the candidate
+    With ``planar`` features rank by distance in degree space and ``distance_nm`` is that
+    distance in degrees. ``point_key`` names a unique key of the points; it is needed only when the candidate
     list is too large to broadcast.
     """
-    index, size, rows = candidate_index(points, segments, k, max_nm, lat, lon)
+    index, size, rows = candidate_index(points, segments, k, max_nm, lat, lon, planar)
     here = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     if rows <= broadcast_rows:
-        out = _map_side(here, index, size, k, lat, lon)
+        out = _map_side(here, index, size, k, lat, lon, planar)
     else:
-        out = _shuffled(here, index, size, k, lat, lon, list(point_key or points.columns))
+        out = _shuffled(here, index, size, k, lat, lon, list(point_key or points.columns), planar)
     if max_nm is not None:
         out = out.where(F.col("distance_nm") <= F.lit(float(max_nm)))
     return out
 
 
-def _finish(d2: Column, closest: Column, inside: Column, lat: str, lon: str) -> dict[str, Column]:
-    distance = F.when(inside, F.lit(0.0)).otherwise(geo.haversine_nm(lat, lon, closest["qy"], closest["qx"]))
+def _finish(d2: Column, closest: Column, inside: Column, lat: str, lon: str, planar: bool) -> dict[str, Column]:
+    outside = F.sqrt(d2) if planar else geo.haversine_nm(lat, lon, closest["qy"], closest["qx"])
+    distance = F.when(inside, F.lit(0.0)).otherwise(outside)
     return {"distance": distance,
             "qlat": F.when(inside, F.col(lat)).otherwise(closest["qy"]),
             "qlon": F.when(inside, F.col(lon)).otherwise(closest["qx"])}
@@ -185,7 +187,8 @@ def _bearing(lat: str, lon: str) -> Column:
                   geo.bearing_deg(lat, lon, F.col("closest_lat"), F.col("closest_lon")))
 
 
-def _map_side(points: DataFrame, index: DataFrame, size: float, k: int, lat: str, lon: str) -> DataFrame:
+def _map_side(points: DataFrame, index: DataFrame, size: float, k: int, lat: str, lon: str,
+              planar: bool) -> DataFrame:
     segs = F.collect_list(F.struct("seq", "x1", "y1", "x2", "y2"))
     packed = (
         index.groupBy("ix", "iy", "layer", "fkey", "is_polygon").agg(segs.alias("segs"))
@@ -199,7 +202,7 @@ def _map_side(points: DataFrame, index: DataFrame, size: float, k: int, lat: str
                         feature["fkey"].alias("fkey"))
 
     def measured(m: Column) -> Column:
-        done = _finish(m["c"]["d2"], m["c"], m["inside"], lat, lon)
+        done = _finish(m["c"]["d2"], m["c"], m["inside"], lat, lon, planar)
         return F.struct(done["distance"].alias("distance_nm"), m["fkey"].alias("fkey"), m["inside"].alias("inside"),
                         done["qlat"].alias("closest_lat"), done["qlon"].alias("closest_lon"))
 
@@ -223,7 +226,7 @@ def _map_side(points: DataFrame, index: DataFrame, size: float, k: int, lat: str
 
 
 def _shuffled(points: DataFrame, index: DataFrame, size: float, k: int, lat: str, lon: str,
-              key: list[str]) -> DataFrame:
+              key: list[str], planar: bool) -> DataFrame:
     pairs = points.withColumns({"ix": _cell(lon, size), "iy": _cell(lat, size)}).join(index, ["ix", "iy"])
     rest = [c for c in points.columns if c not in key]
     best = pairs.groupBy(*key, "layer", "fkey", "is_polygon").agg(
@@ -231,7 +234,7 @@ def _shuffled(points: DataFrame, index: DataFrame, size: float, k: int, lat: str
         F.sum(geo.crosses_ray(lon, lat, "x1", "y1", "x2", "y2").cast("int")).alias("_crossings"),
         *[F.first(c).alias(c) for c in rest])
     inside = F.col("is_polygon") & (F.col("_crossings") % 2 == 1)
-    done = _finish(F.col("c")["d2"], F.col("c"), inside, lat, lon)
+    done = _finish(F.col("c")["d2"], F.col("c"), inside, lat, lon, planar)
     out = best.select(*points.columns, "layer", "fkey", done["distance"].alias("distance_nm"),
                       inside.alias("inside"), done["qlat"].alias("closest_lat"), done["qlon"].alias("closest_lon"))
     if k == 1:

@@ -173,7 +173,13 @@ def _expand(sql: str, macros: dict[str, str]) -> str:
 
 
 def needed(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+    return [n for n in dict.fromkeys(re.findall(r"\{(\w+)\}", sql)) if n in VIEWS or n in TABLES]
+
+
+def _plain(sql: str) -> str:
+    for name in needed(sql):
+        sql = sql.replace("{" + name + "}", name)
+    return sql
 
 
 def spark_sql(spark: SparkSession, sql: str, views: "Views") -> DataFrame:
@@ -191,9 +197,9 @@ def with_clause(sql: str) -> str:
                 order.append(name)
 
     visit(sql)
-    body = re.sub(r"\{(\w+)\}", r"\1", _expand(sql, _CHECK_MACROS)).strip()
+    body = _plain(_expand(sql, _CHECK_MACROS)).strip()
     ctes = ",\n".join(
-        f"{n} AS MATERIALIZED (" + re.sub(r"\{(\w+)\}", r"\1", _expand(VIEWS[n], _CHECK_MACROS)) + ")" for n in order)
+        f"{n} AS MATERIALIZED (" + _plain(_expand(VIEWS[n], _CHECK_MACROS)) + ")" for n in order)
     if not ctes:
         return body
     if body[:14].upper() == "WITH RECURSIVE":
