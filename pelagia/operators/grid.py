@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pelagia.functions import geo
 from pelagia.plans.components import TILE, connected_components
 from pelagia.plans.percentile import exact_percentile
+from pelagia.session import cut_lineage
 
 # Fixed values.
 FRONT_PERCENTILE = 0.85
@@ -88,12 +89,14 @@ def percentile_mask(cells: DataFrame, keys: list[str], value: str, p: float) ->
 def front_zones(cells: DataFrame, keys: list[str], height: int, width: int, tile: int = TILE,
                 value: str = "value") -> DataFrame:
     """Labelled cells of strong-gradient zones (at least four cells)."""
-    steep = gradient(cells, keys, value, height, width)
+    # Read several times below (percentile passes, mask, join), so it is written once.
+    steep = cut_lineage(gradient(cells, keys, value, height, width))
     mask = percentile_mask(steep.where(F.col("gradient").isNotNull()), keys, "gradient", FRONT_PERCENTILE)
     return label_zones(mask, keys, width, tile)
 
 
 def label_zones(mask: DataFrame, keys: list[str], width: int, tile: int = TILE) -> DataFrame:
+    mask = cut_lineage(mask)
     labels = connected_components(mask, keys, width, tile)
     big = labels.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n_cells")).where(F.col("n_cells") >= MIN_ZONE_CELLS)
     return mask.join(labels, [*keys, "i", "j"]).join(big.select(*keys, "label"), [*keys, "label"], "left_semi")

@@ -104,9 +104,11 @@ VIEWS: dict[str, str] = {
                     WHEN 7 THEN 'MODERATE' WHEN 8 THEN 'PHENOMENAL' ELSE 'HIGHLY VARIABLE' END AS sea_condition,
                CASE o_orderpriority WHEN '1-URGENT' THEN 'SIGNAL NO. III' WHEN '2-HIGH' THEN '' WHEN '3-MEDIUM' THEN NULL
                     WHEN '4-NOT SPECIFIED' THEN 'NIL' ELSE 'No Signal' END AS port_signal,
-               CASE WHEN o_orderkey % 6 = 0 THEN 'High waves along NATION_' || CAST(o_orderkey % 25 AS VARCHAR(10)) || ' coast'
-                    WHEN o_orderkey % 6 = 1 THEN 'NIL' END AS storm_surge_warning,
-               'NATION_' || CAST(o_custkey % 25 AS VARCHAR(10)) AS district,
+               CASE WHEN o_orderkey % 3 = 0 THEN 'High waves along ' || CASE IDIV(o_orderkey; 6) % 5 WHEN 0 THEN 'RAMANATHAPURAM district' WHEN 1 THEN 'Thoothukkudi coast'
+                    WHEN 2 THEN 'Nagai, Thanjavur' WHEN 3 THEN 'Tirunelvelli' ELSE 'Puducherry' END
+                    WHEN o_orderkey % 3 = 1 THEN 'NIL' END AS storm_surge_warning,
+               CASE o_custkey % 6 WHEN 0 THEN 'Ramanathapuram' WHEN 1 THEN 'Pudukkottai' WHEN 2 THEN 'Thanjavur' WHEN 3 THEN 'Nagapattinam'
+                    WHEN 4 THEN 'Thoothukudi' ELSE 'Tirunelveli' END AS district,
                CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE o_orderdate END AS valid_from,
                CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE ADDS(o_orderdate; 43200) END AS valid_to,
                ADDS(o_orderdate; ((o_orderkey * 5) % 24) * 3600) AS target_time,
@@ -114,6 +116,14 @@ VIEWS: dict[str, str] = {
                CASE o_custkey % 3 WHEN 0 THEN 'small_motorised' WHEN 1 THEN 'fibreglass_catamaran' ELSE 'mechanised_trawler' END AS vessel_class,
                CAST((o_orderkey * 11) % 20 AS DOUBLE) AS swell_period_s
         FROM {orders}""",
+    "questions": """
+        SELECT conv_id, turn, CASE (conv_id + turn) % 14 WHEN 0 THEN 'Is it safe to go out tomorrow morning at 04:30? '
+            WHEN 1 THEN 'What if I leave at 04:00 instead of 06.15 today ' WHEN 2 THEN 'கடலுக்கு போகலாமா நாளை ' WHEN 3 THEN 'Where are the fish? list the fishing zone '
+            WHEN 4 THEN 'naalai kadal epadi irukkum ' WHEN 5 THEN 'Which boats are near the boundary line or the IMBL? '
+            WHEN 6 THEN 'Show cyclone warning and storm surge, tonight ' WHEN 7 THEN 'why has productivity declined over the years '
+            WHEN 8 THEN 'dariya machhi kale kem ' WHEN 9 THEN 'nearest port or landing centre this evening ' WHEN 10 THEN 'समुद्र में मौसम ' 
+            WHEN 11 THEN 'should I avoid the no-go area near the marine national park at 9:05 and 23:59 ' WHEN 12 THEN 'chlorophyll and sst front now ' ELSE '' END || text AS text
+        FROM {conversations} WHERE role = 'user'""",
     "trace_steps": """
         SELECT CAST(conv_id AS VARCHAR(20)) AS query_id,
                CAST(conv_id AS VARCHAR(20)) || '-' || CAST(turn AS VARCHAR(20)) AS step_id,
