@@ -47,6 +47,17 @@ def previous_non_null(df: DataFrame, keys: list[str], order: list[str], bucket:
         *df.columns, *[F.coalesce("_l_" + n, "_c_" + n).alias(n) for n in values])
 
 
+def previous_max(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, name: str) -> DataFrame:
+    """Maximum of ``value`` over the rows strictly before the row in the key's order."""
+    part = df.withColumn("_bucket", bucket)
+    tops = part.groupBy(*keys, "_bucket").agg(F.max(value).alias("_top"))
+    across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*keys, "_bucket", F.max("_top").over(across).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = part.select("*", F.max(value).over(inside).alias("_local"))
+    return local.join(carried, [*keys, "_bucket"]).select(*df.columns, F.greatest("_local", "_carry").alias(name))
+
+
 def running_number(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str) -> DataFrame:
     """1-based position within the key, computed per bucket plus the count before it."""
     part = df.withColumn("_bucket", bucket)

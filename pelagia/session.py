@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,9 +49,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the written copy."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and continue from the written copy.
+
+    A written table is computed once, survives lost executors and, unlike a checkpointed
+    RDD, has a known size, so later joins can pick a broadcast by themselves.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/pelagia-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
