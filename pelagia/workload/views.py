@@ -94,6 +94,20 @@ VIEWS: dict[str, str] = {
         FROM (SELECT l_returnflag AS slice, CAST(l_orderkey % 40 AS INT) AS i,
                      CAST((l_partkey * 7 + l_suppkey) % 50 AS INT) AS j, l_quantity FROM {lineitem}) AS c
         GROUP BY slice, i, j""",
+    "cost_inputs": """
+        SELECT i, j, (800 + i * 7) / 100 AS lat, (7800 + j * 5) / 100 AS lon,
+               CASE WHEN (i * 7 + j * 3) % 23 <> 0 THEN sum(l_quantity) / count(*) / 15 END AS hs,
+               CAST(sum(l_linenumber) AS BIGINT) * 61 / (count(*) * 10) AS wind, CAST(4 + CAST(sum(l_orderkey) AS BIGINT) % 9 AS DOUBLE) AS period,
+               CASE WHEN (i + j) % 29 <> 0 THEN ((i * 31 + j * 17) % 200) / 10 END AS depth,
+               (CAST(sum(l_partkey) AS BIGINT) + i) % 23 = 0 AS land, i BETWEEN 15 AND 18 AND j BETWEEN 20 AND 26 AS exclusion,
+               (CAST(sum(l_suppkey) AS BIGINT) % 30) / 10 AS current_kn, CAST((CAST(sum(l_suppkey) AS BIGINT) * 7) % 360 AS DOUBLE) AS current_to
+        FROM (SELECT CAST(l_orderkey % 40 AS INT) AS i, CAST((l_partkey * 7 + l_suppkey) % 50 AS INT) AS j,
+                     l_quantity, l_linenumber, l_orderkey, l_partkey, l_suppkey FROM {lineitem}) AS c
+        GROUP BY i, j""",
+    "routes": """
+        SELECT s_suppkey AS route_id, 8 + ((s_suppkey * 53) % 270) / 100 AS olat, 78 + ((s_suppkey * 71) % 245) / 100 AS olon,
+               8 + ((s_suppkey * 29 + 70) % 270) / 100 AS dlat, 78 + ((s_suppkey * 31 + 120) % 245) / 100 AS dlon
+        FROM {supplier}""",
     "bulletins": """
         SELECT o_orderkey AS bulletin_id, o_custkey % 25 AS block_id,
                CASE o_orderkey % 10 WHEN 0 THEN 'SMOOTH' WHEN 1 THEN 'SLIGHT' WHEN 2 THEN 'MODERATE' WHEN 3 THEN 'ROUGH'
