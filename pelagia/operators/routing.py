@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from math import asin, cos, inf, radians, sin, sqrt
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -102,51 +102,64 @@ def _tiles(cells: DataFrame, tile: int) -> DataFrame:
         F.collect_list(F.struct("i", "j", "cost", "lat", "lon")).alias("cells"))
 
 
+def _distance_nm(a1: float, o1: float, a2: float, o2: float) -> float:
+    p1, p2 = radians(a1), radians(a2)
+    h = sin((p2 - p1) / 2) ** 2 + cos(p1) * cos(p2) * sin(radians(o2 - o1) / 2) ** 2
+    return 2 * geo.EARTH_RADIUS_M * asin(min(1.0, sqrt(h))) / geo.METRES_PER_NM
+
+
+def _tile_graph(cells, tile: int, ti: int, tj: int):
+    """Cell index, entry rates, inner edges (target, weight) and cells outside that a cell touches."""
+    at = {(c["i"], c["j"]): n for n, c in enumerate(cells)}
+    edges, outside = [], []
+    for c in cells:
+        inner, outer = [], []
+        for a, b in NEIGHBOURS:
+            i, j = c["i"] + a, c["j"] + b
+            n = at.get((i, j))
+            if n is not None:
+                to = cells[n]
+                inner.append((n, _distance_nm(c["lat"], c["lon"], to["lat"], to["lon"]) * to["cost"]))
+            elif i // tile != ti or j // tile != tj:
+                outer.append((i, j))
+        edges.append(inner)
+        outside.append(outer)
+    return at, [c["cost"] for c in cells], edges, outside
+
+
 def _settle(tile: int):
     """Settle one tile: improve its values from the incoming border values, report the outgoing ones."""
-    def haversine(a1, o1, a2, o2):
-        p1, p2 = np.radians(a1), np.radians(a2)
-        h = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(o2 - o1) / 2) ** 2
-        return 2 * geo.EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(h))) / geo.METRES_PER_NM
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graphs: dict[tuple[int, int], tuple] = {}
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                cost = {(c["i"], c["j"]): (c["cost"], c["lat"], c["lon"]) for c in row.cells}
-                best = {} if row.g is None else {(c["i"], c["j"]): c["g"] for c in row.g}
+                where = (row.ti, row.tj)
+                if where not in graphs:
+                    graphs[where] = _tile_graph(row.cells, tile, *where)
+                at, rate, edges, outside = graphs[where]
+                best = [inf] * len(rate) if row.g is None else list(row.g)
                 heap = []
                 for m in row.incoming:
-                    cell = (m["i"], m["j"])
-                    if cell not in cost:
-                        continue
-                    g = m["g"] + m["d"] * cost[cell][0]
-                    if g < best.get(cell, np.inf):
-                        best[cell] = g
-                        heap.append((g, cell))
+                    n = at.get((m["i"], m["j"]))
+                    if n is not None and m["g"] + m["d"] * rate[n] < best[n]:
+                        best[n] = m["g"] + m["d"] * rate[n]
+                        heap.append((best[n], n))
                 heapq.heapify(heap)
-                sent = {}
+                changed = set()
                 while heap:
-                    g, cell = heapq.heappop(heap)
-                    if g > best[cell]:
+                    g, n = heapq.heappop(heap)
+                    if g > best[n]:
                         continue
-                    _, lat, lon = cost[cell]
-                    outside = []
-                    for a, b in NEIGHBOURS:
-                        to = (cell[0] + a, cell[1] + b)
-                        if to in cost:
-                            w, la, lo = cost[to]
-                            ng = g + haversine(lat, lon, la, lo) * w
-                            if ng < best.get(to, np.inf):
-                                best[to] = ng
-                                heapq.heappush(heap, (ng, to))
-                        elif to[0] // tile != row.ti or to[1] // tile != row.tj:
-                            outside.append(to)
-                    if outside:
-                        sent[cell] = (g, lat, lon, outside)
-                messages = [{"i": to[0], "j": to[1], "g": g, "lat": lat, "lon": lon}
-                            for g, lat, lon, outside in sent.values() for to in outside]
-                out.append((row.origin, row.ti, row.tj, [{"i": c[0], "j": c[1], "g": g} for c, g in best.items()], messages))
+                    if outside[n]:
+                        changed.add(n)
+                    for to, weight in edges[n]:
+                        if g + weight < best[to]:
+                            best[to] = g + weight
+                            heapq.heappush(heap, (best[to], to))
+                messages = [{"i": i, "j": j, "g": best[n], "lat": row.cells[n]["lat"], "lon": row.cells[n]["lon"]}
+                            for n in changed for i, j in outside[n]]
+                out.append((row.origin, row.ti, row.tj, best, messages))
             yield pd.DataFrame(out, columns=["origin", "ti", "tj", "g", "messages"])
     return run
 
@@ -156,34 +169,36 @@ def least_cost_surface(cells: DataFrame, origins: DataFrame, tile: int = TILE) -
 
     ``origins`` has origin, i, j (distinct start cells, so equal starts are solved once).
     """
-    schema = ("origin BIGINT, ti INT, tj INT, g ARRAY<STRUCT<i: INT, j: INT, g: DOUBLE>>, "
+    schema = ("origin BIGINT, ti INT, tj INT, g ARRAY<DOUBLE>, "
               "messages ARRAY<STRUCT<i: INT, j: INT, g: DOUBLE, lat: DOUBLE, lon: DOUBLE>>")
+    spark = cells.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grid = cells.where("blocked IS NULL").select("i", "j", "lat", "lon")
     tiles = cut_lineage(_tiles(cells, tile))
+    tile_of = lambda c: F.floor(F.col(c) / tile).cast("int")
     arrivals = origins.join(grid, ["i", "j"]).select(
         F.col("origin").cast("bigint").alias("origin"), "i", "j", F.lit(0.0).alias("g"), F.lit(0.0).alias("d"))
     state = None
     for _ in range(MAX_ROUNDS):
-        grouped = arrivals.groupBy("origin", F.floor(F.col("i") / tile).cast("int").alias("ti"),
-                                   F.floor(F.col("j") / tile).cast("int").alias("tj")).agg(
-            F.collect_list(F.struct("i", "j", "g", "d")).alias("incoming"))
+        # Few rows but much work per row: the number of partitions is set, not left to their size.
+        grouped = arrivals.withColumns({"ti": tile_of("i"), "tj": tile_of("j")}).repartition(parts, "origin", "ti", "tj") \
+            .groupBy("origin", "ti", "tj").agg(F.collect_list(F.struct("i", "j", "g", "d")).alias("incoming"))
         active = grouped.join(tiles, ["ti", "tj"])
         if state is None:
-            active = active.withColumn("g", F.lit(None).cast("ARRAY<STRUCT<i: INT, j: INT, g: DOUBLE>>"))
+            active = active.withColumn("g", F.lit(None).cast("ARRAY<DOUBLE>"))
         else:
-            active = active.join(state.select("origin", "ti", "tj", "g"), ["origin", "ti", "tj"], "left")
+            active = active.join(state, ["origin", "ti", "tj"], "left")
         done = cut_lineage(active.select("origin", "ti", "tj", "cells", "incoming", "g").mapInPandas(_settle(tile), schema))
         # One value per border cell and source neighbour; the entered cell's own rate is applied on arrival.
         sent = done.select("origin", F.inline("messages")).join(
             grid.select("i", "j", F.col("lat").alias("_la"), F.col("lon").alias("_lo")), ["i", "j"])
         arrivals = sent.select("origin", "i", "j", "g", geo.haversine_nm("lat", "lon", "_la", "_lo").alias("d"))
         fresh = done.select("origin", "ti", "tj", "g")
-        if state is None:
-            state = fresh
-        else:
-            state = cut_lineage(state.join(fresh.select("origin", "ti", "tj"), ["origin", "ti", "tj"], "left_anti").unionByName(fresh))
+        state = fresh if state is None else cut_lineage(
+            state.join(fresh.select("origin", "ti", "tj"), ["origin", "ti", "tj"], "left_anti").unionByName(fresh))
         if not done.where(F.size("messages") > 0).limit(1).count():
-            return state.select("origin", F.inline("g"))
+            values = state.join(tiles, ["ti", "tj"]).select("origin", F.inline(F.arrays_zip("cells", "g")))
+            return values.where(F.col("g") < float("inf")).select("origin", "cells.i", "cells.j", "g")
     raise RuntimeError("surface did not settle; raise MAX_ROUNDS or the tile size")
 
 
