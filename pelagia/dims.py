@@ -209,7 +209,7 @@ EVIDENCE_CATEGORIES = (
 # ---- rendering --------------------------------------------------------------------
 
 
-def _literal(value) -> str:
+def _literal(value, quote: str = "''") -> str:
     if value is None:
         return "NULL"
     if isinstance(value, bool):
@@ -219,18 +219,18 @@ def _literal(value) -> str:
         return text if "e" in text else text + "E0"
     if isinstance(value, int):
         return str(value)
-    return "'" + str(value).replace("'", "''") + "'"
+    return "'" + str(value).replace("'", quote) + "'"
 
 
-def rows_sql(rows, columns: str) -> str:
+def rows_sql(rows, columns: str, quote: str = "''") -> str:
     """``SELECT`` over a VALUES relation; the same text runs on any SQL engine."""
-    body = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    body = ", ".join("(" + ", ".join(_literal(v, quote) for v in row) + ")" for row in rows)
     return f"SELECT * FROM (VALUES {body}) AS t({columns})"
 
 
 def table(spark: SparkSession, rows, columns: str) -> DataFrame:
     """A rule table; it is made of literals, so broadcasting it is always safe."""
-    return F.broadcast(spark.sql(rows_sql(rows, columns).replace("''", "\\'")))
+    return F.broadcast(spark.sql(rows_sql(rows, columns, "\\'")))
 
 
 def vessel_classes(spark: SparkSession) -> DataFrame:

@@ -59,25 +59,26 @@ def gradient(cells: DataFrame, keys: list[str], value: str, height: int, width:
     edge; a missing neighbour gives no gradient.
     """
     me = F.struct(F.col("lat"), F.col("lon"), F.col(value).alias("v"))
-    moves = F.array(*[F.struct(F.lit(s).alias("s"), (F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"))
-                      for s, di, dj in (("c", 0, 0), ("n", -1, 0), ("s", 1, 0), ("e", 0, -1), ("w", 0, 1))])
+    moves = F.array(*[F.struct(F.lit(s).alias("side"), (F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"))
+                      for s, di, dj in (("here", 0, 0), ("north", -1, 0), ("south", 1, 0), ("east", 0, -1), ("west", 0, 1))])
     sent = cells.where(F.col(value).isNotNull()).select(*keys, me.alias("_me"), F.explode(moves).alias("_to")) \
-        .select(*keys, "_to.i", "_to.j", "_to.s", "_me")
-    at = lambda s: F.max(F.when(F.col("s") == s, F.col("_me"))).alias(s)
-    near = sent.groupBy(*keys, "i", "j").agg(*[at(s) for s in "cnsew"]).where(F.col("c").isNotNull())
+        .select(*keys, "_to.i", "_to.j", F.col("_to.side").alias("_side"), "_me")
+    at = lambda s: F.max(F.when(F.col("_side") == s, F.col("_me"))).alias("_" + s)
+    near = sent.groupBy(*keys, "i", "j").agg(*[at(s) for s in ("here", "north", "south", "east", "west")]) \
+        .where(F.col("_here").isNotNull())
 
     def slope(low: str, high: str, c: str, first: Column, last: Column) -> Column:
-        f0, f1, f2 = F.col(f"{low}.v"), F.col("c.v"), F.col(f"{high}.v")
-        hs, hd = F.col(f"c.{c}") - F.col(f"{low}.{c}"), F.col(f"{high}.{c}") - F.col(f"c.{c}")
+        f0, f1, f2 = F.col(f"{low}.v"), F.col("_here.v"), F.col(f"{high}.v")
+        hs, hd = F.col(f"_here.{c}") - F.col(f"{low}.{c}"), F.col(f"{high}.{c}") - F.col(f"_here.{c}")
         inner = (hs * hs * f2 + (hd * hd - hs * hs) * f1 - hd * hd * f0) / (hs * hd * (hd + hs))
         return F.when(first, (f2 - f1) / hd).when(last, (f1 - f0) / hs).otherwise(inner)
 
-    d_lat = slope("s", "n", "lat", F.col("i") == 0, F.col("i") == height - 1)
-    d_lon = slope("w", "e", "lon", F.col("j") == 0, F.col("j") == width - 1)
+    d_lat = slope("_south", "_north", "lat", F.col("i") == 0, F.col("i") == height - 1)
+    d_lon = slope("_west", "_east", "lon", F.col("j") == 0, F.col("j") == width - 1)
     dy = d_lat / F.lit(geo.METRES_PER_DEGREE)
-    dx = d_lon / (F.lit(geo.METRES_PER_DEGREE) * F.cos(F.radians(F.col("c.lat"))))
-    return near.select(*keys, "i", "j", F.col("c.lat").alias("lat"), F.col("c.lon").alias("lon"),
-                       F.col("c.v").alias(value), (F.sqrt(dx * dx + dy * dy) * 1000).alias(name))
+    dx = d_lon / (F.lit(geo.METRES_PER_DEGREE) * F.cos(F.radians(F.col("_here.lat"))))
+    return near.select(*keys, "i", "j", F.col("_here.lat").alias("lat"), F.col("_here.lon").alias("lon"),
+                       F.col("_here.v").alias(value), (F.sqrt(dx * dx + dy * dy) * 1000).alias(name))
 
 
 def percentile_mask(cells: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:

@@ -8,8 +8,6 @@ from pelagia import dims
 from pelagia.plans.ordered import EPOCH
 from pelagia.session import cut_lineage
 
-MAX_DEPTH_ROUNDS = 48
-
 
 def trace_list(steps: DataFrame, limit: int = 20) -> DataFrame:
     """Newest queries first: span, totals, agents, tools, question and verdict."""
@@ -79,8 +77,11 @@ def _double(start: DataFrame) -> DataFrame:
         if not state.where(F.col("anc").isNotNull()).limit(1).count():
             return state.select("query_id", "step_id", "parent", "root", "depth")
     # What still has an ancestor hangs below a cycle: cut it at the cycle's smallest step id.
+    # By now every far ancestor lies on a cycle, and a cycle member's path is the cycle itself.
     looped = state.where(F.col("anc").isNotNull())
-    cuts = looped.select("query_id", F.col("low").alias("step_id")).distinct().withColumn("_cut", F.lit(True))
+    on_cycle = looped.select("query_id", F.col("anc").alias("step_id")).distinct()
+    cuts = looped.join(on_cycle, ["query_id", "step_id"], "left_semi").select(
+        "query_id", F.col("low").alias("step_id")).distinct().withColumn("_cut", F.lit(True))
     again = state.join(cuts, ["query_id", "step_id"], "left").select(
         "query_id", "step_id", F.when(F.col("_cut").isNull(), F.col("parent")).alias("anc"))
     return _double(again.withColumn("parent", F.col("anc")).withColumn("depth", F.when(F.col("anc").isNull(), 0).otherwise(1)))

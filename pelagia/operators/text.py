@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pelagia.functions.geo import _col
 from pelagia.plans.ordered import previous_max
@@ -71,7 +71,7 @@ NUMBER = r"(?<![\w.])(?<![:\-/])(?=(\d{1,4}(?:[.,]\d{1,3})?)(?!\w))\1(?![:\-/])"
 # ---- normalisation ----------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compose(text: pd.Series) -> pd.Series:
     """NFC composition; the one text step without a built-in function."""
     return text.str.normalize("NFC")

@@ -94,6 +94,8 @@ def _prune(cand: DataFrame, size: float, k: int, max_nm: float | None, planar: b
             .select("ix", "iy", "layer", "fkey", "_fhigh"))
     return (rows.join(kept, ["ix", "iy", "layer", "fkey"])
             .where((F.col("_low") <= F.col("_fhigh")) | F.col("_ray"))
+            # Only where a polygon's box meets the cell are all the edges of its ray test kept.
+            .withColumn("is_polygon", F.col("_over"))
             .select("ix", "iy", *SEGMENT_COLUMNS, "bx1", "by1", "bx2", "by2"))
 
 

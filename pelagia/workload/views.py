@@ -50,8 +50,8 @@ VIEWS: dict[str, str] = {
                CASE WHEN NOT is_polygon THEN x0 + 3 / 10 ELSE x0 + s.zx / 10 END AS x2,
                CASE WHEN NOT is_polygon THEN y0 + 15 / 100 ELSE y0 + s.zy / 10 END AS y2,
                is_polygon
-        FROM {fences} JOIN (VALUES (0, 0, 0, 2, 0), (1, 2, 0, 2, 2), (2, 2, 2, 0, 2), (3, 0, 2, 0, 0))
-             AS s(seq, ax, ay, zx, zy) ON is_polygon OR s.seq = 0""",
+        FROM {fences} JOIN (VALUES (TRUE, 0, 0, 0, 2, 0), (TRUE, 1, 2, 0, 2, 2), (TRUE, 2, 2, 2, 0, 2), (TRUE, 3, 0, 2, 0, 0),
+             (FALSE, 0, 0, 0, 0, 0)) AS s(poly, seq, ax, ay, zx, zy) ON s.poly = is_polygon""",
     "ports": """
         SELECT s_suppkey AS port_id, s_name AS name, n_name AS district, n_regionkey AS zone,
                8 + ((s_suppkey * 53) % 290) / 100 AS lat, 78 + ((s_suppkey * 71) % 260) / 100 AS lon
