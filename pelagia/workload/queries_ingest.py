@@ -48,8 +48,8 @@ def s2(v: Views):
 
 @query("s3_two_header_csv", """
 WITH e AS (SELECT user_id, event_id, date_trunc('second', ts) AS valid_time FROM {events})
-SELECT user_id, valid_time, round(10 * (event_id % 7), 6) AS depth, 'TEMP' AS variable, round((event_id % 300) / 10, 6) AS value_num, round(CASE WHEN event_id % 5 <> 0 THEN (event_id % 10) / 100 END, 6) AS relative_error FROM e WHERE event_id % 4 <> 0
-UNION ALL SELECT user_id, valid_time, round(10 * (event_id % 7), 6), 'SAL', round(30 + (event_id % 50) / 10, 6), NULL FROM e WHERE event_id % 3 <> 0""")
+SELECT user_id, valid_time, CAST(10 * (event_id % 7) AS DOUBLE) AS depth, 'TEMP' AS variable, round((event_id % 300) / 10, 6) AS value_num, round(CASE WHEN event_id % 5 <> 0 THEN (event_id % 10) / 100 END, 6) AS relative_error FROM e WHERE event_id % 4 <> 0
+UNION ALL SELECT user_id, valid_time, CAST(10 * (event_id % 7) AS DOUBLE), 'SAL', round(30 + (event_id % 50) / 10, 6), NULL FROM e WHERE event_id % 3 <> 0""")
 def s3(v: Views):
     k = F.col("event_id")
     text = lambda cond, c: F.when(cond, c.cast("string")).otherwise(F.lit("NaN"))

@@ -19,8 +19,8 @@ AS_OF = "2024-01-16 00:00:00"
 
 #: Macros: ADDS(ts, n) adds n seconds; IDIV(a, b) is whole division of non-negative numbers.
 _SPARK_MACROS = {"ADDS": "timestampadd(SECOND, {1}, {0})", "IDIV": "CAST(({0}) div ({1}) AS INT)",
-                 "TS": "timestamp_ntz'{0}'", "HOUR_OF": "date_trunc('HOUR', {0})",
-                 "DAY_OF": "date_trunc('DAY', {0})", "LEN": "char_length({0})"}
+                 "TS": "timestamp_ntz'{0}'", "HOUR_OF": "CAST(date_trunc('HOUR', {0}) AS TIMESTAMP_NTZ)",
+                 "DAY_OF": "CAST(date_trunc('DAY', {0}) AS TIMESTAMP_NTZ)", "LEN": "char_length({0})"}
 _CHECK_MACROS = {"ADDS": "({0} + to_seconds(CAST({1} AS BIGINT)))", "IDIV": "CAST(({0}) // ({1}) AS INT)",
                  "TS": "TIMESTAMP '{0}'", "HOUR_OF": "date_trunc('hour', {0})",
                  "DAY_OF": "CAST(date_trunc('day', {0}) AS TIMESTAMP)", "LEN": "length({0})"}
