@@ -69,6 +69,11 @@ def running_number(df: DataFrame, keys: list[str], order: list[Column], bucket:
             .select(*df.columns, (F.col("_pos") + F.col("_off")).alias(name)))
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread rows evenly: few bytes but much work per row, which coalescing by size would put in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows per key; Spark limits each group before the shuffle, so hot keys stay small."""
     w = Window.partitionBy(*keys).orderBy(*order)

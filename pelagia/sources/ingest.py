@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pelagia import dims
 from pelagia.functions.geo import _col
 from pelagia.operators.filters import numeric_or_null
-from pelagia.operators.text import bulletin_clean
 from pelagia.plans.ordered import EPOCH
 from pelagia.session import shared_folder
 
@@ -104,28 +103,31 @@ def catalog_dates(lines: DataFrame, body: str = "value") -> DataFrame:
 
 
 def _strip_tags(html: Column) -> Column:
-    return bulletin_clean(F.regexp_replace(html, "<[^>]*>", " "))
+    """Tags, non-breaking spaces and white-space runs become one space, in a single pass."""
+    return F.trim(F.regexp_replace(html, r"(?:<[^>]*>|&nbsp;|[\s\p{Z}])+", " "))
 
 
 def parse_bulletins(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per captioned table (coast block) with its label -> text map and the validity window."""
     keep = [c for c in pages.columns if c != html]
-    whole = _strip_tags(F.col(html))
-    part = lambda n: F.regexp_extract(whole, VALIDITY, n)
-    moment = lambda day, hour: F.when(part(1) != "", F.timestamp_add(
+    # The sentence is cut out once; its parts are then read from the short text.
+    sentence = pages.select(*keep, html, F.regexp_extract(_strip_tags(F.col(html)), VALIDITY, 0).alias("_valid"))
+    part = lambda n: F.regexp_extract("_valid", VALIDITY, n)
+    moment = lambda day, hour: F.when(F.col("_valid") != "", F.timestamp_add(
         "HOUR", part(hour).try_cast("int"), F.try_to_timestamp(part(day), F.lit("yyyy-MM-dd")).cast("timestamp_ntz")))
     tables = F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))
-    blocks = pages.select(*keep, moment(3, 2).alias("valid_from"), moment(5, 4).alias("valid_to"), F.explode(tables).alias("_t"))
+    blocks = sentence.select(*keep, moment(3, 2).alias("valid_from"), moment(5, 4).alias("valid_to"), F.explode(tables).alias("_t"))
     caption = _strip_tags(F.regexp_extract("_t", r"(?is)<caption[^>]*>(.*?)</caption>", 1))
     row = r"(?is)<tr[^>]*>\s*<td[^>]*>(.*?)</td>\s*<td[^>]*>(.*?)</td>"
     labels, values = (F.regexp_extract_all("_t", F.lit(row), F.lit(k)) for k in (1, 2))
     known = F.create_map(*[F.lit(x) for pair in (*dims.BULLETIN_FIELDS, ("storm surge / tidal warning", "storm_surge_warning")) for x in pair])
 
     def entry(pair: Column) -> Column:
-        label = F.lower(_strip_tags(pair["l"]))
-        return F.struct(F.coalesce(known[label], F.regexp_replace(label, r"\s+", "_")).alias("k"), _strip_tags(pair["v"]).alias("v"))
+        return F.struct(F.coalesce(known[pair["l"]], F.replace(pair["l"], F.lit(" "), F.lit("_"))).alias("k"), pair["v"].alias("v"))
 
-    entries = F.filter(F.transform(F.arrays_zip(labels.alias("l"), values.alias("v")), entry), lambda e: e["k"] != "")
+    plain = F.transform(F.arrays_zip(labels.alias("l"), values.alias("v")), lambda c: F.struct(
+        F.lower(_strip_tags(c["l"])).alias("l"), _strip_tags(c["v"]).alias("v")))
+    entries = F.transform(F.filter(plain, lambda c: c["l"] != ""), entry)
     return blocks.select(*keep, "valid_from", "valid_to", caption.alias("block"), entries.alias("_e")).where("block <> ''").select(
         *keep, "valid_from", "valid_to", "block", F.map_from_entries(F.filter("_e", lambda e: e["v"].isNotNull())).alias("fields"))
 

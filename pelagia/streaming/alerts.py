@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pelagia.functions import marine
 from pelagia.operators import fences as fence_ops
-from pelagia.plans.ordered import EPOCH
+from pelagia.plans.ordered import EPOCH, balanced
 
 PROXIMITY_SCHEMA = ("vessel_id BIGINT, tick BIGINT, tick_start TIMESTAMP_NTZ, layer STRING, fkey INT, level_rank INT, "
                     "distance_nm DOUBLE, event_id BIGINT")
@@ -45,7 +45,7 @@ def proximity_batches(positions: DataFrame, segments: DataFrame, fences: DataFra
                 extra = None
             if extra is not None:
                 segs, dims_ = segs.unionByName(extra[0]), dims_.unionByName(extra[1])
-        ticks = fence_ops.latest_per_tick(batch, tick_s)
+        ticks = balanced(fence_ops.latest_per_tick(batch, tick_s))
         near = fence_ops.nearest_features(ticks, segs, point_key=("vessel_id", "tick"))
         rows = fence_ops.with_levels(near, dims_).where("level_rank > 0")
         rows.select("vessel_id", "tick", "tick_start", "layer", "fkey", "level_rank", "distance_nm", "event_id") \

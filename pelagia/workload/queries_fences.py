@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pelagia import dims
 from pelagia.functions import marine
 from pelagia.operators import fences as ops
+from pelagia.plans.ordered import balanced
 from pelagia.plans.spatial import nearest_features, polygons_containing
 from pelagia.workload.registry import query, r6
 from pelagia.workload.views import Views
@@ -78,7 +79,7 @@ SELECT vessel_id, tick_start, layer, fkey, name, inside, level_rank, {LEVEL_NAME
        {r6('distance_nm', 'bearing_deg')} FROM levelled""")
 def flagship(v: Views):
     """Closest boundary, distance and alert level for every vessel and hour."""
-    hourly = ops.latest_per_tick(v.positions, 3600)
+    hourly = balanced(ops.latest_per_tick(v.positions, 3600))
     near = ops.with_levels(
         nearest_features(hourly, v.fence_segments, point_key=("vessel_id", "tick")), v.fences)
     best = ops.nearest_fence_per_vessel(near, ["vessel_id", "tick_start"])

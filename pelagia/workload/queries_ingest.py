@@ -84,7 +84,7 @@ def s5(v: Views):
     html = F.concat(F.lit("<html>"), valid, F.lit("<table><tr><td>Synoptic Situation</td><td>NIL</td></tr></table><table class='tr '><caption class='c'>\n Block&nbsp;"),
                     F.col("block_id").cast("string"), F.lit(" </caption>"), row("Sea Condition", F.col("sea_condition")), row("Port Signal", F.col("port_signal")),
                     row("Remark Text", F.col("district")), F.lit("</table><table><caption>Second block</caption><tr><td>Sea  Condition</td><td>SLIGHT</td></tr></table></html>"))
-    got = src.parse_bulletins(v.bulletins.select("bulletin_id", html.alias("html")))
+    got = src.parse_bulletins(v.spread(v.bulletins).select("bulletin_id", html.alias("html")))
     return got.select("bulletin_id", "block", F.col("fields")["sea_condition"].alias("sea_condition"), F.col("fields")["port_signal"].alias("port_signal"),
                       F.col("fields")["remark_text"].alias("remark_text"), "valid_from", "valid_to")
 

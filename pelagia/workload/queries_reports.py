@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pelagia import dims
 from pelagia.operators import fences as fence_ops, reports
-from pelagia.plans.ordered import seconds_of
+from pelagia.plans.ordered import balanced
 from pelagia.workload.queries_fences import LEVELS_SQL, TICKS_SQL, nearest_sql
 from pelagia.workload.registry import query, r6
 from pelagia.workload.views import Views
@@ -141,7 +141,7 @@ KEYS = ["vessel_id", "layer", "fkey"]
 
 
 def alert_ticks(v: Views):
-    hourly = fence_ops.latest_per_tick(v.positions, 3600)
+    hourly = balanced(fence_ops.latest_per_tick(v.positions, 3600))
     near = fence_ops.nearest_features(hourly, v.fence_segments, point_key=("vessel_id", "tick"))
     return fence_ops.with_levels(near, v.fences).where("level_rank > 0")
 

@@ -42,20 +42,20 @@ c AS (SELECT *, {', '.join(f"len(list_filter(list_distinct(w), lambda x: list_co
 SELECT conv_id, turn, CASE WHEN top > 0 THEN CASE {' '.join(f"WHEN n_{c} = top THEN '{c}'" for c in _SCRIPT)} END
   WHEN greatest(r_ta, r_gu, r_hi) > 0 THEN CASE greatest(r_ta, r_gu, r_hi) WHEN r_ta THEN 'ta' WHEN r_gu THEN 'gu' ELSE 'hi' END ELSE 'en' END AS lang_found FROM c""")
 def n2(v: Views):
-    return ops.with_language(v.questions, "text").select("conv_id", "turn", "lang_found")
+    return ops.with_language(v.spread(v.questions), "text").select("conv_id", "turn", "lang_found")
 
 
 @query("n3_intents", f"""
 WITH {_LOWERED}, h AS (SELECT conv_id, turn, unnest([{', '.join("{'n': " + _hits(c) + ", 'intent': '" + k + "'}" for k, c in ops.INTENTS.items())}]) AS s FROM p)
 SELECT conv_id, turn, coalesce(string_agg(s.intent, ',' ORDER BY s.n DESC, s.intent DESC) FILTER (WHERE s.n > 0), 'safety_check') AS intents, CAST(sum(s.n) AS BIGINT) AS n_hits FROM h GROUP BY 1, 2""")
 def n3(v: Views):
-    return ops.with_intents(v.questions, "text").select("conv_id", "turn", "intents", F.col("n_hits").cast("bigint").alias("n_hits"))
+    return ops.with_intents(v.spread(v.questions), "text").select("conv_id", "turn", "intents", F.col("n_hits").cast("bigint").alias("n_hits"))
 
 
 @query("n4_answer_kind", f"""
 WITH {_LOWERED} SELECT conv_id, turn, CASE WHEN {_hits(tuple(dict.fromkeys(ops.DECISION)))} = 0 AND {_hits(ops.INFORMATION)} > 0 THEN 'INFORMATIONAL' ELSE 'ADVISORY' END AS answer_kind FROM p""")
 def n4(v: Views):
-    return ops.with_answer_kind(v.questions, "text").select("conv_id", "turn", "answer_kind")
+    return ops.with_answer_kind(v.spread(v.questions), "text").select("conv_id", "turn", "answer_kind")
 
 
 _CUE_HOURS = " ".join(f"WHEN contains(t, '{c}') THEN {h}" for c, h in ops.TIME_CUES)
@@ -68,13 +68,13 @@ c AS (SELECT *, date_trunc('day', base)::TIMESTAMP AS d, date_trunc('day', base)
 SELECT conv_id, turn, CASE WHEN len(hh) > 0 THEN t1 WHEN contains(t, 'morning') OR contains(t, 'காலை') THEN d + to_hours(5) WHEN contains(t, 'evening') OR contains(t, 'மாலை') THEN d + to_hours(16) ELSE base END AS departure,
   CASE WHEN len(hh) >= 2 THEN least(t1, t2) END AS first_time, CASE WHEN len(hh) >= 2 THEN greatest(t1, t2) END AS second_time FROM c""")
 def n5(v: Views):
-    return ops.with_departure(v.questions, "text", F.expr(NOW)).select("conv_id", "turn", "departure", "first_time", "second_time")
+    return ops.with_departure(v.spread(v.questions), "text", F.expr(NOW)).select("conv_id", "turn", "departure", "first_time", "second_time")
 
 
 @query("n6_boundary_class", f"""
 WITH {_LOWERED} SELECT conv_id, turn, CASE {' '.join(f"WHEN {_hits(c)} > 0 THEN '{n}'" for n, c in ops.BOUNDARY_CUES)} END AS boundary_class FROM p""")
 def n6(v: Views):
-    return ops.with_boundary_class(v.questions, "text").select("conv_id", "turn", "boundary_class")
+    return ops.with_boundary_class(v.spread(v.questions), "text").select("conv_id", "turn", "boundary_class")
 
 
 # Answers with known numbers, so that the check can list them without a tokenizer.

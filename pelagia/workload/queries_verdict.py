@@ -103,19 +103,19 @@ def v4(v: Views):
 
 @query("v5_missing_inputs", f"WITH {BULLETIN_CEILING} SELECT bulletin_id, missing, ceiling_rank FROM ceil WHERE missing <> ''")
 def v5(v: Views):
-    return ops.compute_ceiling(v.bulletins).where("missing <> ''").select("bulletin_id", "missing", "ceiling_rank")
+    return ops.compute_ceiling(v.spread(v.bulletins)).where("missing <> ''").select("bulletin_id", "missing", "ceiling_rank")
 
 
 @query("v6_validity_rules", f"WITH {BULLETIN_CEILING} SELECT bulletin_id, coalesce(validity, '') AS validity FROM ceil WHERE missing = ''")
 def v6(v: Views):
     rules = F.split("rules", ",")
-    return ops.compute_ceiling(v.bulletins).where("missing = ''").select("bulletin_id", F.when(
+    return ops.compute_ceiling(v.spread(v.bulletins)).where("missing = ''").select("bulletin_id", F.when(
         rules[0].startswith("bulletin_"), rules[0]).otherwise(F.lit("")).alias("validity"))
 
 
 @query("v7_ceiling_rules", f"WITH {BULLETIN_CEILING} SELECT bulletin_id, rules, ceiling_rank FROM ceil")
 def v7(v: Views):
-    return ops.compute_ceiling(v.bulletins).select("bulletin_id", "rules", "ceiling_rank")
+    return ops.compute_ceiling(v.spread(v.bulletins)).select("bulletin_id", "rules", "ceiling_rank")
 
 
 @query("v8_apply_ceiling", f"""
@@ -124,7 +124,7 @@ SELECT bulletin_id, final AS level_rank, list_extract(['GO', 'GO_WITH_CAUTION',
 CASE WHEN ceiling_rank > own THEN list_extract(['GO', 'GO_WITH_CAUTION', 'DO_NOT_ADVISE'], own + 1) END AS downgraded_from,
 CASE WHEN final = 2 THEN coalesce(s_name, 'Indian Coast Guard — Maritime Rescue') END AS handoff FROM f LEFT JOIN {{supplier}} ON s_suppkey = bulletin_id % 150""")
 def v8(v: Views):
-    ruled = ops.compute_ceiling(v.bulletins).withColumn("level_rank", (F.col("bulletin_id") % 3).cast("int"))
+    ruled = ops.compute_ceiling(v.spread(v.bulletins)).withColumn("level_rank", (F.col("bulletin_id") % 3).cast("int"))
     centres = v.supplier.select(F.col("s_suppkey").alias("_k"), F.col("s_name").alias("handoff"))
     rows = ruled.withColumn("_k", F.col("bulletin_id") % 150).join(centres, "_k", "left")
     return ops.apply_ceiling(rows).select("bulletin_id", "level_rank", "level", "ceiling_applied", "downgraded_from", "handoff")
