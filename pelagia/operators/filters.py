@@ -89,7 +89,7 @@ def advisory_is_current(age_days) -> Column:
 
 def pick_block(blocks: DataFrame, keys: list[str], preferred: DataFrame) -> DataFrame:
     """Configured coast block, else the first fallback present; ``preferred`` has (block, pref)."""
-    ranked = blocks.join(F.broadcast(preferred.withColumn("_b", F.lower("block")).drop("block")),
+    ranked = blocks.join(preferred.withColumn("_b", F.lower("block")).drop("block"),
                          F.lower(F.trim("block")) == F.col("_b")).drop("_b")
     rest = [c for c in ranked.columns if c not in keys]
     return (ranked.groupBy(*keys).agg(F.min_by(F.struct(*rest), "pref").alias("_r"))

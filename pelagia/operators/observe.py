@@ -50,7 +50,7 @@ def nearest_hour(observations: DataFrame, keys: list[str], as_of: Column) -> Dat
 def readings_in_order(observations: DataFrame, keys: list[str]) -> DataFrame:
     """All readings side by side with their position, oldest input first."""
     return running_number(observations, [*keys, "variable"], [F.col("valid_time"), F.col("obs_id")],
-                          time_bucket("valid_time", 86400), "position")
+                          time_bucket("valid_time", 3600), "position")
 
 
 def disagreement_panel(observations: DataFrame, keys: list[str], as_of: Column, bulletin_band: Column) -> DataFrame:
@@ -111,7 +111,7 @@ def provenance_list(observations: DataFrame, keys: list[str]) -> DataFrame:
 # ---- series -----------------------------------------------------------------------
 
 
-def local_extrema(series: DataFrame, keys: list[str], time: str, value: str, bucket_s: int = 86400) -> DataFrame:
+def local_extrema(series: DataFrame, keys: list[str], time: str, value: str, bucket_s: int = 3600) -> DataFrame:
     """Highs and lows of a series; plateaus and missing values are skipped.
 
     When the direction differs from the last non-zero direction, the previous row is the

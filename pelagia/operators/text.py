@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pelagia.functions.geo import _col
 from pelagia.plans.ordered import previous_max
+from pelagia.session import cut_lineage
 
 # ---- fixed values -----------------------------------------------------------------
 
@@ -203,28 +204,29 @@ def sourced_intervals(evidence: DataFrame, key: str) -> DataFrame:
     return s.select(key, (F.col("_s") - room).alias("low"), (F.col("_s") + room).alias("high"))
 
 
-def unsourced(tokens: DataFrame, intervals: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Tokens (key, value, columns...) inside no interval of their key.
+def unsourced(tokens: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
+    """The rows of ``tokens`` (key, value, ...) inside no interval of their key.
 
-    Intervals and tokens are put in value order; a token is sourced when an interval that
-    starts at or below it ends at or above it, that is when the running maximum of the ends
-    reaches it. No token meets every interval.
+    Distinct values and intervals are put in value order; a value is sourced when an interval
+    that starts at or below it ends at or above it, that is when the running maximum of the
+    ends reaches it. No value meets every interval, and repeated values are looked up once.
     """
-    blank = lambda c: F.lit(None).cast(tokens.schema[c].dataType).alias(c)
-    stacked = intervals.select(key, F.col("low").alias("_x"), F.lit(0).alias("_side"), F.col("high").alias("_end"),
-                               *[blank(c) for c in columns]).unionByName(
-        tokens.select(key, F.col("value").alias("_x"), F.lit(1).alias("_side"), F.lit(None).cast("double").alias("_end"), *columns))
+    stacked = intervals.select(key, F.col("low").alias("_x"), F.lit(0).alias("_side"), F.col("high").alias("_end")).unionByName(
+        tokens.select(key, "value").distinct().select(
+            key, F.col("value").alias("_x"), F.lit(1).alias("_side"), F.lit(None).cast("double").alias("_end")))
     slot = F.floor(F.col("_x") / 25).cast("long")
     reached = previous_max(stacked, [key], ["_x", "_side"], slot, F.col("_end"), "_reach")
-    return reached.where((F.col("_side") == 1) & (F.coalesce("_reach", F.lit(float("-inf"))) < F.col("_x"))) \
-        .select(key, F.col("_x").alias("value"), *columns)
+    bad = reached.where((F.col("_side") == 1) & (F.coalesce("_reach", F.lit(float("-inf"))) < F.col("_x"))) \
+        .select(key, F.col("_x").alias("value"))
+    return tokens.join(bad, [key, "value"], "left_semi")
 
 
 def audit_numbers(answers: DataFrame, evidence: DataFrame, key: str, answer_id: str, text: str) -> DataFrame:
     """Numbers of each answer that no evidence of its key supports."""
     tokens = answers.select(key, answer_id, F.explode(number_tokens(text)).alias("token")).withColumn(
         "value", F.replace(F.col("token"), F.lit(","), F.lit(".")).cast("double"))
-    return unsourced(tokens, sourced_intervals(evidence, key), key, [answer_id, "token"])
+    # Used twice (distinct values, then all rows), so the texts are tokenised once.
+    return unsourced(cut_lineage(tokens), sourced_intervals(evidence, key), key)
 
 
 def sentences(text) -> Column:
@@ -236,7 +238,7 @@ def drop_unsourced_sentences(answers: DataFrame, evidence: DataFrame, key: str,
     parts = answers.select(key, answer_id, F.posexplode(sentences(text)).alias("pos", "sentence"))
     tokens = parts.select(key, answer_id, "pos", F.explode(number_tokens("sentence")).alias("token")).withColumn(
         "value", F.replace(F.col("token"), F.lit(","), F.lit(".")).cast("double"))
-    bad = unsourced(tokens, sourced_intervals(evidence, key), key, [answer_id, "pos"]).select(answer_id, "pos").distinct()
+    bad = unsourced(cut_lineage(tokens), sourced_intervals(evidence, key), key).select(answer_id, "pos").distinct()
     flagged = parts.join(bad.withColumn("_bad", F.lit(True)), [answer_id, "pos"], "left")
     kept = F.collect_list(F.when(F.col("_bad").isNull(), F.struct("pos", F.trim("sentence").alias("s"))))
     return flagged.groupBy(answer_id).agg(

@@ -12,7 +12,7 @@ from pelagia.plans.ordered import micros_of, previous_non_null
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str,
-         payload: list[str], backward: bool = True, bucket_s: int = 86400) -> DataFrame:
+         payload: list[str], backward: bool = True, bucket_s: int = 3600) -> DataFrame:
     """Adds struct ``match`` (right_time + payload), null when no right row is on that side.
 
     A right row at exactly the left time counts on both sides.
@@ -34,7 +34,7 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
 
 
 def nearest_time(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str,
-                 payload: list[str], within_s: int | None = None, bucket_s: int = 86400) -> DataFrame:
+                 payload: list[str], within_s: int | None = None, bucket_s: int = 3600) -> DataFrame:
     """Adds ``match``: the right row nearest in time, the earlier one when equally near."""
     before = asof(left, right, keys, left_time, right_time, payload, True, bucket_s).withColumnRenamed("match", "_b")
     both = asof(before, right, keys, left_time, right_time, payload, False, bucket_s).withColumnRenamed("match", "_a")

@@ -68,7 +68,7 @@ def g2(v: Views):
     keys = v.lineitem.select(F.col("l_returnflag").alias("slice")).distinct()
     idx = v.lineitem.select((F.col("l_orderkey") % 20).cast("int").alias("ti"), (F.col("l_partkey") % 22).cast("int").alias("tj")).distinct()
     slices = F.array(*[F.lit(s) for s in ("A", "N", "R")])
-    target = idx.withColumn("slice", F.explode(slices)).join(F.broadcast(keys), "slice", "left_semi").withColumns(
+    target = idx.withColumn("slice", F.explode(slices)).join(keys, "slice", "left_semi").withColumns(
         {"lat": (803 + F.col("ti") * 13) / 100, "lon": (7801 + F.col("tj") * 11) / 100})
     return ops.regrid(v.grid_cells, target, ["slice"]).select("slice", "ti", "tj", "value")
 
