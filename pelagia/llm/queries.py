@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import simhash
-from pelagia.llm.common import table
+from pelagia.llm import quality_rules, simhash
+from pelagia.llm.common import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -29,3 +29,13 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document, three-word shingles, three bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=3)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op8_quality_rules")
+def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and whether the weighed rules keep it."""
+    counted = quality_rules.rule_stats(table(spark, sf_dir, "documents")).select("doc_id", "stats")
+    counted = cut_lineage(counted)
+    judged = quality_rules.judge(counted, quality_rules.learn(counted))
+    return judged.select("doc_id", "stats.n_words", "stats.word_chars", "stats.n_symbols", "stats.n_dup_lines",
+                         "stats.n_repeat_words", "base_failed", "kept", "posterior")
