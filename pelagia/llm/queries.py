@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import quality_rules, simhash
+from pelagia.llm import quality_rules, simhash, word_bpe
 from pelagia.llm.common import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,19 @@ def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(counted, quality_rules.learn(counted))
     return judged.select("doc_id", "stats.n_words", "stats.word_chars", "stats.n_symbols", "stats.n_dup_lines",
                          "stats.n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file on this machine and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op7_bpe_round_trip")
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded; digests of the ids and of the decoded text."""
+    path = vocabulary("word_bpe_49k.json")
+    done = word_bpe.decode(word_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return done.select(F.col("id").alias("doc_id"), F.floor(F.length("ids") / 4).alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
