@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import quality_rules, simhash, word_bpe
+from pelagia.llm import packing, quality_rules, simhash, word_bpe
 from pelagia.llm.common import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,10 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = word_bpe.decode(word_bpe.encode(table(spark, sf_dir, "documents"), path), path)
     return done.select(F.col("id").alias("doc_id"), F.floor(F.length("ids") / 4).alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op5_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces and their places in sequences of 2048."""
+    packed = packing.best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
