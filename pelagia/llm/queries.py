@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import packing, quality_rules, simhash, word_bpe
+from pelagia.llm import lm_score, packing, quality_rules, simhash, word_bpe
 from pelagia.llm.common import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,15 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces and their places in sequences of 2048."""
     packed = packing.best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return packed.withColumnRenamed("id", "doc_id")
+
+
+def fold(parts: int) -> Column:
+    """crc32 of the document id as text, modulo ``parts``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@query("op2_lm_scores")
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under a model learnt from six sevenths of them."""
+    found = lm_score.scores(table(spark, sf_dir, "documents"), fold(7) == 2)
+    return found.withColumnRenamed("id", "doc_id")
