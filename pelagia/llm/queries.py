@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import lm_score, packing, quality_rules, simhash, word_bpe
+from pelagia.llm import lm_score, nbsvm, packing, quality_rules, simhash, word_bpe
 from pelagia.llm.common import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,10 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability under a model learnt from six sevenths of them."""
     found = lm_score.scores(table(spark, sf_dir, "documents"), fold(7) == 2)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op4_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from two thirds of the labelled ones."""
+    found = nbsvm.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(3) == 1)
+    return found.withColumnRenamed("id", "doc_id")
