@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import lm_score, nbsvm, packing, quality_rules, simhash, word_bpe
+from pelagia.llm import lm_score, nbsvm, packing, quality_rules, secrets, simhash, word_bpe
 from pelagia.llm.common import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,13 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from two thirds of the labelled ones."""
     found = nbsvm.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(3) == 1)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op1_secret_scans")
+def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding in all documents that the forest takes for a secret."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs.select("doc_id", "text"), secrets.learn(docs))
+    return found.select("doc_id", F.explode("secrets").alias("s")).select(
+        "doc_id", F.col("s.k").alias("finding"), F.col("s.candidate").alias("candidate"), F.length("s.candidate").cast("long").alias("length"),
+        F.col("s.share").alias("share"))
