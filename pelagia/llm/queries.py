@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import lm_score, nbsvm, packing, quality_rules, secrets, simhash, word_bpe
+from pelagia.llm import html_text, lm_score, nbsvm, packing, quality_rules, secrets, simhash, word_bpe
 from pelagia.llm.common import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,10 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("secrets").alias("s")).select(
         "doc_id", F.col("s.k").alias("finding"), F.col("s.candidate").alias("candidate"), F.length("s.candidate").cast("long").alias("length"),
         F.col("s.share").alias("share"))
+
+
+@query("op10_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.learn(pages)).withColumn("n_chars", F.length("text").cast("long"))
