@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import html_text, lm_score, nbsvm, packing, quality_rules, secrets, simhash, word_bpe
+from pelagia.llm import hnsw, html_text, lm_score, nbsvm, packing, quality_rules, secrets, simhash, word_bpe
 from pelagia.llm.common import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages")
     return html_text.extract(pages, html_text.learn(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op6_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.93 or more within its label."""
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
