@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import hnsw, html_text, lm_score, nbsvm, packing, quality_rules, secrets, simhash, word_bpe
+from pelagia.llm import hnsw, html_text, lm_score, nbsvm, packing, quality_rules, secrets, simhash, suffix_dedup, word_bpe
 from pelagia.llm.common import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,11 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector at cosine 0.93 or more within its label."""
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+@query("op9_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 50-byte strings of earlier documents."""
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+                        F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
