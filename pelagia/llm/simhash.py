@@ -8,6 +8,10 @@ form a table; by the triangle inequality a pair whose distances to any pivot dif
 discarded without being compared, and only the survivors' exact distance is taken.
 
 Pairs are not emitted: a bucket returns a spanning forest of its links, which carries the same components.
+
+``similar_texts`` looks further: texts that share four fifths of their word shingles differ in more bits than whole
+blocks can promise, so buckets are made from many random samples of bits, each bucket links its members to their nearest
+others through the same pivot filter, and the links are verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -19,11 +23,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import arrow_stage, cut_lineage
+from pelagia.llm.common import arrow_stage, cut_lineage, words
 from pelagia.llm.graph import components
+from pelagia.llm.quality_rules import let
 
 SEED = 42
 #: Number of reference fingerprints in the distance table.
@@ -98,18 +103,50 @@ def forest(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return edges
 
 
-def links(distinct: DataFrame, bits: int = 3, bucket: int = BUCKET) -> DataFrame:
+def nearest_forest(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """A minimum spanning forest of the links at ``bits`` or fewer bits: everyone meets its nearest others first."""
+    edges: list[tuple[int, int]] = []
+    distances = np.bitwise_count(values[:, None] ^ pivots()[None, :]).astype(np.int8)
+    n = len(values)
+    best, parent, open_ = np.full(n, 127, dtype=np.int16), np.full(n, -1), np.ones(n, dtype=bool)
+    at = 0
+    for _ in range(n):
+        open_[at] = False
+        rest = np.flatnonzero(open_)
+        if not len(rest):
+            break
+        near = rest[np.abs(distances[rest, :12] - distances[at, :12]).max(axis=1) <= bits]
+        near = near[np.abs(distances[near, 12:] - distances[at, 12:]).max(axis=1) <= bits]
+        far = np.bitwise_count(values[near] ^ values[at]).astype(np.int16)
+        closer = far < best[near]
+        best[near[closer]], parent[near[closer]] = far[closer], at
+        at = int(rest[np.argmin(best[rest])])
+        if best[at] <= bits:
+            edges.append((int(parent[at]), at))
+    return edges
+
+
+def block_masks(bits: int) -> list[int]:
+    """Pairs of whole blocks, on one of which two fingerprints at ``bits`` or fewer differing bits agree for certain."""
+    edge = [i * 64 // (bits + 2) for i in range(bits + 3)]
+    return [sum((1 << edge[i + 1]) - (1 << edge[i]) for i in pair) for pair in itertools.combinations(range(bits + 2), 2)]
+
+
+def sample_masks(tables: int, width: int, seed: int = SEED) -> list[int]:
+    """Random samples of ``width`` bit places."""
+    random = np.random.default_rng(seed)
+    return [sum(1 << int(b) for b in random.choice(64, width, replace=False)) for _ in range(tables)]
+
+
+def links(distinct: DataFrame, bits: int = 3, bucket: int = BUCKET, masks: list[int] | None = None) -> DataFrame:
     """``a``, ``b``: links between fingerprints (column ``fp``, distinct) that span all groups at ``bits`` bits.
 
-    With ``bits + 2`` blocks, a close pair agrees on two of them. A bucket with more than ``bucket`` members is
-    split into chunks and every pair of chunks is a group of its own, so no group is unbounded and no pair is lost.
+    Without ``masks``, buckets are pairs of whole blocks and no link is lost; with masks, members of a bucket agree on
+    one of them and are linked by a minimum spanning forest. A bucket with more than ``bucket`` members is split into
+    chunks and every pair of chunks is a group of its own, so no group is unbounded.
     """
-    blocks = bits + 2
-    edge = [i * 64 // blocks for i in range(blocks + 1)]
-    masks = []
-    for pair in itertools.combinations(range(blocks), 2):
-        mask = sum((1 << edge[i + 1]) - (1 << edge[i]) for i in pair)
-        masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
+    span = nearest_forest if masks else forest
+    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks or block_masks(bits)]
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("part", "key"))
     sizes = keyed.groupBy("part", "key").count().filter("count > 1").select(
         "part", "key", F.ceil(F.col("count") / bucket).cast("int").alias("chunks"))
@@ -124,7 +161,7 @@ def links(distinct: DataFrame, bits: int = 3, bucket: int = BUCKET) -> DataFrame
             found = []
             for fps in frame["fps"]:
                 values = np.asarray(fps, dtype=np.int64)
-                found.extend((values[i], values[j]) for i, j in forest(values.view(np.uint64), bits))
+                found.extend((values[i], values[j]) for i, j in span(values.view(np.uint64), bits))
             yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return groups.mapInPandas(step, "a long, b long").distinct()
@@ -139,10 +176,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    grouped = components(links(distinct.select("fp"), bits))
-    rooted = distinct.join(grouped, distinct.fp == grouped.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = cut_lineage(rooted)
+    found = grouped(rows, distinct, links(distinct.select("fp"), bits))
+    return found.select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(rows: DataFrame, distinct: DataFrame, linked: DataFrame) -> DataFrame:
+    """``id``, ``fp``, ``component_id`` for ``rows`` (``id``, ``fp``), given each fingerprint's least id and the links."""
+    found = components(linked)
+    rooted = cut_lineage(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
+
+
+def shingle_set(text: Column, width: int) -> Column:
+    """Distinct 64-bit hashes of the runs of ``width`` words, A-Z lower-cased; shorter texts are one run."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return let(words(lower), lambda w: F.when(F.size(w) < width, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array_distinct(
+        F.slice(F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, width)])), F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))))))
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8,
+                  bits: int = 14, tables: int = 112, sample: int = 22) -> DataFrame:
+    """``id``, ``component_id`` per row of ``docs``: texts linked at Jaccard similarity ``least`` of their ``width``-word runs.
+
+    Fingerprints of three-word shingles find the pairs: at ``bits`` or fewer differing bits, among those that agree on
+    one of ``tables`` samples of ``sample`` bits. Texts with one fingerprint are linked. Each found pair is verified on
+    all its word runs. ``component_id`` is the least id reachable; nulls, repeats and empty texts as in
+    ``near_duplicates``.
+    """
+    rows = cut_lineage(fingerprints(docs, id_col, text_col, 3))
+    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    found = cut_lineage(links(distinct.select("fp"), bits, masks=sample_masks(tables, sample)).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    shown = distinct.join(ends, "fp", "left_semi").filter("least is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("least"), shingle_set(F.col(text_col), width).alias("runs")).join(shown, "least")
+    runs = cut_lineage(texts.groupBy("fp").agg(F.first("runs").alias("runs")))
+    pairs = found.join(runs.select(F.col("fp").alias("a"), F.col("runs").alias("x")), "a").join(runs.select(F.col("fp").alias("b"), F.col("runs").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    good = pairs.filter(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return grouped(rows, distinct, good)

@@ -73,8 +73,9 @@ class Chunk:
 
     def __init__(self, frame: pd.DataFrame, copies: set[int], width: int):
         self.width, self.half = width, width // 2
-        frame = frame.assign(none=frame["id"].isna()).sort_values(["none", "id"], kind="stable", ignore_index=True)
-        self.ids = [None if none else int(i) for i, none in zip(frame["id"], frame["none"])]
+        frame = frame.assign(last=frame["id"].isna()).sort_values(["last", "id"], kind="stable", ignore_index=True)
+        self.ids = [None if last else int(i) for i, last in zip(frame["id"], frame["last"])]
+        self.none, self.also = frame["none"].tolist(), frame["also"].tolist()
         self.data = [(t or "").encode("utf-8", "surrogatepass") for t in frame["text"]]
         self.copy = [i in copies for i in self.ids]
 
@@ -188,15 +189,21 @@ def _remaining(chunk: Chunk, found: list[tuple[np.ndarray, np.ndarray]], known:
     return out
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text",
+def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False,
                    chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``id``, ``n_bytes``, ``starts``, ``ends`` (removed runs, maximal), ``kept`` (the other bytes) per row of ``docs``.
 
+    ``carry`` names columns to take along. With ``as_text``, ``kept`` is a string, without the rest of characters that a
+    removed run cuts; a null text stays null then.
+
     Null texts are empty. Rows of one id do not remove each other's bytes, nor their own; rows with a null id count as
     later than all others and not as earlier than any. Texts shorter than ``width`` stay whole. Extra columns are ignored;
     an empty table gives no rows.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    taken = docs.select(*carry).schema
+    also = F.to_json(F.struct(*[F.col(c) for c in carry])) if carry else F.lit(None).cast("string")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                        F.col(text_col).isNull().alias("none"), also.alias("also"))
     narrow = cut_lineage(plain.select("id", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").cast("long").alias("size")))
     total, rows = narrow.agg(F.sum("size"), F.count("id")).first()
     chunks, ranges = max(1, -(-(total or 0) // chunk_bytes)), max(1, -(-(total or 0) // range_bytes))
@@ -211,7 +218,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         chunk[none] = numbered + np.arange(int(none.sum())) % chunks
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk)], [*batch.schema.names, "chunk"])
 
-    dealt = arrow_stage(plain, deal, "id long, text string, chunk int").repartition(numbered, "chunk")
+    dealt = arrow_stage(plain, deal, "id long, text string, none boolean, also string, chunk int").repartition(numbered, "chunk")
     firsts = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     copies = arrow_stage(narrow.join(firsts, "digest").filter("id > first").select("id"), deal, "id long, chunk int").select(
         "chunk", F.lit(0).alias("kind"), F.lit(0).alias("range"), F.lit(None).cast("binary").alias("data"), "id")
@@ -241,9 +248,12 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
 
     def finish(frame: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
-            return pd.DataFrame(columns=["id", "n_bytes", "starts", "ends", "kept"])
+            return pd.DataFrame(columns=["id", "n_bytes", "starts", "ends", "kept", "also"])
         chunk, found, windows = windows_of(frame, reply)
-        return _remaining(chunk, found, windows, _told(reply, 2, windows, ranges))
+        out = _remaining(chunk, found, windows, _told(reply, 2, windows, ranges))
+        if as_text:
+            out["kept"] = [None if none else k.decode("utf-8", "ignore") for k, none in zip(out["kept"], chunk.none)]
+        return out.assign(also=chunk.also)
 
     def round_of(kind: int, ask, replies: DataFrame) -> DataFrame:
         asked = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(ask, "chunk int, range int, data binary")
@@ -251,5 +261,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
 
     told = copies.union(round_of(1, ask_marks, copies))
     told = told.union(round_of(2, ask_windows, told))
-    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(
-        finish, "id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    done = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(
+        finish, f"id long, n_bytes long, starts array<long>, ends array<long>, kept {'string' if as_text else 'binary'}, also string")
+    back = F.from_json("also", taken) if carry else None
+    return done.select("id", "n_bytes", "starts", "ends", "kept", *[back[c].alias(c) for c in carry])
