@@ -113,6 +113,7 @@ def mass_given_away(contexts: np.ndarray, types: np.ndarray, once: float) -> flo
 
 def summary(frame: pd.DataFrame) -> pd.DataFrame:
     """One row of corpus numbers from the histograms (``n``, ``bin``, ``types``, ``tokens``) of both orders."""
+    frame = frame[frame["types"] > 0]
     one, two = frame[frame["n"] == 0], frame[frame["n"] == 1]
     tokens, types = float(one["tokens"].sum()), float(one["types"].sum())
     once = float(one.loc[one["bin"] == 1, "types"].sum())
@@ -211,7 +212,8 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
         answer, "chunk int, n int, range int, totals binary, bins array<long>, types array<double>, tokens array<double>")
     histogram = (answered.filter("chunk = -1").select("n", F.explode(F.arrays_zip("bins", "types", "tokens")).alias("x"))
                  .groupBy("n", F.col("x.bins").alias("bin")).agg(F.sum("x.types").alias("types"), F.sum("x.tokens").alias("tokens")))
-    about = histogram.groupBy(F.lit(0).alias("all")).applyInPandas(lambda f: summary(f), "about string")
+    none = docs.sparkSession.range(1).selectExpr("0 n", "0L bin", "0D types", "0D tokens")  # so that there is a summary without training too
+    about = histogram.unionByName(none).groupBy(F.lit(0).alias("all")).applyInPandas(lambda f: summary(f), "about string")
     starts = plain.filter(~F.col("held_out")).count()
     replies = answered.filter("chunk >= 0").select("chunk", "n", "range", "totals", F.lit(None).cast("string").alias("about"))
     numbers = docs.sparkSession.range(chunks).select(F.col("id").cast("int").alias("chunk")).crossJoin(F.broadcast(about)).select(
