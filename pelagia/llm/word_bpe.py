@@ -27,7 +27,7 @@ from pelagia.llm.common import arrow_stage
 #: Unicode white space, as the tokenizer's ``\\s`` has it (fixed values).
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words kept between batches.
-CACHE = 250_000
+CACHE = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -169,11 +169,15 @@ class WordBpe:
         if not new:
             return
         pieces = [self.pieces.findall(c) for c in new]
-        distinct = list({p for ps in pieces for p in ps})
+        distinct = [p for p in {p for ps in pieces for p in ps} if p not in self.cache]  # a piece is a chunk of one piece too
         spelled = [p if p.isascii() and p.isprintable() else p.encode("utf-8").decode("latin-1").translate(self.letters) for p in distinct]
-        ids = {p: np.array(i, dtype="<u4").tobytes() for p, i in zip(distinct, self.encode_words(spelled))}
-        for c, ps in zip(new, pieces):
-            self.cache[c] = b"".join([ids[p] for p in ps])
+        flat = self.encode_words(spelled)
+        sizes = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
+        raw = np.fromiter((i for ids in flat for i in ids), dtype="<u4", count=int(sizes.sum())).tobytes()
+        ends = np.cumsum(4 * sizes).tolist()
+        known = self.cache
+        known.update((p, raw[a:b]) for p, a, b in zip(distinct, [0, *ends], ends))
+        known.update((c, known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])) for c, ps in zip(new, pieces))
 
     def chunks(self, text: str) -> list[str]:
         """Runs without white space; four control characters split for Python but not for the tokenizer."""
