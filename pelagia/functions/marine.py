@@ -41,13 +41,31 @@ def age_in_words(days) -> Column:
             .when(d < 60, about(7.0, "weeks")).when(d < 730, about(30.44, "months")).otherwise(about(365.25, "years")))
 
 
+def fixed(value, digits: int) -> Column:
+    """``value`` with one or two decimals, rounded half-even on the exact double.
+
+    The product with a power of ten is taken with its rounding error (the factor is small, so halves of the number
+    times the factor are exact), so a number just beside a decimal half goes to the side where it lies.
+    """
+    x, scale = F.abs(_col(value)), float(10 ** digits)
+    split = x * F.lit(134217729.0)
+    high = split - (split - x)
+    product = x * F.lit(scale)
+    error = (high * F.lit(scale) - product) + (x - high) * F.lit(scale)
+    whole = F.floor(product)
+    over = (product - whole.cast("double") - F.lit(0.5)) + error
+    n = F.when(over > 0, whole + 1).when(over < 0, whole).otherwise(whole + whole % 2)
+    text = F.concat(F.floor(n / F.lit(scale)).cast("string"), F.lit("."), F.lpad((n % int(scale)).cast("string"), digits, "0"))
+    return F.when(_col(value).isNotNull(), F.concat(F.when(_col(value) < 0, F.lit("-")).otherwise(F.lit("")), text))
+
+
 def eta_in_words(seconds) -> Column:
     s = _col(seconds)
     minutes = F.bround(s / F.lit(60.0)).cast("int")
     return (F.when(s.isNull() | (s <= 0), F.lit("shortly"))
             .when(minutes < 1, F.lit("under a minute"))
             .when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min")))
-            .otherwise(F.concat(F.format_string("%.1f", minutes / F.lit(60.0)), F.lit(" h"))))
+            .otherwise(F.concat(fixed(minutes / F.lit(60.0), 1), F.lit(" h"))))
 
 
 def freshness_grade(as_of, acquired_at, issued_at, valid_from, valid_to, override=None) -> Column:
@@ -64,13 +82,16 @@ def freshness_grade(as_of, acquired_at, issued_at, valid_from, valid_to, overrid
 
 
 def provenance_id(source_id, issued_at, acquired_at) -> Column:
-    stamp = F.date_format(F.coalesce(_col(issued_at), _col(acquired_at)), "yyyy-MM-dd'T'HH:mm:ss")
-    return F.concat(_col(source_id), F.lit("@"), stamp, F.lit("+00:00"))
+    """``source@time`` in ISO form; microseconds are written when there are any."""
+    at = F.coalesce(_col(issued_at), _col(acquired_at))
+    micros = F.date_format(at, "SSSSSS")
+    fraction = F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros))
+    return F.concat(_col(source_id), F.lit("@"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
 
 
 def display_value(value_num, value_text, unit) -> Column:
     v = _col(value_num)
-    return F.when(v.isNotNull(), F.trim(F.concat(F.format_string("%.2f", v), F.lit(" "), _col(unit)))) \
+    return F.when(v.isNotNull(), F.trim(F.concat(fixed(v, 2), F.lit(" "), _col(unit)))) \
         .otherwise(_col(value_text))
 
 
@@ -115,9 +136,11 @@ def adverse_current(speed_kn, toward_deg, bearing) -> Column:
     return F.when(along.isNull(), F.lit(0.0)).otherwise(rate)
 
 
-def fill_message(copy, name, distance_nm, eta) -> Column:
-    distance = F.when(_col(distance_nm).isNull(), F.lit("?")).otherwise(F.format_string("%.1f", _col(distance_nm)))
-    text = F.replace(_col(copy), F.lit("{name}"), F.coalesce(_col(name), F.lit("")))
+def fill_message(copy, name, distance_nm, eta, title=None) -> Column:
+    """A class's copy with its placeholders filled; an empty name is the class title."""
+    distance = F.coalesce(fixed(distance_nm, 1), F.lit("?"))
+    shown = F.coalesce(F.when(_col(name) != "", _col(name)), F.lit("") if title is None else _col(title), F.lit(""))
+    text = F.replace(_col(copy), F.lit("{name}"), shown)
     text = F.replace(text, F.lit("{distance}"), distance)
     return F.replace(text, F.lit("{eta}"), _col(eta))
 

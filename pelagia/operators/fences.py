@@ -48,7 +48,7 @@ def with_levels(near: DataFrame, fences: DataFrame) -> DataFrame:
 def fence_proximities(positions: DataFrame, segments: DataFrame, fences: DataFrame, include_info: bool = True,
                       max_nm: float | None = None) -> DataFrame:
     """Nearest fence of every class for every position, with its alert level."""
-    out = with_levels(nearest_features(positions, segments, max_nm=max_nm, point_key=("event_id",)), fences)
+    out = with_levels(nearest_features(positions, segments, max_nm=max_nm), fences)
     return out if include_info else out.where(F.col("level_rank") > 0)
 
 
@@ -152,17 +152,20 @@ def simple_eta_list(proximities: DataFrame) -> DataFrame:
         F.when(F.col("speed_kn") > 0, F.col("distance_nm") / F.col("speed_kn") * F.lit(3600.0)).alias("simple_eta_s"))
 
 
-def class_coverage(present: DataFrame, requested_by: str) -> DataFrame:
+def class_coverage(present: DataFrame, requested_by: str, requests: DataFrame | None = None) -> DataFrame:
     """Per request, fence classes that could not be checked.
 
-    A missing legal class is a hard gap, a missing other class a note; with nothing
+    ``present`` lists the classes a request could check, a null or unknown class for none; ``requests`` may name
+    further requests that have no such row at all. A missing legal class is a hard gap, a missing other class a note; with nothing
     checkable the status is ``abstain``, which is not the same as ``clear``.
     """
     classes = dims.fence_classes(present.sparkSession).where(F.col("fence_class") != "USER_DEFINED")
     total = len(dims.FENCE_CLASSES) - 1
     have = present.select(requested_by, F.col("layer").alias("fence_class")).distinct() \
         .join(classes, "fence_class", "left_semi")
-    seen = have.groupBy(requested_by).agg(F.collect_set("fence_class").alias("_have"))
+    asked = present.select(requested_by) if requests is None else present.select(requested_by).union(requests.select(requested_by))
+    found = have.groupBy(requested_by).agg(F.collect_set("fence_class").alias("_found"))
+    seen = asked.distinct().join(found, requested_by, "left").withColumn("_have", F.coalesce("_found", F.array().cast("array<string>")))
     every = F.array(*[F.lit(r[0]) for r in dims.FENCE_CLASSES if r[0] != "USER_DEFINED"])
     legal = F.array(*[F.lit(r[0]) for r in dims.FENCE_CLASSES if r[2] == "legal_hard"])
     missing = F.array_except(every, F.col("_have"))

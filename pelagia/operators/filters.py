@@ -112,9 +112,11 @@ def collapse_window(start, end, first, last) -> dict[str, Column]:
     return {"win_start": new_s, "win_end": new_e, "clamped": (new_s != s) | (new_e != e)}
 
 
-def cap_span(start, end, keep: str = "oldest", days: int = MAX_SPAN_DAYS) -> dict[str, Column]:
-    """Longest allowed span; ``oldest`` keeps the start, ``newest`` keeps the end."""
+def cap_span(start, end, keep: str = "oldest", days: int | None = None) -> dict[str, Column]:
+    """Longest allowed span; ``oldest`` keeps the start, ``newest`` keeps the end. Without ``days`` nothing is cut."""
     s, e = _col(start), _col(end)
+    if days is None:
+        return {"win_start": s, "win_end": e, "capped": F.lit(False)}
     long = F.timestamp_diff("SECOND", s, e) > days * 86400
     if keep == "oldest":
         return {"win_start": s, "win_end": F.when(long, F.timestamp_add("SECOND", F.lit(days * 86400), s)).otherwise(e),

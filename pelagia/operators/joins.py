@@ -16,7 +16,7 @@ def nearest_ports(points: DataFrame, ports: DataFrame, point_key: str, k: int =
     """The ``k`` nearest ports by great circle, with port columns prefixed ``port_``."""
     segments = point_segments(ports, "ports", "port_id", "lat", "lon")
     options = {} if broadcast_rows is None else {"broadcast_rows": broadcast_rows}
-    near = nearest_features(points, segments, k=k, point_key=(point_key,), **options)
+    near = nearest_features(points, segments, k=k, **options)
     info = ports.select(F.col("port_id").alias("fkey"), F.col("name").alias("port_name"),
                         F.col("district").alias("port_district"))
     return near.join(info, "fkey").drop("layer", "inside").withColumnRenamed("fkey", "port_id")
@@ -78,7 +78,7 @@ def contour_depth(points: DataFrame, contours: DataFrame, depths: DataFrame, poi
         .where(F.col("depth_m").isNotNull())
     lines = contours.join(usable.select("fkey"), "fkey", "left_semi").withColumns(
         {"layer": F.lit("bathymetry"), "is_polygon": F.lit(False)})
-    near = nearest_features(points, lines, point_key=(point_key,), planar=True)
+    near = nearest_features(points, lines, planar=True)
     return near.join(usable, "fkey").select(*points.columns, "fkey", "depth_m")
 
 

@@ -173,12 +173,17 @@ def trend_conflict(trends: DataFrame, keys: list[str], signal: str, a: str, b: s
     return both.withColumn("conflict", F.coalesce(opposite, F.lit(False)))
 
 
-def strided(series: DataFrame, keys: list[str], day: str) -> DataFrame:
-    """A span over two years keeps every eighth day from its start."""
+def strided(series: DataFrame, keys: list[str], day: str, stride_days: int | None = None, long_span_days: int = LONG_SPAN_DAYS) -> DataFrame:
+    """Every ``stride_days``-th day of spans longer than ``long_span_days``; without a stride the whole series.
+
+    Thinning is for a reader that fetches day by day; trends read the whole series.
+    """
+    if stride_days is None:
+        return series
     span = series.groupBy(*keys).agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
     days = lambda a, b: F.floor(F.timestamp_diff("SECOND", F.col(a), F.col(b)) / 86400)
     joined = series.join(span, keys)
-    return joined.where((days("_first", "_last") <= LONG_SPAN_DAYS) | (days("_first", day) % STRIDE_DAYS == 0)) \
+    return joined.where((days("_first", "_last") <= long_span_days) | (days("_first", day) % stride_days == 0)) \
         .select(*series.columns)
 
 

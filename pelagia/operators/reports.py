@@ -212,3 +212,13 @@ def alert_queue_console() -> list[Column]:
 
 def tick_start(tick, seconds: int) -> Column:
     return F.timestamp_add("SECOND", F.col(tick) * seconds, F.expr(EPOCH))
+
+
+def with_copy(rows: DataFrame, fence_class: str, level: str) -> DataFrame:
+    """Adds ``copy`` and ``title`` of the class; INFO has no copy of its own and takes that of WARN."""
+    spark = rows.sparkSession
+    copy = dims.table(spark, dims.ALERT_COPY, "_class, _level, copy")
+    titles = dims.table(spark, [(r[0], r[6]) for r in dims.FENCE_CLASSES], "_titled, title")
+    shown = F.when(F.col(level) == "INFO", F.lit("WARN")).otherwise(F.col(level))
+    return rows.join(copy, (F.col(fence_class) == F.col("_class")) & (shown == F.col("_level"))) \
+        .join(titles, F.col(fence_class) == F.col("_titled")).drop("_class", "_level", "_titled")

@@ -24,7 +24,6 @@ BLOCK_ORDER = ("shallow", "imbl", "exclusion", "land")
 SNAP_RINGS = 4
 NEIGHBOURS = tuple((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)
 TILE = 32
-MAX_ROUNDS = 400
 
 
 # ---- cost terms -----------------------------------------------------------------------
@@ -68,7 +67,7 @@ def boundary_distance(cells: DataFrame, lines: DataFrame) -> DataFrame:
         return cells.withColumn("boundary_nm", F.lit(None).cast("double"))
     near = F.col("lon").between(box[0] - pad, box[1] + pad) & F.col("lat").between(box[2] - pad, box[3] + pad)
     joint = lines.withColumns({"layer": F.lit("boundary"), "is_polygon": F.lit(False)})
-    measured = nearest_features(cells.where(near), joint, point_key=("i", "j")).select("i", "j", F.col("distance_nm").alias("boundary_nm"))
+    measured = nearest_features(cells.where(near), joint).select("i", "j", F.col("distance_nm").alias("boundary_nm"))
     return cells.join(measured, ["i", "j"], "left")
 
 
@@ -179,7 +178,7 @@ def least_cost_surface(cells: DataFrame, origins: DataFrame, tile: int = TILE) -
     arrivals = origins.join(grid, ["i", "j"]).select(
         F.col("origin").cast("bigint").alias("origin"), "i", "j", F.lit(0.0).alias("g"), F.lit(0.0).alias("d"))
     state = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         # Few rows but much work per row: the number of partitions is set, not left to their size.
         grouped = arrivals.withColumns({"ti": tile_of("i"), "tj": tile_of("j")}).repartition(parts, "origin", "ti", "tj") \
             .groupBy("origin", "ti", "tj").agg(F.collect_list(F.struct("i", "j", "g", "d")).alias("incoming"))
@@ -199,7 +198,6 @@ def least_cost_surface(cells: DataFrame, origins: DataFrame, tile: int = TILE) -
         if not done.where(F.size("messages") > 0).limit(1).count():
             values = state.join(tiles, ["ti", "tj"]).select("origin", F.inline(F.arrays_zip("cells", "g")))
             return values.where(F.col("g") < float("inf")).select("origin", "cells.i", "cells.j", "g")
-    raise RuntimeError("surface did not settle; raise MAX_ROUNDS or the tile size")
 
 
 def predecessors(surface: DataFrame, cells: DataFrame) -> DataFrame:
@@ -227,7 +225,7 @@ def extract_paths(links: DataFrame, goals: DataFrame) -> DataFrame:
     path = cut_lineage(goals.join(links.select("origin", "i", "j"), ["origin", "i", "j"]).select(
         "route_id", "origin", F.lit(0).cast("bigint").alias("back"), "i", "j"))
     span = 1
-    for _ in range(40):
+    while True:
         step = path.join(jump, ["origin", "i", "j"]).select(
             "route_id", "origin", (F.col("back") + span).alias("back"), F.col("pi").alias("i"), F.col("pj").alias("j"))
         step = cut_lineage(step)

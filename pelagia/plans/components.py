@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, functions as F
 from pelagia.session import cut_lineage
 
 TILE = 64
-MAX_ROUNDS = 64
 
 
 def _label_tile(height: int, width: int, grid_width: int):
@@ -66,7 +65,7 @@ def graph_components(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., node, root) with root = smallest node id of the component."""
     both = cut_lineage(edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     state = both.groupBy(*keys, F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root"))
-    for _ in range(MAX_ROUNDS):
+    while True:
         state = cut_lineage(state)
         # Offer my root to my neighbours, and to my current root (so trees merge at the top).
         offers = both.join(state.select(*keys, F.col("node").alias("a"), "root"), [*keys, "a"]) \
@@ -85,4 +84,3 @@ def graph_components(edges: DataFrame, keys: list[str]) -> DataFrame:
         state = jumped.drop("old")
         if not changed:
             return state
-    raise RuntimeError("components did not settle; raise MAX_ROUNDS")

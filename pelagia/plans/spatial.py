@@ -152,7 +152,7 @@ def _start_level(segments: DataFrame, box: tuple[int, int, int, int]):
 
 
 def nearest_features(points: DataFrame, segments: DataFrame, k: int = 1, max_nm: float | None = None,
-                     lat: str = "lat", lon: str = "lon", point_key: tuple[str, ...] = (),
+                     lat: str = "lat", lon: str = "lon",
                      broadcast_rows: int = BROADCAST_ROWS, planar: bool = False) -> DataFrame:
     """The ``k`` nearest features of every layer for every point.
 
@@ -161,20 +161,28 @@ def nearest_features(points: DataFrame, segments: DataFrame, k: int = 1, max_nm:
     distance to it is great-circle; a point inside a polygon is at distance 0 with no
     bearing. Equal distances are ordered by feature key. ``max_nm`` drops farther features.
     With ``planar`` features rank by distance in degree space and ``distance_nm`` is that
-    distance in degrees. ``point_key`` names a unique key of the points; it is needed only when the candidate
-    list is too large to broadcast.
+    distance in degrees. Points need no key: repeated points each get their rows, whichever way the join runs.
     """
     index, size, rows = candidate_index(points, segments, k, max_nm, lat, lon, planar)
     here = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     if rows <= broadcast_rows:
         out = _map_side(here, index, size, k, lat, lon, planar)
     else:
-        out = _shuffled(here, index, size, k, lat, lon, list(point_key or points.columns), planar)
+        out = _shuffled(_numbered(here), index, size, k, lat, lon, planar).drop(ROW)
     if max_nm is not None:
         out = out.where(F.col("distance_nm") <= F.lit(float(max_nm)))
     return out
 
 
+#: Number of a point row while its candidates are spread over several rows.
+ROW = "_row"
+
+
+def _numbered(points: DataFrame) -> DataFrame:
+    """Points with a row number, written once so that the number stays the same if a task is run again."""
+    return cut_lineage(points.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def _finish(d2: Column, closest: Column, inside: Column, lat: str, lon: str, planar: bool) -> dict[str, Column]:
     outside = F.sqrt(d2) if planar else geo.haversine_nm(lat, lon, closest["qy"], closest["qx"])
     distance = F.when(inside, F.lit(0.0)).otherwise(outside)
@@ -227,11 +235,10 @@ def _map_side(points: DataFrame, index: DataFrame, size: float, k: int, lat: str
     return out.withColumn("bearing_deg", _bearing(lat, lon))
 
 
-def _shuffled(points: DataFrame, index: DataFrame, size: float, k: int, lat: str, lon: str,
-              key: list[str], planar: bool) -> DataFrame:
+def _shuffled(points: DataFrame, index: DataFrame, size: float, k: int, lat: str, lon: str, planar: bool) -> DataFrame:
     pairs = points.withColumns({"ix": _cell(lon, size), "iy": _cell(lat, size)}).join(index, ["ix", "iy"])
-    rest = [c for c in points.columns if c not in key]
-    best = pairs.groupBy(*key, "layer", "fkey", "is_polygon").agg(
+    rest = [c for c in points.columns if c != ROW]
+    best = pairs.groupBy(ROW, "layer", "fkey", "is_polygon").agg(
         F.min(geo.closest_on_segment(lon, lat, "x1", "y1", "x2", "y2")).alias("c"),
         F.sum(geo.crosses_ray(lon, lat, "x1", "y1", "x2", "y2").cast("int")).alias("_crossings"),
         *[F.first(c).alias(c) for c in rest])
@@ -240,20 +247,20 @@ def _shuffled(points: DataFrame, index: DataFrame, size: float, k: int, lat: str
     out = best.select(*points.columns, "layer", "fkey", done["distance"].alias("distance_nm"),
                       inside.alias("inside"), done["qlat"].alias("closest_lat"), done["qlon"].alias("closest_lon"))
     if k == 1:
-        top = out.groupBy(*points.columns, "layer").agg(F.min(F.struct(
+        top = out.groupBy(ROW, "layer").agg(F.min(F.struct(
             F.round("distance_nm", 9).alias("d9"), "fkey", "distance_nm", "inside", "closest_lat", "closest_lon"
-        )).alias("_best"))
+        )).alias("_best"), *[F.first(c).alias(c) for c in rest])
         out = top.select(*points.columns, "layer", F.col("_best.fkey").alias("fkey"), F.lit(1).alias("rank"),
                          *[F.col(f"_best.{c}").alias(c)
                            for c in ("distance_nm", "inside", "closest_lat", "closest_lon")])
     else:
-        order = Window.partitionBy(*key, "layer").orderBy(F.round("distance_nm", 9), "fkey")
+        order = Window.partitionBy(ROW, "layer").orderBy(F.round("distance_nm", 9), "fkey")
         out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return out.withColumn("bearing_deg", _bearing(lat, lon))
 
 
 def polygons_containing(points: DataFrame, segments: DataFrame, lat: str = "lat", lon: str = "lon",
-                        size: float = 0.15625) -> DataFrame:
+                        size: float = 0.15625, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every (point, polygon) pair with the point inside (even-odd over all rings).
 
     Each edge is handed to the cells of its own latitude band between the polygon's west
@@ -271,13 +278,13 @@ def polygons_containing(points: DataFrame, segments: DataFrame, lat: str = "lat"
         .join(occupied, ["ix", "iy"], "left_semi")
         .select("ix", "iy", "layer", "fkey", "x1", "y1", "x2", "y2")
     )
-    here = points.withColumns({"ix": _cell(lon, size), "iy": _cell(lat, size)})
-    if at_most(cells, BROADCAST_ROWS):
+    place = {"ix": _cell(lon, size), "iy": _cell(lat, size)}
+    if at_most(cells, broadcast_rows):
         packed = cells.groupBy("ix", "iy", "layer", "fkey") \
             .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
-        hits = here.join(F.broadcast(packed), ["ix", "iy"]) \
+        hits = points.withColumns(place).join(F.broadcast(packed), ["ix", "iy"]) \
             .where(geo.odd_crossings(F.col(lon), F.col(lat), F.col("_edges")))
         return hits.select(*points.columns, "layer", "fkey")
-    pairs = here.join(cells, ["ix", "iy"]).where(geo.crosses_ray(lon, lat, "x1", "y1", "x2", "y2"))
-    return pairs.groupBy(*points.columns, "layer", "fkey").agg(F.count(F.lit(1)).alias("_n")) \
-        .where(F.col("_n") % 2 == 1).drop("_n")
+    pairs = _numbered(points).withColumns(place).join(cells, ["ix", "iy"]).where(geo.crosses_ray(lon, lat, "x1", "y1", "x2", "y2"))
+    return pairs.groupBy(ROW, "layer", "fkey").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in points.columns]) \
+        .where(F.col("_n") % 2 == 1).select(*points.columns, "layer", "fkey")

@@ -225,7 +225,7 @@ def features_to_observations(features: DataFrame) -> DataFrame:
     text = (F.when(layer == "pfz_lines", F.coalesce(p("UID"), p("Sno"))).when(layer == "pfz_sectors", p("SEC_ID"))
             .when(layer == "landing_centres", p("LC_NAME"))
             .when(layer == "hab_sectors", F.coalesce(p("Location"), F.concat(F.lit("HAB sector "), p("Id"))))
-            .when(layer.startswith("eco_"), F.substring(layer, 5, 100)))
+            .when(layer.startswith("eco_"), F.substr(layer, F.lit(5))))
     depth = F.when(layer == "bathymetry", numeric_or_null(F.col("properties")["BATHMETRY1"]))
     return features.select(*[c for c in features.columns if c != "properties"], variable.alias("variable"), depth.alias("value_num"),
                            text.alias("value_text")).where(F.col("value_num").isNotNull() | F.col("value_text").isNotNull())

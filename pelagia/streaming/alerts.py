@@ -46,7 +46,7 @@ def proximity_batches(positions: DataFrame, segments: DataFrame, fences: DataFra
             if extra is not None:
                 segs, dims_ = segs.unionByName(extra[0]), dims_.unionByName(extra[1])
         ticks = balanced(fence_ops.latest_per_tick(batch, tick_s))
-        near = fence_ops.nearest_features(ticks, segs, point_key=("vessel_id", "tick"))
+        near = fence_ops.nearest_features(ticks, segs)
         rows = fence_ops.with_levels(near, dims_).where("level_rank > 0")
         rows.select("vessel_id", "tick", "tick_start", "layer", "fkey", "level_rank", "distance_nm", "event_id") \
             .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
@@ -54,7 +54,7 @@ def proximity_batches(positions: DataFrame, segments: DataFrame, fences: DataFra
     return positions.writeStream.foreachBatch(one)
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance(tick_ms: int, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     columns = [*KEY, "tick", "level_rank", "action"]
     if state.hasTimedOut:
         tick, rank = state.get
@@ -76,19 +76,19 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
     if last is not None:
         state.update((last, held))
         # One tick after the last sighting, in event time; the watermark may already be past it.
-        state.setTimeoutTimestamp(max((last + 2) * TICK_MS, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max((last + 2) * tick_ms, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(out, columns=columns)
 
 
-#: Length of one tick for the clearing timer; one evaluation per vessel and hour here.
-TICK_MS = 3_600_000
+def alert_actions(proximities: DataFrame, delay: str = "2 hours", tick_s: int = 3600) -> DataFrame:
+    """emit / suppress / clear per alert key, with the last tick and rank as the only state.
 
-
-def alert_actions(proximities: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """emit / suppress / clear per alert key, with the last tick and rank as the only state."""
+    ``tick_s`` is the length of a tick, as given to ``proximity_batches``; an alert is cleared one tick after its last.
+    """
     stamped = proximities.withColumn("tick_time", F.col("tick_start").cast("timestamp")).withWatermark("tick_time", delay)
+    advance = lambda key, frames, state: _advance(1000 * tick_s, key, frames, state)
     return stamped.groupBy(*KEY).applyInPandasWithState(
-        _advance, "vessel_id BIGINT, layer STRING, fkey INT, tick BIGINT, level_rank INT, action STRING",
+        advance, "vessel_id BIGINT, layer STRING, fkey INT, tick BIGINT, level_rank INT, action STRING",
         "tick BIGINT, level_rank INT", "append", GroupStateTimeout.EventTimeTimeout)
 
 

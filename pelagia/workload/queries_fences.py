@@ -81,7 +81,7 @@ def flagship(v: Views):
     """Closest boundary, distance and alert level for every vessel and hour."""
     hourly = balanced(ops.latest_per_tick(v.positions, 3600))
     near = ops.with_levels(
-        nearest_features(hourly, v.fence_segments, point_key=("vessel_id", "tick")), v.fences)
+        nearest_features(hourly, v.fence_segments), v.fences)
     best = ops.nearest_fence_per_vessel(near, ["vessel_id", "tick_start"])
     return best.select("vessel_id", "tick_start", "layer", "fkey", "name", "inside", "level_rank", "level",
                        "severity_rank", "distance_nm", "bearing_deg")
@@ -91,7 +91,7 @@ def flagship(v: Views):
 WITH {nearest_sql('{positions}', 'event_id')}
 SELECT event_id, layer, fkey, inside, {r6('distance_nm', 'bearing_deg', 'closest_lat', 'closest_lon')} FROM best""")
 def j1(v: Views):
-    return nearest_features(v.spread(v.positions), v.fence_segments, point_key=("event_id",)).select(
+    return nearest_features(v.spread(v.positions), v.fence_segments).select(
         "event_id", "layer", "fkey", "inside", "distance_nm", "bearing_deg", "closest_lat", "closest_lon")
 
 

@@ -39,7 +39,7 @@ WITH {nearest_sql('{positions}', 'event_id')}
 SELECT event_id, layer, fkey, inside, {r6('distance_nm')} FROM best""")
 def j5(v: Views):
     """The shuffled form used when the candidate list is too large to broadcast."""
-    return nearest_features(v.spread(v.positions), v.fence_segments, point_key=("event_id",), broadcast_rows=0).select(
+    return nearest_features(v.spread(v.positions), v.fence_segments, broadcast_rows=0).select(
         "event_id", "layer", "fkey", "inside", "distance_nm")
 
 
@@ -68,8 +68,8 @@ _PRESENT = """(SELECT user_id, CASE event_type WHEN 'view' THEN 'IMBL_HISTORIC_W
 WITH p AS (SELECT DISTINCT user_id || '/' || CAST(CAST(day AS DATE) AS VARCHAR) AS scan, layer FROM {_PRESENT} x),
 every AS (SELECT * FROM (VALUES ('ECO_SENSITIVE', false), ('HAZARD_EXCLUSION', false), ('IMBL_HISTORIC_WATERS', true),
           ('IMBL_MARITIME_BOUNDARY', true), ('MPA', false)) t(c, legal)),
-have AS (SELECT scan, layer FROM p WHERE layer <> 'USER_DEFINED'), scans AS (SELECT DISTINCT scan FROM have)
-SELECT s.scan, string_agg(c, ',' ORDER BY c) AS unchecked, bool_or(legal) AS hard_gap,
+have AS (SELECT scan, layer FROM p WHERE layer <> 'USER_DEFINED'), scans AS (SELECT DISTINCT scan FROM p)
+SELECT s.scan, coalesce(string_agg(c, ',' ORDER BY c), '') AS unchecked, bool_or(legal) AS hard_gap,
        CASE WHEN count(*) = 5 THEN 'abstain' WHEN count(*) > 0 THEN 'partial' ELSE 'checked' END AS status
 FROM scans s, every e WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.scan = s.scan AND h.layer = e.c) GROUP BY s.scan""")
 def j7(v: Views):
@@ -159,7 +159,7 @@ WITH {nearest_sql('{positions}', 'event_id', False)}
 SELECT event_id, layer, round(distance_nm, 6) AS distance_nm FROM best ORDER BY round(distance_nm, 9), event_id LIMIT 50""")
 def t2(v: Views):
     """Fleet ranking by distance, the 50 nearest."""
-    near = nearest_features(v.spread(v.positions), v.fence_segments, point_key=("event_id",))
+    near = nearest_features(v.spread(v.positions), v.fence_segments)
     best = fence_ops.nearest_fence_per_vessel(near, ["event_id"])
     return best.orderBy(F.round("distance_nm", 9), "event_id").limit(50).select("event_id", "layer", "distance_nm")
 

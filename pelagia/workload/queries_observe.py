@@ -83,7 +83,7 @@ b AS (SELECT o_custkey, min(day) AS lo, max(day) AS hi FROM s GROUP BY 1)
 SELECT o_orderkey FROM s JOIN b USING (o_custkey) WHERE date_diff('day', lo, hi) <= 730 OR date_diff('day', lo, day) % 8 = 0""")
 def w7(v: Views):
     series = v.orders.select("o_custkey", F.col("o_orderdate").alias("day"), "o_orderkey")
-    return ops.strided(series, ["o_custkey"], "day").select("o_orderkey")
+    return ops.strided(series, ["o_custkey"], "day", stride_days=ops.STRIDE_DAYS).select("o_orderkey")
 
 
 TREND = """
@@ -157,7 +157,7 @@ def a9(v: Views):
     return ops.wide_record(v.observations, ["location_id"], VARIABLES, F.expr(NOW))
 
 
-PROVENANCE_SQL = "source_id || '@' || strftime(coalesce(issued_at, acquired_at), '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+PROVENANCE_SQL = "source_id || '@' || strftime(coalesce(issued_at, acquired_at), '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(coalesce(issued_at, acquired_at)) % 1000000 <> 0 THEN strftime(coalesce(issued_at, acquired_at), '.%f') ELSE '' END || '+00:00'"
 
 
 @query("w9_first_evidence", f"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pelagia import dims
 from pelagia.functions import geo, marine
-from pelagia.operators import fences as fence_ops, filters
+from pelagia.operators import fences as fence_ops, filters, reports
 from pelagia.workload.queries_fences import brg, hav, proximities
 from pelagia.workload.registry import query, r6
 from pelagia.workload.views import AS_OF, Views
@@ -114,7 +114,7 @@ def f10(v: Views):
 WITH d AS (SELECT event_id, CASE WHEN event_id % 29 = 0 THEN NULL ELSE (event_id * 13) % 15000 - 60 END AS s FROM {events}),
 m AS (SELECT event_id, s, CAST(round_even(s / 60, 0) AS INT) AS minutes FROM d)
 SELECT event_id, CASE WHEN s IS NULL OR s <= 0 THEN 'shortly' WHEN minutes < 1 THEN 'under a minute'
-  WHEN minutes < 60 THEN CAST(minutes AS VARCHAR) || ' min' ELSE printf('%.1f', floor(minutes / 6.0 + 0.5) / 10) || ' h' END AS eta FROM m""")
+  WHEN minutes < 60 THEN CAST(minutes AS VARCHAR) || ' min' ELSE printf('%.1f', minutes / 60) || ' h' END AS eta FROM m""")
 def f11(v: Views):
     s = F.when(F.col("event_id") % 29 == 0, F.lit(None)).otherwise(F.col("event_id") * 13 % 15000 - 60)
     return v.events.select("event_id", marine.eta_in_words(s.cast("double")).alias("eta"))
@@ -136,16 +136,22 @@ def f12(v: Views):
 
 
 @query("f13_provenance_id", """
-SELECT obs_id, source_id || '@' || strftime(coalesce(issued_at, acquired_at), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS provenance_id
+SELECT obs_id, source_id || '@' || strftime(coalesce(issued_at, acquired_at), '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(coalesce(issued_at, acquired_at)) % 1000000 <> 0 THEN strftime(coalesce(issued_at, acquired_at), '.%f') ELSE '' END || '+00:00' AS provenance_id
 FROM {observations}""")
 def f13(v: Views):
     return v.observations.select("obs_id", marine.provenance_id("source_id", "issued_at", "acquired_at").alias("provenance_id"))
 
 
 @query("f14_display_value", """
-SELECT obs_id, CASE WHEN value_num IS NULL THEN 'NIL' ELSE printf('%.2f', value_num) || ' ' || unit END AS display FROM {observations}""")
+WITH o AS (SELECT obs_id, unit, CASE WHEN value_num IS NOT NULL AND obs_id % 4 = 0 THEN CAST(obs_id % 4000 AS DOUBLE) / 8
+  WHEN value_num IS NOT NULL AND obs_id % 4 = 1 THEN CAST(obs_id % 9000 AS DOUBLE) / 1000 ELSE value_num END AS value_num FROM {observations})
+SELECT obs_id, CASE WHEN value_num IS NULL THEN 'NIL' ELSE printf('%.2f', value_num) || ' ' || unit END AS display FROM o""")
 def f14(v: Views):
-    return v.observations.select("obs_id", marine.display_value("value_num", F.lit("NIL"), "unit").alias("display"))
+    """A quarter of the values are eighths (exact ties), a quarter thousandths (beside a tie)."""
+    k = F.col("obs_id")
+    value = F.when(F.col("value_num").isNotNull() & (k % 4 == 0), (k % 4000).cast("double") / 8).when(
+        F.col("value_num").isNotNull() & (k % 4 == 1), (k % 9000).cast("double") / 1000).otherwise(F.col("value_num"))
+    return v.observations.select("obs_id", marine.display_value(value, F.lit("NIL"), "unit").alias("display"))
 
 
 @query("f16_shallow_penalty", """
@@ -176,23 +182,22 @@ def f18(v: Views):
 
 
 @query("f20_message_template", f"""
-WITH copy AS ({dims.rows_sql(dims.ALERT_COPY, 'fence_class, lvl, copy')}),
+WITH copy AS ({dims.rows_sql(dims.ALERT_COPY, 'fence_class, lvl, copy')}), titles AS ({dims.rows_sql([(r[0], r[6]) for r in dims.FENCE_CLASSES], 'fence_class, title')}),
 x AS (SELECT event_id, vessel_id, speed_kn, heading_deg,
-             list_extract(['WARN','WARN','CRITICAL','BREACH'], CAST(event_id % 4 AS INT) + 1) AS lvl,
+             list_extract(['INFO','WARN','CRITICAL','BREACH'], CAST(event_id % 4 AS INT) + 1) AS lvl,
              list_extract(['IMBL_HISTORIC_WATERS','IMBL_MARITIME_BOUNDARY','MPA','ECO_SENSITIVE','USER_DEFINED','HAZARD_EXCLUSION'], CAST(event_id % 6 AS INT) + 1) AS fence_class
       FROM {{positions}})
-SELECT event_id, replace(replace(replace(copy, '{{name}}', 'Fence ' || CAST(vessel_id AS VARCHAR)), '{{distance}}',
-       CASE WHEN event_id % 9 = 0 THEN '?' ELSE printf('%.1f', speed_kn) END), '{{eta}}', 'shortly') AS body
-FROM x JOIN copy USING (fence_class, lvl)""")
+SELECT event_id, replace(replace(replace(copy, '{{name}}', CASE WHEN event_id % 5 = 0 THEN title ELSE 'Fence ' || CAST(vessel_id AS VARCHAR) END), '{{distance}}',
+       CASE WHEN event_id % 9 = 0 THEN '?' ELSE printf('%.1f', (event_id % 800) / 20) END), '{{eta}}', 'shortly') AS body
+FROM x JOIN copy ON copy.fence_class = x.fence_class AND copy.lvl = CASE x.lvl WHEN 'INFO' THEN 'WARN' ELSE x.lvl END JOIN titles ON titles.fence_class = x.fence_class""")
 def f20(v: Views):
-    copy = dims.table(v.spark, dims.ALERT_COPY, "fence_class, lvl, copy")
     pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("event_id") % n).cast("int") + 1)
     rows = v.positions.withColumns({
-        "lvl": pick(("WARN", "WARN", "CRITICAL", "BREACH"), 4),
-        "fence_class": pick([r[0] for r in dims.FENCE_CLASSES], 6)}).join(copy, ["fence_class", "lvl"])
-    distance = F.when(F.col("event_id") % 9 != 0, F.col("speed_kn"))
-    return rows.select("event_id", marine.fill_message(
-        "copy", F.concat(F.lit("Fence "), F.col("vessel_id").cast("string")), distance, F.lit("shortly")).alias("body"))
+        "lvl": pick(("INFO", "WARN", "CRITICAL", "BREACH"), 4), "fence_class": pick([r[0] for r in dims.FENCE_CLASSES], 6)})
+    rows = reports.with_copy(rows, "fence_class", "lvl")
+    distance = F.when(F.col("event_id") % 9 != 0, (F.col("event_id") % 800) / F.lit(20))
+    name = F.when(F.col("event_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("Fence "), F.col("vessel_id").cast("string")))
+    return rows.select("event_id", marine.fill_message("copy", name, distance, F.lit("shortly"), "title").alias("body"))
 
 
 @query("f21_local_clock", """
@@ -295,7 +300,7 @@ def p8(v: Views):
         "SECOND", (F.col("o_orderkey") * 13 % 5000) * 86400, F.col("o_orderdate")).alias("e"))
     lo, hi = F.expr("timestamp_ntz'1996-01-01 00:00:00'"), F.expr("timestamp_ntz'2001-12-31 00:00:00'")
     modes = {"clamp": filters.clamp_window("s", "e", lo, hi), "collapse": filters.collapse_window("s", "e", lo, hi),
-             "oldest": filters.cap_span("s", "e", "oldest"), "newest": filters.cap_span("s", "e", "newest")}
+             "oldest": filters.cap_span("s", "e", "oldest", filters.MAX_SPAN_DAYS), "newest": filters.cap_span("s", "e", "newest", filters.MAX_SPAN_DAYS)}
     variants = F.array(*[F.struct(F.lit(m).alias("mode"), c["win_start"].alias("win_start"), c["win_end"].alias("win_end"),
                                   c.get("clamped", c.get("capped")).alias("moved")) for m, c in modes.items()])
     return w.select("o_orderkey", F.inline(variants))
