@@ -36,7 +36,7 @@ def directory_lookup(centres: DataFrame, centre_contacts: DataFrame, district_co
 def latest_file(targets: DataFrame, files: DataFrame, keys: list[str], target_time: str, file_time: str) -> DataFrame:
     """Latest file at or before the target, else the newest file of all."""
     newest = files.groupBy(*keys).agg(F.max(file_time).alias("_newest"))
-    found = asof(targets, files, keys, target_time, file_time, [], True, 30 * 86400)
+    found = asof(targets, files, keys, target_time, file_time, [], True)
     return found.join(newest, keys, "left").select(
         *targets.columns, F.coalesce(F.col("match.match_time"), F.col("_newest")).alias("file_time"),
         F.col("match").isNull().alias("fell_back"))

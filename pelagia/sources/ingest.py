@@ -32,32 +32,69 @@ def ntz(text, fmt: str) -> Column:
 
 
 def ingest_hourly_json(raw: DataFrame, body: str = "value") -> DataFrame:
-    """Parallel hourly arrays -> one observation per non-null hour, converted to standard units."""
-    schema = "latitude DOUBLE, longitude DOUBLE, hourly MAP<STRING, ARRAY<STRING>>"
+    """Parallel hourly arrays -> one observation per non-null hour, converted to standard units.
+
+    The raw unit is the payload's own (``hourly_units``); the known unit of the variable stands in where it is not given.
+    """
+    schema = "latitude DOUBLE, longitude DOUBLE, hourly MAP<STRING, ARRAY<STRING>>, hourly_units MAP<STRING, STRING>"
     doc = raw.select(*[c for c in raw.columns if c != body], F.from_json(body, schema).alias("_d")).where("_d.hourly IS NOT NULL")
     keep = [c for c in raw.columns if c != body]
-    series = doc.select(*keep, "_d.latitude", "_d.longitude", F.col("_d.hourly")["time"].alias("_time"),
+    series = doc.select(*keep, "_d.latitude", "_d.longitude", F.col("_d.hourly_units").alias("_units"), F.col("_d.hourly")["time"].alias("_time"),
                         F.explode(F.map_filter("_d.hourly", lambda k, v: k != "time")).alias("raw_variable", "_v"))
-    hours = series.select(*keep, "latitude", "longitude", "raw_variable", F.inline(F.arrays_zip(
+    hours = series.select(*keep, "latitude", "longitude", "raw_variable", F.try_element_at("_units", F.col("raw_variable")).alias("_unit"), F.inline(F.arrays_zip(
         F.col("_time").alias("time"), F.col("_v").alias("raw_text"))))
     names = dims.table(raw.sparkSession, dims.HOURLY_VARIABLES, "raw_variable, variable, raw_unit, unit, factor")
     value = numeric_or_null("raw_text")
     return hours.withColumn("raw_value", value).where(F.col("raw_value").isNotNull()).join(names, "raw_variable").select(
         *keep, "latitude", "longitude", "variable", ntz("time", "yyyy-MM-dd'T'HH:mm").alias("valid_time"),
-        (F.col("raw_value") * F.col("factor")).alias("value_num"), "unit", "raw_value", "raw_unit")
+        (F.col("raw_value") * F.col("factor")).alias("value_num"), "unit", "raw_value",
+        F.coalesce(F.when(F.trim("_unit") != "", F.col("_unit")), F.col("raw_unit")).alias("raw_unit"))
 
 
-def ingest_geojson(raw: DataFrame, body: str = "value") -> tuple[DataFrame, DataFrame]:
-    """One Feature per row -> (features, segments in part / ring / seq order)."""
-    schema = "geometry STRUCT<type: STRING, coordinates: STRING>, properties MAP<STRING, STRING>"
+#: What a feature of a layer file carries besides its geometry and properties.
+FEATURE_FIELDS = ("feature_key", "source_id", "acquired_at")
+
+
+def _features(raw: DataFrame, body: str, geometry: str, properties: str) -> DataFrame:
+    """The features of each row, which holds one Feature or a FeatureCollection; a row with neither gives none."""
+    fields = {"geometry": f"STRUCT<{geometry}>", "properties": properties, **dict.fromkeys(FEATURE_FIELDS, "STRING")}
+    schema = ", ".join(f"{k} {t}" for k, t in fields.items()) + f", features ARRAY<STRUCT<{', '.join(f'{k}: {t}' for k, t in fields.items())}>>"
     keep = [c for c in raw.columns if c != body]
-    features = raw.select(*keep, F.from_json(body, schema).alias("_f")).where("_f.geometry IS NOT NULL").select(
-        *keep, F.col("_f.properties").alias("properties"), F.col("_f.geometry.type").alias("geometry_type"),
+    doc = raw.select(*keep, F.from_json(body, schema).alias("_d"))
+    single = F.array(F.struct(*[F.col(f"_d.{c}").alias(c) for c in fields]))
+    return doc.select(*keep, F.explode(F.coalesce(F.col("_d.features"), F.when(F.col("_d").isNotNull(), single))).alias("_f"))
+
+
+def rejected_rows(raw: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """Landed rows (by ``keys``) of which nothing was kept, so that a reader loses no file without a trace."""
+    return raw.join(kept.select(*keys).distinct(), keys, "left_anti").select(*keys)
+
+
+def _iso_time(text) -> Column:
+    """ISO time with or without fraction and offset, as a zone-less UTC time; unreadable text gives null."""
+    t = F.trim(_col(text))
+    zoned = F.when(t.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$"), t).otherwise(F.concat(t, F.lit("+00:00")))
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(zoned).cast("timestamp_ntz"))
+
+
+def ingest_geojson(raw: DataFrame, body: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Features or FeatureCollections -> (features, segments in part / ring / seq order).
+
+    ``feature_key``, ``source_id`` and ``acquired_at`` of a feature are kept where the columns do not have them already.
+    """
+    given = raw.columns
+    raw_features = _features(raw, body, "type: STRING, coordinates: STRING", "MAP<STRING, STRING>").where("_f.geometry IS NOT NULL")
+    extra = [c for c in FEATURE_FIELDS if c not in given]
+    keep = [c for c in given if c != body] + extra
+    features = raw_features.select(
+        *[c for c in given if c != body], *[(_iso_time(f"_f.{c}") if c == "acquired_at" else F.coalesce(F.col(f"_f.{c}"), F.lit(""))).alias(c) for c in extra],
+        F.col("_f.properties").alias("properties"), F.col("_f.geometry.type").alias("geometry_type"),
         F.col("_f.geometry.coordinates").alias("coordinates"))
     point = "ARRAY<DOUBLE>"
     c = F.col("coordinates")
     # Every geometry becomes parts -> rings -> points.
     nested = (F.when(F.col("geometry_type") == "Point", F.array(F.array(F.array(F.from_json(c, point)))))
+              .when(F.col("geometry_type") == "MultiPoint", F.transform(F.from_json(c, f"ARRAY<{point}>"), lambda p: F.array(F.array(p))))
               .when(F.col("geometry_type") == "LineString", F.array(F.array(F.from_json(c, f"ARRAY<{point}>"))))
               .when(F.col("geometry_type") == "MultiLineString", F.transform(F.from_json(c, f"ARRAY<ARRAY<{point}>>"), lambda line: F.array(line)))
               .when(F.col("geometry_type") == "Polygon", F.array(F.from_json(c, f"ARRAY<ARRAY<{point}>>")))
@@ -74,21 +111,26 @@ def ingest_geojson(raw: DataFrame, body: str = "value") -> tuple[DataFrame, Data
     return features, segments
 
 
-def ingest_griddap_csv(raw: DataFrame, variables: dict[str, str], body: str = "value") -> DataFrame:
+def ingest_griddap_csv(raw: DataFrame, variables: dict[str, str | None], body: str = "value") -> DataFrame:
     """Names row, units row, data rows -> one observation per non-missing variable.
 
-    ``variables`` maps a variable to its relative-error column. Header and unit rows have no
-    readable time and fall out by that, wherever the file was split.
+    ``variables`` maps a variable to its relative-error column, if it has one. Which column is where is read from the
+    names row, so any order and any subset of columns will do; rows belong together by the other columns of ``raw``
+    (the file's key). Header rows have no readable time and fall out by that, wherever the file was split. The tables hold
+    numbers and times only, so no field is quoted. Files without a names row give nothing (see ``rejected_rows``).
     """
-    columns = ["time", "ZAX", "latitude", "longitude", *[x for v, e in variables.items() for x in (v, e)]]
-    schema = ", ".join(f"{c} STRING" for c in columns)
     keep = [c for c in raw.columns if c != body]
-    rows = raw.select(*keep, F.from_csv(body, schema).alias("_r")).select(
-        *keep, ntz("_r.time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("valid_time"),
-        numeric_or_null("_r.ZAX").alias("depth"), numeric_or_null("_r.latitude").alias("lat"),
-        numeric_or_null("_r.longitude").alias("lon"),
-        F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), numeric_or_null(f"_r.{v}").alias("value_num"),
-                                    numeric_or_null(f"_r.{e}").alias("relative_error")) for v, e in variables.items()])))
+    cut = raw.select(*keep, F.transform(F.split(body, ","), lambda x: F.trim(x)).alias("_r"))
+    heads = cut.groupBy(*keep).agg(F.max(F.when(F.col("_r")[0] == "time", F.col("_r"))).alias("_names"),
+                                   F.max(F.when(F.col("_r")[0] == "UTC", F.col("_r"))).alias("_units")).where("_names IS NOT NULL")
+    heads = heads.withColumnsRenamed({k: f"_head_{k}" for k in keep})
+    both = cut.join(heads, [F.col(k).eqNullSafe(F.col(f"_head_{k}")) for k in keep] or F.lit(True))
+    at = lambda name, row="_r": F.get(row, F.array_position("_names", name).cast("int") - 1)
+    rows = both.select(
+        *keep, _iso_time(at("time")).alias("valid_time"), numeric_or_null(F.coalesce(at("ZAX"), at("altitude"))).alias("depth"),
+        numeric_or_null(at("latitude")).alias("lat"), numeric_or_null(at("longitude")).alias("lon"),
+        F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), numeric_or_null(at(v)).alias("value_num"), at(v, "_units").alias("unit"),
+                                    (numeric_or_null(at(e)) if e else F.lit(None).cast("double")).alias("relative_error")) for v, e in variables.items()])))
     return rows.where(F.col("valid_time").isNotNull() & F.col("value_num").isNotNull())
 
 
@@ -162,20 +204,19 @@ def parse_stations(rows: DataFrame) -> DataFrame:
 
 
 def parse_cyclones(raw: DataFrame, body: str = "value") -> DataFrame:
-    """Event JSON rows; rows without event or episode id are dropped, the level defaults to Green."""
-    schema = ("geometry STRUCT<coordinates: ARRAY<DOUBLE>>, properties STRUCT<eventid: STRING, episodeid: STRING, eventname: STRING, "
-              "alertlevel: STRING, iscurrent: STRING, fromdate: STRING, todate: STRING, country: STRING, "
-              "severitydata: STRUCT<severity: DOUBLE, severitytext: STRING, severityunit: STRING>>")
+    """Event features or collections of them; those without event or episode id are dropped, the level defaults to Green."""
+    fields = ("STRUCT<eventid: STRING, episodeid: STRING, eventname: STRING, name: STRING, alertlevel: STRING, iscurrent: STRING, fromdate: STRING, "
+              "todate: STRING, country: STRING, severitydata: STRUCT<severity: DOUBLE, severitytext: STRING, severityunit: STRING>>")
     p = lambda c: F.col(f"_e.properties.{c}")
     sev = lambda c: F.col(f"_e.properties.severitydata.{c}")
     blank = lambda c: F.when(c != "", c)
-    rows = raw.select(*[c for c in raw.columns if c != body], F.from_json(body, schema).alias("_e")) \
+    rows = _features(raw, body, "coordinates: ARRAY<DOUBLE>", fields).withColumnRenamed("_f", "_e") \
         .where(p("eventid").isNotNull() & p("episodeid").isNotNull())
     return rows.select(
         *[c for c in raw.columns if c != body], p("eventid").alias("event_id"), p("episodeid").alias("episode_id"),
-        F.coalesce(blank(p("eventname")), F.concat(F.lit("TC-"), p("eventid"))).alias("name"),
+        F.coalesce(blank(p("eventname")), blank(p("name")), F.concat(F.lit("TC-"), p("eventid"))).alias("name"),
         F.coalesce(blank(p("alertlevel")), F.lit("Green")).alias("alert_level"),
-        ntz(p("fromdate"), "yyyy-MM-dd'T'HH:mm:ss").alias("from_date"), ntz(p("todate"), "yyyy-MM-dd'T'HH:mm:ss").alias("to_date"),
+        _iso_time(p("fromdate")).alias("from_date"), _iso_time(p("todate")).alias("to_date"),
         F.get("_e.geometry.coordinates", F.lit(1)).alias("lat"), F.get("_e.geometry.coordinates", F.lit(0)).alias("lon"),
         F.coalesce(blank(sev("severitytext")), F.trim(F.concat_ws(" ", F.when(sev("severity").isNotNull(), sev("severity").cast("string")),
                    F.when(sev("severity").isNotNull(), sev("severityunit")))) ).alias("severity"),
@@ -270,12 +311,18 @@ def freeze(snapshots: DataFrame, as_of: Column, path: str | None = None) -> Data
 
 
 def read_traces(lines: DataFrame, body: str = "value") -> DataFrame:
-    """JSON lines to trace steps: unreadable lines are skipped, a repeated step id counts once."""
-    schema = ("step_id STRING, query_id STRING, parent_id STRING, agent STRING, kind STRING, tool STRING, ts STRING, duration_ms DOUBLE, ok BOOLEAN")
+    """JSON lines to trace steps: unreadable lines are skipped, a repeated step id counts once.
+
+    ``args`` stays JSON text; times are ISO with or without fraction and offset.
+    """
+    schema = ("step_id STRING, query_id STRING, parent_id STRING, agent STRING, kind STRING, tool STRING, args STRING, result_digest STRING, "
+              "provenance_ids ARRAY<STRING>, ts STRING, duration_ms DOUBLE, why STRING, ok BOOLEAN, error STRING")
     rows = lines.select(F.from_json(body, schema).alias("_s")).select("_s.*").where(F.col("step_id").isNotNull() & F.col("query_id").isNotNull())
     rest = [c for c in rows.columns if c != "step_id"]
     return rows.groupBy("step_id").agg(F.min_by(F.struct(*rest), F.struct("ts", "query_id")).alias("_r")).select(
-        "step_id", *[F.col(f"_r.{c}").alias(c) for c in rest]).withColumn("ts", ntz("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+        "step_id", *[F.col(f"_r.{c}").alias(c) for c in rest]).withColumns({
+            "ts": _iso_time("ts"), "ok": F.coalesce("ok", F.lit(True)), "kind": F.coalesce("kind", F.lit("tool_call")),
+            "provenance_ids": F.coalesce("provenance_ids", F.array().cast("array<string>"))})
 
 
 def export_features(features: DataFrame, bbox=dims.REGION_BBOX, pad: float = 1.0) -> DataFrame:

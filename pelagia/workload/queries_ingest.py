@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pelagia import dims
+from pelagia.session import shared_folder
 from pelagia.sources import ingest as src
 from pelagia.workload.registry import query, r6
 from pelagia.workload.views import AS_OF, Views
@@ -13,21 +16,23 @@ NOW = f"timestamp_ntz'{AS_OF}'"
 
 
 @query("s1_hourly_json", """
-WITH e AS (SELECT user_id, date_trunc('minute', ts) AS valid_time, event_type, CASE WHEN event_id % 13 <> 0 THEN value END AS raw_value FROM {events} WHERE event_type IN ('click', 'view', 'error'))
-SELECT user_id, valid_time, CASE event_type WHEN 'click' THEN 'significant_wave_height' WHEN 'view' THEN 'wind_speed' ELSE 'current_speed' END AS variable,
-       CASE event_type WHEN 'click' THEN 'm' WHEN 'view' THEN 'kn' ELSE 'm/s' END AS unit,
-       round(raw_value * CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 1 / 1.852::DOUBLE ELSE 1 / 3.6::DOUBLE END, 6) AS value_num
+WITH e AS (SELECT user_id, date_trunc('minute', ts) AS valid_time, event_type, CASE WHEN event_id % 13 <> 0 THEN value END AS raw_value FROM {events})
+SELECT user_id, valid_time, CASE event_type WHEN 'click' THEN 'significant_wave_height' WHEN 'view' THEN 'wind_speed' WHEN 'purchase' THEN 'wave_period' WHEN 'signup' THEN 'visibility' ELSE 'current_speed' END AS variable,
+       CASE event_type WHEN 'click' THEN 'm' WHEN 'view' THEN 'kn' WHEN 'purchase' THEN 's' WHEN 'signup' THEN 'm' ELSE 'm/s' END AS unit,
+       CASE event_type WHEN 'click' THEN 'metre' WHEN 'view' THEN 'km/h' WHEN 'purchase' THEN 's' WHEN 'signup' THEN 'm' ELSE 'km/h' END AS raw_unit,
+       round(raw_value * CASE event_type WHEN 'view' THEN 1 / 1.852::DOUBLE WHEN 'error' THEN 1 / 3.6::DOUBLE ELSE 1 END, 6) AS value_num
 FROM e WHERE raw_value IS NOT NULL""")
 def s1(v: Views):
-    raw = v.events.where(F.col("event_type").isin("click", "view", "error"))
+    raw = v.events
     value = F.when(F.col("event_id") % 13 != 0, F.col("value"))
     column = lambda kind: F.to_json(F.transform("_h", lambda h: F.when(h["event_type"] == kind, h["v"])))
     rows = raw.groupBy("user_id", F.to_date("ts").alias("day")).agg(
         F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", value.alias("v")))).alias("_h"))
     times = F.to_json(F.transform("_h", lambda h: F.date_format(h["ts"], "yyyy-MM-dd'T'HH:mm")))
     body = F.concat(F.lit('{"latitude":9.3,"longitude":79.3,"hourly":{"time":'), times, F.lit(',"wave_height":'), column("click"),
-                    F.lit(',"wind_speed_10m":'), column("view"), F.lit(',"ocean_current_velocity":'), column("error"), F.lit("}}"))
-    return src.ingest_hourly_json(rows.select("user_id", body.alias("value"))).select("user_id", "valid_time", "variable", "unit", "value_num")
+                    F.lit(',"wind_speed_10m":'), column("view"), F.lit(',"ocean_current_velocity":'), column("error"), F.lit(',"wave_period":'), column("purchase"), F.lit(',"visibility":'), column("signup"),
+                    F.lit('},"hourly_units":{"wave_height":"metre","wind_speed_10m":"km/h"}}'))
+    return src.ingest_hourly_json(rows.select("user_id", body.alias("value"))).select("user_id", "valid_time", "variable", "unit", "raw_unit", "value_num")
 
 
 @query("s2_geojson_segments", f"SELECT layer, fkey, part, ring, seq, {r6('x1', 'y1', 'x2', 'y2')}, is_polygon FROM {{fence_segments}} "
@@ -43,23 +48,34 @@ def s2(v: Views):
     fences = v.fences.select("layer", "fkey", F.concat(head, shape, tail).alias("value"))
     ports = v.ports.select(F.lit("port").alias("layer"), F.col("port_id").cast("int").alias("fkey"), F.concat(
         head, F.lit('"Point","coordinates":'), F.to_json(F.array("lon", "lat")), tail).alias("value"))
-    return src.ingest_geojson(fences.unionByName(ports))[1]
+    # fences land as one collection per layer with keys on the features, ports as single features
+    keyed = fences.select("layer", F.concat(F.lit('{"feature_key":"'), F.col("fkey").cast("string"), F.lit('","source_id":"s","acquired_at":"2026-09-01T10:00:00.5+00:00",'),
+                                            F.expr("substring(value, 2)")).alias("value"))
+    files = keyed.groupBy("layer").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
+    lines = src.ingest_geojson(files)[1].withColumn("fkey", F.col("feature_key").cast("int"))
+    columns = ["layer", "fkey", "part", "ring", "seq", "x1", "y1", "x2", "y2", "is_polygon"]
+    return lines.select(*columns).unionByName(src.ingest_geojson(ports)[1].select(*columns))
 
 
 @query("s3_two_header_csv", """
 WITH e AS (SELECT user_id, event_id, date_trunc('second', ts) AS valid_time FROM {events})
-SELECT user_id, valid_time, CAST(10 * (event_id % 7) AS DOUBLE) AS depth, 'TEMP' AS variable, round((event_id % 300) / 10, 6) AS value_num, round(CASE WHEN event_id % 5 <> 0 THEN (event_id % 10) / 100 END, 6) AS relative_error FROM e WHERE event_id % 4 <> 0
-UNION ALL SELECT user_id, valid_time, CAST(10 * (event_id % 7) AS DOUBLE), 'SAL', round(30 + (event_id % 50) / 10, 6), NULL FROM e WHERE event_id % 3 <> 0""")
+SELECT user_id, valid_time, CAST(10 * (event_id % 7) AS DOUBLE) AS depth, 'TEMP' AS variable, 'degC' AS unit, round((event_id % 300) / 10, 6) AS value_num, round(CASE WHEN event_id % 5 <> 0 THEN (event_id % 10) / 100 END, 6) AS relative_error FROM e WHERE event_id % 4 <> 0
+UNION ALL SELECT user_id, valid_time, CAST(10 * (event_id % 7) AS DOUBLE), 'SAL', 'psu', round(30 + (event_id % 50) / 10, 6), NULL FROM e WHERE event_id % 3 <> 0""")
 def s3(v: Views):
     k = F.col("event_id")
     text = lambda cond, c: F.when(cond, c.cast("string")).otherwise(F.lit("NaN"))
     data = v.events.select("user_id", F.concat_ws(
         ",", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), (10 * (k % 7)).cast("double").cast("string"), F.lit("9.5"), F.lit("79.5"),
-        text(k % 4 != 0, (k % 300) / 10), text(k % 5 != 0, (k % 10) / 100), text(k % 3 != 0, 30 + (k % 50) / 10), F.lit("")).alias("value"))
-    heads = v.events.select("user_id").distinct().select("user_id", F.explode(F.array(
-        F.lit("time,ZAX,latitude,longitude,TEMP,TERR,SAL,SERR"), F.lit("UTC,meter,degrees_north,degrees_east,degC,1,psu,1"))).alias("value"))
+        text(k % 4 != 0, (k % 300) / 10), text(k % 5 != 0, (k % 10) / 100), text(k % 3 != 0, 30 + (k % 50) / 10)).alias("value"))
+    # half of the files have the columns in another order
+    other = F.col("user_id") % 2 == 1
+    swapped = F.regexp_replace("value", "^([^,]*),([^,]*),([^,]*),([^,]*),([^,]*),([^,]*),([^,]*)$", "$1,$4,$3,$2,$7,$5,$6")
+    data = data.select("user_id", F.when(other, swapped).otherwise(F.col("value")).alias("value"))
+    heads = v.events.select("user_id").distinct().select("user_id", F.explode(F.when(
+        other, F.array(F.lit("time,longitude,latitude,ZAX,SAL,TEMP,TERR"), F.lit("UTC,degrees_east,degrees_north,meter,psu,degC,1"))).otherwise(F.array(
+            F.lit("time,ZAX,latitude,longitude,TEMP,TERR,SAL"), F.lit("UTC,meter,degrees_north,degrees_east,degC,1,psu")))).alias("value"))
     return src.ingest_griddap_csv(heads.unionByName(data), {"TEMP": "TERR", "SAL": "SERR"}).select(
-        "user_id", "valid_time", "depth", "variable", "value_num", "relative_error")
+        "user_id", "valid_time", "depth", "variable", "unit", "value_num", "relative_error")
 
 
 @query("s4_catalog_dates", """
@@ -202,18 +218,22 @@ def s15(v: Views):
     return pick("fresh").unionByName(pick("stale_ok", stale_ok=True))
 
 
-@query("s16_trace_lines", "SELECT step_id, query_id, kind, ts, round(duration_ms, 6) AS duration_ms FROM {trace_steps} QUALIFY row_number() OVER (PARTITION BY step_id ORDER BY ts, duration_ms) = 1")
+@query("s16_trace_lines", "SELECT step_id, query_id, kind, ts + INTERVAL 123456 MICROSECONDS AS ts, round(duration_ms, 6) AS duration_ms, 'd1' AS result_digest, 2 AS n_sources FROM {trace_steps} QUALIFY row_number() OVER (PARTITION BY step_id ORDER BY ts, duration_ms) = 1")
 def s16(v: Views):
-    body = F.to_json(F.struct("step_id", "query_id", "parent_id", "agent", "kind", "tool", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "duration_ms", "ok"))
+    body = F.to_json(F.struct("step_id", "query_id", "parent_id", "agent", "kind", "tool", F.struct(F.col("tool").alias("name")).alias("args"), F.lit("d1").alias("result_digest"),
+                              F.array(F.lit("a"), F.lit("b")).alias("provenance_ids"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".123456+00:00")).alias("ts"),
+                              "duration_ms", F.lit("why").alias("why"), "ok"))
     good = v.trace_steps.select(body.alias("value"))
     return src.read_traces(good.unionByName(good).unionByName(good.select(F.expr("substring(value, 1, 40)").alias("value")))).select(
-        "step_id", "query_id", "kind", "ts", "duration_ms")
+        "step_id", "query_id", "kind", "ts", "duration_ms", "result_digest", F.size("provenance_ids").alias("n_sources"))
 
 
 @query("s17_freeze_snapshots", f"""
 SELECT source_id, count(DISTINCT key) AS n_keys, max(fetched_at) AS newest FROM {{snapshots}} WHERE fetched_at <= TIMESTAMP '{AS_OF}' GROUP BY 1""")
 def s17(v: Views):
-    return src.freeze(v.snapshots, F.expr(NOW)).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_keys"), F.max("fetched_at").alias("newest"))
+    """The frozen set is written, partitioned by source, and read back."""
+    frozen = src.freeze(v.snapshots, F.expr(NOW), f"{shared_folder(v.spark)}/frozen-{uuid.uuid4().hex}")
+    return frozen.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_keys"), F.max("fetched_at").alias("newest"))
 
 
 @query("s18_export_features", f"""

@@ -11,6 +11,7 @@ from pelagia.functions import marine
 from pelagia.operators import fences, filters, observe, reports
 from pelagia.plans.spatial import nearest_features, polygons_containing
 from pelagia.session import shared_folder
+from pelagia.sources import ingest
 from pelagia.streaming import alerts
 
 SEGMENTS = "layer string, fkey int, part int, ring int, seq int, x1 double, y1 double, x2 double, y2 double, is_polygon boolean"
@@ -94,3 +95,40 @@ def test_stream_clears_by_the_timer(spark, tick_s):
     twin = reports.alert_transitions(frame.select("vessel_id", "layer", "fkey", "tick", "level_rank"), alerts.KEY)
     want = {(x.vessel_id, x.tick, x.level_rank, x.action) for x in twin.collect()}
     assert got == {x for x in want if x[0] != 9 or x[3] != "clear"}  # the newest sighting is not past the watermark yet
+
+
+FEATURE = '{"type":"Feature","feature_key":"k%d","source_id":"src","acquired_at":"2026-09-01T10:00:00.25+05:30","geometry":%s,"properties":%s}'
+
+
+def test_collections_and_single_features(spark):
+    point = FEATURE % (1, '{"type":"MultiPoint","coordinates":[[78,9],[79,8]]}', '{"a":"1"}')
+    line = FEATURE % (2, '{"type":"LineString","coordinates":[[78,9],[79,8],[80,8]]}', "{}")
+    rows = spark.createDataFrame([(1, '{"type":"FeatureCollection","features":[%s,%s]}' % (point, line)), (2, line), (3, "broken"), (4, '{"features":[]}')], "n int, value string")
+    features, segments = ingest.ingest_geojson(rows)
+    assert sorted((f.n, f.feature_key, f.source_id, str(f.acquired_at)) for f in features.collect()) == [
+        (1, "k1", "src", "2026-09-01 04:30:00.250000"), (1, "k2", "src", "2026-09-01 04:30:00.250000"), (2, "k2", "src", "2026-09-01 04:30:00.250000")]
+    assert sorted((x.n, x.feature_key, x.part, x.seq, x.x1) for x in segments.collect()) == [
+        (1, "k1", 0, 0, 78.0), (1, "k1", 1, 0, 79.0), (1, "k2", 0, 0, 78.0), (1, "k2", 0, 1, 79.0), (2, "k2", 0, 0, 78.0), (2, "k2", 0, 1, 79.0)]
+    assert sorted(x.n for x in ingest.rejected_rows(rows, features, ["n"]).collect()) == [3, 4]
+
+
+def test_cyclones_from_a_collection(spark):
+    one = lambda k, more="": FEATURE % (k, '{"type":"Point","coordinates":[80.5,9.5]}', '{"eventid":%d,"episodeid":1,"iscurrent":"true","fromdate":"2026-09-01T10:00:00"%s}' % (k, more))
+    rows = spark.createDataFrame([('{"features":[%s,%s,%s]}' % (one(1), one(2, ',"name":"Storm"'), FEATURE % (3, "null", "{}")),), (one(4),), ("x",)], "value string")
+    got = sorted((e.event_id, e.name, e.lat, e.alert_level, e.is_current, str(e.from_date)) for e in ingest.parse_cyclones(rows).collect())
+    assert got == [("1", "TC-1", 9.5, "Green", True, "2026-09-01 10:00:00"), ("2", "Storm", 9.5, "Green", True, "2026-09-01 10:00:00"), ("4", "TC-4", 9.5, "Green", True, "2026-09-01 10:00:00")]
+
+
+def test_csv_columns_by_name(spark):
+    lines = ["time,latitude,longitude,chl", "UTC,degrees_north,degrees_east,mg m-3", "2026-09-01T00:00:00Z,9.5,79.5,0.4", "2026-09-02T00:00:00Z,9.5,79.5,NaN"]
+    rows = spark.createDataFrame([("f", x) for x in lines] + [("no names", lines[2])], "file string, value string")
+    got = ingest.ingest_griddap_csv(rows, {"chl": None, "sst": None})
+    assert [(x.file, x.variable, x.value_num, x.unit, x.lat, x.depth) for x in got.collect()] == [("f", "chl", 0.4, "mg m-3", 9.5, None)]
+    assert ingest.rejected_rows(rows.select("file").distinct(), got, ["file"]).first().file == "no names"
+
+
+def test_trace_times(spark):
+    lines = ['{"step_id":"%s","query_id":"q","ts":"%s","provenance_ids":["p"],"args":{"a":1},"why":"w"}' % (i, t) for i, t in enumerate(
+        ["2026-09-01T10:00:00.123456+00:00", "2026-09-01T10:00:00", "2026-09-01T10:00:00+05:30", "nonsense"])]
+    got = {x.step_id: str(x.ts) for x in ingest.read_traces(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
+    assert got == {"0": "2026-09-01 10:00:00.123456", "1": "2026-09-01 10:00:00", "2": "2026-09-01 04:30:00", "3": "None"}
