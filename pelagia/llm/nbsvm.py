@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import arrow_stage, cut_lineage
+from pelagia.llm.common import arrow_stage
 
 SLOTS = 1 << 18
 #: Labelled rows the descent and the logistic curve learn from, three quarters and one quarter.
@@ -116,20 +116,20 @@ def logistic(margins: np.ndarray, good: np.ndarray, rounds: int = 100) -> tuple[
     return max(a, 1e-3), c
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, mix: float = 0.25) -> tuple[Model, np.ndarray]:
-    """Model and log-count ratios from ``labelled`` (``id``, ``label`` 0 or 1, ``slots``); other labels are left out.
+def fit(labelled: DataFrame, sample: DataFrame, mix: float = 0.25) -> tuple[Model, np.ndarray]:
+    """Model and log-count ratios; both tables have ``label`` (0 or 1) and ``slots``, ``sample`` also ``id``.
 
-    With one class only, or none, the score is that class's smoothed share.
+    The ratios count ``labelled``, the descent learns from ``sample``. With one class only, or none, the score is that
+    class's smoothed share.
     """
-    known = cut_lineage(labelled.filter(F.col("label").isin(0, 1)))
-    counted = known.select("label", F.explode("slots").alias("slot")).groupBy("slot").agg(
+    counted = labelled.select("label", F.explode("slots").alias("slot")).groupBy("slot").agg(
         F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("poor")).toArrow()
     p, q = np.ones(SLOTS), np.ones(SLOTS)
     at = counted.column("slot").to_numpy()
     p[at] += counted.column("good").to_numpy()
     q[at] += counted.column("poor").to_numpy()
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    picked = known.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    picked = sample.orderBy(F.xxhash64("id"), "id", F.xxhash64("slots")).toArrow()
     rows = [np.asarray(r, dtype=np.int64) for r in picked.column("slots").to_pylist()]
     good = picked.column("label").to_numpy() == 1
     if not len(rows) or good.all() or not good.any():
@@ -157,8 +157,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column, label_c
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                         F.col(text_col).cast("string").alias("text"))
     given = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("label is not null")
-    taught = plain.filter(~F.col("held_out")).join(given, "id")
-    model, ratio = fit(with_slots(taught), sample)
+    given = given.filter(F.col("label").isin(0, 1))
+    # the sample is drawn on ids alone, so its size bounds what is broadcast and what the driver gets
+    picked = plain.filter(~F.col("held_out")).select("id").join(given.hint("merge"), "id").orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+    taught = plain.filter(~F.col("held_out")).select("id", "text").hint("merge").join(given.hint("merge"), "id")
+    drawn = plain.join(F.broadcast(picked.distinct()), "id")
+    model, ratio = fit(with_slots(taught), with_slots(drawn))
     ratio = ratio.astype(np.float32)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
