@@ -103,6 +103,19 @@ def forest(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return edges
 
 
+def pair_within(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """Which of many (n x 2) pairs differ in at most ``bits`` bits: discarded by pivots first, then verified."""
+    live = np.arange(len(pairs))
+    for p in pivots():
+        if not len(live):
+            break
+        gap = np.bitwise_count(pairs[live, 0] ^ p).astype(np.int8) - np.bitwise_count(pairs[live, 1] ^ p).astype(np.int8)
+        live = live[np.abs(gap) <= bits]
+    good = np.zeros(len(pairs), dtype=bool)
+    good[live] = np.bitwise_count(pairs[live, 0] ^ pairs[live, 1]) <= bits
+    return good
+
+
 def nearest_forest(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """A minimum spanning forest of the links at ``bits`` or fewer bits: everyone meets its nearest others first."""
     edges: list[tuple[int, int]] = []
@@ -159,7 +172,12 @@ def links(distinct: DataFrame, bits: int = 3, bucket: int = BUCKET, masks: list[
     def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = []
+            twos = np.array([f for f in frame["fps"] if len(f) == 2], dtype=np.int64).reshape(-1, 2)
+            close = pair_within(twos.view(np.uint64), bits)
+            found.extend(map(tuple, twos[close].tolist()))
             for fps in frame["fps"]:
+                if len(fps) == 2:
+                    continue
                 values = np.asarray(fps, dtype=np.int64)
                 found.extend((values[i], values[j]) for i, j in span(values.view(np.uint64), bits))
             yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
@@ -196,7 +214,7 @@ def shingle_set(text: Column, width: int) -> Column:
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8,
-                  bits: int = 14, tables: int = 112, sample: int = 22) -> DataFrame:
+                  bits: int = 14, tables: int = 112, sample: int = 20) -> DataFrame:
     """``id``, ``component_id`` per row of ``docs``: texts linked at Jaccard similarity ``least`` of their ``width``-word runs.
 
     Fingerprints of three-word shingles find the pairs: at ``bits`` or fewer differing bits, among those that agree on
