@@ -44,18 +44,19 @@ def j5(v: Views):
 
 
 @query("j6_directory_lookup", """
-WITH a AS (SELECT s_name AS name, '+91 ' || CAST(s_suppkey AS VARCHAR(10)) AS contact, s_suppkey % 2 = 0 AS verified FROM {supplier} WHERE s_suppkey % 3 = 0),
-b AS (SELECT n_name AS district, '+92 ' || CAST(n_nationkey AS VARCHAR(10)) AS contact, n_nationkey % 4 = 0 AS verified FROM {nation} WHERE n_nationkey % 2 = 0)
+WITH a AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE s_name || ' (closed)' END AS name, '+91 ' || CAST(s_suppkey AS VARCHAR(10)) AS contact, s_suppkey % 2 = 0 AS verified FROM {supplier}),
+b AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE n_name || ' (old)' END AS district, '+92 ' || CAST(n_nationkey AS VARCHAR(10)) AS contact, n_nationkey % 4 = 0 AS verified FROM {nation})
 SELECT port_id, CASE WHEN a.contact IS NOT NULL THEN 'centre' WHEN b.contact IS NOT NULL THEN 'district' END AS matched_by,
        coalesce(CASE WHEN a.contact IS NOT NULL THEN a.verified ELSE b.verified END, false) AS verified,
        CASE WHEN CASE WHEN a.contact IS NOT NULL THEN a.verified ELSE b.verified END THEN coalesce(a.contact, b.contact) END AS contact
 FROM {ports} p LEFT JOIN a USING (name) LEFT JOIN b USING (district)""")
 def j6(v: Views):
-    own = v.supplier.where("s_suppkey % 3 = 0").select(
-        F.col("s_name").alias("name"), F.concat(F.lit("+91 "), F.col("s_suppkey").cast("string")).alias("contact"),
+    renamed = lambda c, keep, tail: F.when(keep, F.col(c)).otherwise(F.concat(F.col(c), F.lit(tail)))
+    own = v.supplier.select(
+        renamed("s_name", F.col("s_suppkey") % 3 == 0, " (closed)").alias("name"), F.concat(F.lit("+91 "), F.col("s_suppkey").cast("string")).alias("contact"),
         (F.col("s_suppkey") % 2 == 0).alias("verified"))
-    area = v.nation.where("n_nationkey % 2 = 0").select(
-        F.col("n_name").alias("district"), F.concat(F.lit("+92 "), F.col("n_nationkey").cast("string")).alias("contact"),
+    area = v.nation.select(
+        renamed("n_name", F.col("n_nationkey") % 2 == 0, " (old)").alias("district"), F.concat(F.lit("+92 "), F.col("n_nationkey").cast("string")).alias("contact"),
         (F.col("n_nationkey") % 4 == 0).alias("verified"))
     return joins.directory_lookup(v.ports, own, area).select("port_id", "matched_by", "verified", "contact")
 
@@ -78,7 +79,7 @@ def j7(v: Views):
     return fence_ops.class_coverage(present, "scan")
 
 
-_FILES = """(SELECT DISTINCT event_type AS product, ADDS(DAY_OF(ts); (user_id % 3) * 21600) AS file_time FROM {events} WHERE user_id % 4 = 0)"""
+_FILES = """(SELECT DISTINCT event_type AS product, ADDS(DAY_OF(ts); (user_id % 3) * 21600) AS file_time FROM {events})"""
 _TARGETS = """(SELECT event_id, event_type AS product, ADDS(ts; -43200) AS target FROM {events})"""
 
 
@@ -92,7 +93,7 @@ def j8(v: Views):
         .select("event_id", "file_time", "fell_back")
 
 
-_SLICES = """(SELECT DISTINCT event_type AS product, HOUR_OF(ts) AS valid_time FROM {events} WHERE user_id % 10 = 3)"""
+_SLICES = """(SELECT DISTINCT event_type AS product, HOUR_OF(ts) AS valid_time FROM {events})"""
 
 
 @query("j9_nearest_time_slice", f"""

@@ -113,13 +113,14 @@ def w8(v: Views):
 
 
 @query("a2_trend_direction", """
-WITH src AS (SELECT user_id, event_type, ts, value / 10000 AS y FROM {events} WHERE event_type IN ('view', 'click')), """
+WITH src AS (SELECT user_id, CASE WHEN event_type IN ('view', 'signup', 'error') THEN 'view' ELSE 'click' END AS event_type, ts, value / 10000 AS y FROM {events}), """
        + TREND.replace("{src}", "src").replace("{keys}", "user_id, event_type") + """,
 dir AS (SELECT user_id, event_type, CASE WHEN slope_per_decade IS NULL THEN 'unknown' WHEN abs(slope_per_decade) <= coalesce(CASE WHEN event_type = 'view' THEN 0.05 ELSE slope_se END, 0) THEN 'stable' WHEN slope_per_decade > 0 THEN 'rising' ELSE 'falling' END AS d FROM tr),
 p AS (SELECT user_id, max(CASE WHEN event_type = 'view' THEN d END) AS first_direction, max(CASE WHEN event_type = 'click' THEN d END) AS second_direction FROM dir GROUP BY 1)
 SELECT *, coalesce((first_direction = 'rising' AND second_direction = 'falling') OR (first_direction = 'falling' AND second_direction = 'rising'), false) AS conflict FROM p""")
 def a2(v: Views):
-    src = v.events.where(F.col("event_type").isin("view", "click")).withColumn("y", F.col("value") / 10000)
+    signal = F.when(F.col("event_type").isin("view", "signup", "error"), "view").otherwise("click")
+    src = v.events.withColumns({"event_type": signal, "y": F.col("value") / 10000})
     t = ops.ols_trend(src, ["user_id", "event_type"], "ts", "y", "2024-01-01 00:00:00")
     eps = F.when(F.col("event_type") == "view", F.lit(ops.TREND_EPSILON)).otherwise(F.col("slope_se"))
     directed = t.withColumn("direction", ops.trend_direction("slope_per_decade", eps))
@@ -197,10 +198,10 @@ def w12(v: Views):
 
 
 @query("u1_union_of_sources", """
-SELECT source_id, variable, count(*) AS n FROM {observations} WHERE source_id IN ('incois_osf_wave', 'openmeteo_marine') GROUP BY 1, 2""")
+SELECT source_id, variable, count(*) AS n FROM {observations} GROUP BY 1, 2""")
 def u1(v: Views):
     one = v.observations.where("source_id = 'incois_osf_wave'").drop("valid_to")
-    two = v.observations.where("source_id = 'openmeteo_marine'")
+    two = v.observations.where("source_id <> 'incois_osf_wave'")
     return ops.union_readings(one, two).groupBy("source_id", "variable").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -263,10 +264,10 @@ def a14(v: Views):
 
 
 @query("a13_worst_level", """
-WITH r AS (SELECT user_id % 50 AS loc, CASE WHEN value > 95 THEN 2 WHEN value > 90 THEN 1 ELSE 0 END AS lvl FROM {events} WHERE user_id % 7 <> 0)
+WITH r AS (SELECT user_id % 50 AS loc, CASE WHEN value > 95 THEN 2 WHEN value > 90 THEN 1 ELSE 0 END AS lvl FROM {events})
 SELECT k.loc, CAST(coalesce(max(r.lvl), 2) AS INT) AS worst_rank FROM (SELECT DISTINCT user_id % 60 AS loc FROM {events}) k LEFT JOIN r USING (loc) GROUP BY 1""")
 def a13(v: Views):
-    rows = v.events.where("user_id % 7 <> 0").select((F.col("user_id") % 50).alias("loc"), F.when(
+    rows = v.events.select((F.col("user_id") % 50).alias("loc"), F.when(
         F.col("value") > 95, 2).when(F.col("value") > 90, 1).otherwise(0).alias("lvl"))
     return reports.worst_level(rows, ["loc"], "lvl", v.events.select((F.col("user_id") % 60).alias("loc")).distinct(), 2)
 

@@ -59,16 +59,16 @@ def a7(v: Views):
 
 
 @query("u2_hazard_union", """
-WITH e AS (SELECT event_id % 400 AS k FROM {cyclones} WHERE is_current AND alert_level = 'Red' AND event_id % 3 = 0),
-p AS (SELECT seq % 400 AS k FROM {features} WHERE layer_id = 'mpa' AND seq % 5 = 0), t AS (SELECT event_id % 400 AS k FROM {cyclones} WHERE alert_level = 'Orange' AND event_id % 5 = 0),
+WITH e AS (SELECT event_id % 400 AS k FROM {cyclones} WHERE is_current AND alert_level = 'Red'),
+p AS (SELECT seq % 400 AS k FROM {features} WHERE layer_id = 'mpa'), t AS (SELECT event_id % 400 AS k FROM {cyclones} WHERE alert_level = 'Orange'),
 r AS (SELECT c_custkey % 500 AS k FROM {customer} GROUP BY 1)
 SELECT k, (SELECT count(*) FROM e WHERE e.k = r.k) AS events, (SELECT count(*) FROM p WHERE p.k = r.k) AS polygons, (SELECT count(*) FROM t WHERE t.k = r.k) AS tracks,
        CASE WHEN k % 50 = 7 THEN 'unknown' WHEN (SELECT count(*) FROM e WHERE e.k = r.k) + (SELECT count(*) FROM p WHERE p.k = r.k) + (SELECT count(*) FROM t WHERE t.k = r.k) = 0 THEN 'no_active_hazard' ELSE 'hazard' END AS state FROM r""")
 def u2(v: Views):
     k = lambda c: (F.col(c) % 400).alias("k")
-    events = v.cyclones.where("is_current AND alert_level = 'Red' AND event_id % 3 = 0").select(k("event_id"))
-    tracks = v.cyclones.where("alert_level = 'Orange' AND event_id % 5 = 0").select(k("event_id"))
-    polygons = v.features.where("layer_id = 'mpa' AND seq % 5 = 0").select(k("seq"))
+    events = v.cyclones.where("is_current AND alert_level = 'Red'").select(k("event_id"))
+    tracks = v.cyclones.where("alert_level = 'Orange'").select(k("event_id"))
+    polygons = v.features.where("layer_id = 'mpa'").select(k("seq"))
     regions = v.customer.select((F.col("c_custkey") % 500).alias("k")).distinct()
     return reports.hazard_summary(regions, "k", events, polygons, tracks, regions.where("k % 50 = 7"))
 
