@@ -175,11 +175,11 @@ def alert_transitions(ticks: DataFrame, keys: list[str], acks: DataFrame | None
     cleared there; an acknowledgement at a tick makes the key inactive for the next one.
     Each row is sent to its own tick and the next, so no per-key ordering is needed.
     """
-    here = ticks.select(*keys, "tick", F.col("level_rank").alias("cur"), F.lit(None).cast("int").alias("prev"),
-                        F.lit(None).cast("boolean").alias("ack"))
-    after = ticks.select(*keys, (F.col("tick") + 1).alias("tick"), F.lit(None).cast("int").alias("cur"),
-                         F.col("level_rank").alias("prev"), F.lit(None).cast("boolean").alias("ack"))
-    rows = here.unionByName(after)
+    none = F.lit(None).cast("int")
+    rows = ticks.select(*keys, F.inline(F.array(
+        F.struct(F.col("tick").alias("tick"), F.col("level_rank").alias("cur"), none.alias("prev")),
+        F.struct((F.col("tick") + 1).alias("tick"), none.alias("cur"), F.col("level_rank").alias("prev"))))).withColumn(
+        "ack", F.lit(None).cast("boolean"))
     if acks is not None:
         rows = rows.unionByName(acks.select(*keys, (F.col("tick") + 1).alias("tick"), F.lit(None).cast("int").alias("cur"),
                                             F.lit(None).cast("int").alias("prev"), F.lit(True).alias("ack")))
