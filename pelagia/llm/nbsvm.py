@@ -13,7 +13,6 @@ labelled rows for the descent. Scoring is one pass over the texts with the folde
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -29,7 +28,40 @@ SLOTS = 1 << 18
 SAMPLE = 6000
 #: Byte classes of shapes: small letter, capital, digit, any other as it is; bytes of other scripts count as small.
 _SHAPE = bytes(97 if 97 <= b <= 122 or b > 127 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
-_RUN = re.compile(rb"([aA0])\1+")
+_FOLDED = np.isin(np.arange(256), [97, 65, 48])
+
+
+def shape(raw: bytes) -> bytes:
+    """Small letters, capitals and digits by class, runs of one class folded; other characters as they are."""
+    now = np.frombuffer(raw.translate(_SHAPE), dtype=np.uint8)
+    keep = np.ones(len(now), dtype=bool)
+    keep[1:] = (now[1:] != now[:-1]) | ~_FOLDED[now[1:]]
+    return now[keep].tobytes()
+
+
+class _Numbers(dict):
+    """crc32 of words, computed once while the word is kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        value = self[word] = zlib.crc32(word)
+        return value
+
+
+_WORDS, _SEEN = _Numbers(), np.zeros(SLOTS, dtype=bool)
+
+
+def _chained(numbers: np.ndarray, length: int, kind: int) -> np.ndarray:
+    """Slots of the runs of ``length`` neighbours."""
+    n = len(numbers) - length + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        x = np.full(n, kind + 1, dtype=np.uint64)
+        for k in range(length):
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + numbers[k:k + n]
+        return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - SLOTS.bit_length() + 1)
 
 
 def slots(text: str | None) -> np.ndarray:
@@ -38,16 +70,16 @@ def slots(text: str | None) -> np.ndarray:
     words = raw.split()
     if not words:
         return np.zeros(0, dtype=np.int32)
-    crc = zlib.crc32
-    shapes = _RUN.sub(rb"\1", raw.translate(_SHAPE)).split()
-    found = {crc(w) for w in set(words)}
-    found.update(crc(b"\x01" + a + b" " + b) for a, b in set(zip(words, words[1:])))
-    found.update(crc(b"\x02" + s) for s in set(shapes))
-    found.update(crc(b"\x03" + a + b" " + b) for a, b in set(zip(shapes, shapes[1:])))
-    found.update(crc(b"\x04" + a + b" " + b + b" " + c) for a, b, c in set(zip(shapes, shapes[1:], shapes[2:])))
-    if any(a == b for a, b in zip(words, words[1:])):
-        found.add(crc(b"\x05"))
-    return np.unique(np.fromiter(found, dtype=np.uint32, count=len(found)) & np.uint32(SLOTS - 1)).astype(np.int32)
+    shapes = shape(raw).split()
+    w = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    s = np.fromiter(map(_WORDS.__getitem__, shapes), dtype=np.uint64, count=len(shapes))
+    for numbers, length, kind in ((w, 1, 0), (w, 2, 1), (s, 1, 2), (s, 2, 3), (s, 3, 4)):
+        _SEEN[_chained(numbers, length, kind)] = True
+    if (w[1:] == w[:-1]).any():
+        _SEEN[zlib.crc32(b"\x05") & (SLOTS - 1)] = True
+    found = np.flatnonzero(_SEEN)
+    _SEEN[found] = False
+    return found.astype(np.int32)
 
 
 def with_slots(docs: DataFrame, text_col: str = "text") -> DataFrame:
