@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pelagia.llm import hnsw, html_text, lm_score, nbsvm, packing, quality_rules, secrets, simhash, suffix_dedup, word_bpe
 from pelagia.llm.common import cut_lineage, table
+from pelagia.llm.quality_sql import checking_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -31,7 +32,7 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", checking_sql())
 def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document and whether the weighed rules keep it."""
     counted = quality_rules.rule_stats(table(spark, sf_dir, "documents")).select("doc_id", "stats")
@@ -100,13 +101,28 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.learn(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
-@query("op6_embedding_near_dedup")
+@query("op6_embedding_near_dedup", """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+w(a, b) AS (SELECT a, b FROM l UNION SELECT w.a, l.b FROM w JOIN l ON l.a = w.b),
+k AS (SELECT a, min(b) AS b FROM w GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(k.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(k.b, vec_id)) AS kept
+FROM v LEFT JOIN k ON k.a = vec_id LEFT JOIN n ON n.a = vec_id""")
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector at cosine 0.93 or more within its label."""
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
 
 
-@query("op9_suffix_array_dedup")
+@query("op9_suffix_array_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, unnest(range(length(h) // 2)) AS pos, unnest(string_split_regex(regexp_replace(h, '(..)', '\\1 ', 'g'), ' ')[1:length(h) // 2]) AS b, unnest(list_transform(range(length(h) // 2), lambda i: CASE WHEN 2 * i + 100 <= length(h) THEN substr(h, 2 * i + 1, 100) END)) AS w FROM d),
+g AS (SELECT *, w IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY w) AS gone FROM p),
+c AS (SELECT doc_id, pos, b, coalesce(bool_or(gone) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS cut FROM g),
+r AS (SELECT *, coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY pos), false) AS before FROM c)
+SELECT d.doc_id, CAST(length(any_value(h)) // 2 AS BIGINT) AS n_bytes, count(*) FILTER (WHERE cut) AS n_removed, count(*) FILTER (WHERE cut AND NOT before) AS n_spans,
+       sha256(unhex(coalesce(string_agg(b, '' ORDER BY pos) FILTER (WHERE NOT cut), ''))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""")
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without 50-byte strings of earlier documents."""
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50)
