@@ -68,7 +68,7 @@ def test_nearest_equals_brute_force(spark, k, rows_limit, spread):
     # A third of the points in one place: a hot cell.
     points += [(150 + i, -5.0, 65.0) for i in range(75)] + [(300, None, 60.0)]
     got = nearest_features(spark.createDataFrame(points, "pid INT, lat DOUBLE, lon DOUBLE"), spark.createDataFrame(rows, SEG),
-                           k=k, point_key=("pid",), broadcast_rows=rows_limit)
+                           k=k, broadcast_rows=rows_limit)
     found = {(r.pid, r.layer, r.rank): (r.fkey, round(r.distance_nm, 6), r.inside) for r in got.collect()}
     want = brute([p for p in points if p[1] is not None], rows, k)
     assert found.keys() == want.keys()
@@ -79,7 +79,7 @@ def test_far_points_and_identical_ports(spark):
     ports = [(i, 10.0 if i < 5 else 40.0, 20.0 if i < 5 else -150.0) for i in range(8)]
     df = spark.createDataFrame(ports, "port_id INT, lat DOUBLE, lon DOUBLE")
     points = spark.createDataFrame([(1, -60.0, 170.0), (2, 10.0, 20.0)], "pid INT, lat DOUBLE, lon DOUBLE")
-    got = nearest_features(points, point_segments(df, "p", "port_id", "lat", "lon"), k=2, point_key=("pid",))
+    got = nearest_features(points, point_segments(df, "p", "port_id", "lat", "lon"), k=2)
     found = sorted((r.pid, r.rank, r.fkey) for r in got.collect())
     order = sorted(ports, key=lambda p: (round(haversine(-60, 170, p[1], p[2]), 9), p[0]))
     assert found == [(1, 1, order[0][0]), (1, 2, order[1][0]), (2, 1, 0), (2, 2, 1)]
@@ -90,7 +90,7 @@ def test_max_distance_and_polygons(spark):
     points = [(i, -10 + i * 0.37 % 20, 60 + i * 0.73 % 20) for i in range(200)]
     pdf = spark.createDataFrame(points, "pid INT, lat DOUBLE, lon DOUBLE")
     segs = spark.createDataFrame(rows, SEG)
-    near = nearest_features(pdf, segs, max_nm=30.0, point_key=("pid",)).collect()
+    near = nearest_features(pdf, segs, max_nm=30.0).collect()
     want = {key[:2]: v for key, v in brute(points, rows, 1).items() if v[1] <= 30}
     assert {(r.pid, r.layer): (r.fkey, round(r.distance_nm, 6), r.inside) for r in near} == want
     inside = {(r.pid, r.fkey) for r in polygons_containing(pdf, segs).collect()}
