@@ -35,26 +35,39 @@ CHUNK_BYTES, RANGE_BYTES = 5_000_000, 12_000_000
 _BYTE = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8).digest() for b in range(256)), dtype="<u8").astype(np.uint64)
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Rank of a string from the ranks of its two parts."""
-    x = a >> np.uint64(31)
-    x ^= a
-    x *= np.uint64(0x9E3779B97F4A7C15)
+#: Odd multipliers of the doubling steps.
+_STEPS = [int.from_bytes(hashlib.blake2b(b"step%d" % i, digest_size=8).digest(), "little") | 1 for i in range(8)]
+
+
+def _pair(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
+    """Sum of ranks of a string's two parts: linear in the ranks of its bytes, with its own factor at every place."""
+    x = a * np.uint64(_STEPS[step])
     x += b
+    return x
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    """The same ranks spread evenly over the 64-bit range; different sums stay different."""
+    x = x ^ (x >> np.uint64(32))
+    x *= np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
     return x
 
 
-def ranks(data: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
-    """Ranks of the strings of each length at every position that has room, lengths ascending, by doubling."""
-    now, size, out = _BYTE[data], 1, []
+def ranks(data: np.ndarray, lengths: list[int], at: np.ndarray | None = None) -> list[np.ndarray]:
+    """Ranks of the strings of each length, lengths ascending, by doubling; at every position with room or those ``at``."""
+    now, size, step, out = _BYTE[data], 1, 0, []
     for want in lengths:
         while 2 * size <= want:
-            now = _pair(now[:-size], now[size:]) if len(now) > size else now[:0]
-            size *= 2
+            now = _pair(now[:-size], now[size:], step) if len(now) > size else now[:0]
+            size, step = 2 * size, step + 1
         over = want - size
-        out.append(now if not over else _pair(now[:-over], now[over:]) if len(now) > over else now[:0])
+        if at is not None and over:
+            whole = _pair(now[at], now[at + over], 7)
+        else:
+            whole = now if not over else _pair(now[:-over], now[over:], 7) if len(now) > over else now[:0]
+            whole = whole if at is None else whole[at]
+        out.append(_spread(whole))
     return out
 
 
@@ -104,7 +117,7 @@ class Chunk:
                 out.append((np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)))
                 continue
             at = np.flatnonzero(np.repeat(again, length))
-            out.append((at, ranks(np.frombuffer(data, dtype=np.uint8), [self.width])[0][at]))
+            out.append((at, ranks(np.frombuffer(data, dtype=np.uint8), [self.width], at)[0]))
         return out
 
 

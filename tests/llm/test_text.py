@@ -156,6 +156,26 @@ def test_repeated_passages(spark, chunk_bytes):
     assert same([(r["id"], r["n_bytes"], r["starts"], bytes(r["kept"])) for r in got], repeats(given, 50))
 
 
+@pytest.mark.parametrize("length", [25, 50])
+def test_every_place_counts_in_a_rank(length):
+    """Ranks are sums over places before spreading; no place's factor may lose many of the 64 bits."""
+    def summed(byte_ranks):
+        now, size, step = byte_ranks, 1, 0
+        while 2 * size <= length:
+            now, size, step = suffix_dedup._pair(now[:-size], now[size:], step), 2 * size, step + 1
+        return suffix_dedup._pair(now[:-(length - size)], now[length - size:], 7)[0]
+
+    factors = []
+    for k in range(length):
+        one = np.zeros(length, dtype=np.uint64)
+        one[k] = 1
+        factors.append(int(summed(one)))
+    assert len(set(factors)) == length
+    low = lambda x: (x & -x).bit_length() - 1
+    assert all(f and low(f) <= 8 for f in factors)
+    assert all(low(abs(a - b)) <= 12 for i, a in enumerate(factors) for b in factors[:i])
+
+
 def test_repeated_passages_as_text(spark):
     got = suffix_dedup.remove_repeats(docs(spark), carry=("lang", "n_chars"), as_text=True).collect()
     by = Counter((r["lang"], r["kept"] is None) for r in got)
