@@ -9,9 +9,8 @@ discarded without being compared, and only the survivors' exact distance is take
 
 Pairs are not emitted: a bucket returns a spanning forest of its links, which carries the same components.
 
-``similar_texts`` looks further: texts that share four fifths of their word shingles differ in more bits than whole
-blocks can promise, so buckets are made from many random samples of bits, each bucket links its members to their nearest
-others through the same pivot filter, and the links are verified on the shingles themselves.
+``similar_texts`` looks further: texts that share four fifths of their word runs differ in more bits than whole blocks can
+promise, so fingerprints only propose links there and an equi-join on each text's least common runs finds all others.
 """
 
 from __future__ import annotations
@@ -26,15 +25,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import arrow_stage, cut_lineage, words
+from pelagia.llm.common import arrow_stage, cut_lineage
 from pelagia.llm.graph import components
-from pelagia.llm.quality_rules import let
+from pelagia.session import at_most
 
 SEED = 42
 #: Number of reference fingerprints in the distance table.
 PIVOTS = 48
 #: Most fingerprints of one bucket in one task; larger buckets are dealt out in pairs of chunks.
 BUCKET = 4096
+#: Common runs that are put last, at most; the order of the others does not matter.
+COMMON = 1 << 20
+#: Slots of the hash space in a text's sketch.
+SLOTS = 1024
+#: Rows up to which a table is broadcast.
+FEW = 500_000
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -206,31 +211,179 @@ def grouped(rows: DataFrame, distinct: DataFrame, linked: DataFrame) -> DataFram
     return rows.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
 
 
-def shingle_set(text: Column, width: int) -> Column:
-    """Distinct 64-bit hashes of the runs of ``width`` words, A-Z lower-cased; shorter texts are one run."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return let(words(lower), lambda w: F.when(F.size(w) < width, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array_distinct(
-        F.slice(F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, width)])), F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))))))
+def runs_of(text: str | None, width: int) -> np.ndarray:
+    """Distinct 64-bit hashes, ascending, of the runs of ``width`` words, A-Z lower-cased; shorter texts are one run."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(found) < width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED)], dtype=np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found, itertools.repeat(SEED)), dtype=np.uint64, count=len(found))
+    n = len(found) - width + 1
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(width):
+        out = (out ^ hashes[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def node_of(runs: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(runs.tobytes(), SEED)
+
+
+def signed(values) -> pa.Array:
+    return pa.array(np.asarray(values, dtype=np.uint64).view(np.int64))
+
+
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), signed(np.concatenate(arrays)))
+
+
+def common_runs(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs met in several of every eighth text, ascending, and how often.
+
+    They only decide which runs come last in the order of ``similar_texts``; its result is the same without them.
+    """
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([signed(np.concatenate([runs_of(t.as_py(), width) for t in batch.column(0)]))], ["run"])
+
+    some = texts.filter(F.pmod(F.xxhash64("id", "text"), F.lit(8)) == 0).select("text")
+    counts = cut_lineage(arrow_stage(some, step, "run long").groupBy("run").count().filter("count >= 3"))
+    least, left = 3, COMMON
+    for r in sorted(counts.groupBy("count").agg(F.count(F.lit(1)).alias("runs")).collect(), key=lambda r: -r["count"]):
+        left -= r["runs"]
+        if left < 0:
+            least = r["count"] + 1
+            break
+    found = counts.filter(F.col("count") >= least).toArrow()
+    runs, often = found["run"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(runs)
+    return runs[order], often[order]
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The ``pairs`` (``a``, ``b``) of run sets whose Jaccard similarity is ``least`` or more."""
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        runs = [runs_of(t.as_py(), width) for t in batch.column(0)]
+        return pa.RecordBatch.from_arrays([signed([node_of(r) for r in runs]), lists(runs)], ["node", "runs"])
+
+    ends = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    shown = arrow_stage(texts.select("text"), step, "node long, runs array<long>").join(few(ends), "node")
+    runs = cut_lineage(shown.groupBy("node").agg(F.first("runs").alias("runs")))
+    both = pairs.join(runs.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a").join(
+        runs.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return cut_lineage(both.filter(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+
+
+def parity(runs: np.ndarray) -> np.ndarray:
+    """Per slot of the hash space, whether an odd number of the runs lies in it: sixteen words of bits."""
+    odd = np.bincount((runs >> np.uint64(32)).astype(np.int64) % SLOTS, minlength=SLOTS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def sieved(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` that may be similar: their run sets differ at least in as many runs as parities, and no pair with
+    more than (1 - least) / (1 + least) of both sizes of differing runs is similar. None that is similar is lost."""
+    x = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("x"))
+    y = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("y"))
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    return pairs.join(x, "a").join(y, "b").filter((F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-6) & (
+        differ <= (1 - least) / (1 + least) * (F.col("na") + F.col("nb")) + 1e-6)).select("a", "b")
+
+
+def few(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if at_most(table, FEW) else table
+
+
+def ordered_pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def proposals(rows: DataFrame) -> DataFrame:
+    """``a``, ``b``: texts whose fingerprints are equal or linked at three bits."""
+    of = cut_lineage(rows.groupBy("fp").agg(F.min("node").alias("m")))
+    near = links(of.select("fp"), 3)
+    near = near.join(of.select(F.col("fp").alias("a"), F.col("m").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("m").alias("y")), "b")
+    same = rows.select("fp", "node").distinct().join(of, "fp").select(F.col("node").alias("x"), F.col("m").alias("y"))
+    return near.select("x", "y").union(same).filter("x <> y").select(*ordered_pair("x", "y"))
+
+
+def apart(met: DataFrame, least: float, bucket: int) -> DataFrame:
+    """``a``, ``b``: every pair that may be similar, shares a run of ``met`` and lies in two parts (``root``).
+
+    ``met`` has ``run``, ``node``, the text's number of runs ``n``, the run's place ``pos`` in its order and ``root``.
+    At the first run that two texts share, no more can be shared than that run and what follows it in both. Runs with
+    more than ``bucket`` texts are dealt out in pairs of chunks.
+    """
+    sizes = met.groupBy("run").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(
+        "run", F.ceil(F.col("m") / bucket).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
+    dealt = met.join(sizes, "run").withColumn("own", own).select(
+        "run", F.struct("node", "n", "pos", "root", "own").alias("text"), F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.struct(
+            F.least(F.col("own"), other).alias("i"), F.greatest(F.col("own"), other).alias("j")))).alias("of"))
+    groups = dealt.groupBy("run", "of").agg(F.collect_list("text").alias("texts")).filter(F.size("texts") > 1).select(
+        (F.col("of.i") < F.col("of.j")).alias("two"), *[F.col("texts")[c].alias(c) for c in ("node", "n", "pos", "root", "own")])
+    share = least / (1 + least)
+
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for two, *columns in frame.itertuples(index=False, name=None):
+                node, n, pos, root, chunk = (np.asarray(c, dtype=np.int64) for c in columns)
+                for k in range(len(node) - 1):
+                    rest = slice(k + 1, None)
+                    may = (root[rest] != root[k]) & (np.minimum(n[rest] - pos[rest], n[k] - pos[k]) >= share * (n[rest] + n[k]) - 1e-6)
+                    if two:
+                        may &= chunk[rest] != chunk[k]
+                    others = node[rest][may]
+                    left.append(np.minimum(others, node[k]))
+                    right.append(np.maximum(others, node[k]))
+            yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+    return groups.mapInPandas(step, "a long, b long").distinct()
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8,
-                  bits: int = 14, tables: int = 112, sample: int = 20) -> DataFrame:
+                  bucket: int = 1024) -> DataFrame:
     """``id``, ``component_id`` per row of ``docs``: texts linked at Jaccard similarity ``least`` of their ``width``-word runs.
 
-    Fingerprints of three-word shingles find the pairs: at ``bits`` or fewer differing bits, among those that agree on
-    one of ``tables`` samples of ``sample`` bits. Texts with one fingerprint are linked. Each found pair is verified on
-    all its word runs. ``component_id`` is the least id reachable; nulls, repeats and empty texts as in
-    ``near_duplicates``.
+    No link is lost: in one order of all runs, common ones last, two similar texts share one of the first
+    n - least * n + 1 of a text's n runs. Fingerprints at three bits, and the least and greatest text of each shared
+    run, propose pairs first; what they link need not be compared again, and every pair that still lies in two parts
+    is. Pairs are sieved by sketches that reject no similar one and verified on the whole run sets. ``component_id`` is the least id reachable; nulls, repeats and
+    empty texts as in ``near_duplicates``.
     """
-    rows = cut_lineage(fingerprints(docs, id_col, text_col, 3))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    common, often = common_runs(texts, width)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps, nodes, sizes, odd, firsts = [], [], [], [], []
+        for t in batch.column(1):
+            runs = runs_of(t.as_py(), width)
+            n = len(runs)
+            order = np.arange(n)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, runs), len(common) - 1)
+                order = np.argsort(np.where(common[at] == runs, often[at], 0), kind="stable")
+            firsts.append(runs[order[:n - int(np.ceil(least * n - 1e-6)) + 1]])
+            fps.append(fingerprint(t.as_py(), 3))
+            nodes.append(node_of(runs))
+            sizes.append(n)
+            odd.append(parity(runs))
+        return pa.RecordBatch.from_arrays([batch.column(0), signed(fps), signed(nodes), pa.array(sizes, pa.int32()), lists(odd), lists(firsts)],
+                                          ["id", "fp", "node", "n", "odd", "firsts"])
+
+    rows = cut_lineage(arrow_stage(texts, step, "id long, fp long, node long, n int, odd array<long>, firsts array<long>"))
+    entries = rows.select("node", "n", F.posexplode("firsts").alias("pos", "run"))
+    shared = cut_lineage(entries.groupBy("run").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi"))
+    met = cut_lineage(entries.join(few(shared), "run").groupBy("run", "node").agg(*[F.min(c).alias(c) for c in ("n", "pos", "lo", "hi")]))
+    stars = met.select("node", F.explode(F.array("lo", "hi")).alias("centre")).filter("node <> centre").select(*ordered_pair("node", "centre"))
+    sketches = cut_lineage(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("odd").alias("odd")))
+    tested = cut_lineage(sieved(stars.union(proposals(rows)).distinct(), sketches, least))
+    linked = verified(tested, texts, width, least)
+    parts = components(linked)
+    labelled = cut_lineage(met.select("run", "node", "n", "pos").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    more = cut_lineage(sieved(apart(labelled, least, bucket), sketches, least).join(tested, ["a", "b"], "left_anti"))
+    rows = rows.select("id", F.col("node").alias("fp"))
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    found = cut_lineage(links(distinct.select("fp"), bits, masks=sample_masks(tables, sample)).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    shown = distinct.join(ends, "fp", "left_semi").filter("least is not null")
-    texts = docs.select(F.col(id_col).cast("long").alias("least"), shingle_set(F.col(text_col), width).alias("runs")).join(shown, "least")
-    runs = cut_lineage(texts.groupBy("fp").agg(F.first("runs").alias("runs")))
-    pairs = found.join(runs.select(F.col("fp").alias("a"), F.col("runs").alias("x")), "a").join(runs.select(F.col("fp").alias("b"), F.col("runs").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    good = pairs.filter(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    return grouped(rows, distinct, good)
+    return grouped(rows, distinct, linked.union(verified(more, texts, width, least))).select("id", "component_id")

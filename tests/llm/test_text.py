@@ -90,6 +90,41 @@ def test_similar_texts_verifies(spark):
     assert got == {4: 4, 7: 4, 9: 9, 11: 4, 12: 12, 15: 12}
 
 
+def run_set(text):
+    w = low(text)
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def planted():
+    """Isolated near copies of all lengths, most of them near the limit, a family and a passage in many texts."""
+    random = np.random.default_rng(8)
+    passage, out = prose(400, 40), []
+    for k in range(60):
+        words = prose(1000 + k, int(random.integers(12, 260))).split()
+        out.append(" ".join(words))
+        for _ in range(int(random.integers(0, 5 if k % 10 else 40))):
+            copy = list(words)
+            for at in random.choice(len(words), max(1, len(words) // int(random.integers(40, 70))), replace=False):
+                copy[at] = f"new{random.integers(1 << 30)}"
+            out.append(" ".join(copy))
+    out += [f"{passage} {prose(3000 + k, 9 + k % 4)}" for k in range(40)]
+    return out
+
+
+def test_similar_texts_finds_all_pairs(spark, monkeypatch):
+    texts = planted()
+    want = groups([run_set(t) for t in texts], list(range(len(texts))), lambda a, b: jaccard(a, b) >= 0.8)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bucket, few in ((1024, 500_000), (7, 0)):
+        monkeypatch.setattr(simhash, "FEW", few)
+        got = {r["id"]: r["component_id"] for r in simhash.similar_texts(table, bucket=bucket).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def counts(text):
     text = text or ""
     ws = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
