@@ -7,6 +7,7 @@ state per alert key. Sinks live in the shared folder.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,8 +19,10 @@ from pelagia.operators import fences as fence_ops
 from pelagia.plans.ordered import EPOCH, balanced
 
 PROXIMITY_SCHEMA = ("vessel_id BIGINT, tick BIGINT, tick_start TIMESTAMP_NTZ, layer STRING, fkey INT, level_rank INT, "
-                    "distance_nm DOUBLE, event_id BIGINT")
+                    "distance_nm DOUBLE, event_id BIGINT, hazards_checked BOOLEAN")
 KEY = ["vessel_id", "layer", "fkey"]
+#: Between class and key of a hazard zone while it is a layer of its own.
+ZONE = "\x1f"
 
 
 def latest_version(fences: DataFrame, version: str = "version") -> DataFrame:
@@ -32,24 +35,35 @@ def proximity_batches(positions: DataFrame, segments: DataFrame, fences: DataFra
                       hazards: Callable[[], tuple[DataFrame, DataFrame] | None] | None = None):
     """Start-ready writer: per micro-batch, latest position per vessel and tick against all fences.
 
-    ``hazards`` is called per batch for the current hazard (segments, fences); when it fails
-    the static fences are still checked. Each batch writes its own folder, so a replay
-    overwrites instead of repeating.
+    ``hazards`` is called per batch for the current hazard (segments, fences), None for no hazard; every zone is
+    checked on its own. When it fails the static fences are still checked. ``hazards_checked`` is false on the rows of
+    such a batch, and null without ``hazards``. Each batch writes its own folder, so a replay overwrites instead of
+    repeating.
     """
     def one(batch: DataFrame, batch_id: int) -> None:
-        segs, dims_ = segments, fences
+        extra, checked = None, None
         if hazards is not None:
             try:
                 extra = hazards()
+                if extra is not None:
+                    extra = tuple(x.persist() for x in extra)
+                    for x in extra:  # read here, so that a failure is the loader's
+                        x.count()
+                checked = True
             except Exception:
-                extra = None
-            if extra is not None:
-                segs, dims_ = segs.unionByName(extra[0]), dims_.unionByName(extra[1])
+                logging.getLogger(__name__).exception("batch %d: hazards not checked", batch_id)
+                extra, checked = None, False
         ticks = balanced(fence_ops.latest_per_tick(batch, tick_s))
-        near = fence_ops.nearest_features(ticks, segs)
-        rows = fence_ops.with_levels(near, dims_).where("level_rank > 0")
-        rows.select("vessel_id", "tick", "tick_start", "layer", "fkey", "level_rank", "distance_nm", "event_id") \
+        rows = fence_ops.with_levels(fence_ops.nearest_features(ticks, segments), fences)
+        if extra is not None:
+            zones = extra[0].withColumn("layer", F.concat_ws(ZONE, "layer", F.col("fkey").cast("string")))
+            near = fence_ops.nearest_features(ticks, zones).withColumn("layer", F.substring_index("layer", ZONE, 1))
+            rows = rows.unionByName(fence_ops.with_levels(near, extra[1]))
+        rows.where("level_rank > 0").withColumn("hazards_checked", F.lit(checked).cast("boolean")) \
+            .select("vessel_id", "tick", "tick_start", "layer", "fkey", "level_rank", "distance_nm", "event_id", "hazards_checked") \
             .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        for x in extra or ():
+            x.unpersist()
 
     return positions.writeStream.foreachBatch(one)
 

@@ -41,3 +41,33 @@ def test_hazard_loader_failure_keeps_static_fences(spark):
     alerts.proximity_batches(positions, v.fence_segments, v.fences, 86400, f"{base}/p", broken) \
         .option("checkpointLocation", f"{base}/o").trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(f"{base}/p").count() > 0
+
+
+def test_every_hazard_zone_is_checked_and_a_failure_is_shown(spark):
+    from pelagia.workload.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    events = spark.readStream.schema(v.events.schema).option("pathGlobFilter", "events.parquet").parquet(v.folder)
+    positions = events.select("event_id", F.col("user_id").alias("vessel_id"), "ts", F.lit(8.25).alias("lat"), F.lit(78.3).alias("lon"))
+    # Two zones over the point, one far off.
+    ring = [(0, 0, 2, 0), (2, 0, 2, 2), (2, 2, 0, 2), (0, 2, 0, 0)]
+    at = {901: (78.25, 8.2), 902: (78.26, 8.21), 903: (70.0, 8.2)}
+    lines = [("HAZARD_EXCLUSION", k, 0, 0, i, x + a / 10, y + b / 10, x + c / 10, y + d / 10, True) for k, (x, y) in at.items() for i, (a, b, c, d) in enumerate(ring)]
+    segments = spark.createDataFrame(lines, "layer string, fkey int, part int, ring int, seq int, x1 double, y1 double, x2 double, y2 double, is_polygon boolean")
+    zones = spark.createDataFrame([(k, "HAZARD_EXCLUSION", f"zone {k}", None, None) for k in at], "fkey int, layer string, name string, own_warn_nm double, own_critical_nm double")
+
+    def broken():
+        raise OSError("hazard feed down")
+
+    def run(loader):
+        base = f"{shared_folder(spark)}/test-{uuid.uuid4().hex}"
+        alerts.proximity_batches(positions, v.fence_segments, v.fences, 86400, f"{base}/p", loader) \
+            .option("checkpointLocation", f"{base}/o").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(alerts.PROXIMITY_SCHEMA).parquet(f"{base}/p").collect()
+
+    plain, seen, failed = run(None), run(lambda: (segments, zones)), run(broken)
+    key = lambda r: (r.vessel_id, r.tick, r.layer, r.fkey, r.level_rank)
+    ticks = {(r.vessel_id, r.tick) for r in plain}
+    assert {key(r)[:4] for r in seen if r.fkey > 900} == {(*t, "HAZARD_EXCLUSION", k) for t in ticks for k in (901, 902)}
+    assert sorted(key(r) for r in seen if r.fkey < 900) == sorted(map(key, failed)) == sorted(map(key, plain))
+    assert {r.hazards_checked for r in plain} == {None} and {r.hazards_checked for r in seen} == {True} and {r.hazards_checked for r in failed} == {False}
