@@ -121,50 +121,19 @@ def pair_within(pairs: np.ndarray, bits: int) -> np.ndarray:
     return good
 
 
-def nearest_forest(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """A minimum spanning forest of the links at ``bits`` or fewer bits: everyone meets its nearest others first."""
-    edges: list[tuple[int, int]] = []
-    distances = np.bitwise_count(values[:, None] ^ pivots()[None, :]).astype(np.int8)
-    n = len(values)
-    best, parent, open_ = np.full(n, 127, dtype=np.int16), np.full(n, -1), np.ones(n, dtype=bool)
-    at = 0
-    for _ in range(n):
-        open_[at] = False
-        rest = np.flatnonzero(open_)
-        if not len(rest):
-            break
-        near = rest[np.abs(distances[rest, :12] - distances[at, :12]).max(axis=1) <= bits]
-        near = near[np.abs(distances[near, 12:] - distances[at, 12:]).max(axis=1) <= bits]
-        far = np.bitwise_count(values[near] ^ values[at]).astype(np.int16)
-        closer = far < best[near]
-        best[near[closer]], parent[near[closer]] = far[closer], at
-        at = int(rest[np.argmin(best[rest])])
-        if best[at] <= bits:
-            edges.append((int(parent[at]), at))
-    return edges
-
-
 def block_masks(bits: int) -> list[int]:
     """Pairs of whole blocks, on one of which two fingerprints at ``bits`` or fewer differing bits agree for certain."""
     edge = [i * 64 // (bits + 2) for i in range(bits + 3)]
     return [sum((1 << edge[i + 1]) - (1 << edge[i]) for i in pair) for pair in itertools.combinations(range(bits + 2), 2)]
 
 
-def sample_masks(tables: int, width: int, seed: int = SEED) -> list[int]:
-    """Random samples of ``width`` bit places."""
-    random = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in random.choice(64, width, replace=False)) for _ in range(tables)]
-
-
-def links(distinct: DataFrame, bits: int = 3, bucket: int = BUCKET, masks: list[int] | None = None) -> DataFrame:
+def links(distinct: DataFrame, bits: int = 3, bucket: int = BUCKET) -> DataFrame:
     """``a``, ``b``: links between fingerprints (column ``fp``, distinct) that span all groups at ``bits`` bits.
 
-    Without ``masks``, buckets are pairs of whole blocks and no link is lost; with masks, members of a bucket agree on
-    one of them and are linked by a minimum spanning forest. A bucket with more than ``bucket`` members is split into
+    Buckets are pairs of whole blocks and no link is lost. A bucket with more than ``bucket`` members is split into
     chunks and every pair of chunks is a group of its own, so no group is unbounded.
     """
-    span = nearest_forest if masks else forest
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks or block_masks(bits)]
+    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in block_masks(bits)]
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("part", "key"))
     sizes = keyed.groupBy("part", "key").count().filter("count > 1").select(
         "part", "key", F.ceil(F.col("count") / bucket).cast("int").alias("chunks"))
@@ -184,7 +153,7 @@ def links(distinct: DataFrame, bits: int = 3, bucket: int = BUCKET, masks: list[
                 if len(fps) == 2:
                     continue
                 values = np.asarray(fps, dtype=np.int64)
-                found.extend((values[i], values[j]) for i, j in span(values.view(np.uint64), bits))
+                found.extend((values[i], values[j]) for i, j in forest(values.view(np.uint64), bits))
             yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return groups.mapInPandas(step, "a long, b long").distinct()

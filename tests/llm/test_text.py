@@ -125,6 +125,21 @@ def test_similar_texts_finds_all_pairs(spark, monkeypatch):
         assert [got[i] for i in range(len(texts))] == want
 
 
+def test_similar_texts_in_a_family_of_templates(spark):
+    random = np.random.default_rng(11)
+    base, texts = prose(700, 160).split(), []
+    for k in range(60):  # most pairs are not similar, some are
+        words = list(base)
+        for at in random.choice(len(base), int(random.integers(1, 7)), replace=False):
+            words[at] = f"w{k}x{at}"
+        texts.append(" ".join(words))
+    want = groups([run_set(t) for t in texts], list(range(len(texts))), lambda a, b: jaccard(a, b) >= 0.8)
+    assert len(set(want)) > 1
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.similar_texts(table, bucket=9).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def counts(text):
     text = text or ""
     ws = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
