@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import hnsw, html_text, lm_score, nbsvm, packing, quality_rules, secrets, simhash, suffix_dedup, word_bpe
-from pelagia.llm.common import cut_lineage, table
+from pelagia.llm import (bag_search, hnsw, html_text, lm_score, nbsvm, packing, quality_rules, secrets, simhash, suffix_dedup, url_filters, word_bpe,
+                         word_runs)
+from pelagia.llm.common import cut_lineage, doc_text, table, words
+from pelagia.llm.quality_rules import let
 from pelagia.llm.quality_sql import checking_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +130,61 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50)
     return found.select(F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
                         F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def with_period(text: Column) -> Column:
+    """The text, of one row in ten with its words from some place on repeated with some period (both from the id's crc32)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def of(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % F.greatest(n, F.lit(1))
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return let(F.struct(a.alias("a"), p.alias("p")), lambda x: F.array_join(F.transform(w, lambda word, i: F.when(i < x["a"], word).otherwise(
+            F.get(w, (x["a"] + (i - x["a"]) % x["p"]).cast("int")))), " "))
+
+    return F.when(h % 10 == 0, let(words(doc_text("text")), of)).otherwise(text)
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, one in ten of them made periodic first, and what is left without the repetitions."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_period(F.col("text")).alias("text"))
+    found = word_runs.word_runs(docs)
+    longer = lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a)  # noqa: E731  ties: the first
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), longer)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"),
+                        F.sha2("kept", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        "runs_sha256", "collapsed_sha256")
+
+
+#: Address rules of the URL query (fixed by the task).
+URL_RULES = [url_filters.Rule("block", "net/"), url_filters.Rule("allow", "example.net/en/"), url_filters.Rule("block", "example.com/de/"), url_filters.Rule("allow", "org/fr/")]
+
+
+@query("op12_url_filters")
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL; trees learnt from the URLs that host words or rules label."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filters.train(pages.select("url", url_filters.topic_label(F.col("url"), URL_RULES).alias("label")))
+    return url_filters.judge(pages, URL_RULES, model).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
+
+
+@query("op13_ranked_search", """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+k AS (SELECT row_number() OVER () AS r, doc_id, ts, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0),
+a AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(n) AS BIGINT) AS l FROM k),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+f AS (SELECT r, doc_id, n, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, n, unnest(ts) AS t FROM k) SEMI JOIN q USING (t) GROUP BY r, doc_id, n, t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(nd) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, a GROUP BY t),
+p AS (SELECT r, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // l))) AS s FROM f JOIN w USING (t), a),
+s AS (SELECT item_id, r, doc_id, CAST(sum(s) AS BIGINT) AS score FROM q JOIN p USING (t) GROUP BY item_id, r, doc_id HAVING sum(s) > 0),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s)
+SELECT * FROM o WHERE rank <= 20""")
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for every benchmark item."""
+    found = bag_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
