@@ -31,12 +31,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts (five-word runs, similarity 0.8), the one with the least id.
 
-    Rows without an id stay; of rows repeated under the least id one stays.
+    Rows without an id stay. A group keeps one row: of rows that repeat its least id with different texts, one of these.
     """
-    grouped = simhash.similar_texts(docs).filter("id is not null")
-    first = grouped.filter("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    named = simhash.similar_texts(docs).filter("id is not null")
+    first = named.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("first")).select("first.*")
+    kept = docs.withColumn("digest", F.xxhash64("text")).join(first.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
+    return kept.dropDuplicates(["doc_id", "digest"]).select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

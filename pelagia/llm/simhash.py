@@ -173,11 +173,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def grouped(rows: DataFrame, distinct: DataFrame, linked: DataFrame) -> DataFrame:
-    """``id``, ``fp``, ``component_id`` for ``rows`` (``id``, ``fp``), given each fingerprint's least id and the links."""
+    """``rows`` (``id``, ``fp``) with ``root`` and ``component_id``, given each fingerprint's least id and the links."""
     found = components(linked)
     rooted = cut_lineage(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
+    return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def runs_of(text: str | None, width: int) -> np.ndarray:
@@ -244,12 +244,22 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     return cut_lineage(both.filter(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b"))
 
 
-def parity(runs: np.ndarray) -> np.ndarray:
-    """Per slot of the hash space, whether an odd number of the runs lies in it: sixteen words of bits."""
-    odd = np.bincount((runs >> np.uint64(32)).astype(np.int64) % SLOTS, minlength=SLOTS) & 1
+def parity(runs: np.ndarray, slots: int) -> np.ndarray:
+    """Per slot of the hash space (a power of two of them), whether an odd number of the runs lies in it, as words of bits."""
+    odd = np.bincount((runs >> np.uint64(32)).astype(np.int64) % slots, minlength=slots) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def slots_for(n: int) -> int:
+    """Slots of the sketch of ``n`` runs: enough that texts without common runs differ in far more of them than similar ones."""
+    return max(SLOTS, 1 << max(n - 1, 1).bit_length())
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The same sketch over fewer slots."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
 def sieved(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """The ``pairs`` that may be similar: their run sets differ at least in as many runs as parities, and no pair with
     more than (1 - least) / (1 + least) of both sizes of differing runs is similar. None that is similar is lost."""
@@ -277,56 +287,104 @@ def proposals(rows: DataFrame) -> DataFrame:
     return near.select("x", "y").union(same).filter("x <> y").select(*ordered_pair("x", "y"))
 
 
-def apart(met: DataFrame, least: float, bucket: int) -> DataFrame:
-    """``a``, ``b``: every pair that may be similar, shares a run of ``met`` and lies in two parts (``root``).
+def turn(a: np.ndarray, b: np.ndarray, among: int) -> np.ndarray:
+    """A number from 0 up to ``among`` that a pair of nodes has for good, evenly spread."""
+    x = (a ^ b).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(32)).astype(np.float64) * (among / 2.0 ** 32)
+
 
-    ``met`` has ``run``, ``node``, the text's number of runs ``n``, the run's place ``pos`` in its order and ``root``.
-    At the first run that two texts share, no more can be shared than that run and what follows it in both. Runs with
-    more than ``bucket`` texts are dealt out in pairs of chunks.
+def near_pairs(texts: dict[str, np.ndarray], sketches: list[np.ndarray], two: bool, among: int, least: float, low: int, high: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a group that may be similar, lie in two parts and have a turn from ``low`` to below ``high``; whether later ones are left.
+
+    ``texts`` has ``node``, ``n``, ``pos``, ``root``, ``side``; ``among`` is the number of the run's members. With ``two``, members of one side are not compared.
+    Two texts that share a run first at ``pos`` share no more than that and what follows it in both; and they differ at least in as
+    many runs as in parities. Neither loses a similar pair. A pair is looked at from its shorter sketch.
     """
-    sizes = met.groupBy("run").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(
-        "run", F.ceil(F.col("m") / bucket).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
-    dealt = met.join(sizes, "run").withColumn("own", own).select(
-        "run", F.struct("node", "n", "pos", "root", "own").alias("text"), F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.struct(
-            F.least(F.col("own"), other).alias("i"), F.greatest(F.col("own"), other).alias("j")))).alias("of"))
-    groups = dealt.groupBy("run", "of").agg(F.collect_list("text").alias("texts")).filter(F.size("texts") > 1).select(
-        (F.col("of.i") < F.col("of.j")).alias("two"), *[F.col("texts")[c].alias(c) for c in ("node", "n", "pos", "root", "own")])
+    node, n, pos, root, side = (texts[c] for c in ("node", "n", "pos", "root", "side"))
+    words = np.array([len(x) for x in sketches])
     share = least / (1 + least)
+    left, right, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
+    for size in np.unique(words):
+        members = np.flatnonzero(words >= size)
+        table = np.stack([folded(sketches[i], size) for i in members])
+        for k in np.flatnonzero(words == size):
+            may = (root[members] != root[k]) & (np.minimum(n[members] - pos[members], n[k] - pos[k]) >= share * (n[members] + n[k]) - 1e-6)
+            may &= (np.minimum(n[members], n[k]) >= least * np.maximum(n[members], n[k]) - 1e-6) & ((words[members] > size) | (members > k))
+            if two:
+                may &= side[members] != side[k]
+            others = np.flatnonzero(may)
+            if len(others):
+                differ = np.bitwise_count(table[others] ^ folded(sketches[k], size)).sum(axis=1)
+                others = others[differ <= (1 - least) / (1 + least) * (n[members[others]] + n[k]) + 1e-6]
+            other = node[members[others]]
+            when = turn(other, node[k], among)
+            more |= bool((when >= high).any())
+            other = other[(when >= low) & (when < high)]
+            left.append(np.minimum(other, node[k]))
+            right.append(np.maximum(other, node[k]))
+    return np.concatenate(left), np.concatenate(right), more
+
+
+def apart(met: DataFrame, sketches: DataFrame, least: float, bucket: int, low: int, high: int) -> DataFrame:
+    """``a``, ``b``: pairs that may be similar, share a run of ``met``, lie in two parts (``root``) and whose turn comes from ``low`` to
+    below ``high``; a row of nulls where later turns are left.
+
+    ``met`` has ``run``, ``node``, the text's number of runs ``n``, the run's place ``pos`` in its order and ``root``. Members of a
+    run's largest part are only compared with the others, in blocks of at most ``bucket`` of each; the others are also
+    compared among themselves. A row is so sent once for each block of the others, not once for each block of its own part.
+    """
+    parts = met.groupBy("run", "root").agg(F.count(F.lit(1)).alias("m"))
+    chunks = lambda c: F.greatest(F.ceil(c / bucket), F.lit(1)).cast("int")
+    sizes = parts.groupBy("run").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.max("m").alias("m"), F.sum("m").alias("all")).filter(
+        F.col("all") > F.col("m")).select("run", "top", "all", chunks(F.col("m")).alias("ours"), chunks(F.col("all") - F.col("m")).alias("others"))
+    live = met.join(few(cut_lineage(sizes)), "run")
+    place = lambda c: F.pmod(F.xxhash64("node", F.lit(7)), c).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), c - 1)
+    block = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    big, mine = F.col("root") == F.col("top"), place(F.col("others"))
+    blocks = F.when(big, F.transform(upto(F.col("others")), lambda j: block("across", place(F.col("ours")), j))).otherwise(F.concat(
+        F.transform(upto(F.col("ours")), lambda i: block("across", i, mine)),
+        F.transform(upto(F.col("others")), lambda j: block("among", F.least(mine, j), F.greatest(mine, j)))))
+    side = F.when(F.col("of.kind") == "across", big.cast("int")).otherwise(mine)
+    dealt = live.withColumn("of", F.explode(blocks)).select("run", "of", "all", "node", "n", "pos", "root", side.alias("side"))
+    texts = dealt.join(sketches.select("node", F.coalesce("wide", "odd").alias("odd")), "node")
+    groups = texts.groupBy("run", "of").agg(F.first("all").alias("all"), F.collect_list(F.struct("node", "n", "pos", "root", "side", "odd")).alias("texts")).filter(F.size("texts") > 1).select(
+        ((F.col("of.kind") == "across") | (F.col("of.i") < F.col("of.j"))).alias("two"), "all", *[F.col("texts")[c].alias(c) for c in ("node", "n", "pos", "root", "side", "odd")])
 
     def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for two, *columns in frame.itertuples(index=False, name=None):
-                node, n, pos, root, chunk = (np.asarray(c, dtype=np.int64) for c in columns)
-                for k in range(len(node) - 1):
-                    rest = slice(k + 1, None)
-                    may = (root[rest] != root[k]) & (np.minimum(n[rest] - pos[rest], n[k] - pos[k]) >= share * (n[rest] + n[k]) - 1e-6)
-                    if two:
-                        may &= chunk[rest] != chunk[k]
-                    others = node[rest][may]
-                    left.append(np.minimum(others, node[k]))
-                    right.append(np.maximum(others, node[k]))
-            yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+            left, right, beyond = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
+            for two, among, *columns, odd in frame.itertuples(index=False, name=None):
+                held = dict(zip(("node", "n", "pos", "root", "side"), (np.asarray(c, dtype=np.int64) for c in columns)))
+                x, y, more = near_pairs(held, [np.asarray(o, dtype=np.int64).view(np.uint64) for o in odd], two, among, least, low, high)
+                left.append(x)
+                right.append(y)
+                beyond |= more
+            found = pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}, dtype="Int64")
+            yield pd.concat([found, pd.DataFrame({"a": [pd.NA], "b": [pd.NA]}, dtype="Int64")]) if beyond else found
 
     return groups.mapInPandas(step, "a long, b long").distinct()
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8,
-                  bucket: int = 1024) -> DataFrame:
-    """``id``, ``component_id`` per row of ``docs``: texts linked at Jaccard similarity ``least`` of their ``width``-word runs.
+                  bucket: int = 1024, reach: int = 32) -> DataFrame:
+    """``id``, ``digest`` (of the text: xxhash64), ``root``, ``component_id`` per row of ``docs``: texts linked at Jaccard similarity ``least`` of
+    their ``width``-word runs; ``root`` names the group, ``component_id`` is the least id in it.
 
     No link is lost: in one order of all runs, common ones last, two similar texts share one of the first
     n - least * n + 1 of a text's n runs. Fingerprints at three bits, and the least and greatest text of each shared
-    run, propose pairs first; what they link need not be compared again, and every pair that still lies in two parts
-    is. Pairs are sieved by sketches that reject no similar one and verified on the whole run sets. ``component_id`` is the least id reachable; nulls, repeats and
-    empty texts as in ``near_duplicates``.
+    run, propose pairs first; what they link need not be compared again. Every pair that still lies in two parts is, in rounds:
+    every pair has a turn for good, spread evenly over a run's members; a round tests the first ``reach`` turns (then four times as many,
+    and so on) and joins the parts it links, so the first sends some ``reach`` pairs for each member, and most pairs never need a test. Pairs
+    are sieved by sketches that reject no similar one and verified on the whole run sets. Nulls, repeats and
+    empty texts as in ``near_duplicates``; rows that repeat an id with another text are texts of their own.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     common, often = common_runs(texts, width)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, nodes, sizes, odd, firsts = [], [], [], [], []
+        fps, nodes, sizes, odd, wide, firsts = [], [], [], [], [], []
         for t in batch.column(1):
             runs = runs_of(t.as_py(), width)
             n = len(runs)
@@ -338,21 +396,32 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             fps.append(fingerprint(t.as_py(), 3))
             nodes.append(node_of(runs))
             sizes.append(n)
-            odd.append(parity(runs))
-        return pa.RecordBatch.from_arrays([batch.column(0), signed(fps), signed(nodes), pa.array(sizes, pa.int32()), lists(odd), lists(firsts)],
-                                          ["id", "fp", "node", "n", "odd", "firsts"])
-
-    rows = cut_lineage(arrow_stage(texts, step, "id long, fp long, node long, n int, odd array<long>, firsts array<long>"))
+            odd.append(parity(runs, SLOTS))
+            wide.append(parity(runs, slots_for(n)).view(np.int64) if n > SLOTS else None)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), signed(fps), signed(nodes), pa.array(sizes, pa.int32()), lists(odd),
+                                           pa.array(wide, pa.list_(pa.int64())), lists(firsts)],
+                                          ["id", "digest", "fp", "node", "n", "odd", "wide", "firsts"])
+
+    rows = cut_lineage(arrow_stage(texts.withColumn("digest", F.xxhash64("text")), step,
+                                   "id long, digest long, fp long, node long, n int, odd array<long>, wide array<long>, firsts array<long>"))
     entries = rows.select("node", "n", F.posexplode("firsts").alias("pos", "run"))
     shared = cut_lineage(entries.groupBy("run").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi"))
     met = cut_lineage(entries.join(few(shared), "run").groupBy("run", "node").agg(*[F.min(c).alias(c) for c in ("n", "pos", "lo", "hi")]))
     stars = met.select("node", F.explode(F.array("lo", "hi")).alias("centre")).filter("node <> centre").select(*ordered_pair("node", "centre"))
-    sketches = cut_lineage(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("odd").alias("odd")))
+    sketches = cut_lineage(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "odd", "wide")]))
     tested = cut_lineage(sieved(stars.union(proposals(rows)).distinct(), sketches, least))
     linked = verified(tested, texts, width, least)
-    parts = components(linked)
-    labelled = cut_lineage(met.select("run", "node", "n", "pos").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    more = cut_lineage(sieved(apart(labelled, least, bucket), sketches, least).join(tested, ["a", "b"], "left_anti"))
-    rows = rows.select("id", F.col("node").alias("fp"))
+    met = met.select("run", "node", "n", "pos")
+    low, high = 0, reach
+    while True:
+        labelled = met.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = cut_lineage(apart(labelled, sketches, least, bucket, low, high))
+        more = cut_lineage(found.filter("a is not null").join(tested, ["a", "b"], "left_anti"))
+        if not at_most(more, 0):
+            linked = cut_lineage(linked.union(verified(more, texts, width, least)))
+        if at_most(found.filter("a is null"), 0):
+            break
+        low, high = high, 4 * high
+    rows = rows.select("id", "digest", F.col("node").alias("fp"))
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    return grouped(rows, distinct, linked.union(verified(more, texts, width, least))).select("id", "component_id")
+    return grouped(rows, distinct, linked)

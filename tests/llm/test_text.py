@@ -372,3 +372,38 @@ def test_secrets(spark):
     untaught = secrets.learn(empty(spark))
     assert all(not r["secrets"] for r in secrets.scan(table, untaught).collect())
     assert secrets.scan(clashing(spark), forest).count() == len(rows())
+
+
+def test_near_dedup_keeps_every_text_of_a_repeated_id(spark):
+    import corpus_pipeline
+
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    table = spark.createDataFrame([(1, a), (5, a), (5, c), (7, b), (7, b), (8, c), (None, c), (9, None), (9, "")], "doc_id long, text string").selectExpr(
+        "doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(1 AS BIGINT) AS n_chars")
+    got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, table, "").select("doc_id", "text").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(1, a), (5, c), (7, b), (None, c), (9, None)])) or (9, "") in got and len(got) == 5
+
+
+def test_turns_of_all_rounds_cover_all_pairs():
+    r = np.random.default_rng(4)
+    n = 90
+    texts = {"node": r.integers(-2**62, 2**62, n), "n": r.integers(90, 110, n), "pos": np.zeros(n, np.int64), "root": np.arange(n) % 30, "side": np.arange(n) % 2}
+    runs = [r.integers(0, 2**63, size=k).astype(np.uint64) for k in texts["n"]]
+    for k in range(0, n, 3):
+        runs[k] = np.concatenate([runs[0][:80], runs[k][80:]])
+    sketches = [simhash.parity(np.unique(x), simhash.SLOTS * (1 + i % 2)) for i, x in enumerate(runs)]
+    for two in (False, True):
+        got, low, high, more = [], 0, 4, True
+        while more:
+            x, y, more = simhash.near_pairs(texts, sketches, two, n, 0.8, low, high)
+            got += list(zip(x.tolist(), y.tolist()))
+            low, high = high, 4 * high
+        whole = simhash.near_pairs(texts, sketches, two, n, 0.8, 0, n)
+        assert sorted(got) == sorted(zip(whole[0].tolist(), whole[1].tolist())) and len(set(got)) == len(got)
+        node = {int(v): k for k, v in enumerate(texts["node"])}
+        found = {tuple(sorted((node[a], node[b]))) for a, b in got}
+        for i in range(n):
+            for j in range(i):
+                shared = len(np.intersect1d(runs[i], runs[j]))
+                if shared >= 0.8 * (len(runs[i]) + len(runs[j]) - shared) and texts["root"][i] != texts["root"][j] and not (two and texts["side"][i] == texts["side"][j]):
+                    assert (j, i) in found
