@@ -10,9 +10,10 @@ in between:
   whose least rank occurs once in all documents is unique and is not looked at again;
 * at the full width, which is past the threshold, for the positions that are left.
 
-Documents are dealt into chunks by ranges of their id. A chunk sends its distinct ranks as sorted lists, cut by rank
-range; a range's task sorts what all chunks sent and answers each list with one bit a rank (seen elsewhere; seen in an
-earlier chunk). Lists hold a rank once however often the chunk has it, so copies and common passages stay small, and no
+Documents are dealt into chunks by ranges of their id that hold about as many bytes each; an id with more bytes than a chunk has
+chunks of its own, as have rows without an id. A chunk sends its distinct ranks as sorted lists, cut by rank range; a
+range's task sorts what all chunks sent and answers each list with one bit a rank (seen elsewhere; seen in an earlier
+range of ids). Lists hold a rank once however often the chunk has it, so copies and common passages stay small, and no
 task holds more than a chunk or a range. Whole copies of a text are told beforehand from digests.
 """
 
@@ -84,13 +85,13 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
 class Chunk:
     """Documents of a chunk in ascending id order, without whole copies of earlier ones."""
 
-    def __init__(self, frame: pd.DataFrame, copies: set[int], width: int):
+    def __init__(self, frame: pd.DataFrame, copies: set[tuple[int, str]], width: int):
         self.width, self.half = width, width // 2
         frame = frame.assign(last=frame["id"].isna()).sort_values(["last", "id"], kind="stable", ignore_index=True)
         self.ids = [None if last else int(i) for i, last in zip(frame["id"], frame["last"])]
         self.none, self.also = frame["none"].tolist(), frame["also"].tolist()
         self.data = [(t or "").encode("utf-8", "surrogatepass") for t in frame["text"]]
-        self.copy = [i in copies for i in self.ids]
+        self.copy = [(i, d) in copies for i, d in zip(self.ids, frame["digest"])]
 
     def marks(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per document: least half-width ranks of its windows as runs (value, length)."""
@@ -125,23 +126,23 @@ def _distinct(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
 
 
-def _ask(chunk: int, known: np.ndarray, ranges: int) -> pd.DataFrame:
+def _ask(chunk: int, order: int, known: np.ndarray, ranges: int) -> pd.DataFrame:
     """A sorted list of ranks cut by range."""
     of = np.minimum((known >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.uint64(ranges - 1)).astype(np.int64)
     cuts = np.searchsorted(of, np.arange(ranges + 1))
-    rows = [(chunk, r, planes(np.diff(known[cuts[r]:cuts[r + 1]], prepend=np.uint64(0)))) for r in range(ranges) if cuts[r + 1] > cuts[r]]
-    return pd.DataFrame(rows, columns=["chunk", "range", "data"])
+    rows = [(chunk, order, r, planes(np.diff(known[cuts[r]:cuts[r + 1]], prepend=np.uint64(0)))) for r in range(ranges) if cuts[r + 1] > cuts[r]]
+    return pd.DataFrame(rows, columns=["chunk", "order", "range", "data"])
 
 
-def _answer(frame: pd.DataFrame, kind: int, numbered: int) -> pd.DataFrame:
-    """One bit for each rank of each list: held by another chunk or twice (1), or by an earlier chunk (2).
+def _answer(frame: pd.DataFrame, kind: int) -> pd.DataFrame:
+    """One bit for each rank of each list: held by another chunk or twice (1), or by an earlier range of ids (2).
 
-    Chunks from ``numbered`` on hold documents without an id, which come after all others and not before each other.
+    Chunks of the same ``order`` share one range: an id with many bytes, or the documents without an id, which come after all others.
     """
-    frame = frame.sort_values("chunk", ignore_index=True)
+    frame = frame.sort_values(["order", "chunk"], ignore_index=True)
     lists = [np.cumsum(from_planes(d), dtype=np.uint64) for d in frame["data"]]
     chunk = frame["chunk"].to_numpy()
-    owner = np.repeat(chunk, [len(x) for x in lists])
+    owner = np.repeat(frame["order"].to_numpy(), [len(x) for x in lists])
     every = np.concatenate(lists)
     order = np.argsort(every, kind="stable")
     ordered = every[order]
@@ -152,10 +153,10 @@ def _answer(frame: pd.DataFrame, kind: int, numbered: int) -> pd.DataFrame:
         bit[order] = np.bincount(group)[group] > 1
     else:
         first = owner[order][new][group]
-        bit[order] = (first < owner[order]) & (first < numbered)
+        bit[order] = first < owner[order]
     cuts = np.cumsum([0, *(len(x) for x in lists)])
-    return pd.DataFrame([(int(c), kind, int(r), np.packbits(bit[a:b]).tobytes(), None) for c, r, a, b in zip(chunk, frame["range"], cuts, cuts[1:])],
-                        columns=["chunk", "kind", "range", "data", "id"])
+    return pd.DataFrame([(int(c), kind, int(r), np.packbits(bit[a:b]).tobytes(), None, None) for c, r, a, b in zip(chunk, frame["range"], cuts, cuts[1:])],
+                        columns=["chunk", "kind", "range", "data", "id", "digest"])
 
 
 def _told(reply: pd.DataFrame, kind: int, known: np.ndarray, ranges: int) -> np.ndarray:
@@ -170,6 +171,57 @@ def _told(reply: pd.DataFrame, kind: int, known: np.ndarray, ranges: int) -> np.
     return out
 
 
+class Ranges:
+    """Ranges of ids in ascending order: the greatest id of each and how many chunks it has; at last, the chunks of rows without an id."""
+
+    def __init__(self, last: np.ndarray, chunks: np.ndarray):
+        self.last, self.chunks = last, chunks
+        self.start = np.cumsum(chunks) - chunks
+
+    def of(self, ids: pa.Array, digests: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Chunk and range of each row; in a range of several chunks by the text's digest."""
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        order = np.searchsorted(self.last, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left")
+        order[none] = len(self.last)
+        chunk = self.start[order]
+        for k in np.flatnonzero(self.chunks[order] > 1):
+            chunk[k] += int(digests[int(k)].as_py()[:15], 16) % self.chunks[order[k]]
+        return chunk, order
+
+
+def id_ranges(narrow: DataFrame, chunk_bytes: int) -> Ranges:
+    """Ranges of about ``chunk_bytes`` of text from ``narrow`` (``id``, ``size``).
+
+    Ids are sorted in Spark by ranges and each task closes ranges as it reads on; a row for each range comes to the driver,
+    as the bounds of any range partitioning do.
+    """
+    sized = narrow.filter("id is not null").groupBy("id").agg(F.sum("size").alias("size"))
+    total, none = narrow.agg(F.sum(F.when(F.col("id").isNotNull(), F.col("size"))), F.sum(F.when(F.col("id").isNull(), F.col("size")))).first()
+
+    def close(batches):
+        last, held, out = None, 0, []
+        for batch in batches:
+            for i, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and held + size > chunk_bytes:
+                    out.append((last, 1))
+                    held = 0
+                if size > chunk_bytes:
+                    out.append((i, -(-size // chunk_bytes)))
+                    held = 0
+                else:
+                    held += size
+                last = i
+        if last is not None and (not out or out[-1][0] != last):
+            out.append((last, 1))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())], ["last", "chunks"])
+
+    parts = max(1, -(-(total or 0) // (64 * chunk_bytes)))
+    found = sorted(map(tuple, sized.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(close, "last long, chunks long").collect()))
+    chunks = [n for _, n in found] + [max(1, -(-(none or 0) // chunk_bytes))]
+    return Ranges(np.array([i for i, _ in found], dtype=np.int64), np.array(chunks, dtype=np.int64))
+
+
 def _remaining(chunk: Chunk, found: list[tuple[np.ndarray, np.ndarray]], known: np.ndarray, earlier: np.ndarray) -> pd.DataFrame:
     width, rows = chunk.width, []
     sizes = [len(at) for at, _ in found]
@@ -217,28 +269,25 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     also = F.to_json(F.struct(*[F.col(c) for c in carry])) if carry else F.lit(None).cast("string")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                         F.col(text_col).isNull().alias("none"), also.alias("also"))
-    narrow = cut_lineage(plain.select("id", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").cast("long").alias("size")))
-    total, rows = narrow.agg(F.sum("size"), F.count("id")).first()
-    chunks, ranges = max(1, -(-(total or 0) // chunk_bytes)), max(1, -(-(total or 0) // range_bytes))
-    cuts = narrow.agg(F.percentile_approx("id", [k / chunks for k in range(1, chunks)], max(10_000, 50 * chunks))).first()[0] if chunks > 1 and rows else None
-    bounds = np.unique(np.array(cuts or [], dtype=np.int64))
-    numbered = len(bounds) + 1
+    plain = plain.withColumn("digest", F.md5(F.col("text").cast("binary")))
+    narrow = cut_lineage(plain.select("id", "digest", F.octet_length("text").cast("long").alias("size")))
+    total = narrow.agg(F.sum("size")).first()[0]
+    ranges, of_ids = max(1, -(-(total or 0) // range_bytes)), id_ranges(narrow, chunk_bytes)
+    chunks = int(of_ids.chunks.sum())
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = batch.column("id")
-        none = ids.is_null().to_numpy(zero_copy_only=False)
-        chunk = np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left").astype(np.int32)
-        chunk[none] = numbered + np.arange(int(none.sum())) % chunks
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk)], [*batch.schema.names, "chunk"])
+        chunk, order = of_ids.of(batch.column("id"), batch.column("digest"))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk, pa.int32()), pa.array(order, pa.int32())], [*batch.schema.names, "chunk", "order"])
 
-    dealt = arrow_stage(plain, deal, "id long, text string, none boolean, also string, chunk int").repartition(numbered, "chunk")
+    dealt = arrow_stage(plain, deal, "id long, text string, none boolean, also string, digest string, chunk int, order int").repartition(chunks, "chunk")
     firsts = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    copies = arrow_stage(narrow.join(firsts, "digest").filter("id > first").select("id"), deal, "id long, chunk int").select(
-        "chunk", F.lit(0).alias("kind"), F.lit(0).alias("range"), F.lit(None).cast("binary").alias("data"), "id")
+    copies = arrow_stage(narrow.join(firsts, "digest").filter("id > first").select("id", "digest").distinct(), deal, "id long, digest string, chunk int, order int").select(
+        "chunk", F.lit(0).alias("kind"), F.lit(0).alias("range"), F.lit(None).cast("binary").alias("data"), "id", "digest")
 
     def parts(frame: pd.DataFrame, reply: pd.DataFrame) -> tuple[Chunk, list, np.ndarray, np.ndarray]:
         """The chunk, its marks, the distinct ones, and which of those occur more than once in it."""
-        chunk = Chunk(frame, set(reply.loc[reply["kind"] == 0, "id"].astype("int64")), width)
+        copies = reply[reply["kind"] == 0]
+        chunk = Chunk(frame, set(zip(copies["id"].astype("int64"), copies["digest"])), width)
         runs = chunk.marks()
         known, count = np.unique(np.concatenate([v for v, _ in runs]), return_counts=True)
         return chunk, runs, known, count > 1
@@ -251,13 +300,13 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
 
     def ask_marks(frame: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
-            return _ask(0, np.zeros(0, dtype=np.uint64), ranges)
-        return _ask(int(frame["chunk"].iloc[0]), parts(frame, reply)[2], ranges)
+            return _ask(0, 0, np.zeros(0, dtype=np.uint64), ranges)
+        return _ask(int(frame["chunk"].iloc[0]), int(frame["order"].iloc[0]), parts(frame, reply)[2], ranges)
 
     def ask_windows(frame: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
-            return _ask(0, np.zeros(0, dtype=np.uint64), ranges)
-        return _ask(int(frame["chunk"].iloc[0]), windows_of(frame, reply)[2], ranges)
+            return _ask(0, 0, np.zeros(0, dtype=np.uint64), ranges)
+        return _ask(int(frame["chunk"].iloc[0]), int(frame["order"].iloc[0]), windows_of(frame, reply)[2], ranges)
 
     def finish(frame: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
@@ -269,8 +318,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         return out.assign(also=chunk.also)
 
     def round_of(kind: int, ask, replies: DataFrame) -> DataFrame:
-        asked = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(ask, "chunk int, range int, data binary")
-        return asked.groupBy("range").applyInPandas(lambda f: _answer(f, kind, numbered), "chunk int, kind int, range int, data binary, id long")
+        asked = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(ask, "chunk int, order int, range int, data binary")
+        return asked.groupBy("range").applyInPandas(lambda f: _answer(f, kind), "chunk int, kind int, range int, data binary, id long, digest string")
 
     told = copies.union(round_of(1, ask_marks, copies))
     told = told.union(round_of(2, ask_windows, told))

@@ -206,6 +206,16 @@ def test_repeated_passages(spark, chunk_bytes):
     assert same([(r["id"], r["n_bytes"], r["starts"], bytes(r["kept"])) for r in got], repeats(given, 50))
 
 
+@pytest.mark.parametrize("chunk_bytes", [10_000_000, 900, 100])
+def test_repeated_ids_with_other_texts(spark, chunk_bytes):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    given = [(1, a), (2, a), (2, b), (2, b), (2, c + a[:90]), (3, c), (4, b + a), (None, c), (None, prose(5, 40)), (None, prose(5, 40))] + [(6, prose(20 + k, 30)) for k in range(12)]
+    given += [(7, prose(25, 30)), (8, prose(31, 90))]
+    table = spark.createDataFrame(given, "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(table, 50, chunk_bytes=chunk_bytes, range_bytes=2_000).collect()
+    assert same([(r["id"], r["n_bytes"], r["starts"], bytes(r["kept"])) for r in got], repeats(given, 50))
+
+
 @pytest.mark.parametrize("length", [25, 50])
 def test_every_place_counts_in_a_rank(length):
     """Ranks are sums over places before spreading; no place's factor may lose many of the 64 bits."""
