@@ -12,6 +12,7 @@ Words of a batch are handled once each and kept in a cache of bounded size; the
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable
@@ -112,23 +113,33 @@ class WordBpe:
         return good
 
     def exact(self, word: str) -> list[int]:
-        """Merge the lowest ranked pair, leftmost first, until none is left."""
+        """Merge the lowest ranked pair, leftmost first, until none is left.
+
+        Pieces form a linked list and pairs wait in a heap by rank and place, so a word of n letters takes n log n steps; a
+        pair that a merge has changed since is passed over.
+        """
         ids = [self.vocab[c] for c in word[:-1]]
         ids.append(self.vocab[word[-1] + self.end])
-        n, rank, none = len(self.names), self.ranks.get, len(self.made)
-        ranks = [rank(x * n + y, none) for x, y in zip(ids, ids[1:])]
-        while ranks:
-            least = min(ranks)
-            if least == none:
-                break
-            i = ranks.index(least)
-            ids[i:i + 2] = [self.made[least]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank(ids[i - 1] * n + ids[i], none)
-            if i < len(ranks):
-                ranks[i] = rank(ids[i] * n + ids[i + 1], none)
-        return ids
+        n, rank, last = len(self.names), self.ranks.get, len(ids)
+        after, before = list(range(1, last + 1)), list(range(-1, last - 1))
+        waiting = [(r, i) for i, r in enumerate(rank(x * n + y) for x, y in zip(ids, ids[1:])) if r is not None]
+        heapq.heapify(waiting)
+        while waiting:
+            least, i = heapq.heappop(waiting)
+            j = after[i]
+            if ids[i] < 0 or j == last or rank(ids[i] * n + ids[j]) != least:
+                continue
+            ids[i], ids[j], after[i] = self.made[least], -1, after[j]
+            if after[i] < last:
+                before[after[i]] = i
+                r = rank(ids[i] * n + ids[after[i]])
+                if r is not None:
+                    heapq.heappush(waiting, (r, i))
+            if before[i] >= 0:
+                r = rank(ids[before[i]] * n + ids[i])
+                if r is not None:
+                    heapq.heappush(waiting, (r, before[i]))
+        return [x for x in ids if x >= 0]
 
     def greedy(self, word: str) -> list[int]:
         """Longest match from the left; the word end sticks to the last letter."""

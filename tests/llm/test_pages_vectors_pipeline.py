@@ -71,12 +71,26 @@ def test_graph_recall_and_audit():
     x = random.normal(size=(1500, 24))
     x[500:] = x[random.integers(0, 500, 1000)] + 0.12 * random.normal(size=(1000, 24))
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
-    found = hnsw.search(hnsw.Graph(x), x, 0.93)
+    found = hnsw.search(hnsw.Graph(x), x, np.arange(len(x)), 0.93)
     truth = x @ x.T >= 0.93
     assert sum(map(len, found)) >= 0.97 * truth.sum()
     assert all(truth[i][hits].all() for i, hits in enumerate(found))
 
 
+def test_audit_weighs_lone_pairs_like_a_dense_group():
+    random = np.random.default_rng(9)
+    x = random.normal(size=(2600, 16))
+    x[:800] = x[0] + 0.05 * random.normal(size=(800, 16))
+    x[801:2600:2] = x[800:2599:2] + 0.04 * random.normal(size=(900, 16))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    some = np.concatenate([np.arange(800, 2600), np.arange(0, 800, 8)])
+    found = hnsw.search(hnsw.Graph(x), x[some], some, 0.93)
+    share = [len(hits) / t for hits, t in zip(found, (x[some] @ x.T >= 0.93).sum(axis=1))]
+    assert np.mean(share[:1800]) >= 0.95
+    lone = hnsw.search(hnsw.Graph(x[800:2600:2]), x[800:2600:2], np.arange(900), 0.93)
+    assert [len(h) for h in lone] == [1] * 900
+
+
 def test_boosting_learns_a_rule():
     random = np.random.default_rng(1)
     x = random.normal(size=(2000, 5)).astype(np.float32)
@@ -133,6 +147,14 @@ def test_decoding_never_contradicts_ancestors():
         assert keep.tolist() == choice
 
 
+def test_deep_pages_close_their_own_nodes():
+    """Text after nested blocks belongs to the block it stands in, however deep."""
+    for depth in (50, 222, 5000):
+        page = html_text.Page("<div>" * depth + "in" + "</div>" * (depth - 3) + "out" + "</div></div></div>")
+        where = {text.strip(): node for node, text in page.events if text.strip()}
+        assert where["in"] == depth and where["out"] == 3
+
+
 def test_awkward_pages(spark, trees):
     odd = [(1, "u", None), (2, None, ""), (None, "u", "<p"), (4, "u", "no tags at all"), (5, "u", "<" * 500), (6, "u", "<div>" * 3000 + "deep"),
            (7, "u", "<a href=\"x>" * 50), (7, "u", "<article>" + "<p>w x y.</p>" * 20_000), (8, "u", "</div></p><table><tr><td>a<td>b</table>")]

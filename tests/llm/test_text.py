@@ -368,6 +368,31 @@ def test_word_bpe_guesses_are_checked():
     assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_batch(special)] == [reader.encode(t, add_special_tokens=False).ids for t in special]
 
 
+def test_word_bpe_of_very_long_words():
+    import time
+
+    bpe, random = word_bpe.load(vocabulary("word_bpe_49k.json")), np.random.default_rng(6)
+
+    def plain(word):
+        ids = [bpe.vocab[c] for c in word[:-1]] + [bpe.vocab[word[-1] + bpe.end]]
+        while True:
+            ranks = [bpe.ranks.get(x * len(bpe.names) + y, 1 << 40) for x, y in zip(ids, ids[1:])]
+            least = min(ranks, default=1 << 40)
+            if least == 1 << 40:
+                return ids
+            i = ranks.index(least)
+            ids[i:i + 2] = [bpe.made[least]]
+
+    for size in (1, 2, 3, 40, 400):
+        for letters in ("ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz"):
+            word = "".join(random.choice(list(letters), size))
+            assert bpe.exact(word) == plain(word)
+    start = time.time()
+    word = "".join(random.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 200_000))
+    assert len(bpe.exact(word)) < 200_000 and len(bpe.exact("a" * 200_000)) < 200_000
+    assert time.time() - start < 20
+
+
 def test_secrets(spark):
     key = hashlib.sha1(b"k").hexdigest()
     texts = [f"{prose(i, 30)} token = \"{hashlib.sha1(bytes([i])).hexdigest()}\" {prose(i + 50, 20)}" for i in range(40)]
@@ -382,6 +407,7 @@ def test_secrets(spark):
     untaught = secrets.learn(empty(spark))
     assert all(not r["secrets"] for r in secrets.scan(table, untaught).collect())
     assert secrets.scan(clashing(spark), forest).count() == len(rows())
+    assert secrets.scan(empty(spark), forest).count() == 0 and secrets.redact(empty(spark), forest).count() == 0
 
 
 def test_near_dedup_keeps_every_text_of_a_repeated_id(spark):
