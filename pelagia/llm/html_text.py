@@ -145,8 +145,6 @@ class Page:
             self.depth.append(len(stack))
             self.named.append(self._names(m[3] or m[6] or ""))
             stack.append((len(self.tag) - 1, name))
-            if len(stack) > 200:  # deeper nesting adds nothing to what is inside
-                stack.pop()
         self._break()
 
     def _break(self) -> None:
