@@ -133,7 +133,9 @@ def train(labelled: DataFrame, pieces: list[str], trees: int = 15, depth: int =
     Null labels are left out. With one class only the forest says no to everything.
     """
     names = tuple(features(F.col("c"), pieces))
-    numbers = labelled.filter("label is not null").select("label", "c")
+    # a finding copied any number of times counts once
+    numbers = labelled.filter("label is not null").groupBy("label", "c.candidate", "c.before", "c.after").agg(F.min("c.k").alias("k")).select(
+        "label", F.struct("k", "candidate", "before", "after").alias("c"))
     picked = None
     for label in (0, 1):
         some = numbers.filter(F.col("label") == label).orderBy(F.xxhash64("c.candidate", "c.before"), "c.after", "c.k").limit(SAMPLE)
