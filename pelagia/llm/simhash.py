@@ -36,8 +36,10 @@ PIVOTS = 48
 BUCKET = 4096
 #: Common runs that are put last, at most; the order of the others does not matter.
 COMMON = 1 << 20
-#: Slots of the hash space in a text's sketch.
+#: Slots of the hash space in the sketch of a text that joined pairs are sieved by.
 SLOTS = 1024
+#: Members up to which all pairs of a run are sent on: at most half as many pairs for each member.
+SMALL = 12
 #: Rows up to which a table is broadcast.
 FEW = 500_000
 
@@ -252,7 +254,7 @@ def parity(runs: np.ndarray, slots: int) -> np.ndarray:
 
 def slots_for(n: int) -> int:
     """Slots of the sketch of ``n`` runs: enough that texts without common runs differ in far more of them than similar ones."""
-    return max(SLOTS, 1 << max(n - 1, 1).bit_length())
+    return max(64, 1 << max(n - 1, 1).bit_length())
 
 
 def folded(sketch: np.ndarray, words: int) -> np.ndarray:
@@ -326,9 +328,25 @@ def near_pairs(texts: dict[str, np.ndarray], sketches: list[np.ndarray], two: bo
     return np.concatenate(left), np.concatenate(right), more
 
 
+def small_pairs(met: DataFrame, least: float) -> DataFrame:
+    """``a``, ``b``: as ``apart``, all turns at once, for runs with at most ``SMALL`` members."""
+    some = met.groupBy("run").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter(
+        (F.col("m") <= SMALL) & (F.col("lo") < F.col("hi"))).select("run")
+    texts = met.join(some, "run").groupBy("run").agg(F.collect_list(F.struct("node", "n", "pos", "root")).alias("texts"))
+    share = least / (1 + least)
+
+    def may(x: Column, y: Column) -> Column:
+        left = lambda t: t["n"] - t["pos"]
+        return (x["node"] < y["node"]) & (x["root"] != y["root"]) & (F.least(left(x), left(y)) >= share * (x["n"] + y["n"]) - 1e-6) & (
+            F.least(x["n"], y["n"]) >= least * F.greatest(x["n"], y["n"]) - 1e-6)
+
+    pairs = F.flatten(F.transform("texts", lambda x: F.transform(F.filter("texts", lambda y: may(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    return texts.select(F.inline(pairs)).distinct()
+
+
 def apart(met: DataFrame, sketches: DataFrame, least: float, bucket: int, low: int, high: int) -> DataFrame:
     """``a``, ``b``: pairs that may be similar, share a run of ``met``, lie in two parts (``root``) and whose turn comes from ``low`` to
-    below ``high``; a row of nulls where later turns are left.
+    below ``high``; a row of nulls where later turns are left. Runs with at most ``SMALL`` members are left to ``small_pairs``.
 
     ``met`` has ``run``, ``node``, the text's number of runs ``n``, the run's place ``pos`` in its order and ``root``. Members of a
     run's largest part are only compared with the others, in blocks of at most ``bucket`` of each; the others are also
@@ -337,7 +355,7 @@ def apart(met: DataFrame, sketches: DataFrame, least: float, bucket: int, low: i
     parts = met.groupBy("run", "root").agg(F.count(F.lit(1)).alias("m"))
     chunks = lambda c: F.greatest(F.ceil(c / bucket), F.lit(1)).cast("int")
     sizes = parts.groupBy("run").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.max("m").alias("m"), F.sum("m").alias("all")).filter(
-        F.col("all") > F.col("m")).select("run", "top", "all", chunks(F.col("m")).alias("ours"), chunks(F.col("all") - F.col("m")).alias("others"))
+        (F.col("all") > F.col("m")) & (F.col("all") > SMALL)).select("run", "top", "all", chunks(F.col("m")).alias("ours"), chunks(F.col("all") - F.col("m")).alias("others"))
     live = met.join(few(cut_lineage(sizes)), "run")
     place = lambda c: F.pmod(F.xxhash64("node", F.lit(7)), c).cast("int")
     upto = lambda c: F.sequence(F.lit(0), c - 1)
@@ -348,7 +366,7 @@ def apart(met: DataFrame, sketches: DataFrame, least: float, bucket: int, low: i
         F.transform(upto(F.col("others")), lambda j: block("among", F.least(mine, j), F.greatest(mine, j)))))
     side = F.when(F.col("of.kind") == "across", big.cast("int")).otherwise(mine)
     dealt = live.withColumn("of", F.explode(blocks)).select("run", "of", "all", "node", "n", "pos", "root", side.alias("side"))
-    texts = dealt.join(sketches.select("node", F.coalesce("wide", "odd").alias("odd")), "node")
+    texts = dealt.join(sketches.select("node", F.col("wide").alias("odd")), "node")
     groups = texts.groupBy("run", "of").agg(F.first("all").alias("all"), F.collect_list(F.struct("node", "n", "pos", "root", "side", "odd")).alias("texts")).filter(F.size("texts") > 1).select(
         ((F.col("of.kind") == "across") | (F.col("of.i") < F.col("of.j"))).alias("two"), "all", *[F.col("texts")[c].alias(c) for c in ("node", "n", "pos", "root", "side", "odd")])
 
@@ -397,9 +415,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             nodes.append(node_of(runs))
             sizes.append(n)
             odd.append(parity(runs, SLOTS))
-            wide.append(parity(runs, slots_for(n)).view(np.int64) if n > SLOTS else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), signed(fps), signed(nodes), pa.array(sizes, pa.int32()), lists(odd),
-                                           pa.array(wide, pa.list_(pa.int64())), lists(firsts)],
+            wide.append(parity(runs, slots_for(n)))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), signed(fps), signed(nodes), pa.array(sizes, pa.int32()), lists(odd), lists(wide), lists(firsts)],
                                           ["id", "digest", "fp", "node", "n", "odd", "wide", "firsts"])
 
     rows = cut_lineage(arrow_stage(texts.withColumn("digest", F.xxhash64("text")), step,
@@ -415,8 +432,10 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     low, high = 0, reach
     while True:
         labelled = met.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = cut_lineage(apart(labelled, sketches, least, bucket, low, high))
-        more = cut_lineage(found.filter("a is not null").join(tested, ["a", "b"], "left_anti"))
+        labelled = cut_lineage(labelled)
+        found = apart(labelled, sketches, least, bucket, low, high)
+        found = cut_lineage(found if low else found.union(small_pairs(labelled, least)))
+        more = cut_lineage(sieved(found.filter("a is not null").distinct(), sketches, least).join(tested, ["a", "b"], "left_anti"))
         if not at_most(more, 0):
             linked = cut_lineage(linked.union(verified(more, texts, width, least)))
         if at_most(found.filter("a is null"), 0):
