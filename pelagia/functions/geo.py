@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 # Fixed values.
@@ -29,6 +30,13 @@ def haversine_nm(lat1, lon1, lat2, lon2) -> Column:
     return haversine_m(lat1, lon1, lat2, lon2) / F.lit(METRES_PER_NM)
 
 
+def haversine_nm_array(lat1, lon1, lat2, lon2) -> np.ndarray:
+    """``haversine_nm`` for arrays inside a task."""
+    p1, p2 = np.radians(lat1), np.radians(lat2)
+    chord = np.sin(np.radians(np.subtract(lat2, lat1)) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(np.subtract(lon2, lon1)) / 2) ** 2
+    return 2.0 * EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(chord))) / METRES_PER_NM
+
+
 def bearing_deg(lat1, lon1, lat2, lon2) -> Column:
     """Initial great-circle bearing in [0, 360)."""
     a1, o1, a2, o2 = map(_col, (lat1, lon1, lat2, lon2))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pelagia.operators import routing as ops
+from pelagia.plans.overlay import PAIR, Routes
 from pelagia.session import cut_lineage
 from pelagia.workload.queries_fences import brg, hav
 from pelagia.workload.queries_joins import LAT_AXIS, LON_AXIS
@@ -88,14 +89,15 @@ class Solved:
         self.starts = ops.snap(v.routes, self.cells, "route_id", LAT_AXIS, LON_AXIS, "olat", "olon")
         self.ends = ops.snap(v.routes, self.cells, "route_id", LAT_AXIS, LON_AXIS, "dlat", "dlon")
         code = (F.col("i") * 50 + F.col("j")).cast("bigint").alias("origin")
-        self.origins = self.starts.where("i IS NOT NULL").select(code, "i", "j").distinct()
-        self.surface = ops.least_cost_surface(self.cells, self.origins)
-        self.goals = self.ends.where("i IS NOT NULL").join(
-            self.starts.where("i IS NOT NULL").select("route_id", code), "route_id").select("route_id", "origin", "i", "j")
+        start = self.starts.select("route_id", F.col("i").alias("oi"), F.col("j").alias("oj"))
+        goal = self.ends.select("route_id", F.col("i").alias("gi"), F.col("j").alias("gj"))
+        self.asked = cut_lineage(start.join(goal, "route_id").where("oi IS NOT NULL AND gi IS NOT NULL").withColumn(
+            "origin", (F.col("oi") * 50 + F.col("oj")).cast("bigint")))
+        self.found = Routes(self.cells, self.asked)
+        self.costs = self.asked.join(self.found.best, PAIR)
 
     def paths(self):
-        links = ops.predecessors(self.surface, self.cells)
-        return ops.extract_paths(links, self.goals)
+        return self.asked.join(self.found.paths(), PAIR).select("route_id", "origin", "hop", "i", "j")
 
     def legs(self):
         return ops.legs(self.paths(), self.cells, CRUISE)
@@ -112,7 +114,17 @@ def r4(v: Views):
 
 @query("r5_least_cost_surface", f"WITH RECURSIVE {SURFACE} SELECT origin, i, j, {r6('g')} FROM sf")
 def r5(v: Views):
-    return Solved(v).surface
+    cells = cost_cells(v)
+    starts = ops.snap(v.routes, cells, "route_id", LAT_AXIS, LON_AXIS, "olat", "olon")
+    code = (F.col("i") * 50 + F.col("j")).cast("bigint").alias("origin")
+    return ops.least_cost_surface(cells, starts.where("i IS NOT NULL").select(code, "i", "j").distinct())
+
+
+@query("r5_route_costs", f"WITH RECURSIVE {SURFACE} SELECT so.route_id, og.origin, sd.i, sd.j, {r6('g')} FROM so JOIN og ON og.i = so.i AND og.j = so.j JOIN sd USING (route_id) "
+       "JOIN sf ON sf.origin = og.origin AND sf.i = sd.i AND sf.j = sd.j")
+def r5_costs(v: Views):
+    """Least cost of every asked route, searched on the tiles' border graph."""
+    return Solved(v).costs.select("route_id", "origin", F.col("gi").alias("i"), F.col("gj").alias("j"), "g")
 
 
 @query("r6_path_extraction", f"WITH RECURSIVE {PATHS} SELECT route_id, hop, i, j FROM pt")
@@ -141,8 +153,7 @@ WITH RECURSIVE {SURFACE}, r AS (SELECT r.route_id, so.i AS si, sd.i AS ei, sf.g
 SELECT route_id, CASE WHEN si IS NULL THEN 'origin_blocked' WHEN ei IS NULL THEN 'destination_blocked' WHEN g IS NULL THEN 'no_path_found' ELSE 'feasible' END AS status, {r6('g')} FROM r""")
 def r8(v: Views):
     solved = Solved(v)
-    reached = solved.goals.join(solved.surface, ["origin", "i", "j"]).select("route_id", "g")
-    return ops.classify_routes(v.routes, solved.starts, solved.ends, reached)
+    return ops.classify_routes(v.routes, solved.starts, solved.ends, solved.costs.select("route_id", "g"))
 
 
 @query("r9_avoided_hazards", f"""
