@@ -8,7 +8,8 @@ from pelagia import dims
 from pelagia.functions import geo, marine
 from pelagia.plans.ordered import top_per_group
 from pelagia.plans.spatial import nearest_features
-from pelagia.session import at_most, cut_lineage
+from pelagia.plans.tracks import PIECE, track_distances
+from pelagia.session import cut_lineage
 
 # Fixed values.
 HORIZON_S = 3600.0
@@ -16,10 +17,6 @@ STEPS = 40
 MIN_SPEED_KN = 0.5
 MIN_CLOSING_KN = 0.25
 ETA_HORIZONS = 4.0
-#: Segments handled as one packed row when walking a track.
-CHUNK = 64
-#: Segments (about 40 B each, packed) up to which all fences are broadcast.
-SEGMENTS_BROADCAST = 400_000
 
 
 def latest_per_tick(positions: DataFrame, seconds: int) -> DataFrame:
@@ -72,56 +69,21 @@ def resolve_classes(requested: DataFrame) -> DataFrame:
     return requested.join(aliases, F.upper(F.trim("wanted")) == F.col("alias"), "left").drop("alias")
 
 
-def closing_eta(proximities: DataFrame, segments: DataFrame, key: list[str]) -> DataFrame:
+def closing_eta(proximities: DataFrame, segments: DataFrame, key: list[str], piece: int = PIECE) -> DataFrame:
     """Adds ``eta_s``: time until the vessel reaches the fence it is closing on.
 
     The projected track is sampled; rows that cannot qualify (too slow, or farther than
-    four horizons of sailing) are set aside before the track is expanded.
+    four horizons of sailing) are set aside before. ``key`` names the columns that, with layer and fkey, tell rows apart.
     """
     slow = F.col("heading_deg").isNull() | F.col("speed_kn").isNull() | (F.col("speed_kn") < MIN_SPEED_KN)
     reach = F.col("speed_kn") * F.lit(HORIZON_S / 3600.0)
     # Closing speed never exceeds the vessel's own speed, so beyond this no ETA survives.
     too_far = F.col("distance_nm") > reach * F.lit(ETA_HORIZONS * 1.001)
-    walkable = F.coalesce(~slow & ~too_far, F.lit(False))
-    chunks = (segments.withColumn("_chunk", F.floor(F.col("seq") / CHUNK))
-              .groupBy("layer", "fkey", "is_polygon", "part", "ring", "_chunk")
-              .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_segs")))
-    split = chunks.groupBy("layer", "fkey").count().where("count > 1").limit(1).count() > 0
-    if at_most(segments, SEGMENTS_BROADCAST):
-        chunks = F.broadcast(chunks)
-    track = F.transform(F.sequence(F.lit(1), F.lit(STEPS)), lambda i: geo.project_position(
-        "lat", "lon", "heading_deg", "speed_kn", F.lit(HORIZON_S) * i / F.lit(float(STEPS))))
-    one = lambda p: F.struct(
-        geo.closest_of_segments(p["lon"], p["lat"], F.col("_segs")).alias("c"),
-        F.when(F.col("is_polygon"), F.size(F.filter("_segs", lambda s: geo.crosses_ray(
-            p["lon"], p["lat"], s["x1"], s["y1"], s["x2"], s["y2"])))).otherwise(F.lit(0)).alias("n"),
-        p["lat"].alias("lat"), p["lon"].alias("lon"))
-    far = lambda m: F.when(F.col("is_polygon") & (m["n"] % 2 == 1), F.lit(0.0)).otherwise(
-        geo.haversine_nm(m["lat"], m["lon"], m["c"]["qy"], m["c"]["qx"]))
-    # The track is projected before it meets the fence, once per vessel and fence.
-    if not split:
-        # One pass: rows that cannot qualify meet no fence and keep a null time.
-        walking = proximities.withColumn("_track", F.when(walkable, track)).withColumn("_walks", F.when(walkable, F.col("fkey")))
-        fence = chunks.select(F.col("layer").alias("_layer"), F.col("fkey").alias("_fkey"), "is_polygon", "_segs")
-        near = walking.join(fence, (F.col("layer") == F.col("_layer")) & (F.col("_walks") == F.col("_fkey")), "left") \
-            .withColumn("_near", F.transform("_track", one))
-        eta = F.when(F.col("_segs").isNotNull(), _fold_eta(F.transform("_near", far), F.col("distance_nm")))
-        return near.withColumn("eta_s", eta).select(*proximities.columns, "eta_s")
     proximities = cut_lineage(proximities)
-    candidates = proximities.where(walkable)
-    near = candidates.withColumn("_track", track).join(chunks, ["layer", "fkey"]).withColumn("_near", F.transform("_track", one))
-    # Features of several chunks: the nearest chunk per step, then the steps in order.
-    steps = near.select(*key, "layer", "fkey", "is_polygon", F.posexplode("_near").alias("_i", "_m")) \
-        .groupBy(*key, "layer", "fkey", "is_polygon", "_i") \
-        .agg(F.min("_m.c").alias("c"), F.sum("_m.n").alias("n"), F.first("_m.lat").alias("lat"),
-             F.first("_m.lon").alias("lon")) \
-        .select(*key, "layer", "fkey", "_i", far(F.struct("c", "n", "lat", "lon")).alias("_d"))
-    walks = steps.groupBy(*key, "layer", "fkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_d"))), lambda s: s["_d"]).alias("_d"))
-    done = candidates.join(walks, [*key, "layer", "fkey"]) \
-        .withColumn("eta_s", _fold_eta(F.col("_d"), F.col("distance_nm")))
-    rest = proximities.where(~walkable).withColumn("eta_s", F.lit(None).cast("double"))
-    return done.select(*proximities.columns, "eta_s").unionByName(rest)
+    walking = proximities.where(F.coalesce(~slow & ~too_far, F.lit(False)))
+    walked = track_distances(walking, segments, key, HORIZON_S, STEPS, piece)
+    return proximities.join(walked.withColumnRenamed("nm", "_nm"), [*key, "layer", "fkey"], "left").withColumn(
+        "eta_s", F.when(F.col("_nm").isNotNull(), _fold_eta(F.col("_nm"), F.col("distance_nm")))).select(*proximities.columns, "eta_s")
 
 
 def _fold_eta(distances: Column, start: Column) -> Column:

@@ -79,11 +79,7 @@ def eta(spark, lat, lon, heading, speed, chunk=64):
     segs = spark.createDataFrame(line, SEG)
     prox = spark.createDataFrame([(1, lat, lon, heading, speed, "IMBL", 1, haversine(lat, lon, 9.0, min(max(lon, 79.0), 80.0)))],
                                  "event_id INT, lat DOUBLE, lon DOUBLE, heading_deg DOUBLE, speed_kn DOUBLE, layer STRING, fkey INT, distance_nm DOUBLE")
-    old, fences.CHUNK = fences.CHUNK, chunk
-    try:
-        return fences.closing_eta(prox, segs, ["event_id"]).first().eta_s
-    finally:
-        fences.CHUNK = old
+    return fences.closing_eta(prox, segs, ["event_id"], chunk).first().eta_s
 
 
 def test_closing_time(spark):
