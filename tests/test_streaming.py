@@ -1,5 +1,6 @@
 """The stateful stream over several micro-batches equals its batch twin."""
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,22 +10,60 @@ from pelagia.session import shared_folder
 from pelagia.streaming import alerts
 
 
+HOUR = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def landed(spark, rows, base, clock, acks=()):
+    """Land sightings (vessel, tick, rank) and acknowledgements (vessel, tick), then run the alert job over what is new."""
+    if rows:
+        df = spark.createDataFrame(rows, "vessel_id BIGINT, tick BIGINT, level_rank INT").select(
+            "vessel_id", "tick", alerts.tick_time("tick", 3600).alias("tick_start"), F.lit("MPA").alias("layer"), F.lit(1).alias("fkey"), "level_rank",
+            F.lit(0.1).alias("distance_nm"), F.lit(0).cast("bigint").alias("event_id"), F.lit(None).cast("boolean").alias("hazards_checked"))
+        clock.stamp(df, "tick_start").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    if acks:
+        alerts.land_acknowledgements(spark.createDataFrame([(k, "MPA", 1, t) for k, t in acks], "vessel_id BIGINT, layer STRING, fkey INT, tick BIGINT").coalesce(1), f"{base}/acks", clock, 3600)
+
+
+def run_alerts(spark, base):
+    stream = spark.readStream.schema(alerts.PROXIMITY_SCHEMA).parquet(f"{base}/in")
+    acks = spark.readStream.schema(alerts.ACK_SCHEMA).parquet(f"{base}/acks")
+    job = alerts.alert_actions(stream, acks).writeStream.format("parquet").option("path", f"{base}/out") \
+        .option("checkpointLocation", f"{base}/offsets").outputMode("append").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return sorted((r.vessel_id, r.tick, r.action, r.level_rank) for r in spark.read.parquet(f"{base}/out").collect())
+
+
 def test_stream_equals_batch(spark):
     base = f"{shared_folder(spark)}/test-{uuid.uuid4().hex}"
     rows = [(k, t, 1 + (k * 3 + t * t) % 3) for k in range(6) for t in range(100, 112) if (k + t) % 5]
-    df = spark.createDataFrame(rows, "vessel_id BIGINT, tick BIGINT, level_rank INT").select(
-        "vessel_id", "tick", F.timestamp_add("HOUR", F.col("tick"), F.expr("timestamp_ntz'1970-01-01 00:00:00'")).alias("tick_start"),
-        F.lit("MPA").alias("layer"), F.lit(1).alias("fkey"), "level_rank", F.lit(0.1).alias("distance_nm"), F.lit(0).cast("bigint").alias("event_id"))
-    got = []
+    acks = [(k, t) for k in range(6) for t in range(100, 112) if (k + 2 * t) % 7 == 0]
+    clock = alerts.Clock()
     for low, high in ((100, 104), (104, 108), (108, 112)):
-        df.where((F.col("tick") >= low) & (F.col("tick") < high)).coalesce(1).write.mode("append").parquet(f"{base}/in")
-        stream = spark.readStream.schema(alerts.PROXIMITY_SCHEMA).parquet(f"{base}/in")
-        job = alerts.alert_actions(stream).writeStream.format("parquet").option("path", f"{base}/out") \
-            .option("checkpointLocation", f"{base}/offsets").outputMode("append").trigger(availableNow=True).start()
-        job.awaitTermination()
-    got = {(r.vessel_id, r.tick, r.level_rank, r.action) for r in spark.read.parquet(f"{base}/out").collect() if r.action != "clear"}
-    twin = reports.alert_transitions(df.select("vessel_id", "layer", "fkey", "tick", "level_rank"), alerts.KEY)
-    assert got == {(r.vessel_id, r.tick, r.level_rank, r.action) for r in twin.collect() if r.action != "clear"}
+        inside = lambda r: low <= r[1] < high  # noqa: B023, E731
+        landed(spark, list(filter(inside, rows)), base, clock, list(filter(inside, acks)))
+        run_alerts(spark, base)
+    alerts.land_time(spark, f"{base}/acks", clock, datetime.datetime(1970, 1, 6))  # hour 120
+    got = run_alerts(spark, base)
+    keyed = lambda r, schema: spark.createDataFrame(r, schema).withColumns({"layer": F.lit("MPA"), "fkey": F.lit(1)})
+    twin = reports.alert_transitions(keyed(rows, "vessel_id BIGINT, tick BIGINT, level_rank INT"), alerts.KEY, keyed(acks, "vessel_id BIGINT, tick BIGINT"))
+    assert got == sorted((r.vessel_id, r.tick, r.action, r.level_rank) for r in twin.collect())
+    assert alerts.Clock(spark, f"{base}/in", f"{base}/acks").now == clock.now
+
+
+def test_late_rows_and_early_acknowledgements_leave_or_wait(spark):
+    base = f"{shared_folder(spark)}/test-{uuid.uuid4().hex}"
+    clock = alerts.Clock()
+    landed(spark, [(1, 100, 1), (1, 101, 1), (2, 100, 2), (3, 100, 1)], base, clock, [(3, 101)])  # the last before its sighting
+    run_alerts(spark, base)
+    landed(spark, [(1, 100, 3), (2, 101, 2), (3, 101, 1)], base, clock, [(1, 100), (2, 100)])  # a late row, a late and a timely acknowledgement
+    run_alerts(spark, base)
+    landed(spark, [(3, 102, 1), (9, 110, 1)], base, clock)
+    run_alerts(spark, base)
+    landed(spark, [(2, 101, 3), (2, 109, 1)], base, clock)  # late after its alert was cleared by time
+    got = run_alerts(spark, base)
+    assert [x for x in got if x[0] == 1] == [(1, 100, "emit", 1), (1, 100, "late", 3), (1, 100, "late_ack", None), (1, 101, "suppress", 1), (1, 102, "clear", 1)]
+    assert [x for x in got if x[0] == 2] == [(2, 100, "emit", 2), (2, 101, "emit", 2), (2, 101, "late", 3), (2, 102, "clear", 2), (2, 109, "emit", 1)]
+    assert [x for x in got if x[0] == 3] == [(3, 100, "emit", 1), (3, 101, "suppress", 1), (3, 102, "emit", 1), (3, 103, "clear", 1)]
 
 
 def test_hazard_loader_failure_keeps_static_fences(spark):
