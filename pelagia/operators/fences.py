@@ -16,7 +16,10 @@ HORIZON_S = 3600.0
 STEPS = 40
 MIN_SPEED_KN = 0.5
 MIN_CLOSING_KN = 0.25
+HAZARD = "HAZARD_EXCLUSION"
 ETA_HORIZONS = 4.0
+#: Between class and key of a hazard zone while it is a layer of its own.
+ZONE = "\x1f"
 
 
 def latest_per_tick(positions: DataFrame, seconds: int) -> DataFrame:
@@ -51,6 +54,26 @@ def fence_proximities(positions: DataFrame, segments: DataFrame, fences: DataFra
     return out if include_info else out.where(F.col("level_rank") > 0)
 
 
+def each_zone(segments: DataFrame) -> DataFrame:
+    """Every feature a layer of its own, so that all of them are checked and not only the nearest of the class."""
+    return segments.withColumn("layer", F.concat_ws(ZONE, "layer", F.col("fkey").cast("string")))
+
+
+def hazard_proximities(positions: DataFrame, segments: DataFrame, fences: DataFrame, max_nm: float | None = None) -> DataFrame:
+    """Every hazard zone of ``segments`` for every position, not only the nearest, with its alert level; none beyond ``max_nm``."""
+    near = nearest_features(positions, each_zone(segments), max_nm=max_nm).withColumn("layer", F.substring_index("layer", ZONE, 1))
+    return with_levels(near, fences)
+
+
+def alerting_proximities(positions: DataFrame, segments: DataFrame, fences: DataFrame, hazard: str = HAZARD) -> DataFrame:
+    """What a position is warned of: the nearest fence of every class and every hazard zone, where the level is WARN or more."""
+    own = fences.where(F.col("layer") == hazard).agg(F.max(F.greatest("own_warn_nm", "own_critical_nm"))).first()[0]
+    lead = max(own or 0.0, *[x for r in dims.FENCE_CLASSES if r[0] == hazard for x in r if isinstance(x, float)])
+    fixed = with_levels(nearest_features(positions, segments.where(F.col("layer") != hazard)), fences)
+    zones = hazard_proximities(positions, segments.where(F.col("layer") == hazard), fences, max_nm=lead)
+    return fixed.unionByName(zones).where("level_rank > 0")
+
+
 def proximity_order() -> list[Column]:
     return [F.col("level_rank").desc(), F.col("severity_rank").desc(), F.round("distance_nm", 9).asc(), F.col("fkey")]
 

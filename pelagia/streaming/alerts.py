@@ -27,8 +27,6 @@ ACK_SCHEMA = "vessel_id BIGINT, layer STRING, fkey INT, tick BIGINT, seen_at TIM
 ACTION_SCHEMA = "vessel_id BIGINT, layer STRING, fkey INT, tick BIGINT, level_rank INT, action STRING"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEY = ["vessel_id", "layer", "fkey"]
-#: Between class and key of a hazard zone while it is a layer of its own.
-ZONE = "\x1f"
 
 
 def latest_version(fences: DataFrame, version: str = "version") -> DataFrame:
@@ -97,9 +95,7 @@ def proximity_batches(positions: DataFrame, segments: DataFrame, fences: DataFra
         ticks = balanced(fence_ops.latest_per_tick(batch, tick_s))
         rows = fence_ops.with_levels(fence_ops.nearest_features(ticks, segments), fences)
         if extra is not None:
-            zones = extra[0].withColumn("layer", F.concat_ws(ZONE, "layer", F.col("fkey").cast("string")))
-            near = fence_ops.nearest_features(ticks, zones).withColumn("layer", F.substring_index("layer", ZONE, 1))
-            rows = rows.unionByName(fence_ops.with_levels(near, extra[1]))
+            rows = rows.unionByName(fence_ops.hazard_proximities(ticks, *extra))
         clock.reach(batch.agg(F.max(F.col("ts").cast("timestamp_ntz"))).first()[0])
         rows.where("level_rank > 0").withColumn("hazards_checked", F.lit(checked).cast("boolean")) \
             .select("vessel_id", "tick", "tick_start", "layer", "fkey", "level_rank", "distance_nm", "event_id", "hazards_checked",

@@ -95,6 +95,14 @@ def j1(v: Views):
         "event_id", "layer", "fkey", "inside", "distance_nm", "bearing_deg", "closest_lat", "closest_lon")
 
 
+@query("j1_every_hazard_zone", f"""
+WITH {nearest_sql('{positions}', 'event_id').replace("PARTITION BY event_id, layer ", "PARTITION BY event_id, layer, CASE WHEN layer = 'HAZARD_EXCLUSION' THEN fkey END ")}, {LEVELS_SQL}
+SELECT event_id, layer, fkey, inside, level_rank, {r6('distance_nm')} FROM levelled WHERE level_rank > 0""")
+def j1_zones(v: Views):
+    """What each position is warned of: every hazard zone, of the other classes the nearest fence."""
+    return ops.alerting_proximities(v.spread(v.positions), v.fence_segments, v.fences).select("event_id", "layer", "fkey", "inside", "level_rank", "distance_nm")
+
+
 @query("f15_alert_level", f"""
 WITH {nearest_sql('{positions}', 'event_id')}, {LEVELS_SQL}
 SELECT event_id, layer, fkey, level_rank, {LEVEL_NAME} AS level FROM levelled""")

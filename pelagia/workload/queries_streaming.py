@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
 
 from pelagia import catalog
+from pelagia.operators.fences import HAZARD
 from pelagia.session import shared_folder
 from pelagia.streaming import alerts
 from pelagia.workload.queries_fences import brg, hav
@@ -16,37 +18,58 @@ from pelagia.workload.registry import query, r6
 from pelagia.workload.views import _SPARK_MACROS, AS_OF, VIEWS, Views, _expand
 
 
-def run_proximities(v: Views) -> str:
-    """Stream the event file through the fence check; returns the sink folder."""
-    base = f"{shared_folder(v.spark)}/stream-{uuid.uuid4().hex}"
-    events = v.spark.readStream.schema(v.events.schema).option("pathGlobFilter", "events.parquet").parquet(v.folder)
+def run_proximities(v: Views, events, base: str, clock: alerts.Clock, **more) -> None:
+    """Stream what is new of landed events through the fence check."""
     positions = v.spark.sql(_expand(VIEWS["positions"], _SPARK_MACROS), events=events)
-    writer = alerts.proximity_batches(positions, v.fence_segments, v.fences, 3600, f"{base}/proximities")
+    writer = alerts.proximity_batches(positions, more.pop("segments", v.fence_segments), v.fences, 3600, f"{base}/proximities", clock=clock, **more)
     writer.option("checkpointLocation", f"{base}/offsets-1").trigger(availableNow=True).start().awaitTermination()
-    return base
+
+
+#: Every hazard zone is checked, of the other classes the nearest fence.
+EACH_ZONE = ALERT_TICKS.replace("PARTITION BY vessel_id, tick_start, layer ", f"PARTITION BY vessel_id, tick_start, layer, CASE WHEN layer = '{HAZARD}' THEN fkey END ")
+assert EACH_ZONE != ALERT_TICKS
 
 
 @query("x1_stream_proximities", f"""
-WITH {ALERT_TICKS} SELECT vessel_id, tick, layer, fkey, level_rank, round(distance_nm, 6) AS distance_nm FROM ticks""")
+WITH {EACH_ZONE} SELECT vessel_id, tick, layer, fkey, level_rank, round(distance_nm, 6) AS distance_nm, CAST(true AS BOOLEAN) AS hazards_checked FROM ticks""")
 def x1(v: Views):
-    base = run_proximities(v)
+    """The event file through the fence check; hazard zones come from a loader and are each checked."""
+    base = f"{shared_folder(v.spark)}/stream-{uuid.uuid4().hex}"
+    events = v.spark.readStream.schema(v.events.schema).option("pathGlobFilter", "events.parquet").parquet(v.folder)
+    zone = F.col("layer") == HAZARD
+    run_proximities(v, events, base, alerts.Clock(), segments=v.fence_segments.where(~zone), hazards=lambda: (v.fence_segments.where(zone), v.fences.where(zone)))
     return v.spark.read.schema(alerts.PROXIMITY_SCHEMA).parquet(f"{base}/proximities").select(
-        "vessel_id", "tick", "layer", "fkey", "level_rank", "distance_nm")
+        "vessel_id", "tick", "layer", "fkey", "level_rank", "distance_nm", "hazards_checked")
 
 
 @query("x2_stream_alerts", f"""
-WITH {ALERT_TICKS}, {TRANSITIONS.format(ack='false', ackc='false')}
-SELECT * FROM acts a WHERE action <> 'clear' OR EXISTS (SELECT 1 FROM ticks t WHERE t.vessel_id = a.vessel_id AND t.layer = a.layer AND t.fkey = a.fkey AND t.tick > a.tick)""")
+WITH {ALERT_TICKS}, {TRANSITIONS.format(ack='(tick - 1) % 4 = 0', ackc='(t.tick % 4 = 0)')} SELECT * FROM acts""")
 def x2(v: Views):
-    """The stateful stream; alerts still open at the end of the data have not been cleared yet."""
-    base = run_proximities(v)
-    stream = v.spark.readStream.schema(alerts.PROXIMITY_SCHEMA).parquet(f"{base}/proximities")
-    job = alerts.alert_actions(stream).writeStream.format("parquet").option("path", f"{base}/alerts") \
+    """The stateful stream over three landings of the events with the acknowledgements of each, and the end of time after them."""
+    base = f"{shared_folder(v.spark)}/stream-{uuid.uuid4().hex}"
+    clock = alerts.Clock()
+    first, last = v.events.agg(F.min(F.date_trunc("HOUR", "ts")), F.max("ts")).first()
+    cuts = [first + k * ((last - first) // 3) for k in range(3)] + [None]
+    cuts = [c and c.replace(minute=0, second=0, microsecond=0) for c in cuts]
+    for low, high in zip(cuts, cuts[1:]):
+        inside = F.col("ts") >= F.lit(low)
+        v.events.where(inside if high is None else inside & (F.col("ts") < F.lit(high))).write.mode("append").parquet(f"{base}/events")
+        run_proximities(v, v.spark.readStream.schema(v.events.schema).parquet(f"{base}/events"), base, clock)
+        new = v.spark.read.schema(alerts.PROXIMITY_SCHEMA).parquet(f"{base}/proximities").where(F.col("tick_start") >= F.lit(low))
+        alerts.land_acknowledgements(new.where("tick % 4 = 0"), f"{base}/acknowledgements", clock, 3600)
+        run_alerts(v, base)
+    alerts.land_time(v.spark, f"{base}/acknowledgements", clock, last + datetime.timedelta(days=1))
+    return run_alerts(v, base)
+
+
+def run_alerts(v: Views, base: str):
+    """Stream what is new of the landed proximities and acknowledgements through the alert state; the log so far."""
+    seen = v.spark.readStream.schema(alerts.PROXIMITY_SCHEMA).parquet(f"{base}/proximities")
+    acks = v.spark.readStream.schema(alerts.ACK_SCHEMA).parquet(f"{base}/acknowledgements")
+    job = alerts.alert_actions(seen, acks).writeStream.format("parquet").option("path", f"{base}/alerts") \
         .option("checkpointLocation", f"{base}/offsets-2").outputMode("append").trigger(availableNow=True).start()
     job.awaitTermination()
-    log = v.spark.read.parquet(f"{base}/alerts").select(*alerts.KEY, "tick", "level_rank", "action")
-    last = v.spark.read.schema(alerts.PROXIMITY_SCHEMA).parquet(f"{base}/proximities").groupBy(*alerts.KEY).agg(F.max("tick").alias("_last"))
-    return log.join(last, alerts.KEY).where((F.col("action") != "clear") | (F.col("tick") < F.col("_last"))).drop("_last")
+    return v.spark.read.schema(alerts.ACTION_SCHEMA).parquet(f"{base}/alerts")
 
 
 @query("x3_replace_all_fences", """
