@@ -40,6 +40,27 @@ def test_percentile_equals_numpy(spark, p):
         assert got[g] == pytest.approx(np.percentile(vs, p * 100), abs=1e-9)
 
 
+@pytest.mark.parametrize("p", [0.0, 0.37, 0.5, 0.999, 1.0])
+def test_percentile_of_any_distribution(spark, p):
+    """Values over 300 powers of ten, neighbours in the last bit, both zeros, a hot group; no key at all."""
+    rng = random.Random(9)
+    wide = [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randint(-300, 300) for _ in range(2000)] + [0.0, -0.0, 5e-324, -5e-324]
+    close = [float(np.float64(1.0) + k * np.finfo(float).eps) for k in range(-50, 50)] * 3
+    ends = [float("inf")] * 3 + [float("-inf")] * 3 + [1.0]
+    groups = {"wide": wide, "close": close, "hot": [7.25] * 9000 + [float(k) for k in range(10)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g STRING, v DOUBLE")
+    got = {r.g: r.t for r in exact_percentile(df, ["g"], "v", p, "t").collect()}
+    for g, vs in groups.items():
+        at = (len(vs) - 1) * p
+        low, high = sorted(vs)[int(np.floor(at))], sorted(vs)[int(np.ceil(at))]
+        assert got[g] == low + (high - low) * (at - np.floor(at))
+    whole = exact_percentile(df.where("g = 'close'"), [], "v", p, "t").collect()
+    assert [r.t for r in whole] == [got["close"]]
+    extreme = exact_percentile(spark.createDataFrame([(v,) for v in ends], "v DOUBLE"), [], "v", p, "t").first().t
+    assert p == 0.37 or extreme == {0.0: float("-inf"), 0.5: 1.0}.get(p, float("inf"))
+    assert exact_percentile(df.limit(0), ["g"], "v", p, "t").count() == 0
+
+
 @pytest.mark.parametrize("tile", [4, 64])
 def test_components_cross_tiles(spark, tile):
     rng = random.Random(5)
