@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pelagia import dims
 from pelagia.functions import geo, marine
+from pelagia.plans.raster import Lattice, polygon_cells
 from pelagia.plans.spatial import nearest_features
 from pelagia.session import cut_lineage
 
@@ -29,10 +30,25 @@ TILE = 32
 # ---- cost terms -----------------------------------------------------------------------
 
 
-def cost_terms(cells: DataFrame, min_depth_m: float) -> DataFrame:
-    """Weighted terms per cell; an unknown input gives a zero term and is named in ``missing``.
+def masks(cells: DataFrame, segments: DataFrame, lattice: Lattice, land: list[str], exclusion: list[str]) -> tuple[DataFrame, list[str]]:
+    """``cells`` with ``land`` and ``exclusion``: whether a cell's centre lies in a polygon of these layers; and the kinds absent.
 
-    Needs hs, wind, period, depth, boundary_nm. The current is left out of ``cost`` because it
+    Without any polygon of a kind its mask is false and its name (``coastline``, ``exclusion``) is told, to be given to ``cost_terms``.
+    """
+    kinds = F.when(F.col("layer").isin(*land), F.lit("land")).when(F.col("layer").isin(*exclusion), F.lit("exclusion"))
+    wanted = segments.where(kinds.isNotNull()).withColumn("layer", kinds)
+    have = {x[0] for x in wanted.where("is_polygon").select("layer").distinct().collect()}
+    flags = [F.bool_or(F.col("layer") == k).alias(k) for k in ("land", "exclusion")]
+    inside = polygon_cells(wanted, lattice).groupBy("i", "j").agg(*flags)
+    given = cells.drop("land", "exclusion")
+    marked = given.join(inside, ["i", "j"], "left").withColumns({k: F.coalesce(k, F.lit(False)) for k in ("land", "exclusion")})
+    return marked, [name for kind, name in (("land", "coastline"), ("exclusion", "exclusion")) if kind not in have]
+
+
+def cost_terms(cells: DataFrame, min_depth_m: float, absent: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Weighted terms per cell; an unknown input gives a zero term and is named in ``missing``, as are whole layers that are ``absent``.
+
+    Needs hs, wind, period, depth, boundary_nm; current_kn and current_to where there are any. The current is left out of ``cost`` because it
     depends on the direction of travel.
     """
     w, n = dims.ROUTE_WEIGHTS, dims.ROUTE_NORMALISERS
@@ -45,8 +61,11 @@ def cost_terms(cells: DataFrame, min_depth_m: float) -> DataFrame:
         "steep_term": F.coalesce(w["steep"] * steep / n["steepness_max"], zero),
         "shallow_term": w["shallow"] * marine.shallow_penalty("depth", min_depth_m),
         "imbl_term": w["imbl"] * marine.boundary_penalty("boundary_nm")}
+    flow = [F.col(c) for c in ("current_kn", "current_to") if c in cells.columns]
+    current = [("current", F.when(flow[0].isNotNull() & flow[1].isNotNull(), F.lit(1)) if len(flow) == 2 else F.lit(None).cast("int"))]
     missing = F.array_compact(F.array(*[F.when(c.isNull(), F.lit(name)) for name, c in (
-        ("hs", F.col("hs")), ("wind", F.col("wind")), ("steep", steep), ("depth", F.col("depth")))]))
+        ("hs", F.col("hs")), ("wind", F.col("wind")), ("steep", steep), ("depth", F.col("depth")), *current)],
+        *[F.lit(name) for name in absent]))
     staged = cells.select("*", *[c.alias(k) for k, c in terms.items()], F.array_join(missing, ",").alias("missing"))
     return staged.withColumn("cost", F.col("base") + F.col("hs_term") + F.col("wind_term") + F.col("steep_term")
                              + F.col("shallow_term") + F.col("imbl_term"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pelagia.operators import routing as ops
 from pelagia.plans.overlay import PAIR, Routes
+from pelagia.plans.raster import Lattice
 from pelagia.session import cut_lineage
 from pelagia.workload.queries_fences import brg, hav
 from pelagia.workload.queries_joins import LAT_AXIS, LON_AXIS
@@ -50,6 +51,27 @@ def r3(v: Views):
     return ops.boundary_distance(v.cost_inputs, v.fence_segments.where("layer LIKE 'IMBL%'")).select("i", "j", "boundary_nm")
 
 
+#: A lattice of 0.01 degrees over the region: 75 400 cells.
+FINE = Lattice(260, 290, 8.0, 78.0, 0.01, 0.01, lambda i: (F.lit(800) + i) / F.lit(100), lambda j: (F.lit(7800) + j) / F.lit(100))
+FINE_SQL = "SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, (800 + i) / 100 AS lat, (7800 + j) / 100 AS lon FROM range(260) a(i), range(290) b(j)"
+
+
+def fine_cells(v: Views):
+    cells = v.spark.range(FINE.rows * FINE.columns).select((F.col("id") / FINE.columns).cast("int").alias("i"), (F.col("id") % FINE.columns).cast("int").alias("j"))
+    return cells.withColumns({"lat": FINE.lat(F.col("i")), "lon": FINE.lon(F.col("j"))})
+
+
+@query("r1_polygon_masks", f"""
+WITH c AS ({FINE_SQL}), s AS (SELECT * FROM {{fence_segments}} WHERE is_polygon AND layer IN ('MPA', 'ECO_SENSITIVE')),
+h AS (SELECT i, j, layer, fkey FROM c, s WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT i, j, coalesce(bool_or(layer = 'MPA'), false) AS land, coalesce(bool_or(layer = 'ECO_SENSITIVE'), false) AS exclusion FROM c LEFT JOIN h USING (i, j) GROUP BY i, j""")
+def r1_masks(v: Views):
+    """Land and exclusion of every cell of the fine lattice, from polygons."""
+    marked, absent = ops.masks(fine_cells(v), v.fence_segments, FINE, ["MPA"], ["ECO_SENSITIVE"])
+    assert not absent
+    return marked.select("i", "j", "land", "exclusion")
+
+
 def _snap(name: str, lat: str, lon: str) -> str:
     return f"""
     {name}0 AS (SELECT route_id, {lat} AS la, {lon} AS lo, greatest(0, least(39, CAST(ceil(({lat} - 8.0::DOUBLE) / 0.07::DOUBLE - 0.5) AS INT))) AS ci,
