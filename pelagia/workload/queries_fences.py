@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pelagia import dims
 from pelagia.functions import marine
-from pelagia.operators import fences as ops
+from pelagia.operators import fences as ops, tools
 from pelagia.plans.ordered import balanced
 from pelagia.plans.spatial import nearest_features, polygons_containing
 from pelagia.workload.registry import query, r6
@@ -186,3 +186,27 @@ SELECT b.event_id, b.layer, b.fkey, round(eta_s, 6) AS eta_s
 FROM best b LEFT JOIN etas e ON b.event_id = e.event_id AND b.layer = e.layer AND b.fkey = e.fkey""")
 def w6(v: Views):
     return ops.closing_eta(proximities(v), v.fence_segments, ["event_id"]).select("event_id", "layer", "fkey", "eta_s")
+
+
+WANTED = "CASE event_id % 4 WHEN 1 THEN {a}'MPA', 'ECO_SENSITIVE'{z} WHEN 2 THEN {a}'IMBL_HISTORIC_WATERS', 'HAZARD_EXCLUSION'{z} WHEN 3 THEN {a}'ECO_SENSITIVE'{z} END"
+_EACH = nearest_sql("{positions}", "event_id").replace("PARTITION BY event_id, layer ", "PARTITION BY event_id, layer, CASE WHEN layer = 'HAZARD_EXCLUSION' THEN fkey END ").replace(
+    "{fence_segments} s", "(SELECT * FROM {fence_segments} WHERE layer <> 'ECO_SENSITIVE') s")
+
+
+@query("tool_check_geofences", f"""
+WITH {_EACH}, {LEVELS_SQL}, {PROJECT},
+asked AS (SELECT event_id, {WANTED.format(a='[', z=']')} AS wanted FROM {{positions}}),
+hits AS (SELECT l.event_id, count(*) AS n, max(level_rank) AS level_rank, string_agg(DISTINCT l.layer, ',' ORDER BY l.layer) AS classes, min(l.distance_nm) AS nm, min(e.eta_s) AS eta_s
+         FROM levelled l JOIN asked a USING (event_id) LEFT JOIN etas e ON e.event_id = l.event_id AND e.layer = l.layer AND e.fkey = l.fkey
+         WHERE level_rank > 0 AND (wanted IS NULL OR list_contains(wanted, l.layer)) GROUP BY l.event_id),
+req AS (SELECT event_id, list_filter(['ECO_SENSITIVE', 'IMBL_HISTORIC_WATERS', 'IMBL_MARITIME_BOUNDARY', 'MPA'], lambda c: wanted IS NULL OR list_contains(wanted, c)) AS required FROM asked),
+st AS (SELECT event_id, list_contains(required, 'ECO_SENSITIVE') AS gap, len(list_filter(required, lambda c: c <> 'ECO_SENSITIVE')) > 0 AS can FROM req)
+SELECT event_id, CASE WHEN NOT can THEN 'abstain' WHEN gap THEN 'partial' ELSE 'checked' END AS status, CAST(CASE WHEN can THEN coalesce(n, 0) ELSE 0 END AS BIGINT) AS n_found,
+       CASE WHEN can THEN CASE coalesce(level_rank, 0) WHEN 3 THEN 'BREACH' WHEN 2 THEN 'CRITICAL' WHEN 1 THEN 'WARN' ELSE 'INFO' END END AS worst_level,
+       CASE WHEN can THEN coalesce(classes, '') END AS classes_present, round(CASE WHEN can THEN nm END, 6) AS nearest_nm, round(CASE WHEN can THEN eta_s END, 6) AS eta_s,
+       CASE WHEN gap THEN 'ECO_SENSITIVE' ELSE '' END AS unchecked, false AS hard_gap
+FROM st LEFT JOIN hits USING (event_id)""")
+def check_geofences(v: Views):
+    """Every position asked for some classes, while one advisory layer has not been loaded."""
+    requests = v.spread(v.positions).withColumn("wanted", F.expr(WANTED.format(a="array(", z=")")))
+    return tools.check_geofences(requests, v.fence_segments.where("layer <> 'ECO_SENSITIVE'"), v.fences, "event_id")
