@@ -90,3 +90,41 @@ def handoff(points: DataFrame, ports: DataFrame, point_key: str) -> DataFrame:
         at(1, "port_id").alias("handoff_id"), at(1, "distance_nm").alias("handoff_nm"),
         at(1, "bearing_deg").alias("handoff_bearing"), at(1, "port_district").alias("handoff_district"),
         at(2, "port_id").alias("alternate_1"), at(3, "port_id").alias("alternate_2"))
+
+
+def nearest_line_vertex(points: DataFrame, lines: DataFrame) -> DataFrame:
+    """Nearest vertex of any line for every point: line, distance (3 decimals), bearing (1 decimal) and the vertex.
+
+    ``lines`` are segments (fkey, x1, y1, x2, y2). Zone lines are published by their vertices, so it is these that are measured and
+    not the stretches between them. A vertex of several lines counts for the one with the least key.
+    """
+    ends = lines.select("fkey", F.inline(F.array(*[F.struct(F.col(x).alias("lon"), F.col(y).alias("lat")) for x, y in (("x1", "y1"), ("x2", "y2"))])))
+    places = ends.groupBy("lat", "lon").agg(F.min("fkey").alias("line_id")).withColumn("vertex", F.xxhash64("lat", "lon"))
+    near = nearest_features(points, point_segments(places, "vertices", "vertex", "lat", "lon"))
+    return near.join(places.select(F.col("vertex").alias("fkey"), "line_id"), "fkey").select(
+        *points.columns, "line_id", F.round("distance_nm", 3).alias("distance_nm"), F.round("bearing_deg", 1).alias("bearing_deg"), "closest_lat", "closest_lon")
+
+
+def nearest_stations(points: DataFrame, stations: DataFrame, readings: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` nearest stations of every point with the newest reading of each variable they have.
+
+    ``stations`` has station_id, lat, lon; ``readings`` station_id, variable, valid_time, value. A station without readings keeps its place
+    with nulls. Newest means the latest time, then the greatest value.
+    """
+    near = nearest_features(points, point_segments(stations, "stations", "station_id", "lat", "lon"), k=k).withColumnRenamed("fkey", "station_id")
+    newest = readings.where("value IS NOT NULL").groupBy("station_id", "variable").agg(F.max(F.struct("valid_time", "value")).alias("_r")).select(
+        "station_id", "variable", "_r.valid_time", "_r.value")
+    return near.drop("layer", "inside", "closest_lat", "closest_lon").join(newest, "station_id", "left")
+
+
+def nearest_in_region(points: DataFrame, places: DataFrame, region: str, place_id: str, k: int = 3) -> DataFrame:
+    """The ``k`` nearest ``places`` of a point's own ``region``; of all places where that region has none, and never an empty answer."""
+    regions = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col(region).alias("_has")).distinct()
+    asked = points.join(F.broadcast(regions), F.col(region) == F.col("_has"), "left")
+    everywhere = point_segments(places, "", place_id, "lat", "lon")
+    named = places.select(F.col(place_id).alias("fkey"), F.col(region).cast("string").alias("layer"))
+    local = everywhere.drop("layer").join(named, "fkey").select(*everywhere.columns)
+    inside = nearest_features(asked.where("_has IS NOT NULL").drop("_has"), local, k=k).where(F.col("layer") == F.col(region).cast("string"))
+    beyond = nearest_features(asked.where("_has IS NULL").drop("_has"), everywhere, k=k)
+    told = lambda df, widened: df.withColumn("widened", F.lit(widened)).withColumnRenamed("fkey", place_id).drop("layer", "inside")
+    return told(inside, False).unionByName(told(beyond, True))

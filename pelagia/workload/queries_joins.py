@@ -29,6 +29,39 @@ def j2(v: Views):
         "request_id", "port_id", "rank", "port_district", "distance_nm", "bearing_deg")
 
 
+@query("j2_nearest_zone_line", f"""
+WITH v AS (SELECT lat, lon, min(fkey) AS line_id FROM (SELECT fkey, y1 AS lat, x1 AS lon FROM {{fence_segments}} WHERE NOT is_polygon UNION ALL SELECT fkey, y2, x2 FROM {{fence_segments}} WHERE NOT is_polygon) GROUP BY 1, 2),
+d AS (SELECT r.request_id, r.lat AS rlat, r.lon AS rlon, v.*, {hav('r.lat', 'r.lon', 'v.lat', 'v.lon')} AS nm FROM {{requests}} r, v QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(nm, 9), v.lat, v.lon) = 1)
+SELECT request_id, line_id, round(nm, 3) AS distance_nm, round({brg('rlat', 'rlon', 'lat', 'lon')}, 1) AS bearing_deg, {r6('lat', 'lon')} FROM d""")
+def j2_lines(v: Views):
+    found = joins.nearest_line_vertex(v.spread(v.requests).select("request_id", "lat", "lon"), v.fence_segments.where("NOT is_polygon"))
+    return found.select("request_id", "line_id", "distance_nm", "bearing_deg", F.col("closest_lat").alias("lat"), F.col("closest_lon").alias("lon"))
+
+
+#: Readings of the stations, which stand at the ports.
+_STATION_READINGS = "SELECT location_id AS station_id, variable, valid_time, value_num AS value FROM {observations} WHERE source_id IS NOT NULL"
+
+
+@query("j2_nearest_stations", f"""
+WITH {PORT_RANKS}, o AS (SELECT station_id, variable, max(valid_time) AS valid_time, arg_max(value, (valid_time, value)) AS value FROM ({_STATION_READINGS}) q WHERE value IS NOT NULL GROUP BY 1, 2)
+SELECT request_id, port_id AS station_id, rnk AS rank, round(nm, 6) AS distance_nm, variable, valid_time, round(value, 6) AS value FROM k LEFT JOIN o ON o.station_id = k.port_id WHERE rnk <= 5""")
+def j2_stations(v: Views):
+    stations = v.ports.select(F.col("port_id").alias("station_id"), "lat", "lon")
+    return joins.nearest_stations(v.spread(v.requests).select("request_id", "lat", "lon"), stations, v.sql(_STATION_READINGS), 5).select(
+        "request_id", "station_id", "rank", "distance_nm", "variable", "valid_time", "value")
+
+
+@query("j2_region_first", f"""
+WITH r AS (SELECT *, CAST(request_id % 6 AS INT) AS zone FROM {{requests}}), z AS (SELECT DISTINCT zone FROM {{ports}}),
+d AS (SELECT r.request_id, p.port_id, z.zone IS NULL AS widened, {hav('r.lat', 'r.lon', 'p.lat', 'p.lon')} AS nm FROM r LEFT JOIN z ON z.zone = r.zone JOIN {{ports}} p ON z.zone IS NULL OR p.zone = r.zone)
+SELECT request_id, port_id, widened, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(nm, 9), port_id) AS INT) AS rank, round(nm, 6) AS distance_nm FROM d
+QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(nm, 9), port_id) <= 3""")
+def j2_regions(v: Views):
+    asked = v.spread(v.requests).select("request_id", "lat", "lon", (F.col("request_id") % 6).cast("int").alias("zone"))
+    return joins.nearest_in_region(asked, v.ports.select("port_id", "lat", "lon", F.col("zone").cast("int").alias("zone")), "zone", "port_id").select(
+        "request_id", "port_id", "widened", "rank", "distance_nm")
+
+
 @query("j3_nearest_port_district", f"WITH {PORT_RANKS} SELECT request_id, port_id, district AS port_district FROM k WHERE rnk = 1")
 def j3(v: Views):
     return joins.nearest_ports(v.spread(v.requests), v.ports, "request_id", 1).select("request_id", "port_id", "port_district")
