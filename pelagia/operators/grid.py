@@ -197,8 +197,11 @@ def regrid(cells: DataFrame, target: DataFrame, keys: list[str], value: str = "v
 
 
 def bilinear(points: DataFrame, cells: DataFrame, point_key: str, lat_axis: tuple[float, float, int],
-             lon_axis: tuple[float, float, int], value: str = "value") -> DataFrame:
-    """Bilinear sample on a regular grid; the nearest value when any corner is missing."""
+             lon_axis: tuple[float, float, int], value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Bilinear sample on a regular grid; the nearest value when any corner is missing.
+
+    ``keys`` are the columns that points and cells have in common, such as the grid's slice.
+    """
     def place(coord: str, ax: tuple[float, float, int]) -> tuple[Column, Column]:
         raw = F.greatest(F.lit(0.0), F.least(F.lit(float(ax[2] - 1)), (F.col(coord) - F.lit(ax[0])) / F.lit(ax[1])))
         low = F.least(F.lit(ax[2] - 2), F.floor(raw).cast("int"))
@@ -213,12 +216,12 @@ def bilinear(points: DataFrame, cells: DataFrame, point_key: str, lat_axis: tupl
         ((F.col("_ty") if a else 1 - F.col("_ty")) * (F.col("_tx") if b else 1 - F.col("_tx"))).alias("w"),
         (((F.col("_ty") > 0.5) == F.lit(bool(a))) & ((F.col("_tx") > 0.5) == F.lit(bool(b)))).alias("near"))
         for a in (0, 1) for b in (0, 1)])
-    spread = at.select(point_key, F.explode(corners).alias("_c")).select(point_key, "_c.*")
-    got = spread.join(cells.select("i", "j", F.col(value).alias("_v")), ["i", "j"], "left")
-    return got.groupBy(point_key).agg(
+    spread = at.select(point_key, *keys, F.explode(corners).alias("_c")).select(point_key, *keys, "_c.*")
+    got = spread.join(cells.select(*keys, "i", "j", F.col(value).alias("_v")), [*keys, "i", "j"], "left")
+    return got.groupBy(point_key, *keys).agg(
         F.count("_v").alias("_n"), F.sum(F.col("w") * F.col("_v")).alias("_s"),
         F.max(F.when(F.col("near"), F.col("_v"))).alias("_near")).select(
-        point_key, F.when(F.col("_n") == 4, F.col("_s")).otherwise(F.col("_near")).alias("sample"))
+        point_key, *keys, F.when(F.col("_n") == 4, F.col("_s")).otherwise(F.col("_near")).alias("sample"))
 
 
 def vertical_profile(points: DataFrame, cells: DataFrame, point_key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pelagia import dims
 from pelagia.operators import grid as ops, joins
 from pelagia.workload.queries_fences import brg, hav
-from pelagia.workload.queries_joins import LAT_AXIS, LON_AXIS
+from pelagia.workload.queries_joins import LAT_AXIS, LON_AXIS, in_every_slice
 from pelagia.workload.registry import query, r6
 from pelagia.workload.views import Views
 
@@ -74,15 +74,15 @@ def g2(v: Views):
 
 
 @query("g3_bilinear_sample", """
-WITH r AS (SELECT event_id, greatest(0, least(39, (lat - 8.0::DOUBLE) / 0.07::DOUBLE)) AS y, greatest(0, least(49, (lon - 78.0::DOUBLE) / 0.05::DOUBLE)) AS x FROM {positions}),
-b AS (SELECT event_id, least(38, CAST(floor(y) AS INT)) AS i, least(48, CAST(floor(x) AS INT)) AS j, y - least(38, CAST(floor(y) AS INT)) AS ty, x - least(48, CAST(floor(x) AS INT)) AS tx FROM r),
+WITH r AS (SELECT event_id, slice, greatest(0, least(39, (lat - 8.0::DOUBLE) / 0.07::DOUBLE)) AS y, greatest(0, least(49, (lon - 78.0::DOUBLE) / 0.05::DOUBLE)) AS x FROM {positions}, (SELECT DISTINCT slice FROM {grid_cells}) g),
+b AS (SELECT event_id, slice, least(38, CAST(floor(y) AS INT)) AS i, least(48, CAST(floor(x) AS INT)) AS j, y - least(38, CAST(floor(y) AS INT)) AS ty, x - least(48, CAST(floor(x) AS INT)) AS tx FROM r),
 s AS (SELECT b.*, p.value AS v00, q.value AS v01, u.value AS v10, w.value AS v11 FROM b
- LEFT JOIN {grid_cells} p ON p.slice='R' AND p.i=b.i AND p.j=b.j LEFT JOIN {grid_cells} q ON q.slice='R' AND q.i=b.i AND q.j=b.j+1
- LEFT JOIN {grid_cells} u ON u.slice='R' AND u.i=b.i+1 AND u.j=b.j LEFT JOIN {grid_cells} w ON w.slice='R' AND w.i=b.i+1 AND w.j=b.j+1)
-SELECT event_id, round(coalesce((1-ty)*(1-tx)*v00 + (1-ty)*tx*v01 + ty*(1-tx)*v10 + ty*tx*v11,
+ LEFT JOIN {grid_cells} p ON p.slice=b.slice AND p.i=b.i AND p.j=b.j LEFT JOIN {grid_cells} q ON q.slice=b.slice AND q.i=b.i AND q.j=b.j+1
+ LEFT JOIN {grid_cells} u ON u.slice=b.slice AND u.i=b.i+1 AND u.j=b.j LEFT JOIN {grid_cells} w ON w.slice=b.slice AND w.i=b.i+1 AND w.j=b.j+1)
+SELECT event_id, slice, round(coalesce((1-ty)*(1-tx)*v00 + (1-ty)*tx*v01 + ty*(1-tx)*v10 + ty*tx*v11,
        CASE WHEN ty > 0.5 THEN CASE WHEN tx > 0.5 THEN v11 ELSE v10 END ELSE CASE WHEN tx > 0.5 THEN v01 ELSE v00 END END), 6) AS sample FROM s""")
 def g3(v: Views):
-    return ops.bilinear(v.positions, v.grid_cells.where("slice = 'R'"), "event_id", LAT_AXIS, LON_AXIS)
+    return ops.bilinear(in_every_slice(v.positions, v), v.grid_cells, "event_id", LAT_AXIS, LON_AXIS, keys=("slice",))
 
 
 @query("g4_gradient_per_km", f"WITH {FRONT} SELECT slice, i, j, round(gradient, 6) AS gradient FROM grad")

@@ -15,6 +15,12 @@ from pelagia.workload.views import Views
 
 LAT_AXIS, LON_AXIS = (8.0, 0.07, 40), (78.0, 0.05, 50)
 
+def in_every_slice(points, v: Views):
+    """Each point once for every slice of the grid; slices are as few as the products loaded."""
+    names = sorted(r[0] for r in v.grid_cells.select("slice").distinct().collect())
+    return points.withColumn("slice", F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
+
+
 PORT_RANKS = f"""
     d AS (SELECT r.request_id, r.lat AS rlat, r.lon AS rlon, p.*, {hav('r.lat', 'r.lon', 'p.lat', 'p.lon')} AS nm
           FROM {{requests}} r, {{ports}} p),
@@ -140,13 +146,13 @@ def j9(v: Views):
 
 
 @query("j10_nearest_cell", f"""
-WITH a AS (SELECT event_id, lat, lon, greatest(0, least(39, CAST(ceil((lat - 8.0::DOUBLE) / 0.07::DOUBLE - 0.5) AS INT))) AS i,
-                  greatest(0, least(49, CAST(ceil((lon - 78.0::DOUBLE) / 0.05::DOUBLE - 0.5) AS INT))) AS j FROM {{positions}})
-SELECT event_id, a.i, a.j, round(value, 6) AS cell_value, round({hav('a.lat', 'a.lon', '(8.0 + a.i * 0.07)', '(78.0 + a.j * 0.05)')}, 6) AS cell_nm
-FROM a LEFT JOIN {{grid_cells}} g ON g.slice = 'A' AND g.i = a.i AND g.j = a.j""")
+WITH a AS (SELECT event_id, slice, lat, lon, greatest(0, least(39, CAST(ceil((lat - 8.0::DOUBLE) / 0.07::DOUBLE - 0.5) AS INT))) AS i,
+                  greatest(0, least(49, CAST(ceil((lon - 78.0::DOUBLE) / 0.05::DOUBLE - 0.5) AS INT))) AS j FROM {{positions}}, (SELECT DISTINCT slice FROM {{grid_cells}}) s)
+SELECT event_id, a.slice, a.i, a.j, round(value, 6) AS cell_value, round({hav('a.lat', 'a.lon', '(8.0 + a.i * 0.07)', '(78.0 + a.j * 0.05)')}, 6) AS cell_nm
+FROM a LEFT JOIN {{grid_cells}} g ON g.slice = a.slice AND g.i = a.i AND g.j = a.j""")
 def j10(v: Views):
-    cells = v.grid_cells.where("slice = 'A'")
-    return joins.nearest_cell(v.positions, cells, [], LAT_AXIS, LON_AXIS).select("event_id", "i", "j", "cell_value", "cell_nm")
+    found = joins.nearest_cell(in_every_slice(v.positions, v), v.grid_cells, ["slice"], LAT_AXIS, LON_AXIS)
+    return found.select("event_id", "slice", "i", "j", "cell_value", "cell_nm")
 
 
 @query("j11_bulletin_for_request", """
