@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pelagia import dims
+from pelagia.functions import geo
 from pelagia.functions.geo import _col
 from pelagia.operators.filters import numeric_or_null
 from pelagia.plans.ordered import EPOCH
@@ -31,24 +32,31 @@ def ntz(text, fmt: str) -> Column:
     return F.try_to_timestamp(_col(text), F.lit(fmt)).cast("timestamp_ntz")
 
 
-def ingest_hourly_json(raw: DataFrame, body: str = "value") -> DataFrame:
+def ingest_hourly_json(raw: DataFrame, body: str = "value", lat: str | None = None, lon: str | None = None) -> DataFrame:
     """Parallel hourly arrays -> one observation per non-null hour, converted to standard units.
 
+    ``lat`` and ``lon`` name columns with the point that was asked for; ``grid_distance_m`` (1 decimal) is how far off the
+    answering grid cell lies, zero where no point was given and null where either is unknown. ``model`` is the payload's own or
+    ``best_match``; ``hourly_index`` is the place in the arrays.
     The raw unit is the payload's own (``hourly_units``); the known unit of the variable stands in where it is not given.
     """
-    schema = "latitude DOUBLE, longitude DOUBLE, hourly MAP<STRING, ARRAY<STRING>>, hourly_units MAP<STRING, STRING>"
+    schema = "latitude DOUBLE, longitude DOUBLE, model STRING, hourly MAP<STRING, ARRAY<STRING>>, hourly_units MAP<STRING, STRING>"
     doc = raw.select(*[c for c in raw.columns if c != body], F.from_json(body, schema).alias("_d")).where("_d.hourly IS NOT NULL")
     keep = [c for c in raw.columns if c != body]
-    series = doc.select(*keep, "_d.latitude", "_d.longitude", F.col("_d.hourly_units").alias("_units"), F.col("_d.hourly")["time"].alias("_time"),
+    asked = lambda c, grid: F.coalesce(F.col(c), grid) if c else grid
+    off = geo.haversine_m(asked(lat, F.col("_d.latitude")), asked(lon, F.col("_d.longitude")), F.col("_d.latitude"), F.col("_d.longitude"))
+    doc = doc.withColumns({"_off": F.round(off, 1), "_model": F.coalesce(F.when(F.col("_d.model") != "", F.col("_d.model")), F.lit("best_match"))})
+    series = doc.select(*keep, "_d.latitude", "_d.longitude", "_off", "_model", F.col("_d.hourly_units").alias("_units"), F.col("_d.hourly")["time"].alias("_time"),
                         F.explode(F.map_filter("_d.hourly", lambda k, v: k != "time")).alias("raw_variable", "_v"))
-    hours = series.select(*keep, "latitude", "longitude", "raw_variable", F.try_element_at("_units", F.col("raw_variable")).alias("_unit"), F.inline(F.arrays_zip(
-        F.col("_time").alias("time"), F.col("_v").alias("raw_text"))))
+    hours = series.select(*keep, "latitude", "longitude", "_off", "_model", "raw_variable", F.try_element_at("_units", F.col("raw_variable")).alias("_unit"), F.posexplode(F.arrays_zip(
+        F.col("_time").alias("time"), F.col("_v").alias("raw_text"))).alias("hourly_index", "_h")).select("*", "_h.*")
     names = dims.table(raw.sparkSession, dims.HOURLY_VARIABLES, "raw_variable, variable, raw_unit, unit, factor")
     value = numeric_or_null("raw_text")
     return hours.withColumn("raw_value", value).where(F.col("raw_value").isNotNull()).join(names, "raw_variable").select(
         *keep, "latitude", "longitude", "variable", ntz("time", "yyyy-MM-dd'T'HH:mm").alias("valid_time"),
         (F.col("raw_value") * F.col("factor")).alias("value_num"), "unit", "raw_value",
-        F.coalesce(F.when(F.trim("_unit") != "", F.col("_unit")), F.col("raw_unit")).alias("raw_unit"))
+        F.coalesce(F.when(F.trim("_unit") != "", F.col("_unit")), F.col("raw_unit")).alias("raw_unit"),
+        F.col("_model").alias("model"), "hourly_index", F.col("_off").alias("grid_distance_m"))
 
 
 #: What a feature of a layer file carries besides its geometry and properties.

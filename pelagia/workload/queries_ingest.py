@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pelagia import dims
 from pelagia.session import shared_folder
 from pelagia.sources import ingest as src
+from pelagia.workload.queries_fences import hav
 from pelagia.workload.registry import query, r6
 from pelagia.workload.views import AS_OF, Views
 
@@ -20,7 +21,8 @@ WITH e AS (SELECT user_id, date_trunc('minute', ts) AS valid_time, event_type, C
 SELECT user_id, valid_time, CASE event_type WHEN 'click' THEN 'significant_wave_height' WHEN 'view' THEN 'wind_speed' WHEN 'purchase' THEN 'wave_period' WHEN 'signup' THEN 'visibility' ELSE 'current_speed' END AS variable,
        CASE event_type WHEN 'click' THEN 'm' WHEN 'view' THEN 'kn' WHEN 'purchase' THEN 's' WHEN 'signup' THEN 'm' ELSE 'm/s' END AS unit,
        CASE event_type WHEN 'click' THEN 'metre' WHEN 'view' THEN 'km/h' WHEN 'purchase' THEN 's' WHEN 'signup' THEN 'm' ELSE 'km/h' END AS raw_unit,
-       round(raw_value * CASE event_type WHEN 'view' THEN 1 / 1.852::DOUBLE WHEN 'error' THEN 1 / 3.6::DOUBLE ELSE 1 END, 6) AS value_num
+       round(raw_value * CASE event_type WHEN 'view' THEN 1 / 1.852::DOUBLE WHEN 'error' THEN 1 / 3.6::DOUBLE ELSE 1 END, 6) AS value_num,
+       CASE WHEN user_id % 7 = 0 THEN 0 ELSE round(1852 * """ + hav("(9 + (user_id % 50) / 100)", "(79 + (user_id % 40) / 100)", "9.3", "79.3") + """, 1) END AS grid_distance_m
 FROM e WHERE raw_value IS NOT NULL""")
 def s1(v: Views):
     raw = v.events
@@ -32,7 +34,9 @@ def s1(v: Views):
     body = F.concat(F.lit('{"latitude":9.3,"longitude":79.3,"hourly":{"time":'), times, F.lit(',"wave_height":'), column("click"),
                     F.lit(',"wind_speed_10m":'), column("view"), F.lit(',"ocean_current_velocity":'), column("error"), F.lit(',"wave_period":'), column("purchase"), F.lit(',"visibility":'), column("signup"),
                     F.lit('},"hourly_units":{"wave_height":"metre","wind_speed_10m":"km/h"}}'))
-    return src.ingest_hourly_json(rows.select("user_id", body.alias("value"))).select("user_id", "valid_time", "variable", "unit", "raw_unit", "value_num")
+    asked = lambda base, n: F.when(F.col("user_id") % 7 != 0, F.lit(base) + F.col("user_id") % n / F.lit(100))  # noqa: E731  one in seven asks for no point
+    return src.ingest_hourly_json(rows.select("user_id", asked(9, 50).alias("lat"), asked(79, 40).alias("lon"), body.alias("value")), lat="lat", lon="lon").select(
+        "user_id", "valid_time", "variable", "unit", "raw_unit", "value_num", "grid_distance_m")
 
 
 @query("s2_geojson_segments", f"SELECT layer, fkey, part, ring, seq, {r6('x1', 'y1', 'x2', 'y2')}, is_polygon FROM {{fence_segments}} "
