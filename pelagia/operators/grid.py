@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pelagia.functions import geo
+from pelagia.operators.joins import nearest_cell
 from pelagia.plans.components import TILE, connected_components
 from pelagia.plans.percentile import exact_percentile
 from pelagia.session import cut_lineage
@@ -224,6 +225,17 @@ def bilinear(points: DataFrame, cells: DataFrame, point_key: str, lat_axis: tupl
         point_key, *keys, F.when(F.col("_n") == 4, F.col("_s")).otherwise(F.col("_near")).alias("sample"))
 
 
+def point_series(points: DataFrame, cells: DataFrame, point_key: str, time: str, lat_axis: tuple[float, float, int],
+                 lon_axis: tuple[float, float, int], value: str = "value") -> DataFrame:
+    """The series of the cell nearest to each point: the mean over what a cell has at one time, and how far off its centre lies.
+
+    A cell without any value gives no row.
+    """
+    steps = cells.groupBy("i", "j", time).agg(F.avg(value).alias("_v")).where("_v IS NOT NULL").select("i", "j", F.struct(time, "_v").alias("_s"))
+    got = nearest_cell(points, steps, [], lat_axis, lon_axis, "_s").where("cell_value IS NOT NULL")
+    return got.select(point_key, F.col(f"cell_value.{time}").alias(time), F.col("cell_value._v").alias("cell_value"), "cell_nm")
+
+
 def vertical_profile(points: DataFrame, cells: DataFrame, point_key: str) -> DataFrame:
     """All depths at the point's cell for the latest time that cell has."""
     at = points.join(cells, ["i", "j"])

@@ -242,3 +242,10 @@ def source_status(coverage: DataFrame, probes_failed: Column, closed_archive: Co
     stale = F.col("age_h") > F.col("validity_h")
     return coverage.withColumn("status", F.when(probes_failed, F.lit("FAIL")).when(stale & ~closed_archive, F.lit("STALE"))
                                .otherwise(F.lit("OK")))
+
+
+def convert_units(rows: DataFrame, value: str, raw_unit: str, name: str = "converted") -> DataFrame:
+    """A row for each standard unit that the raw one converts to, with ``unit`` and the converted value; unknown units give none."""
+    units = dims.table(rows.sparkSession, dims.UNITS, "_raw, unit, _factor")
+    kept = rows.drop("unit")
+    return kept.join(units, F.lower(F.trim(raw_unit)) == F.lower("_raw")).withColumn(name, F.col(value) * F.col("_factor")).drop("_raw", "_factor")

@@ -57,7 +57,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pelagia-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Remove a table that :func:`cut_lineage` wrote, once nothing that is still to be computed reads it."""
+    path = getattr(written, "_written", None)
+    if path:
+        context = written.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def at_most(df: DataFrame, rows: int) -> bool:

@@ -181,19 +181,19 @@ WITH s AS (SELECT i, j, valid_time, avg(value) AS value FROM {_STEPS} x GROUP BY
 SELECT port_id, valid_time, round(value, 6) AS cell_value, round({hav('lat', 'lon', '(8.0 + a.i * 0.07)', '(78.0 + a.j * 0.05)')}, 6) AS cell_nm
 FROM a JOIN s USING (i, j) ORDER BY valid_time""")
 def g12(v: Views):
-    cells = v.sql(_STEPS.strip()[1:-1]).groupBy("i", "j", "valid_time").agg(F.avg("value").alias("value"))
-    steps = cells.select("i", "j", F.struct("valid_time", "value").alias("value"))
-    got = joins.nearest_cell(v.ports, steps, [], LAT_AXIS, LON_AXIS).where(F.col("cell_value").isNotNull())
-    return got.select("port_id", F.col("cell_value.valid_time").alias("valid_time"), F.col("cell_value.value").alias("cell_value"), "cell_nm")
+    return ops.point_series(v.ports, v.sql(_STEPS.strip()[1:-1]), "port_id", "valid_time", LAT_AXIS, LON_AXIS)
 
 
 @query("g13_vertical_profile", f"""
 WITH s AS {_STEPS}, a AS {_AT}, x AS (SELECT a.port_id, s.* FROM a JOIN s USING (i, j)), l AS (SELECT port_id, max(valid_time) AS valid_time FROM x GROUP BY 1)
-SELECT x.port_id, x.valid_time, x.depth, round(x.value, 6) AS value, CAST(greatest(10, least(70, 5)) AS INT) AS depth_used FROM x JOIN l USING (port_id, valid_time)""")
+SELECT x.port_id, x.valid_time, x.depth, round(x.value, 6) AS value, CAST(greatest(lo, least(hi, x.port_id % 100)) AS INT) AS depth_used FROM x JOIN l USING (port_id, valid_time), (SELECT min(depth) AS lo, max(depth) AS hi FROM s)""")
 def g13(v: Views):
     at = v.ports.withColumns({"i": joins.axis_index("lat", *LAT_AXIS), "j": joins.axis_index("lon", *LON_AXIS)}).select("port_id", "i", "j")
-    return ops.vertical_profile(at, v.sql(_STEPS.strip()[1:-1]), "port_id").select(
-        "port_id", "valid_time", "depth", "value", ops.clamp_depth(F.lit(5), F.lit(70), F.lit(10)).alias("depth_used"))
+    steps = v.sql(_STEPS.strip()[1:-1])
+    low, high = steps.agg(F.min("depth"), F.max("depth")).first()
+    wanted = (F.col("port_id") % 100).cast("int")
+    return ops.vertical_profile(at, steps, "port_id").select(
+        "port_id", "valid_time", "depth", "value", ops.clamp_depth(wanted, F.lit(high), F.lit(low)).cast("int").alias("depth_used"))
 
 
 @query("f19_cell_area", """

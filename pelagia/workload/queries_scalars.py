@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pelagia import dims
 from pelagia.functions import geo, marine
-from pelagia.operators import fences as fence_ops, filters, reports
+from pelagia.operators import fences as fence_ops, filters, observe, reports
 from pelagia.workload.queries_fences import brg, hav, proximities
 from pelagia.workload.registry import query, r6
 from pelagia.workload.views import AS_OF, Views
@@ -60,9 +60,7 @@ def f5(v: Views):
 SELECT event_id, t.unit AS unit, round(speed_kn * t.factor, 6) AS converted
 FROM {positions}, (VALUES ('m/s', 1/3.6::DOUBLE), ('kn', 1/1.852::DOUBLE)) AS t(unit, factor)""")
 def f6(v: Views):
-    units = dims.table(v.spark, dims.UNITS, "raw_unit, unit, factor")
-    return v.positions.withColumn("raw_unit", F.lit("km/h")).join(units, "raw_unit").select(
-        "event_id", "unit", (F.col("speed_kn") * F.col("factor")).alias("converted"))
+    return observe.convert_units(v.positions.withColumn("raw_unit", F.lit("km/h")), "speed_kn", "raw_unit").select("event_id", "unit", "converted")
 
 
 @query("f7_vector_direction", """
