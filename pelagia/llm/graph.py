@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.llm.common import cut_lineage
+from pelagia.session import discard
 
 
 def _toward_least(edges: DataFrame, both: bool) -> DataFrame:
@@ -37,7 +38,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = cut_lineage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct())
     before = None
     while True:
-        now = cut_lineage(_toward_least(_toward_least(now, True), False))
+        last, now = now, cut_lineage(_toward_least(_toward_least(now, True), False))
+        discard(last)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or mark[0] == 0:
             break

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pelagia.llm.common import arrow_stage, cut_lineage
 from pelagia.llm.graph import components
-from pelagia.session import at_most
+from pelagia.session import at_most, discard
 
 SEED = 42
 #: Number of reference fingerprints in the distance table.
@@ -243,7 +243,9 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     both = pairs.join(runs.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a").join(
         runs.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return cut_lineage(both.filter(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    good = cut_lineage(both.filter(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    discard(ends)
+    return good
 
 
 def parity(runs: np.ndarray, slots: int) -> np.ndarray:
@@ -386,14 +388,14 @@ def apart(met: DataFrame, sketches: DataFrame, least: float, bucket: int, low: i
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8,
-                  bucket: int = 1024, reach: int = 32) -> DataFrame:
+                  bucket: int = 1024, reach: int = 512) -> DataFrame:
     """``id``, ``digest`` (of the text: xxhash64), ``root``, ``component_id`` per row of ``docs``: texts linked at Jaccard similarity ``least`` of
     their ``width``-word runs; ``root`` names the group, ``component_id`` is the least id in it.
 
     No link is lost: in one order of all runs, common ones last, two similar texts share one of the first
     n - least * n + 1 of a text's n runs. Fingerprints at three bits, and the least and greatest text of each shared
     run, propose pairs first; what they link need not be compared again. Every pair that still lies in two parts is, in rounds:
-    every pair has a turn for good, spread evenly over a run's members; a round tests the first ``reach`` turns (then four times as many,
+    every pair has a turn for good, spread evenly over a run's members; a round tests the first ``reach`` turns (then 64 times as many,
     and so on) and joins the parts it links, so the first sends some ``reach`` pairs for each member, and most pairs never need a test. Pairs
     are sieved by sketches that reject no similar one and verified on the whole run sets. Nulls, repeats and
     empty texts as in ``near_duplicates``; rows that repeat an id with another text are texts of their own.
@@ -424,23 +426,36 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     entries = rows.select("node", "n", F.posexplode("firsts").alias("pos", "run"))
     shared = cut_lineage(entries.groupBy("run").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi"))
     met = cut_lineage(entries.join(few(shared), "run").groupBy("run", "node").agg(*[F.min(c).alias(c) for c in ("n", "pos", "lo", "hi")]))
+    discard(shared)
     stars = met.select("node", F.explode(F.array("lo", "hi")).alias("centre")).filter("node <> centre").select(*ordered_pair("node", "centre"))
     sketches = cut_lineage(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "odd", "wide")]))
     tested = cut_lineage(sieved(stars.union(proposals(rows)).distinct(), sketches, least))
     linked = verified(tested, texts, width, least)
     met = met.select("run", "node", "n", "pos")
+    parts = components(linked)
+    labelled = cut_lineage(met.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")))
     low, high = 0, reach
     while True:
-        labelled = met.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        labelled = cut_lineage(labelled)
         found = apart(labelled, sketches, least, bucket, low, high)
         found = cut_lineage(found if low else found.union(small_pairs(labelled, least)))
         more = cut_lineage(sieved(found.filter("a is not null").distinct(), sketches, least).join(tested, ["a", "b"], "left_anti"))
-        if not at_most(more, 0):
-            linked = cut_lineage(linked.union(verified(more, texts, width, least)))
-        if at_most(found.filter("a is null"), 0):
+        new = None if at_most(more, 0) else verified(more, texts, width, least)
+        if new is not None and not at_most(new, 0):  # parts change only with new links
+            linked = cut_lineage(linked.union(new))
+            parts = None
+        last = at_most(found.filter("a is null"), 0)
+        discard(found)
+        discard(more)
+        if last:
             break
-        low, high = high, 4 * high
+        if not low or parts is None:
+            if not low:  # small runs are done
+                large = met.groupBy("run").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > SMALL).select("run")
+                met = cut_lineage(met.join(large, "run"))
+            parts = components(linked) if parts is None else parts
+            old, labelled = labelled, cut_lineage(met.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")))
+            discard(old)
+        low, high = high, 64 * high
     rows = rows.select("id", "digest", F.col("node").alias("fp"))
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
     return grouped(rows, distinct, linked)

@@ -121,7 +121,7 @@ def test_similar_texts_finds_all_pairs(spark, monkeypatch):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for bucket, few in ((1024, 500_000), (7, 0)):
         monkeypatch.setattr(simhash, "FEW", few)
-        got = {r["id"]: r["component_id"] for r in simhash.similar_texts(table, bucket=bucket).collect()}
+        got = {r["id"]: r["component_id"] for r in simhash.similar_texts(table, bucket=bucket, reach=512 if few else 1).collect()}
         assert [got[i] for i in range(len(texts))] == want
 
 
