@@ -183,17 +183,17 @@ def _actions(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[*KEY, "tick", "level_rank", "action"]).astype({"level_rank": "Int32"})
 
 
-def alert_actions(proximities: DataFrame, acknowledgements: DataFrame | None = None, delay: str = "2 hours", tick_s: int = 3600,
+def alert_actions(proximities: DataFrame, delay: str = "2 hours", tick_s: int = 3600, acknowledgements: DataFrame | None = None,
                   keep_ticks: int = 24) -> DataFrame:
     """emit / suppress / clear / late / late_ack per alert key, from streams of ``PROXIMITY_SCHEMA`` and ``ACK_SCHEMA``.
 
     ``tick_s`` is the length of a tick, as given to ``proximity_batches``. An alert not seen again is cleared in the tick
     after its last, once ``delay`` has passed; a row that comes later than that for a decided tick is told as late for
     ``keep_ticks`` ticks more, then the key's state goes. Acknowledgements of a tick count from the next tick on and may come before the
-    sighting they belong to. The state needs the RocksDB store, which is set on the session.
+    sighting they belong to. Rows without ``seen_at`` count by their own tick's time. The state needs the RocksDB store, which is set on the session.
     """
     proximities.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = proximities.select(*KEY, "tick", "level_rank", "seen_at", F.lit("seen").alias("kind"))
+    rows = proximities.select(*KEY, "tick", "level_rank", F.coalesce("seen_at", "tick_start").alias("seen_at"), F.lit("seen").alias("kind"))
     if acknowledgements is not None:
         rows = rows.unionByName(acknowledgements.select(*KEY, "tick", F.lit(None).cast("int").alias("level_rank"), "seen_at", F.lit("ack").alias("kind")))
     stamped = rows.withColumn("seen_at", F.col("seen_at").cast("timestamp")).withWatermark("seen_at", delay)

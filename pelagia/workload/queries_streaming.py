@@ -66,7 +66,7 @@ def run_alerts(v: Views, base: str):
     """Stream what is new of the landed proximities and acknowledgements through the alert state; the log so far."""
     seen = v.spark.readStream.schema(alerts.PROXIMITY_SCHEMA).parquet(f"{base}/proximities")
     acks = v.spark.readStream.schema(alerts.ACK_SCHEMA).parquet(f"{base}/acknowledgements")
-    job = alerts.alert_actions(seen, acks).writeStream.format("parquet").option("path", f"{base}/alerts") \
+    job = alerts.alert_actions(seen, acknowledgements=acks).writeStream.format("parquet").option("path", f"{base}/alerts") \
         .option("checkpointLocation", f"{base}/offsets-2").outputMode("append").trigger(availableNow=True).start()
     job.awaitTermination()
     return v.spark.read.schema(alerts.ACTION_SCHEMA).parquet(f"{base}/alerts")

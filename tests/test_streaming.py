@@ -27,7 +27,7 @@ def landed(spark, rows, base, clock, acks=()):
 def run_alerts(spark, base):
     stream = spark.readStream.schema(alerts.PROXIMITY_SCHEMA).parquet(f"{base}/in")
     acks = spark.readStream.schema(alerts.ACK_SCHEMA).parquet(f"{base}/acks")
-    job = alerts.alert_actions(stream, acks).writeStream.format("parquet").option("path", f"{base}/out") \
+    job = alerts.alert_actions(stream, acknowledgements=acks).writeStream.format("parquet").option("path", f"{base}/out") \
         .option("checkpointLocation", f"{base}/offsets").outputMode("append").trigger(availableNow=True).start()
     job.awaitTermination()
     return sorted((r.vessel_id, r.tick, r.action, r.level_rank) for r in spark.read.parquet(f"{base}/out").collect())
