@@ -47,6 +47,14 @@ def bearing_deg(lat1, lon1, lat2, lon2) -> Column:
     return F.pmod(F.degrees(F.atan2(east, north)) + F.lit(360.0), F.lit(360.0))
 
 
+def bearing_deg_array(lat1, lon1, lat2, lon2) -> np.ndarray:
+    """``bearing_deg`` for arrays inside a task."""
+    p1, p2, delta = np.radians(lat1), np.radians(lat2), np.radians(np.subtract(lon2, lon1))
+    east = np.sin(delta) * np.cos(p2)
+    north = np.cos(p1) * np.sin(p2) - np.sin(p1) * np.cos(p2) * np.cos(delta)
+    return np.mod(np.degrees(np.arctan2(east, north)) + 360.0, 360.0)
+
+
 def project_position(lat, lon, heading_deg, speed_kn, seconds) -> Column:
     """Dead reckoning: struct(lat, lon) after ``seconds`` on a fixed heading."""
     a, o, h, v, s = map(_col, (lat, lon, heading_deg, speed_kn, seconds))

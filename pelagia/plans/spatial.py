@@ -7,16 +7,21 @@ of that cell (lower distance bound <= k-th smallest upper bound). What is left i
 candidate list per leaf cell, usually a handful of segments, and each point meets only
 the list of its own cell by an equi-join on the cell id.
 
-* Candidate list small (row count checked): it is packed one row per cell and broadcast,
-  so the points are neither shuffled nor expanded and a hot cell costs nothing extra.
-* Otherwise: rows meet candidates by a shuffled join (AQE splits hot cells) and are
-  reduced with partially aggregated ``min`` / a group-limited ``row_number``.
+* Candidate list small (row count checked): it is sent to every task once, so the points are neither
+  shuffled nor expanded and a hot cell costs nothing extra.
+* Otherwise: points and candidates meet in groups of whole cells of bounded size; the points of a hot
+  cell are dealt out to several groups, each with the cell's candidates.
+
+Either way the measuring itself is :func:`_measure`, arithmetic on whole arrays of (point, segment) pairs.
 """
 
 from __future__ import annotations
 
 from math import pi
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pelagia.functions import geo
@@ -26,6 +31,10 @@ from pelagia.session import BROADCAST_ROWS, at_most, cut_lineage
 LEVELS = (10.0, 1.25, 0.15625, 0.01953125, 0.00244140625)
 #: A leaf level is fine enough once no cell holds more candidates than this.
 LEAF_CANDIDATES = 64
+#: Points and candidates of one group where these are too many to send to every task.
+GROUP_POINTS, GROUP_CANDIDATES = 100_000, 200_000
+#: (Point, segment) pairs measured at a time.
+PAIRS = 500_000
 #: Rows the first level may list (segments times cells of the occupied box).
 START_ROWS = 5_000_000
 SEGMENT_COLUMNS = ("layer", "fkey", "part", "ring", "seq", "x1", "y1", "x2", "y2", "is_polygon")
@@ -90,9 +99,11 @@ def _prune(cand: DataFrame, size: float, k: int, max_nm: float | None, planar: b
                .select("ix", "iy", "layer",
                        F.when(F.col("_n") < k, F.lit(float("inf"))).otherwise(F.col("_cut")).alias("_cut")))
     limit = F.col("_cut") if max_nm is None else F.least(F.col("_cut"), F.lit(float(max_nm)))
-    kept = (features.join(cut, ["ix", "iy", "layer"]).where(F.col("_flow_nm") <= limit)
+    # The candidates are estimated by the small table they come from, before it is spread over the cells: left to itself
+    # the planner would send them whole to every task.
+    kept = (features.join(cut.hint("merge"), ["ix", "iy", "layer"]).where(F.col("_flow_nm") <= limit)
             .select("ix", "iy", "layer", "fkey", "_fhigh"))
-    return (rows.join(kept, ["ix", "iy", "layer", "fkey"])
+    return (rows.join(kept.hint("merge"), ["ix", "iy", "layer", "fkey"])
             .where((F.col("_low") <= F.col("_fhigh")) | F.col("_ray"))
             # Only where a polygon's box meets the cell are all the edges of its ray test kept.
             .withColumn("is_polygon", F.col("_over"))
@@ -105,24 +116,24 @@ def candidate_index(points: DataFrame, segments: DataFrame, k: int = 1, max_nm:
     boxes = segments.where("is_polygon").groupBy("layer", "fkey").agg(
         F.min(F.least("x1", "x2")).alias("bx1"), F.min(F.least("y1", "y2")).alias("by1"),
         F.max(F.greatest("x1", "x2")).alias("bx2"), F.max(F.greatest("y1", "y2")).alias("by2"))
-    cand = segments.select(*SEGMENT_COLUMNS).join(boxes, ["layer", "fkey"], "left")
+    cand = segments.select(*SEGMENT_COLUMNS).join(boxes, ["layer", "fkey"], "left") \
+        .join(_crowded(segments, k), ["layer", "fkey"], "left_anti")
     here = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    # The points are read once; every cell of the finest level lies in one cell of each coarser one.
+    finest = cut_lineage(here.select(_cell(lon, LEVELS[-1]).alias("ix"), _cell(lat, LEVELS[-1]).alias("iy")).distinct())
 
-    def cells_at(size: float) -> DataFrame:
-        return cut_lineage(here.select(_cell(lon, size).alias("ix"), _cell(lat, size).alias("iy")).distinct())
+    def cells_at(depth: int) -> DataFrame:
+        finer = 8 ** (len(LEVELS) - 1 - depth)
+        cells = finest.select(*[F.floor(F.col(c) / finer).cast("int").alias(c) for c in ("ix", "iy")]).distinct()
+        return F.broadcast(cells) if at_most(cells, BROADCAST_ROWS) else cells.hint("merge")
 
-    base = cells_at(LEVELS[2])
-    west, east, south, north = base.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
+    (west, east, south, north) = finest.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
     if west is None:
         return cand.limit(0).withColumns({"ix": F.lit(0), "iy": F.lit(0)}), LEVELS[2], 0
+    west, east, south, north = (c // 64 for c in (west, east, south, north))
     start, ranges = _start_level(cand, (west, east, south, north))
     for depth, size in list(enumerate(LEVELS))[start:]:
-        if depth < 2:
-            coarser = 8 ** (2 - depth)
-            occupied = base.select(F.floor(F.col("ix") / coarser).cast("int").alias("ix"),
-                                   F.floor(F.col("iy") / coarser).cast("int").alias("iy")).distinct()
-        else:
-            occupied = base if depth == 2 else cells_at(size)
+        occupied = cells_at(depth)
         if depth == start:
             (w, e), (s, n) = ranges
             children = cand.withColumn("ix", F.explode(F.sequence(F.lit(w), F.lit(e)))) \
@@ -140,6 +151,17 @@ def candidate_index(points: DataFrame, segments: DataFrame, k: int = 1, max_nm:
     return cand, size, rows or 0
 
 
+def _crowded(segments: DataFrame, k: int) -> DataFrame:
+    """Point features that ``k`` others of their layer at the same place come before: as far from everything, and later by key."""
+    places = segments.groupBy("layer", "fkey").agg(
+        F.min(F.least("x1", "x2")).alias("_x"), F.max(F.greatest("x1", "x2")).alias("_east"),
+        F.min(F.least("y1", "y2")).alias("_y"), F.max(F.greatest("y1", "y2")).alias("_north"),
+        F.bool_or(F.coalesce("is_polygon", F.lit(False))).alias("_area"))
+    alone = places.where(~F.col("_area") & (F.col("_x") == F.col("_east")) & (F.col("_y") == F.col("_north")) & F.col("fkey").isNotNull())
+    order = Window.partitionBy("layer", "_x", "_y").orderBy("fkey")
+    return alone.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") > k).select("layer", "fkey")
+
+
 def _start_level(segments: DataFrame, box: tuple[int, int, int, int]):
     """The finest level (up to the leaf) whose occupied box times the segments stays small."""
     for depth in (2, 1):
@@ -164,99 +186,174 @@ def nearest_features(points: DataFrame, segments: DataFrame, k: int = 1, max_nm:
     distance in degrees. Points need no key: repeated points each get their rows, whichever way the join runs.
     """
     index, size, rows = candidate_index(points, segments, k, max_nm, lat, lon, planar)
-    here = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    if rows <= broadcast_rows:
-        out = _map_side(here, index, size, k, lat, lon, planar)
-    else:
-        out = _shuffled(_numbered(here), index, size, k, lat, lon, planar).drop(ROW)
-    if max_nm is not None:
-        out = out.where(F.col("distance_nm") <= F.lit(float(max_nm)))
-    return out
+    here = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumns({"ix": _cell(lon, size), "iy": _cell(lat, size)})
+    index = index.select("ix", "iy", "layer", "fkey", F.coalesce("is_polygon", F.lit(False)).alias("is_polygon"), "x1", "y1", "x2", "y2") \
+        .dropna(subset=["x1", "y1", "x2", "y2"])
+    kinds = {f.name: f.dataType.simpleString() for f in index.schema.fields}
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in points.schema.fields) + (
+        f"layer {kinds['layer']}, fkey {kinds['fkey']}, rank INT, distance_nm DOUBLE, inside BOOLEAN, closest_lat DOUBLE, closest_lon DOUBLE, bearing_deg DOUBLE")
+    columns = list(points.columns)
 
+    def told(batch: pa.Table, candidates: Candidates):
+        return _measure(batch, columns, candidates, lat, lon, k, max_nm, planar)
 
-#: Number of a point row while its candidates are spread over several rows.
-ROW = "_row"
+    if rows <= broadcast_rows:
+        sent = points.sparkSession.sparkContext.broadcast(index.toArrow())
 
+        def each(batches):
+            candidates = Candidates(sent.value)
+            for batch in batches:
+                for done in told(pa.Table.from_batches([batch]), candidates):
+                    yield from done.to_batches()
 
-def _numbered(points: DataFrame) -> DataFrame:
-    """Points with a row number, written once so that the number stays the same if a task is run again."""
-    return cut_lineage(points.withColumn(ROW, F.monotonically_increasing_id()))
+        return here.mapInArrow(each, schema)
 
+    def group(shown: pa.Table, held: pa.Table) -> pa.Table:
+        done = list(told(shown, Candidates(held))) if shown.num_rows and held.num_rows else []
+        return pa.concat_tables(done) if done else _told(shown.slice(0, 0), columns, Candidates(held.slice(0, 0)))
 
-def _finish(d2: Column, closest: Column, inside: Column, lat: str, lon: str, planar: bool) -> dict[str, Column]:
-    outside = F.sqrt(d2) if planar else geo.haversine_nm(lat, lon, closest["qy"], closest["qx"])
-    distance = F.when(inside, F.lit(0.0)).otherwise(outside)
-    return {"distance": distance,
-            "qlat": F.when(inside, F.col(lat)).otherwise(closest["qy"]),
-            "qlon": F.when(inside, F.col(lon)).otherwise(closest["qx"])}
+    return _grouped(here, index, rows, lambda left, right: left.cogroup(right).applyInArrow(group, schema))
 
 
-def _bearing(lat: str, lon: str) -> Column:
-    # Within a millionth of a mile the direction is numerical noise.
-    return F.when(F.col("distance_nm") > F.lit(1e-6),
-                  geo.bearing_deg(lat, lon, F.col("closest_lat"), F.col("closest_lon")))
+def _grouped(here: DataFrame, index: DataFrame, rows: int, measured) -> DataFrame:
+    """Points and candidates in groups of whole cells; a cell of many points is dealt out to several groups."""
+    numbered = _numbered(here)
+    cells = cut_lineage(numbered.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("_n"), F.ceil(F.count(F.lit(1)) / GROUP_POINTS).cast("int").alias("_shares")))
+    total = cells.agg(F.sum("_n")).first()[0] or 0
+    groups = 1 + total // GROUP_POINTS + rows // GROUP_CANDIDATES
+    cells = cells.select("ix", "iy", "_shares")
+    cells = F.broadcast(cells) if at_most(cells, BROADCAST_ROWS) else cells
+    placed = F.pmod(F.xxhash64("ix", "iy", "_share"), F.lit(groups)).cast("int").alias("_group")
+    left = numbered.join(cells, ["ix", "iy"]).withColumn("_share", F.pmod(F.col(ROW), F.col("_shares")).cast("int"))
+    # Two shares of a cell may meet in one group, which then has its candidates once.
+    wanted = cells.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).select("ix", "iy", placed).distinct()
+    right = index.join(wanted, ["ix", "iy"])
+    return measured(left.select(placed, *here.columns).repartition(groups, "_group").groupBy("_group"),
+                    right.select("_group", *index.columns).repartition(groups, "_group").groupBy("_group"))
 
 
-def _map_side(points: DataFrame, index: DataFrame, size: float, k: int, lat: str, lon: str,
-              planar: bool) -> DataFrame:
-    segs = F.collect_list(F.struct("seq", "x1", "y1", "x2", "y2"))
-    packed = (
-        index.groupBy("ix", "iy", "layer", "fkey", "is_polygon").agg(segs.alias("segs"))
-        .groupBy("ix", "iy", "layer").agg(F.collect_list(F.struct("fkey", "is_polygon", "segs")).alias("_features"))
-    )
-    px, py = F.col(lon), F.col(lat)
+#: Number of a point row while its candidates are spread over several rows.
+ROW = "_row"
 
-    def one(feature: Column) -> Column:
-        inside = F.when(feature["is_polygon"], geo.odd_crossings(px, py, feature["segs"])).otherwise(F.lit(False))
-        return F.struct(geo.closest_of_segments(px, py, feature["segs"]).alias("c"), inside.alias("inside"),
-                        feature["fkey"].alias("fkey"))
 
-    def measured(m: Column) -> Column:
-        done = _finish(m["c"]["d2"], m["c"], m["inside"], lat, lon, planar)
-        return F.struct(done["distance"].alias("distance_nm"), m["fkey"].alias("fkey"), m["inside"].alias("inside"),
-                        done["qlat"].alias("closest_lat"), done["qlon"].alias("closest_lon"))
+def _numbered(points: DataFrame) -> DataFrame:
+    """Points with a row number, written once so that the number stays the same if a task is run again."""
+    return cut_lineage(points.withColumn(ROW, F.monotonically_increasing_id()))
 
-    def ordered(m: Column) -> Column:
-        return F.struct(F.round(m["distance_nm"], 9).alias("d9"), m["fkey"].alias("fkey"),
-                        *[m[c].alias(c) for c in ("distance_nm", "inside", "closest_lat", "closest_lon")])
 
-    joined = points.withColumns({"ix": _cell(lon, size), "iy": _cell(lat, size)}) \
-        .join(F.broadcast(packed), ["ix", "iy"])
-    scored = F.transform(F.transform(F.transform("_features", one), measured), ordered)
-    if k == 1:
-        ranked = joined.withColumn("_best", F.array_min(scored)).withColumn("rank", F.lit(1))
-    else:
-        ranked = joined.select("*", F.posexplode(F.slice(F.array_sort(scored), 1, k)).alias("_pos", "_best")) \
-            .withColumn("rank", F.col("_pos") + 1)
-    out = ranked.select(*points.columns, "layer", F.col("_best.fkey").alias("fkey"), "rank",
-                        F.col("_best.distance_nm").alias("distance_nm"), F.col("_best.inside").alias("inside"),
-                        F.col("_best.closest_lat").alias("closest_lat"),
-                        F.col("_best.closest_lon").alias("closest_lon"))
-    return out.withColumn("bearing_deg", _bearing(lat, lon))
-
-
-def _shuffled(points: DataFrame, index: DataFrame, size: float, k: int, lat: str, lon: str, planar: bool) -> DataFrame:
-    pairs = points.withColumns({"ix": _cell(lon, size), "iy": _cell(lat, size)}).join(index, ["ix", "iy"])
-    rest = [c for c in points.columns if c != ROW]
-    best = pairs.groupBy(ROW, "layer", "fkey", "is_polygon").agg(
-        F.min(geo.closest_on_segment(lon, lat, "x1", "y1", "x2", "y2")).alias("c"),
-        F.sum(geo.crosses_ray(lon, lat, "x1", "y1", "x2", "y2").cast("int")).alias("_crossings"),
-        *[F.first(c).alias(c) for c in rest])
-    inside = F.col("is_polygon") & (F.col("_crossings") % 2 == 1)
-    done = _finish(F.col("c")["d2"], F.col("c"), inside, lat, lon, planar)
-    out = best.select(*points.columns, "layer", "fkey", done["distance"].alias("distance_nm"),
-                      inside.alias("inside"), done["qlat"].alias("closest_lat"), done["qlon"].alias("closest_lon"))
+class Candidates:
+    """Candidate segments as arrays: sorted by cell, layer and feature, with the starts of each."""
+
+    def __init__(self, table: pa.Table):
+        column = lambda c: table[c].to_numpy()
+        ranks, self.names = {}, {}
+        for c in ("layer", "fkey"):
+            names = table[c].combine_chunks().dictionary_encode() if table.num_rows else None
+            if names is None:
+                self.names[c], ranks[c] = table[c].combine_chunks(), np.zeros(0, dtype=np.int64)
+                continue
+            place = pc.sort_indices(names.dictionary).to_numpy()
+            rank = np.empty(len(place), dtype=np.int64)
+            rank[place] = np.arange(len(place))
+            self.names[c], ranks[c] = names.dictionary.take(pa.array(place)), rank[names.indices.to_numpy()]
+        cell = (column("ix").astype(np.int64) << 32) + column("iy")
+        area = column("is_polygon").astype(bool)
+        order = np.lexsort((area, ranks["fkey"], ranks["layer"], cell))
+        cell, layer, fkey, area = cell[order], ranks["layer"][order], ranks["fkey"][order], area[order]
+        self.x1, self.y1 = column("x1")[order], column("y1")[order]
+        x2, self.y2 = column("x2")[order], column("y2")[order]
+        self.dx, self.dy = x2 - self.x1, self.y2 - self.y1
+        self.length2 = self.dx * self.dx + self.dy * self.dy
+        change = lambda *of: np.flatnonzero(np.concatenate([np.ones(min(1, len(cell)), dtype=bool), np.any([np.diff(c) != 0 for c in of], axis=0)]))
+        self.feature = change(cell, layer, fkey, area.astype(np.int8))
+        self.layer, self.fkey, self.area = layer[self.feature], fkey[self.feature], area[self.feature]
+        first = change(cell)
+        self.cell = cell[first]
+        self.segments = np.append(first, len(cell))
+        self.features = np.append(np.searchsorted(self.feature, first), len(self.feature))
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every run, one after the other."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def _told(rows: pa.Table, columns: list[str], c: Candidates, layer=(), fkey=(), rank=(), distance=(), inside=(), qlat=(), qlon=(), bearing=None) -> pa.Table:
+    """Output rows; ``layer`` and ``fkey`` are places in the candidates' names."""
+    at = lambda names, places: names.take(pa.array(places, pa.int64()))
+    new = {"layer": at(c.names["layer"], layer), "fkey": at(c.names["fkey"], fkey), "rank": pa.array(rank, pa.int32()), "distance_nm": pa.array(distance, pa.float64()),
+           "inside": pa.array(inside, pa.bool_()), "closest_lat": pa.array(qlat, pa.float64()), "closest_lon": pa.array(qlon, pa.float64()),
+           "bearing_deg": pa.array([], pa.float64()) if bearing is None else bearing}
+    return pa.table([rows[n] for n in columns] + list(new.values()), names=columns + list(new))
+
+
+def _measure(batch: pa.Table, columns: list[str], c: Candidates, lat: str, lon: str, k: int, max_nm: float | None, planar: bool):
+    """Tables of the ``k`` nearest features of every layer for the points of ``batch``."""
+    if not len(c.cell):
+        return
+    cell = (batch["ix"].to_numpy().astype(np.int64) << 32) + batch["iy"].to_numpy()
+    place = np.minimum(np.searchsorted(c.cell, cell), len(c.cell) - 1)
+    points = np.flatnonzero(c.cell[place] == cell)
+    place = place[points]
+    y, x = (batch[n].to_numpy().astype(np.float64)[points] for n in (lat, lon))
+    upto = np.cumsum(c.segments[place + 1] - c.segments[place])
+    start = 0
+    while start < len(points):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, side="right")))
+        at = slice(start, end)
+        row, best = _nearest_of(y[at], x[at], place[at], c, k, max_nm, planar)
+        if len(row):
+            yield _told(batch.take(pa.array(points[at][row])), columns, c, **best)
+        start = end
+
+
+def _nearest_of(lat: np.ndarray, lon: np.ndarray, place: np.ndarray, c: Candidates, k: int, max_nm: float | None, planar: bool) -> tuple[np.ndarray, dict]:
+    """Rows of the points and their ``k`` nearest features of every layer; ``place`` is a point's cell in ``c``."""
+    first, size = c.segments[place], c.segments[place + 1] - c.segments[place]
+    s, p = _runs(first, size), np.repeat(np.arange(len(lat)), size)
+    n_features = c.features[place + 1] - c.features[place]
+    f, owner = _runs(c.features[place], n_features), np.repeat(np.arange(len(lat)), n_features)
+    # place of each feature's first segment among the pairs
+    head = c.feature[f] + np.repeat(np.cumsum(size) - size - first, n_features)
+    length = np.diff(np.append(head, len(s)))
+    px, py = lon[p], lat[p]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(c.length2[s] == 0, 0.0, np.clip(((px - c.x1[s]) * c.dx[s] + (py - c.y1[s]) * c.dy[s]) / c.length2[s], 0.0, 1.0))
+        qx, qy = c.x1[s] + t * c.dx[s], c.y1[s] + t * c.dy[s]
+        d2 = (px - qx) * (px - qx) + (py - qy) * (py - qy)
+        # the least (d2, x, y), so that a corner two segments share counts once
+        least = np.minimum.reduceat(d2, head)
+        qx = np.where(d2 == np.repeat(least, length), qx, np.inf)
+        east = np.minimum.reduceat(qx, head)
+        qy = np.minimum.reduceat(np.where(qx == np.repeat(east, length), qy, np.inf), head)
+        inside = c.area[f]
+        if inside.any():
+            crossed = ((c.y1[s] > py) != (c.y2[s] > py)) & (px < c.dx[s] * (py - c.y1[s]) / c.dy[s] + c.x1[s])
+            inside = inside & (np.add.reduceat(crossed.astype(np.int64), head) % 2 == 1)
+    y, x = lat[owner], lon[owner]
+    distance = np.where(inside, 0.0, np.sqrt(least) if planar else geo.haversine_nm_array(y, x, qy, east))
+    # Equal distances to nine places are ordered by feature key, as the candidates are.
+    shown = np.round(distance, 9)
+    layer = c.layer[f]
+    begin = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (layer[1:] != layer[:-1])]))
+    count = np.diff(np.append(begin, len(f)))
+    group = np.repeat(np.arange(len(begin)), count)
     if k == 1:
-        top = out.groupBy(ROW, "layer").agg(F.min(F.struct(
-            F.round("distance_nm", 9).alias("d9"), "fkey", "distance_nm", "inside", "closest_lat", "closest_lon"
-        )).alias("_best"), *[F.first(c).alias(c) for c in rest])
-        out = top.select(*points.columns, "layer", F.col("_best.fkey").alias("fkey"), F.lit(1).alias("rank"),
-                         *[F.col(f"_best.{c}").alias(c)
-                           for c in ("distance_nm", "inside", "closest_lat", "closest_lon")])
+        hit = np.flatnonzero(shown == np.minimum.reduceat(shown, begin)[group])
+        best = hit[np.concatenate([[True], np.diff(group[hit]) != 0])]
+        rank = np.ones(len(best), dtype=np.int32)
     else:
-        order = Window.partitionBy(ROW, "layer").orderBy(F.round("distance_nm", 9), "fkey")
-        out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return out.withColumn("bearing_deg", _bearing(lat, lon))
+        best = np.lexsort((shown, group))
+        rank = (np.arange(len(best)) - np.repeat(begin, count) + 1).astype(np.int32)
+        best, rank = best[rank <= k], rank[rank <= k]
+    if max_nm is not None:
+        near = distance[best] <= max_nm
+        best, rank = best[near], rank[near]
+    y, x, inside, distance = y[best], x[best], inside[best], distance[best]
+    qlat, qlon = np.where(inside, y, qy[best]), np.where(inside, x, east[best])
+    # Within a millionth of a mile the direction is numerical noise.
+    bearing = pa.array(geo.bearing_deg_array(y, x, qlat, qlon), pa.float64(), mask=~(distance > 1e-6))
+    return owner[best], {"layer": layer[best], "fkey": c.fkey[f[best]], "rank": rank, "distance": distance, "inside": inside, "qlat": qlat, "qlon": qlon, "bearing": bearing}
 
 
 def polygons_containing(points: DataFrame, segments: DataFrame, lat: str = "lat", lon: str = "lon",

@@ -16,6 +16,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 AS_OF = "2024-01-16 00:00:00"
+#: Rows of a table in one task of :meth:`Views.spread`, at most.
+ROWS_PER_TASK = 500_000
 
 #: Macros: ADDS(ts, n) adds n seconds; IDIV(a, b) is whole division of non-negative numbers.
 _SPARK_MACROS = {"ADDS": "timestampadd(SECOND, {1}, {0})", "IDIV": "CAST(({0}) div ({1}) AS INT)",
@@ -250,9 +252,9 @@ class Views:
         raise AttributeError(name)
 
     def spread(self, df: DataFrame) -> DataFrame:
-        """Spread the rows of a small single-file table over the cores before heavy per-row work."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        """Spread the rows of a table over the cores before heavy per-row work, in tasks that do not grow with the table."""
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
+        return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
     def sql(self, text: str) -> DataFrame:
         return spark_sql(self.spark, text, self)

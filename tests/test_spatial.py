@@ -95,3 +95,45 @@ def test_max_distance_and_polygons(spark):
     assert {(r.pid, r.layer): (r.fkey, round(r.distance_nm, 6), r.inside) for r in near} == want
     inside = {(r.pid, r.fkey) for r in polygons_containing(pdf, segs).collect()}
     assert inside == {(k[0], v[0]) for k, v in brute(points, rows, 99).items() if v[2]}
+
+
+def test_crowded_places_bound_the_candidates(spark):
+    """500 ports at each of two places: a cell lists the first k of a place, and the answer is that of all ports."""
+    from pelagia.plans.spatial import candidate_index
+
+    ports = [(i, 10.0 + i % 2, 20.0) for i in range(1000)]
+    segments = point_segments(spark.createDataFrame(ports, "port_id INT, lat DOUBLE, lon DOUBLE"), "p", "port_id", "lat", "lon")
+    points = spark.createDataFrame([(1, 10.0, 20.001), (2, 11.0, 20.001)], "pid INT, lat DOUBLE, lon DOUBLE")
+    assert candidate_index(points, segments, k=3)[2] <= 12
+    for limit in (0, 200_000):
+        got = sorted((r.pid, r.rank, r.fkey) for r in nearest_features(points, segments, k=3, broadcast_rows=limit).collect())
+        assert got == [(1, 1, 0), (1, 2, 2), (1, 3, 4), (2, 1, 1), (2, 2, 3), (2, 3, 5)]
+
+
+def test_candidates_are_never_sent_whole_by_the_planner(spark):
+    from pelagia.plans import spatial
+
+    cand = spark.createDataFrame([(0, 0, *row, None, None, None, None) for row in shapes(1, 4)],
+                                 f"ix INT, iy INT, {SEG}, bx1 DOUBLE, by1 DOUBLE, bx2 DOUBLE, by2 DOUBLE")
+    plan = spatial._prune(cand, 1.25, 5, None, False)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+
+
+def test_a_hot_cell_is_dealt_out(spark, monkeypatch):
+    from pelagia.plans import spatial
+
+    monkeypatch.setattr(spatial, "GROUP_POINTS", 10)
+    rows = shapes(7, 40, 3.0)
+    points = [(i, -8.5, 61.5) for i in range(75)] + [(75 + i, -9.0 + i / 20, 61.0) for i in range(20)]
+    near = nearest_features(spark.createDataFrame(points, "pid INT, lat DOUBLE, lon DOUBLE"), spark.createDataFrame(rows, SEG), k=2, broadcast_rows=0)
+    found = {(r.pid, r.layer, r.rank): (r.fkey, round(r.distance_nm, 6), r.inside) for r in near.collect()}
+    want = brute(points, rows, 2)
+    assert found.keys() == want.keys() and all(found[k][0] == want[k][0] and found[k][2] == want[k][2] for k in want)
+    assert near.rdd.getNumPartitions() > 5
+
+
+def test_spread_tasks_grow_with_the_table(spark, monkeypatch):
+    from pelagia.workload import views
+
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 100)
+    assert views.Views(spark, "").spread(spark.range(0, 5000, 1, 1)).rdd.getNumPartitions() == 50
