@@ -9,6 +9,7 @@ from pelagia.functions import marine
 from pelagia.operators import fences as ops, tools
 from pelagia.plans.ordered import balanced
 from pelagia.plans.spatial import nearest_features, polygons_containing
+from pelagia.session import cut_lineage
 from pelagia.workload.registry import query, r6
 from pelagia.workload.views import Views
 
@@ -79,10 +80,11 @@ SELECT vessel_id, tick_start, layer, fkey, name, inside, level_rank, {LEVEL_NAME
        {r6('distance_nm', 'bearing_deg')} FROM levelled""")
 def flagship(v: Views):
     """Closest boundary, distance and alert level for every vessel and hour."""
-    hourly = balanced(ops.latest_per_tick(v.positions, 3600))
+    hourly = cut_lineage(balanced(ops.latest_per_tick(v.positions, 3600).select("vessel_id", "tick_start", "lat", "lon")))
     near = ops.with_levels(
         nearest_features(hourly, v.fence_segments), v.fences)
-    best = ops.nearest_fence_per_vessel(near, ["vessel_id", "tick_start"])
+    best = ops.nearest_fence_per_vessel(near.select("vessel_id", "tick_start", "layer", "fkey", "name", "inside", "level_rank", "level", "severity_rank", "distance_nm",
+                                                    "bearing_deg"), ["vessel_id", "tick_start"])
     return best.select("vessel_id", "tick_start", "layer", "fkey", "name", "inside", "level_rank", "level",
                        "severity_rank", "distance_nm", "bearing_deg")
 
@@ -116,15 +118,16 @@ SELECT event_id, layer, fkey, level_rank, severity_rank, round(distance_nm, 6) A
 FROM levelled WHERE level_rank > 0
 ORDER BY level_rank DESC, severity_rank DESC, distance_nm, fkey""")
 def t1(v: Views):
-    return proximities(v, include_info=False).orderBy(*ops.proximity_order()).select(
-        "event_id", "layer", "fkey", "level_rank", "severity_rank", "distance_nm")
+    # Written first, as the bounds of the sort are drawn in a pass of their own; the event parts the many rows at distance 0.
+    warned = cut_lineage(proximities(v, include_info=False).select("event_id", "layer", "fkey", "level_rank", "severity_rank", "distance_nm"))
+    return warned.orderBy(*ops.proximity_order(), "event_id")
 
 
 @query("a6_nearest_fence_per_vessel", f"""
 WITH {nearest_sql('{positions}', 'event_id', False)}
 SELECT event_id, layer, fkey, round(distance_nm, 6) AS distance_nm FROM best""")
 def a6(v: Views):
-    return ops.nearest_fence_per_vessel(proximities(v), ["event_id"]).select("event_id", "layer", "fkey", "distance_nm")
+    return ops.nearest_fence_per_vessel(proximities(v).select("event_id", "layer", "fkey", "distance_nm"), ["event_id"])
 
 
 @query("j4_point_in_polygon", """
