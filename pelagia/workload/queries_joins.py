@@ -200,7 +200,7 @@ SELECT event_id, layer, round(distance_nm, 6) AS distance_nm FROM best ORDER BY
 def t2(v: Views):
     """Fleet ranking by distance, the 50 nearest."""
     near = nearest_features(v.spread(v.positions), v.fence_segments)
-    best = fence_ops.nearest_fence_per_vessel(near, ["event_id"])
+    best = fence_ops.nearest_fence_per_vessel(near.select("event_id", "layer", "fkey", "distance_nm"), ["event_id"])
     return best.orderBy(F.round("distance_nm", 9), "event_id").limit(50).select("event_id", "layer", "distance_nm")
 
 
@@ -214,7 +214,7 @@ SELECT event_id, layer, fkey, CAST(level_rank AS INT) AS level_rank, CAST(row_nu
 FROM levels QUALIFY place <= 3""")
 def t5(v: Views):
     prox = fence_ops.fence_proximities(v.spread(v.positions), v.fence_segments, v.fences)
-    return fence_ops.top_three(prox.drop("rank"), ["event_id"]).select(
+    return fence_ops.top_three(prox.select("event_id", "layer", "fkey", "level_rank", "distance_nm"), ["event_id"]).select(
         "event_id", "layer", "fkey", "level_rank", F.col("rank").alias("place"))
 
 
