@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pelagia.functions import marine
 from pelagia.operators import fences as fence_ops
 from pelagia.plans.ordered import EPOCH, balanced
+from pelagia.session import cut_lineage
 
 PROXIMITY_SCHEMA = ("vessel_id BIGINT, tick BIGINT, tick_start TIMESTAMP_NTZ, layer STRING, fkey INT, level_rank INT, "
                     "distance_nm DOUBLE, event_id BIGINT, hazards_checked BOOLEAN, seen_at TIMESTAMP_NTZ")
@@ -92,7 +93,7 @@ def proximity_batches(positions: DataFrame, segments: DataFrame, fences: DataFra
             except Exception:
                 logging.getLogger(__name__).exception("batch %d: hazards not checked", batch_id)
                 extra, checked = None, False
-        ticks = balanced(fence_ops.latest_per_tick(batch, tick_s))
+        ticks = cut_lineage(balanced(fence_ops.latest_per_tick(batch, tick_s)))
         rows = fence_ops.with_levels(fence_ops.nearest_features(ticks, segments), fences)
         if extra is not None:
             rows = rows.unionByName(fence_ops.hazard_proximities(ticks, *extra))

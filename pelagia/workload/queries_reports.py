@@ -141,9 +141,12 @@ KEYS = ["vessel_id", "layer", "fkey"]
 
 
 def alert_ticks(v: Views):
-    hourly = balanced(fence_ops.latest_per_tick(v.positions, 3600))
+    """What each vessel is warned of per hour; both tables are written, as they are read more than once."""
+    from pelagia.session import cut_lineage
+
+    hourly = cut_lineage(balanced(fence_ops.latest_per_tick(v.positions, 3600).select("vessel_id", "tick", "tick_start", "lat", "lon")))
     near = fence_ops.nearest_features(hourly, v.fence_segments)
-    return fence_ops.with_levels(near, v.fences).where("level_rank > 0")
+    return cut_lineage(fence_ops.with_levels(near, v.fences).where("level_rank > 0").select(*KEYS, "tick", "tick_start", "level_rank", "distance_nm"))
 
 
 TRANSITIONS = """
@@ -172,8 +175,7 @@ WITH {ALERT_TICKS} SELECT vessel_id, layer, fkey, tick + 1 AS tick FROM ticks t
 WHERE EXISTS (SELECT 1 FROM ticks a WHERE a.tick = t.tick + 1)
   AND NOT EXISTS (SELECT 1 FROM ticks n WHERE n.vessel_id = t.vessel_id AND n.layer = t.layer AND n.fkey = t.fkey AND n.tick = t.tick + 1)""")
 def u4(v: Views):
-    from pelagia.session import cut_lineage
-    return reports.active_difference(cut_lineage(alert_ticks(v).select(*KEYS, "tick")), KEYS)
+    return reports.active_difference(alert_ticks(v).select(*KEYS, "tick"), KEYS)
 
 
 _ALERTS = """(SELECT event_id AS alert_id, user_id AS vessel_id, CAST(event_id % 4 AS INT) AS level_rank, ts AS created_at, event_id % 3 = 0 AS acked, event_id % 5 <> 0 AS active,
