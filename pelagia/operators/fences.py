@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pelagia import dims
 from pelagia.functions import geo, marine
 from pelagia.plans.ordered import top_per_group
 from pelagia.plans.spatial import nearest_features
-from pelagia.plans.tracks import PIECE, track_distances
-from pelagia.session import cut_lineage
+from pelagia.plans.tracks import PIECE, segments_held, track_distances, walked_values
+from pelagia.session import BROADCAST_ROWS, at_most, cut_lineage
 
 # Fixed values.
 HORIZON_S = 3600.0
@@ -92,49 +94,66 @@ def resolve_classes(requested: DataFrame) -> DataFrame:
     return requested.join(aliases, F.upper(F.trim("wanted")) == F.col("alias"), "left").drop("alias")
 
 
-def closing_eta(proximities: DataFrame, segments: DataFrame, key: list[str], piece: int = PIECE) -> DataFrame:
+def closing_eta(proximities: DataFrame, segments: DataFrame, key: list[str], piece: int = PIECE, held_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Adds ``eta_s``: time until the vessel reaches the fence it is closing on.
 
     The projected track is sampled; rows that cannot qualify (too slow, or farther than
     four horizons of sailing) are set aside before. ``key`` names the columns that, with layer and fkey, tell rows apart.
+    Up to ``held_rows`` segments are sent to every task; more meet the rows piece by piece.
     """
     slow = F.col("heading_deg").isNull() | F.col("speed_kn").isNull() | (F.col("speed_kn") < MIN_SPEED_KN)
     reach = F.col("speed_kn") * F.lit(HORIZON_S / 3600.0)
     # Closing speed never exceeds the vessel's own speed, so beyond this no ETA survives.
     too_far = F.col("distance_nm") > reach * F.lit(ETA_HORIZONS * 1.001)
+    names = [*key, "layer", "fkey"]
     proximities = cut_lineage(proximities)
-    walking = proximities.where(F.coalesce(~slow & ~too_far, F.lit(False)))
-    walked = track_distances(walking, segments, key, HORIZON_S, STEPS, piece)
-    return proximities.join(walked.withColumnRenamed("nm", "_nm"), [*key, "layer", "fkey"], "left").withColumn(
-        "eta_s", F.when(F.col("_nm").isNotNull(), _fold_eta(F.col("_nm"), F.col("distance_nm")))).select(*proximities.columns, "eta_s")
-
-
-def _fold_eta(distances: Column, start: Column) -> Column:
-    """Walk the sampled distances: stop on entry or once past the closest approach."""
-    step_s = HORIZON_S / STEPS
-    init = F.struct(F.lit(0).alias("i"), start.alias("best"), F.lit(None).cast("double").alias("best_t"),
-                    F.lit(None).cast("double").alias("hit"), F.lit(False).alias("done"))
-
-    def step(acc: Column, d: Column) -> Column:
-        t = (acc["i"] + 1) * F.lit(step_s)
-        entered = ~acc["done"] & (d <= 0)
-        better = ~acc["done"] & (d > 0) & (d < acc["best"])
-        past = ~acc["done"] & (d > 0) & acc["best_t"].isNotNull() & (d > acc["best"])
-        return F.struct(
-            (acc["i"] + 1).alias("i"), F.when(better, d).otherwise(acc["best"]).alias("best"),
-            F.when(better, t).otherwise(acc["best_t"]).alias("best_t"),
-            F.when(entered, t).otherwise(acc["hit"]).alias("hit"),
-            (acc["done"] | entered | past).alias("done"))
-
-    def finish(acc: Column) -> Column:
-        closed = start - acc["best"]
-        closing = closed / (acc["best_t"] / F.lit(3600.0))
-        eta = start / closing * F.lit(3600.0)
-        usable = acc["best_t"].isNotNull() & (closed > 1e-6) & (closing >= MIN_CLOSING_KN) \
-            & (eta <= HORIZON_S * ETA_HORIZONS)
-        return F.when(acc["hit"].isNotNull(), acc["hit"]).otherwise(F.when(usable, eta))
-
-    return F.aggregate(distances, init, step, finish)
+    walks = F.coalesce(~slow & ~too_far, F.lit(False))
+    for c in names:
+        walks = walks & F.col(c).isNotNull()
+    told = [*proximities.columns, "eta_s"]
+
+    def by_pieces(rows: DataFrame) -> DataFrame:
+        walked = track_distances(rows.where(walks), segments, key, HORIZON_S, STEPS, piece).withColumnRenamed("nm", "_nm")
+        fold = F.pandas_udf(_folded, "double")
+        return rows.join(walked, names, "left").withColumn("eta_s", fold("_nm", "distance_nm")).select(*told)
+
+    held = segments_held(segments, held_rows)
+    if held is None:
+        return by_pieces(proximities)
+    # Rows that ``key`` does not tell apart are one track to the walk by pieces, and stay so.
+    number = F.xxhash64(*names)
+    alike = cut_lineage(proximities.groupBy(number.alias("_number")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_number"))
+    alone = lambda rows: walked_values(rows, walks, held, HORIZON_S, STEPS, "eta_s", fold_eta, "distance_nm", piece)
+    if alike.isEmpty():
+        return alone(proximities)
+    numbered, alike = proximities.withColumn("_number", number), F.broadcast(alike) if at_most(alike, BROADCAST_ROWS) else alike
+    return alone(numbered.join(alike, "_number", "left_anti").drop("_number")).select(*told).unionByName(
+        by_pieces(cut_lineage(numbered.join(alike, "_number", "left_semi").drop("_number"))))
+
+
+def fold_eta(distances: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Walk the sampled distances (rows by steps): stop on entry or once past the closest approach. Seconds, NaN where there is no ETA."""
+    best, best_t, hit, done = start.copy(), np.full(len(start), np.nan), np.full(len(start), np.nan), np.zeros(len(start), dtype=bool)
+    for i in range(distances.shape[1]):
+        d, t = distances[:, i], (i + 1) * (HORIZON_S / STEPS)
+        entered = ~done & (d <= 0)
+        better = ~done & (d > 0) & (d < best)
+        past = ~done & (d > 0) & ~np.isnan(best_t) & (d > best)
+        best, best_t, hit = np.where(better, d, best), np.where(better, t, best_t), np.where(entered, t, hit)
+        done |= entered | past
+    closed = start - best
+    with np.errstate(divide="ignore", invalid="ignore"):
+        closing = closed / (best_t / 3600.0)
+        eta = start / closing * 3600.0
+        usable = ~np.isnan(best_t) & (closed > 1e-6) & (closing >= MIN_CLOSING_KN) & (eta <= HORIZON_S * ETA_HORIZONS)
+    return np.where(np.isnan(hit), np.where(usable, eta, np.nan), hit)
+
+
+def _folded(distances: pd.Series, start: pd.Series) -> pd.Series:
+    told, walked = np.full(len(start), np.nan), distances.notna().to_numpy()
+    if walked.any():
+        told[walked] = fold_eta(np.stack(distances[walked].to_list()).astype(np.float64), start[walked].to_numpy(dtype=np.float64))
+    return pd.Series(told).astype("Float64").mask(np.isnan(told))
 
 
 def simple_eta_list(proximities: DataFrame) -> DataFrame:

@@ -28,7 +28,8 @@ def check_geofences(requests: DataFrame, segments: DataFrame, fences: DataFrame,
     unchecked = F.array_except(required, array(held))
     checkable = F.size(F.array_intersect(required, array(held))) > 0
     legal = array(r[0] for r in dims.FENCE_CLASSES if r[2] == "legal_hard")
-    near = fence_ops.alerting_proximities(requests.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), segments, fences).where(asked(F.col("layer")))
+    near = fence_ops.alerting_proximities(requests.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), segments, fences).where(asked(F.col("layer"))).select(
+        key, "layer", "fkey", "level_rank", "distance_nm", "lat", "lon", "heading_deg", "speed_kn", "closest_lat", "closest_lon")
     timed = fence_ops.closing_eta(near, segments, [key])
     found = timed.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"), F.max("level_rank").alias("_worst"), F.array_join(F.array_sort(F.collect_set("layer")), ",").alias("_classes"),

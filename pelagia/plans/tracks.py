@@ -7,16 +7,23 @@ different sides of the ray. Inside a piece, leaves of a few segments with a box
 
 Nearest means least planar distance in degrees, as everywhere in the fence checks. The closest point at the start lies on
 the feature, so at any step nothing further off than that point can win.
+
+Are the segments few (rows are counted), they are sent to every task once and each row is walked where it is (:func:`walked_values`): no row
+per piece, no list of distances leaves the task. Otherwise rows and pieces meet by :func:`track_distances`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pelagia.functions import geo
-from pelagia.session import at_most, cut_lineage
+from pelagia.session import BROADCAST_ROWS, at_most, cut_lineage
 
 #: Segments of a piece and of a leaf at most.
 PIECE, LEAF = 4096, 16
@@ -24,6 +31,8 @@ PIECE, LEAF = 4096, 16
 PER_TASK, POINTS = 20_000, 8_192
 #: Headers up to which they are broadcast (about 100 B each).
 HEADERS_BROADCAST = 100_000
+#: Features of up to so many segments are measured together, in so many (step, segment) pairs at a time.
+SMALL, PAIRS = 256, 200_000
 
 STEPS_TYPE = "ARRAY<STRUCT<d2: DOUBLE, nm: DOUBLE, n: INT>>"
 
@@ -54,8 +63,8 @@ def sampled(lat, lon, heading, speed, horizon_s: float, steps: int) -> tuple[np.
 class Piece:
     """Segments of a piece under a row of leaves."""
 
-    def __init__(self, segs):
-        self.x1, self.y1, self.x2, self.y2 = (np.array([s[c] for s in segs], dtype=np.float64) for c in ("x1", "y1", "x2", "y2"))
+    def __init__(self, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray):
+        self.x1, self.y1, self.x2, self.y2 = x1, y1, x2, y2
         self.start = np.arange(0, len(self.x1), LEAF)
         low, high = lambda a, b: np.minimum.reduceat(np.minimum(a, b), self.start), lambda a, b: np.maximum.reduceat(np.maximum(a, b), self.start)
         self.west, self.east, self.south, self.north = low(self.x1, self.x2), high(self.x1, self.x2), low(self.y1, self.y2), high(self.y1, self.y2)
@@ -138,7 +147,7 @@ def track_distances(rows: DataFrame, segments: DataFrame, key: list[str], horizo
     def step(group: tuple, frame: pd.DataFrame, shown: pd.DataFrame) -> pd.DataFrame:
         if not len(frame) or not len(shown):
             return pd.DataFrame({c: [] for c in [*out, "is_polygon", "steps"]})
-        part, told = Piece(shown["segs"].iloc[0]), []
+        part, told = Piece(*(np.array([s[c] for s in shown["segs"].iloc[0]], dtype=np.float64) for c in ("x1", "y1", "x2", "y2"))), []
         for at in range(0, len(frame), POINTS // steps + 1):
             some = frame.iloc[at:at + POINTS // steps + 1]
             lat, lon = sampled(some["lat"], some["lon"], some["heading_deg"], some["speed_kn"], horizon_s, steps)
@@ -165,3 +174,136 @@ def track_distances(rows: DataFrame, segments: DataFrame, key: list[str], horizo
         "_steps", F.aggregate(F.slice("_all", 2, F.greatest(F.size("_all") - 1, F.lit(0))), F.get("_all", F.lit(0)), both))
     inside = lambda s: F.col("is_polygon") & (s["n"] % 2 == 1)
     return whole_row.select(*out, F.transform("_steps", lambda s: F.when(inside(s), F.lit(0.0)).otherwise(s["nm"])).alias("nm"))
+
+
+def segments_held(segments: DataFrame, most: int = BROADCAST_ROWS) -> pa.Table | None:
+    """The segments as a table to be sent to every task; None where they are more than ``most``, have gaps, or a feature is of two kinds."""
+    told = segments.where(F.col("layer").isNotNull() & F.col("fkey").isNotNull()).select("layer", "fkey", "is_polygon", "part", "ring", "seq", "x1", "y1", "x2", "y2")
+    if not at_most(told, most):
+        return None
+    table = told.toArrow()
+    kinds = table.group_by(["layer", "fkey"]).aggregate([("is_polygon", "count_distinct")])["is_polygon_count_distinct"]
+    return None if any(table[c].null_count for c in table.column_names) or (pc.max(kinds).as_py() or 0) > 1 else table
+
+
+class Features:
+    """Segments of whole features as arrays, sorted by feature and piece."""
+
+    def __init__(self, table: pa.Table, piece: int):
+        column = lambda c: table[c].to_numpy()
+        self.names = {c: pc.unique(table[c]) for c in ("layer", "fkey")}
+        code, seq = self._codes(table), column("seq")
+        rings = [code, column("part"), column("ring"), seq // piece]
+        ends = [column(c).astype(np.float64) for c in ("x1", "y1", "x2", "y2")]
+        order = np.lexsort([*reversed(ends), seq, *reversed(rings)])
+        rings = [c[order] for c in rings]
+        self.x1, self.y1, self.x2, self.y2 = (c[order] for c in ends)
+        self.dx, self.dy = self.x2 - self.x1, self.y2 - self.y1
+        self.length2 = self.dx * self.dx + self.dy * self.dy
+        change = lambda of: np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), dtype=bool), np.any([c[1:] != c[:-1] for c in of], axis=0)]))
+        self.first, self.piece = change(rings[:1]), change(rings)
+        self.code, self.area = rings[0][self.first], column("is_polygon").astype(bool)[order][self.first]
+        self.size = np.diff(np.append(self.first, len(order)))
+        self.first_piece = np.searchsorted(self.piece, self.first)
+        self.pieces = np.diff(np.append(self.first_piece, len(self.piece)))
+        self._large: dict[int, list[Piece]] = {}
+
+    def _codes(self, table: pa.Table) -> np.ndarray:
+        layer, fkey = (pc.fill_null(pc.index_in(table[c], value_set=self.names[c]), -1).to_numpy().astype(np.int64) for c in ("layer", "fkey"))
+        return np.where((layer < 0) | (fkey < 0), -1, layer * len(self.names["fkey"]) + fkey)
+
+    def find(self, table: pa.Table) -> np.ndarray:
+        """Place of each row's feature; -1 where it has no segments."""
+        if not len(self.code):
+            return np.full(table.num_rows, -1)
+        code = self._codes(table)
+        place = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        return np.where(self.code[place] == code, place, -1)
+
+    def distances(self, feature: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        """Distance of each step (rows by steps) to the row's feature, 0 inside."""
+        nm = np.empty(lat.shape)
+        small = np.flatnonzero(self.size[feature] <= SMALL)
+        upto = np.cumsum(self.size[feature[small]] * lat.shape[1])
+        start = 0
+        while start < len(small):
+            end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, side="right")))
+            at = small[start:end]
+            nm[at] = self._together(np.repeat(feature[at], lat.shape[1]), lat[at].ravel(), lon[at].ravel()).reshape(-1, lat.shape[1])
+            start = end
+        for f in np.unique(feature[self.size[feature] > SMALL]):
+            rows = np.flatnonzero(feature == f)
+            for start in range(0, len(rows), POINTS // lat.shape[1] + 1):
+                at = rows[start:start + POINTS // lat.shape[1] + 1]
+                nm[at] = self._by_leaves(f, lat[at].ravel(), lon[at].ravel()).reshape(-1, lat.shape[1])
+        return nm
+
+    def _together(self, feature: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        first, size, pieces = self.first[feature], self.size[feature], self.pieces[feature]
+        runs = lambda begin, n: np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+        begin = np.cumsum(size) - size
+        s = runs(first, size)
+        px, py = np.repeat(lon, size), np.repeat(lat, size)
+        x1, y1, dx, dy, length2 = self.x1[s], self.y1[s], self.dx[s], self.dy[s], self.length2[s]
+        t = np.where(length2 == 0, 0.0, np.clip(((px - x1) * dx + (py - y1) * dy) / np.where(length2 == 0, 1.0, length2), 0.0, 1.0))
+        qx, qy = x1 + t * dx, y1 + t * dy
+        d2 = (px - qx) ** 2 + (py - qy) ** 2
+        d2 = np.where(np.isnan(d2), np.inf, d2)
+        # of a piece the first of its nearest segments, of the pieces the least distance
+        head = self.piece[runs(self.first_piece[feature], pieces)] + np.repeat(begin - first, pieces)
+        length = np.diff(np.append(head, len(s)))
+        least = np.minimum.reduceat(d2, head)
+        hit = np.flatnonzero(d2 == np.repeat(least, length))
+        of = np.repeat(np.arange(len(head)), length)[hit]
+        hit = hit[np.concatenate([[True], of[1:] != of[:-1]])]
+        nm = np.where(np.isinf(least), np.inf, geo.haversine_nm_array(py[hit], px[hit], qy[hit], qx[hit]))
+        if len(head) > len(feature):
+            row = np.cumsum(pieces) - pieces
+            best = np.minimum.reduceat(least, row)
+            nm = np.minimum.reduceat(np.where(least == np.repeat(best, pieces), nm, np.inf), row)
+        area = self.area[feature]
+        if area.any():
+            with np.errstate(divide="ignore", invalid="ignore"):
+                crossed = ((y1 > py) != (self.y2[s] > py)) & (px < dx * (py - y1) / dy + x1)
+            nm[area & (np.add.reduceat(crossed.astype(np.int64), begin) % 2 == 1)] = 0.0
+        return nm
+
+    def _by_leaves(self, f: int, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        if f not in self._large:
+            starts = np.append(self.piece[self.first_piece[f]:self.first_piece[f] + self.pieces[f]], self.first[f] + self.size[f])
+            self._large[f] = [Piece(self.x1[a:b], self.y1[a:b], self.x2[a:b], self.y2[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+        d2, nm, n = np.full(len(lat), np.inf), np.full(len(lat), np.inf), np.zeros(len(lat), dtype=np.int64)
+        # a corner of the feature is a first bound of how far its nearest point may be
+        most = (lon - self.x1[self.first[f]]) ** 2 + (lat - self.y1[self.first[f]]) ** 2
+        for part in self._large[f]:
+            a, b = part.nearest(lat, lon, np.where(np.isnan(most), np.inf, most * (1 + 1e-9) + 1e-18))
+            closer = (a < d2) | ((a == d2) & (b < nm))
+            d2, nm, most = np.where(closer, a, d2), np.where(closer, b, nm), np.fmin(most, a)
+            if self.area[f]:
+                n += part.crossings(lat, lon)
+        return np.where(n % 2 == 1, 0.0, nm)
+
+
+def walked_values(rows: DataFrame, walks: Column, held: pa.Table, horizon_s: float, steps: int, name: str, fold: Callable[[np.ndarray, np.ndarray], np.ndarray],
+                  start: str, piece: int = PIECE) -> DataFrame:
+    """``rows`` with a column ``name``: what ``fold`` makes of the distances (rows by steps, 0 inside) and the column ``start``.
+
+    Null (as where ``fold`` gives NaN) in rows that do not meet ``walks`` or whose feature is not in ``held``, see :func:`segments_held`.
+    """
+    columns, sent = list(rows.columns), rows.sparkSession.sparkContext.broadcast(held)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields) + f"`{name}` DOUBLE"
+
+    def each(batches):
+        features = Features(sent.value, piece)
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            told, feature = np.full(table.num_rows, np.nan), features.find(table)
+            at = np.flatnonzero(table["_walks"].to_numpy() & (feature >= 0))
+            if len(at):
+                lat, lon, heading, speed, begun = (table[c].cast(pa.float64()).to_numpy()[at] for c in ("lat", "lon", "heading_deg", "speed_kn", start))
+                lat, lon = sampled(lat, lon, heading, speed, horizon_s, steps)
+                told[at] = fold(features.distances(feature[at], lat, lon), begun)
+            done = table.select(columns).append_column(name, pa.array(told, pa.float64(), mask=np.isnan(told)))
+            yield from done.to_batches()
+
+    return rows.withColumn("_walks", walks).mapInArrow(each, schema)

@@ -188,7 +188,8 @@ WITH {nearest_sql('{positions}', 'event_id')}, {PROJECT}
 SELECT b.event_id, b.layer, b.fkey, round(eta_s, 6) AS eta_s
 FROM best b LEFT JOIN etas e ON b.event_id = e.event_id AND b.layer = e.layer AND b.fkey = e.fkey""")
 def w6(v: Views):
-    return ops.closing_eta(proximities(v), v.fence_segments, ["event_id"]).select("event_id", "layer", "fkey", "eta_s")
+    near = proximities(v).select("event_id", "layer", "fkey", "lat", "lon", "heading_deg", "speed_kn", "distance_nm", "closest_lat", "closest_lon")
+    return ops.closing_eta(near, v.fence_segments, ["event_id"]).select("event_id", "layer", "fkey", "eta_s")
 
 
 WANTED = "CASE event_id % 4 WHEN 1 THEN {a}'MPA', 'ECO_SENSITIVE'{z} WHEN 2 THEN {a}'IMBL_HISTORIC_WATERS', 'HAZARD_EXCLUSION'{z} WHEN 3 THEN {a}'ECO_SENSITIVE'{z} END"

@@ -88,3 +88,38 @@ def test_closing_time_does_not_depend_on_pieces(spark):
     key = lambda piece: {(r.event_id, r.layer, r.fkey): r.eta_s for r in fences.closing_eta(near, v.fence_segments, ["event_id"], piece).collect()}
     one, two = key(4096), key(5)
     assert one == two and any(x is not None for x in one.values())
+
+
+def test_features_at_hand_give_the_distances_of_the_pieces(spark):
+    """Every step against every segment, with features of one and of many pieces, measured together and by leaves."""
+    import pyarrow as pa
+
+    r, segs = random.Random(5), shapes(3)
+    names = [c.split()[0] for c in SEG.split(", ")]
+    table = pa.table({c: [s[i] for s in segs] for i, c in enumerate(names)})
+    feature = [r.choice([0, 1, 2, 3, 9, 10, 11, 77]) for _ in range(40)]
+    lat, lon = (np.array([[c + r.uniform(-1.2, 1.2) for _ in range(6)] for _ in feature]) for c in (9, 79))
+    for piece in (7, 4096):
+        held = tracks.Features(table, piece)
+        place = held.find(pa.table({"layer": ["MPA"] * len(feature), "fkey": feature}))
+        assert [p < 0 for p in place] == [f == 77 for f in feature]
+        known = np.flatnonzero(place >= 0)
+        got = held.distances(place[known], lat[known], lon[known])
+        for row, n in enumerate(known):
+            mine = [s for s in segs if s[1] == feature[n]]
+            for k in range(6):
+                assert got[row, k] == pytest.approx(brute(mine, lat[n, k], lon[n, k], mine[0][9]), abs=1e-9)
+
+
+def test_closing_time_takes_no_row_per_piece_and_repeated_keys_stay_as_they_were(spark, monkeypatch):
+    segs = spark.createDataFrame([("MPA", 1, 0, 0, k, *a, *b, True) for k, (a, b) in enumerate([((79.0, 9.0), (79.2, 9.0)), ((79.2, 9.0), (79.2, 9.2)), ((79.2, 9.2), (79.0, 9.2)), ((79.0, 9.2), (79.0, 9.0))])]
+                                 + [("MPA", 2, 0, 0, 0, 79.0, 9.3, 79.2, 9.3, False)], SEG)
+    rows = [(n, "MPA", 1 + n % 2, 8.9 + n / 100, 78.9, 70.0 + n, 9.0, 6.0 + n / 100, 9.0, 79.0) for n in range(20)]
+    rows += [rows[3], (7, "MPA", 2, 9.1, 79.1, 10.0, 0.1, 0.0, 9.1, 79.1), (None, "MPA", 1, 9.0, 78.9, 90.0, 9.0, 6.0, 9.0, 79.0), (99, "MPA", 5, 9.0, 78.9, 90.0, 9.0, 6.0, 9.0, 79.0)]
+    near = spark.createDataFrame(rows, "event_id int, layer string, fkey int, lat double, lon double, heading_deg double, speed_kn double, distance_nm double, closest_lat double, closest_lon double")
+    told = lambda **of: sorted(((x.event_id, x.fkey, x.speed_kn, x.eta_s) for x in fences.closing_eta(near, segs, ["event_id"], **of).collect()), key=str)
+    got = told()
+    assert len(got) == len(rows) and got == told(held_rows=0) and any(x[3] for x in got)
+    met = []
+    monkeypatch.setattr(fences, "track_distances", lambda *a: met.append(a))
+    assert fences.closing_eta(near.dropDuplicates(["event_id"]), segs, ["event_id"]).where("eta_s IS NOT NULL").count() and not met
