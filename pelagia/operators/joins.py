@@ -8,7 +8,7 @@ from pelagia import dims
 from pelagia.functions import geo
 from pelagia.plans.asof import asof
 from pelagia.plans.spatial import nearest_features, point_segments
-
+from pelagia.session import BROADCAST_ROWS, at_most
 
 
 def nearest_ports(points: DataFrame, ports: DataFrame, point_key: str, k: int = 3,
@@ -120,7 +120,8 @@ def nearest_stations(points: DataFrame, stations: DataFrame, readings: DataFrame
 def nearest_in_region(points: DataFrame, places: DataFrame, region: str, place_id: str, k: int = 3) -> DataFrame:
     """The ``k`` nearest ``places`` of a point's own ``region``; of all places where that region has none, and never an empty answer."""
     regions = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col(region).alias("_has")).distinct()
-    asked = points.join(F.broadcast(regions), F.col(region) == F.col("_has"), "left")
+    regions = F.broadcast(regions) if at_most(regions, BROADCAST_ROWS) else regions.hint("merge")
+    asked = points.join(regions, F.col(region) == F.col("_has"), "left")
     everywhere = point_segments(places, "", place_id, "lat", "lon")
     named = places.select(F.col(place_id).alias("fkey"), F.col(region).cast("string").alias("layer"))
     local = everywhere.drop("layer").join(named, "fkey").select(*everywhere.columns)

@@ -31,8 +31,8 @@ PIECE, LEAF = 4096, 16
 PER_TASK, POINTS = 20_000, 8_192
 #: Headers up to which they are broadcast (about 100 B each).
 HEADERS_BROADCAST = 100_000
-#: Features of up to so many segments are measured together, in so many (step, segment) pairs at a time.
-SMALL, PAIRS = 256, 200_000
+#: Features of up to so many segments are measured together, in so many (step, segment) pairs and rows at a time: what fits a core's cache.
+SMALL, PAIRS, ROWS = 256, 16_000, 400
 
 STEPS_TYPE = "ARRAY<STRUCT<d2: DOUBLE, nm: DOUBLE, n: INT>>"
 
@@ -298,11 +298,11 @@ def walked_values(rows: DataFrame, walks: Column, held: pa.Table, horizon_s: flo
         for batch in batches:
             table = pa.Table.from_batches([batch])
             told, feature = np.full(table.num_rows, np.nan), features.find(table)
-            at = np.flatnonzero(table["_walks"].to_numpy() & (feature >= 0))
-            if len(at):
-                lat, lon, heading, speed, begun = (table[c].cast(pa.float64()).to_numpy()[at] for c in ("lat", "lon", "heading_deg", "speed_kn", start))
-                lat, lon = sampled(lat, lon, heading, speed, horizon_s, steps)
-                told[at] = fold(features.distances(feature[at], lat, lon), begun)
+            walking = np.flatnonzero(table["_walks"].to_numpy() & (feature >= 0))
+            place = [table[c].cast(pa.float64()).to_numpy() for c in ("lat", "lon", "heading_deg", "speed_kn", start)]
+            for at in np.split(walking, range(ROWS, len(walking), ROWS)):
+                *begun, value = (c[at] for c in place)
+                told[at] = fold(features.distances(feature[at], *sampled(*begun, horizon_s, steps)), value)
             done = table.select(columns).append_column(name, pa.array(told, pa.float64(), mask=np.isnan(told)))
             yield from done.to_batches()
 

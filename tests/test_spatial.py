@@ -137,3 +137,14 @@ def test_spread_tasks_grow_with_the_table(spark, monkeypatch):
 
     monkeypatch.setattr(views, "ROWS_PER_TASK", 100)
     assert views.Views(spark, "").spread(spark.range(0, 5000, 1, 1)).rdd.getNumPartitions() == 50
+
+
+def test_regions_are_sent_to_every_task_only_where_counted_few(spark, monkeypatch):
+    from pelagia.operators import joins
+
+    places = spark.createDataFrame([(n, 8.0 + n / 10, 78.0 + n % 7 / 10, n % 3) for n in range(30)], "place int, lat double, lon double, zone int")
+    asked = spark.createDataFrame([(n, 8.05 + n / 9, 78.03, n % 5) for n in range(20)], "id int, lat double, lon double, zone int")
+    told = lambda: sorted(tuple(r) for r in joins.nearest_in_region(asked, places, "zone", "place").select("id", "place", "widened", "rank").collect())
+    few = told()
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    assert few == told() and len(few) == 60 and {r[2] for r in few} == {True, False}
