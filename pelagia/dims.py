@@ -243,8 +243,9 @@ FENCE_COLUMNS = "fence_class, class_order, severity, warn_nm, critical_nm, colou
 
 
 def fence_classes(spark: SparkSession) -> DataFrame:
-    return table(spark, FENCE_CLASSES, FENCE_COLUMNS).join(
-        table(spark, SEVERITIES, "severity, severity_rank"), "severity")
+    """Every fence class with the rank of its severity: one literal relation, which a join sends to its tasks."""
+    ranks = dict(SEVERITIES)
+    return table(spark, [(*r, ranks[r[2]]) for r in FENCE_CLASSES], f"{FENCE_COLUMNS}, severity_rank")
 
 
 def vessel_limits(spark: SparkSession) -> DataFrame:

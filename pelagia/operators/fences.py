@@ -11,7 +11,7 @@ from pelagia.functions import geo, marine
 from pelagia.plans.ordered import top_per_group
 from pelagia.plans.spatial import nearest_features
 from pelagia.plans.tracks import PIECE, segments_held, track_distances, walked_values
-from pelagia.session import BROADCAST_ROWS, at_most, cut_lineage
+from pelagia.session import BROADCAST_ROWS, cut_lineage, looked_up
 
 # Fixed values.
 HORIZON_S = 3600.0
@@ -42,7 +42,7 @@ def with_levels(near: DataFrame, fences: DataFrame) -> DataFrame:
     classes = dims.fence_classes(near.sparkSession).select(
         F.col("fence_class").alias("layer"), "warn_nm", "critical_nm", "severity", "severity_rank", "class_order")
     own = fences.select("layer", "fkey", "name", "own_warn_nm", "own_critical_nm")
-    joined = near.join(classes, "layer").join(own, ["layer", "fkey"])
+    joined = near.join(classes, "layer").join(looked_up(own), ["layer", "fkey"])
     rank = marine.alert_rank("inside", "distance_nm", F.coalesce("own_warn_nm", "warn_nm"),
                              F.coalesce("own_critical_nm", "critical_nm"))
     return joined.withColumn("level_rank", rank).withColumn("level", marine.level_name(F.col("level_rank"))) \
@@ -126,7 +126,7 @@ def closing_eta(proximities: DataFrame, segments: DataFrame, key: list[str], pie
     alone = lambda rows: walked_values(rows, walks, held, HORIZON_S, STEPS, "eta_s", fold_eta, "distance_nm", piece)
     if alike.isEmpty():
         return alone(proximities)
-    numbered, alike = proximities.withColumn("_number", number), F.broadcast(alike) if at_most(alike, BROADCAST_ROWS) else alike
+    numbered, alike = proximities.withColumn("_number", number), looked_up(alike)
     return alone(numbered.join(alike, "_number", "left_anti").drop("_number")).select(*told).unionByName(
         by_pieces(cut_lineage(numbered.join(alike, "_number", "left_semi").drop("_number"))))
 

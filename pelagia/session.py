@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Row count up to which a side may be broadcast (about 100 B a row: some tens of MB).
 BROADCAST_ROWS = 200_000
@@ -74,3 +74,12 @@ def discard(written: DataFrame) -> None:
 def at_most(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has no more than ``rows`` rows (reads no further than that)."""
     return df.limit(rows + 1).count() <= rows
+
+
+def looked_up(table: DataFrame) -> DataFrame:
+    """``table`` as the side of a join that rows are looked up in: sent to every task where its counted rows are few, else met by a shuffle.
+
+    Told by hint, as the planner compares estimates only: a measured row counts for no more there than the row it came from, and a
+    literal table for the least size of a broadcast, so that it would send the measured rows to the tasks that hold the literals.
+    """
+    return F.broadcast(table) if at_most(table, BROADCAST_ROWS) else table.hint("merge")
