@@ -8,7 +8,7 @@ from pelagia import dims
 from pelagia.functions import geo
 from pelagia.plans.asof import asof
 from pelagia.plans.spatial import nearest_features, point_segments
-from pelagia.session import BROADCAST_ROWS, at_most
+from pelagia.session import BROADCAST_ROWS, at_most, cut_lineage, looked_up
 
 
 def nearest_ports(points: DataFrame, ports: DataFrame, point_key: str, k: int = 3,
@@ -19,7 +19,7 @@ def nearest_ports(points: DataFrame, ports: DataFrame, point_key: str, k: int =
     near = nearest_features(points, segments, k=k, **options)
     info = ports.select(F.col("port_id").alias("fkey"), F.col("name").alias("port_name"),
                         F.col("district").alias("port_district"))
-    return near.join(info, "fkey").drop("layer", "inside").withColumnRenamed("fkey", "port_id")
+    return near.join(looked_up(info), "fkey").drop("layer", "inside").withColumnRenamed("fkey", "port_id")
 
 
 def directory_lookup(centres: DataFrame, centre_contacts: DataFrame, district_contacts: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def contour_depth(points: DataFrame, contours: DataFrame, depths: DataFrame, poi
     lines = contours.join(usable.select("fkey"), "fkey", "left_semi").withColumns(
         {"layer": F.lit("bathymetry"), "is_polygon": F.lit(False)})
     near = nearest_features(points, lines, planar=True)
-    return near.join(usable, "fkey").select(*points.columns, "fkey", "depth_m")
+    return near.join(looked_up(usable), "fkey").select(*points.columns, "fkey", "depth_m")
 
 
 def handoff(points: DataFrame, ports: DataFrame, point_key: str) -> DataFrame:
@@ -101,7 +101,7 @@ def nearest_line_vertex(points: DataFrame, lines: DataFrame) -> DataFrame:
     ends = lines.select("fkey", F.inline(F.array(*[F.struct(F.col(x).alias("lon"), F.col(y).alias("lat")) for x, y in (("x1", "y1"), ("x2", "y2"))])))
     places = ends.groupBy("lat", "lon").agg(F.min("fkey").alias("line_id")).withColumn("vertex", F.xxhash64("lat", "lon"))
     near = nearest_features(points, point_segments(places, "vertices", "vertex", "lat", "lon"))
-    return near.join(places.select(F.col("vertex").alias("fkey"), "line_id"), "fkey").select(
+    return near.join(looked_up(places.select(F.col("vertex").alias("fkey"), "line_id")), "fkey").select(
         *points.columns, "line_id", F.round("distance_nm", 3).alias("distance_nm"), F.round("bearing_deg", 1).alias("bearing_deg"), "closest_lat", "closest_lon")
 
 
@@ -114,7 +114,7 @@ def nearest_stations(points: DataFrame, stations: DataFrame, readings: DataFrame
     near = nearest_features(points, point_segments(stations, "stations", "station_id", "lat", "lon"), k=k).withColumnRenamed("fkey", "station_id")
     newest = readings.where("value IS NOT NULL").groupBy("station_id", "variable").agg(F.max(F.struct("valid_time", "value")).alias("_r")).select(
         "station_id", "variable", "_r.valid_time", "_r.value")
-    return near.drop("layer", "inside", "closest_lat", "closest_lon").join(newest, "station_id", "left")
+    return near.drop("layer", "inside", "closest_lat", "closest_lon").join(looked_up(cut_lineage(newest)), "station_id", "left")
 
 
 def nearest_in_region(points: DataFrame, places: DataFrame, region: str, place_id: str, k: int = 3) -> DataFrame:
