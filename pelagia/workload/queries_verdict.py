@@ -174,7 +174,7 @@ def evaluate_verdict(v: Views):
         "request_id": F.col("bulletin_id"), "as_of": F.timestamp_add("SECOND", F.lit(3600), F.col("valid_from")),
         "target_time": F.timestamp_add("SECOND", F.lit(7200), F.col("valid_from"))})
     rows = asked.select("request_id", "vessel_class", F.coalesce("period", F.lit(0.0)).alias("swell_period_s")).join(
-        bulletins.where("request_id % 23 <> 0"), "request_id", "left")
+        bulletins.where("request_id % 23 <> 0").hint("merge"), "request_id", "left")
     near = joins.nearest_ports(v.spread(v.requests), v.ports, "request_id", 1).select("request_id", F.col("port_name").alias("handoff"))
-    ruled = ops.compute_ceiling(rows).join(base, "request_id", "left").join(near, "request_id", "left")
+    ruled = ops.compute_ceiling(rows).join(base.hint("merge"), "request_id", "left").join(near.hint("merge"), "request_id", "left")
     return ops.apply_ceiling(ruled).select("request_id", "level_rank", "level", "ceiling_applied", "reasons", "rules", "handoff")
