@@ -34,7 +34,7 @@ def check_geofences(requests: DataFrame, segments: DataFrame, fences: DataFrame,
     found = timed.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"), F.max("level_rank").alias("_worst"), F.array_join(F.array_sort(F.collect_set("layer")), ",").alias("_classes"),
         F.min("distance_nm").alias("_nm"), F.min("eta_s").alias("_eta"))
-    rows = requests.select(key, unchecked.alias("_unchecked"), checkable.alias("_checkable")).join(found, key, "left")
+    rows = requests.select(key, unchecked.alias("_unchecked"), checkable.alias("_checkable")).join(found.hint("merge"), key, "left")
     told = lambda c: F.when(F.col("_checkable"), c)
     return rows.select(
         key, F.when(~F.col("_checkable"), "abstain").when(F.size("_unchecked") > 0, "partial").otherwise("checked").alias("status"),

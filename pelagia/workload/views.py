@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -253,8 +253,10 @@ class Views:
 
     def spread(self, df: DataFrame) -> DataFrame:
         """Spread the rows of a table over the cores before heavy per-row work, in tasks that do not grow with the table."""
-        tasks = max(self.spark.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
-        return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+        rows, most, filled = df.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count"), F.count(F.lit(1))).first()
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-(rows or 0) // ROWS_PER_TASK))
+        # Counted, as a file of few row groups is cut into more splits than hold rows.
+        return df.repartition(tasks) if filled < tasks or most > ROWS_PER_TASK else df
 
     def sql(self, text: str) -> DataFrame:
         return spark_sql(self.spark, text, self)
