@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pelagia.functions import geo
-from pelagia.session import BROADCAST_ROWS, at_most, cut_lineage
+from pelagia.session import BROADCAST_ROWS, at_most, cut_lineage, looked_up
 
 #: Cell sizes in degrees, coarse to fine; each is 8 times finer than the one before.
 LEVELS = (10.0, 1.25, 0.15625, 0.01953125, 0.00244140625)
@@ -218,17 +218,22 @@ def nearest_features(points: DataFrame, segments: DataFrame, k: int = 1, max_nm:
 def _grouped(here: DataFrame, index: DataFrame, rows: int, measured) -> DataFrame:
     """Points and candidates in groups of whole cells; a cell of many points is dealt out to several groups."""
     numbered = _numbered(here)
-    cells = cut_lineage(numbered.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("_n"), F.ceil(F.count(F.lit(1)) / GROUP_POINTS).cast("int").alias("_shares")))
+    held = index.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("_held"))
+    cells = cut_lineage(numbered.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("_n")).join(held.hint("merge"), ["ix", "iy"], "left")
+                        .select("ix", "iy", "_n", F.coalesce("_held", F.lit(0)).alias("_held"), F.ceil(F.col("_n") / GROUP_POINTS).cast("int").alias("_shares")))
     total = cells.agg(F.sum("_n")).first()[0] or 0
+    # Shares are dealt by hash to lots, and a lot, of whatever size, is cut into groups where its points or candidates run full.
     groups = 1 + total // GROUP_POINTS + rows // GROUP_CANDIDATES
-    cells = cells.select("ix", "iy", "_shares")
-    cells = F.broadcast(cells) if at_most(cells, BROADCAST_ROWS) else cells
-    placed = F.pmod(F.xxhash64("ix", "iy", "_share"), F.lit(groups)).cast("int").alias("_group")
-    left = numbered.join(cells, ["ix", "iy"]).withColumn("_share", F.pmod(F.col(ROW), F.col("_shares")).cast("int"))
+    shares = cells.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))) \
+        .withColumn("_lot", F.pmod(F.xxhash64("ix", "iy", "_share"), F.lit(groups)).cast("int"))
+    before = Window.partitionBy("_lot").orderBy("ix", "iy", "_share").rowsBetween(Window.unboundedPreceding, -1)
+    full = lambda c, most: F.floor(F.coalesce(F.sum(c).over(before), F.lit(0)) / most)
+    group = F.concat_ws("/", "_lot", full(F.col("_n") / F.col("_shares"), GROUP_POINTS), full(F.col("_held"), GROUP_CANDIDATES))
+    placed = looked_up(cut_lineage(shares.select("ix", "iy", group.alias("_group")).groupBy("ix", "iy").agg(F.collect_list("_group").alias("_groups"))))
+    left = numbered.join(placed, ["ix", "iy"]).withColumn("_group", F.get("_groups", F.pmod(F.col(ROW), F.size("_groups")).cast("int")))
     # Two shares of a cell may meet in one group, which then has its candidates once.
-    wanted = cells.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).select("ix", "iy", placed).distinct()
-    right = index.join(wanted, ["ix", "iy"])
-    return measured(left.select(placed, *here.columns).repartition(groups, "_group").groupBy("_group"),
+    right = index.join(placed, ["ix", "iy"]).withColumn("_group", F.explode(F.array_distinct("_groups")))
+    return measured(left.select("_group", *here.columns).repartition(groups, "_group").groupBy("_group"),
                     right.select("_group", *index.columns).repartition(groups, "_group").groupBy("_group"))
 
 

@@ -78,7 +78,7 @@ WITH {nearest_sql('{positions}', 'event_id')}
 SELECT event_id, layer, fkey, inside, {r6('distance_nm')} FROM best""")
 def j5(v: Views):
     """The shuffled form used when the candidate list is too large to broadcast."""
-    return nearest_features(v.spread(v.positions), v.fence_segments, broadcast_rows=0).select(
+    return nearest_features(v.spread(v.positions.select("event_id", "lat", "lon")), v.fence_segments, broadcast_rows=0).select(
         "event_id", "layer", "fkey", "inside", "distance_nm")
 
 
