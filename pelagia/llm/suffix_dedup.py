@@ -14,7 +14,8 @@ Documents are dealt into chunks by ranges of their id that hold about as many by
 chunks of its own, as have rows without an id. A chunk sends its distinct ranks as sorted lists, cut by rank range; a
 range's task sorts what all chunks sent and answers each list with one bit a rank (seen elsewhere; seen in an earlier
 range of ids). Lists hold a rank once however often the chunk has it, so copies and common passages stay small, and no
-task holds more than a chunk or a range. Whole copies of a text are told beforehand from digests.
+task holds more than a chunk or a range. Whole copies of a text are told beforehand from digests. Ranks are put in order in
+place and looked up document by document or list by list, so a task holds little more than each rank once or twice.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pelagia.llm.lm_score import from_planes, planes
 
 #: Bytes of text in a chunk and bytes of text for each rank range, on average.
 CHUNK_BYTES, RANGE_BYTES = 5_000_000, 12_000_000
+#: Ranks that a range's task puts in order at a time, about.
+SLICE = 4_000_000
 #: Ranks of single bytes.
 _BYTE = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8).digest() for b in range(256)), dtype="<u8").astype(np.uint64)
 
@@ -90,7 +93,7 @@ class Chunk:
         frame = frame.assign(last=frame["id"].isna()).sort_values(["last", "id"], kind="stable", ignore_index=True)
         self.ids = [None if last else int(i) for i, last in zip(frame["id"], frame["last"])]
         self.none, self.also = frame["none"].tolist(), frame["also"].tolist()
-        self.data = [(t or "").encode("utf-8", "surrogatepass") for t in frame["text"]]
+        self.data = [bytes(t) for t in frame["text"]]
         self.copy = [(i, d) in copies for i, d in zip(self.ids, frame["digest"])]
 
     def marks(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -98,32 +101,34 @@ class Chunk:
         out = []
         for data, copy in zip(self.data, self.copy):
             if copy or len(data) < self.width:
-                out.append((np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)))
+                out.append((np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)))
                 continue
             half = ranks(np.frombuffer(data, dtype=np.uint8), [self.half])[0]
             least = least_in_windows(half, self.width - self.half + 1)
             start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-            out.append((least[start], np.diff(start, append=len(least))))
+            out.append((least[start], np.diff(start, append=len(least)).astype(np.int32)))
         return out
 
-    def candidates(self, told: np.ndarray, known: np.ndarray, runs: list) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per document: window starts whose mark occurs elsewhere, and their full-width ranks."""
-        out = []
-        for data, (value, length) in zip(self.data, runs):
-            if not len(value):
-                out.append((np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)))
-                continue
+    def candidates(self, told: np.ndarray, known: np.ndarray, runs: list) -> tuple[list[np.ndarray], np.ndarray]:
+        """Per document the window starts whose mark occurs elsewhere; the full-width ranks of all of them, in that order."""
+        starts = []
+        for value, length in runs:
             again = told[np.searchsorted(known, value)]
-            if not again.any():
-                out.append((np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)))
-                continue
-            at = np.flatnonzero(np.repeat(again, length))
-            out.append((at, ranks(np.frombuffer(data, dtype=np.uint8), [self.width], at)[0]))
-        return out
+            starts.append(np.flatnonzero(np.repeat(again, length)).astype(np.int32) if again.any() else np.zeros(0, dtype=np.int32))
+        every, end = np.empty(sum(map(len, starts)), dtype=np.uint64), 0
+        for data, at in zip(self.data, starts):
+            if len(at):
+                every[end:end + len(at)] = ranks(np.frombuffer(data, dtype=np.uint8), [self.width], at)[0]
+                end += len(at)
+        return starts, every
 
 
-def _distinct(parts: list[np.ndarray]) -> np.ndarray:
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+def _sort_out(values: np.ndarray) -> np.ndarray:
+    """The distinct ``values``, ascending; the array itself is put in order."""
+    values.sort()
+    new = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values if new.all() else values[new]
 
 
 def _ask(chunk: int, order: int, known: np.ndarray, ranges: int) -> pd.DataFrame:
@@ -141,21 +146,31 @@ def _answer(frame: pd.DataFrame, kind: int) -> pd.DataFrame:
     """
     frame = frame.sort_values(["order", "chunk"], ignore_index=True)
     lists = [np.cumsum(from_planes(d), dtype=np.uint64) for d in frame["data"]]
-    chunk = frame["chunk"].to_numpy()
-    owner = np.repeat(frame["order"].to_numpy(), [len(x) for x in lists])
-    every = np.concatenate(lists)
-    order = np.argsort(every, kind="stable")
-    ordered = every[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    group = np.cumsum(new) - 1
-    bit = np.empty(len(every), dtype=bool)
-    if kind == 1:
-        bit[order] = np.bincount(group)[group] > 1
-    else:
-        first = owner[order][new][group]
-        bit[order] = first < owner[order]
-    cuts = np.cumsum([0, *(len(x) for x in lists)])
-    return pd.DataFrame([(int(c), kind, int(r), np.packbits(bit[a:b]).tobytes(), None, None) for c, r, a, b in zip(chunk, frame["range"], cuts, cuts[1:])],
+    bits = [np.zeros(len(x), dtype=bool) for x in lists]
+    low, high = min(int(x[0]) for x in lists), max(int(x[-1]) for x in lists)
+    slices = -(-sum(map(len, lists)) // SLICE)
+    edges = np.array([low + (high - low) * k // slices for k in range(1, slices)], dtype=np.uint64)  # ranks lie evenly in their range
+    cuts = [[0, *np.searchsorted(x, edges).tolist(), len(x)] for x in lists]
+    owners = frame["order"].tolist()
+    for k in range(slices):
+        parts = [(x[c[k]:c[k + 1]], bit[c[k]:c[k + 1]], owner) for x, bit, c, owner in zip(lists, bits, cuts, owners) if c[k + 1] > c[k]]
+        every = np.concatenate([x for x, _, _ in parts]) if parts else np.zeros(0, dtype=np.uint64)
+        every.sort()
+        met = _sort_out(every[1:][every[1:] == every[:-1]])
+        del every
+        if not len(met):
+            continue
+        first = np.full(len(met), -1, dtype=np.int32)
+        for x, bit, owner in parts:  # in the order of ids
+            at = np.minimum(np.searchsorted(met, x), len(met) - 1)
+            hit = met[at] == x
+            bit[:] = hit
+            if kind == 2:
+                at = at[hit]
+                before = first[at]
+                first[at[before < 0]] = owner
+                bit[hit] = (before >= 0) & (before < owner)
+    return pd.DataFrame([(int(c), kind, int(r), np.packbits(bit).tobytes(), None, None) for c, r, bit in zip(frame["chunk"], frame["range"], bits)],
                         columns=["chunk", "kind", "range", "data", "id", "digest"])
 
 
@@ -222,24 +237,21 @@ def id_ranges(narrow: DataFrame, chunk_bytes: int) -> Ranges:
     return Ranges(np.array([i for i, _ in found], dtype=np.int64), np.array(chunks, dtype=np.int64))
 
 
-def _remaining(chunk: Chunk, found: list[tuple[np.ndarray, np.ndarray]], known: np.ndarray, earlier: np.ndarray) -> pd.DataFrame:
-    width, rows = chunk.width, []
-    sizes = [len(at) for at, _ in found]
-    if sum(sizes):
-        # the first document of the chunk that has a rank; documents are in id order, those without id last
-        number = np.repeat(np.arange(len(found)), sizes)
-        rank = np.searchsorted(known, np.concatenate([r for _, r in found]))
-        first = np.full(len(known), len(found), dtype=np.int64)
-        np.minimum.at(first, rank, number)
-        ids = np.array([np.iinfo(np.int64).max if i is None else i for i in chunk.ids], dtype=np.int64)
-        gone = earlier[rank] | (ids[first[rank]] < ids[number])
-        cuts = np.cumsum([0, *sizes])
-    for k, (doc, data, copy) in enumerate(zip(chunk.ids, chunk.data, chunk.copy)):
+def _remaining(chunk: Chunk, starts: list[np.ndarray], every: np.ndarray, known: np.ndarray, earlier: np.ndarray) -> pd.DataFrame:
+    width, rows, end = chunk.width, [], 0
+    # the first document of the chunk that has a rank; documents are in id order, those without id last
+    first = np.full(len(known), -1, dtype=np.int32)
+    ids = np.array([np.iinfo(np.int64).max if i is None else i for i in chunk.ids], dtype=np.int64)
+    for k, (doc, data, copy, at) in enumerate(zip(chunk.ids, chunk.data, chunk.copy, starts)):
         n = len(data)
         if copy and n >= width:
             rows.append((doc, n, [0], [n], b""))
             continue
-        at = found[k][0][gone[cuts[k]:cuts[k + 1]]] if sizes[k] else found[k][0]
+        if len(at):
+            rank = np.searchsorted(known, every[end:end + len(at)])
+            end += len(at)
+            first[rank[first[rank] < 0]] = k
+            at = at[earlier[rank] | (ids[first[rank]] < ids[k])]
         if not len(at):
             rows.append((doc, n, [], [], data))
             continue
@@ -267,9 +279,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     """
     taken = docs.select(*carry).schema
     also = F.to_json(F.struct(*[F.col(c) for c in carry])) if carry else F.lit(None).cast("string")
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
                         F.col(text_col).isNull().alias("none"), also.alias("also"))
-    plain = plain.withColumn("digest", F.md5(F.col("text").cast("binary")))
+    plain = plain.withColumn("digest", F.md5("text"))
     narrow = cut_lineage(plain.select("id", "digest", F.octet_length("text").cast("long").alias("size")))
     total = narrow.agg(F.sum("size")).first()[0]
     ranges, of_ids = max(1, -(-(total or 0) // range_bytes)), id_ranges(narrow, chunk_bytes)
@@ -279,7 +291,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         chunk, order = of_ids.of(batch.column("id"), batch.column("digest"))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk, pa.int32()), pa.array(order, pa.int32())], [*batch.schema.names, "chunk", "order"])
 
-    dealt = arrow_stage(plain, deal, "id long, text string, none boolean, also string, digest string, chunk int, order int").repartition(chunks, "chunk")
+    dealt = arrow_stage(plain, deal, "id long, text binary, none boolean, also string, digest string, chunk int, order int").repartition(chunks, "chunk")
     firsts = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     copies = arrow_stage(narrow.join(firsts, "digest").filter("id > first").select("id", "digest").distinct(), deal, "id long, digest string, chunk int, order int").select(
         "chunk", F.lit(0).alias("kind"), F.lit(0).alias("range"), F.lit(None).cast("binary").alias("data"), "id", "digest")
@@ -293,10 +305,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         return chunk, runs, known, count > 1
 
     def windows_of(frame: pd.DataFrame, reply: pd.DataFrame) -> tuple[Chunk, list, np.ndarray]:
-        """The chunk, its documents' windows that may occur elsewhere, and their distinct ranks."""
+        """The chunk, its documents' windows that may occur elsewhere, and their ranks."""
         chunk, runs, known, twice = parts(frame, reply)
-        found = chunk.candidates(_told(reply, 1, known, ranges) | twice, known, runs)
-        return chunk, found, _distinct([r for _, r in found])
+        return chunk, *chunk.candidates(_told(reply, 1, known, ranges) | twice, known, runs)
 
     def ask_marks(frame: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
@@ -306,13 +317,14 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     def ask_windows(frame: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return _ask(0, 0, np.zeros(0, dtype=np.uint64), ranges)
-        return _ask(int(frame["chunk"].iloc[0]), int(frame["order"].iloc[0]), windows_of(frame, reply)[2], ranges)
+        return _ask(int(frame["chunk"].iloc[0]), int(frame["order"].iloc[0]), _sort_out(windows_of(frame, reply)[2]), ranges)
 
     def finish(frame: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return pd.DataFrame(columns=["id", "n_bytes", "starts", "ends", "kept", "also"])
-        chunk, found, windows = windows_of(frame, reply)
-        out = _remaining(chunk, found, windows, _told(reply, 2, windows, ranges))
+        chunk, starts, every = windows_of(frame, reply)
+        windows = _sort_out(every.copy())
+        out = _remaining(chunk, starts, every, windows, _told(reply, 2, windows, ranges))
         if as_text:
             out["kept"] = [None if none else k.decode("utf-8", "ignore") for k, none in zip(out["kept"], chunk.none)]
         return out.assign(also=chunk.also)

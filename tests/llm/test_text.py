@@ -3,10 +3,12 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -236,6 +238,52 @@ def test_every_place_counts_in_a_rank(length):
     assert all(low(abs(a - b)) <= 12 for i, a in enumerate(factors) for b in factors[:i])
 
 
+def peak(run) -> tuple[object, int]:
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+def test_answers_hold_few_bytes_a_rank(kind, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", 250_000)
+    r = np.random.default_rng(3)
+    lists = [np.unique(r.integers(0, 1 << 20, 200_000).astype(np.uint64) << np.uint64(40)) for _ in range(6)]
+    orders = [0, 1, 1, 2, 4, 9]
+    frame = pd.DataFrame({"chunk": range(6), "order": orders, "range": 0, "data": [lm_score.planes(np.diff(x, prepend=np.uint64(0))) for x in lists]})
+    got, most = peak(lambda: suffix_dedup._answer(frame, kind))
+    first, times = {}, Counter()
+    for x, order in zip(lists, orders):
+        times.update(x.tolist())
+        for v in x.tolist():
+            first.setdefault(v, order)
+    for x, order, data in zip(lists, orders, got.sort_values("chunk")["data"]):
+        told = np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=len(x))
+        assert told.tolist() == [times[v] > 1 if kind == 1 else first[v] < order for v in x.tolist()]
+    assert most < 30 * sum(map(len, lists))
+
+
+def test_a_chunk_of_near_copies_holds_few_bytes_a_place():
+    r = np.random.default_rng(4)
+    passage = r.integers(32, 127, 2_000).astype(np.uint8).tobytes()
+    texts = [passage + r.integers(32, 127, 2_000).astype(np.uint8).tobytes() for _ in range(400)]
+    frame = pd.DataFrame({"id": range(400), "text": texts, "none": False, "also": None, "digest": [str(k) for k in range(400)]})
+
+    def run():
+        chunk = suffix_dedup.Chunk(frame, set(), 50)
+        runs = chunk.marks()
+        known = np.sort(np.concatenate([v for v, _ in runs]))
+        starts, every = chunk.candidates(np.ones(len(known), dtype=bool), known, runs)
+        windows = suffix_dedup._sort_out(every.copy())
+        return suffix_dedup._remaining(chunk, starts, every, windows, np.zeros(len(windows), dtype=bool))
+
+    out, most = peak(run)
+    assert out["kept"].iloc[0] == texts[0] and all(t[2_000:].endswith(k) and len(k) > 1_990 for k, t in zip(out["kept"].iloc[1:], texts[1:]))
+    assert most < 40 * sum(map(len, texts))
+
+
 def test_repeated_passages_as_text(spark):
     got = suffix_dedup.remove_repeats(docs(spark), carry=("lang", "n_chars"), as_text=True).collect()
     by = Counter((r["lang"], r["kept"] is None) for r in got)
