@@ -170,13 +170,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    found = grouped(rows, distinct, links(distinct.select("fp"), bits))
+    found = grouped(rows, distinct, components(links(distinct.select("fp"), bits)))
     return found.select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def grouped(rows: DataFrame, distinct: DataFrame, linked: DataFrame) -> DataFrame:
-    """``rows`` (``id``, ``fp``) with ``root`` and ``component_id``, given each fingerprint's least id and the links."""
-    found = components(linked)
+def grouped(rows: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (``id``, ``fp``) with ``root`` and ``component_id``, given each fingerprint's least id and the parts (``node``, ``root``)."""
     rooted = cut_lineage(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
@@ -458,4 +457,4 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         low, high = high, 64 * high
     rows = rows.select("id", "digest", F.col("node").alias("fp"))
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    return grouped(rows, distinct, linked)
+    return grouped(rows, distinct, components(linked) if parts is None else parts)

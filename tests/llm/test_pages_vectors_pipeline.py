@@ -16,6 +16,15 @@ def test_components_of_a_path_and_a_star(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize(("edges", "rounds"), [([(100, 100 + i) for i in range(1, 30)], 1), ([(9, 3), (9, 5), (4, 2)], 1), ([(1, 2), (2, 3), (3, 4), (4, 5)], 2)])
+def test_components_end_without_a_round_that_changes_nothing(spark, monkeypatch, edges, rounds):
+    steps, step = [], graph._toward_least
+    monkeypatch.setattr(graph, "_toward_least", lambda now, both: steps.append(both) or step(now, both))
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got) == {n for e in edges for n in e} and all(got[a] == got[b] <= min(a, b) for a, b in edges)
+    assert steps.count(True) <= rounds
+
+
 def vectors():
     random = np.random.default_rng(2)
     centre = random.normal(size=(6, 16))
